@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import fingerprints, language, licenses, packing, pii, sharding, toxicity
+from blockweave.llm import decontamination, fingerprints, language, licenses, lm_scoring, near_duplicates, packing, pii, sharding, toxicity
 from blockweave.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.learnable(docs))
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(documents(spark, sf_dir), decontamination.benchmark_table(spark, sf_dir))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -37,14 +41,29 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_values", F.array_join(F.array_sort(F.array_distinct(F.col("spans.kind"))), ",").alias("kinds"))
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return lm_scoring.score_documents(documents(spark, sf_dir), lm_scoring.good_documents(labels))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score_toxicity(docs, language.learnable(docs), labels).select("doc_id", "held_out", "score", "predicted", F.array_join("found", ",").alias("found"))
 
 
+def op10_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(documents(spark, sf_dir), k=3, percent=85)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_language_id, op4_sum_of_squares_packing, op5_merkle_fingerprints, op6_byte_shards, op7_feistel_pseudonyms, op9_toxicity]
+    own = [op1_license_scan, op2_language_id, op3_latent_decontamination, op4_sum_of_squares_packing, op5_merkle_fingerprints, op6_byte_shards, op7_feistel_pseudonyms, op8_cross_entropy_difference, op9_toxicity, op10_chosen_path_near_duplicates, pipeline]
     return {f.__name__: f for f in own}
 
 
