@@ -7,8 +7,8 @@ similarity s stay together with probability s a level. Nodes of at most SMALL me
 compared exhaustively and leave the tree. A node that is still larger at the PATH-th level holds
 sets that agree in PATH minwise tokens, mostly copies of one text: its members are compared with
 its most central member, and if links so found don't make it one component, it is branched
-further, two levels at a time, and at MAX_DEPTH compared exhaustively between components. Recall: a pair at the threshold t that needs d levels is missed by all trees with
-probability (1 - t^d)^TREES: 2e-8 for t = 0.85, d = 4.
+further, two levels at a time, and at MAX_DEPTH compared exhaustively between components. Recall: a pair at the threshold t that needs d levels meets in each tree with probability t^d;
+that it meets in fewer than MEETINGS = 2 of the trees has probability 6e-7 for t = 0.85, d = 4, and 4e-5 for t = 0.8.
 
 Every link is confirmed on the full sets of both texts. Pairs that are already in one component
 aren't confirmed again, as classes and not links are asked for.
@@ -31,6 +31,10 @@ from blockweave.llm.components import connected_components
 
 TREES, PATH, SMALL, MAX_DEPTH = 24, 4, 12, 16
 POOL = TREES * PATH
+#: Trees in which a pair has to meet: one meeting is mostly chance.
+MEETINGS = 2
+#: Size of the bitmap that prefilters texts by id.
+BITS = 1 << 21
 SEED = 7
 
 _SPACE = np.zeros(256, bool)
@@ -170,14 +174,14 @@ def _agreement(a: Column, b: Column) -> Column:
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
-    """All pairs (a < b) of the members of small nodes."""
+    """All pairs (a < b) of the members of small nodes, once a node."""
     lists = members.groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("m"))
     later = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))")
     return lists.select(F.explode(later).alias("p")).select("p.a", "p.b")
 
 
 def _branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split (node, rep, tree) into rows of small nodes with two members or more and of large ones."""
+    """Split rows (node, rep, ...) into those of small nodes with two members or more and of large ones."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = rows.join(sizes, "node")
     return sized.where(F.col("n") <= SMALL), sized.where(F.col("n") > SMALL).drop("n")
@@ -205,18 +209,20 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
     tokens = materialised(sets.join(reps.select("rep", "key1", "key2").withColumnRenamed("rep", "doc_id"), ["doc_id", "key1", "key2"], "left_semi").select(F.col("doc_id").alias("rep"), "tokens").dropDuplicates(["rep"]))
     sketches = tokens.select(F.col("rep"), "tokens")
 
-    # the trees
-    firsts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.element_at("tokens", t * PATH + 1))
-    rows = tokens.select("rep", F.posexplode(firsts).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", "tree")
-    candidates: DataFrame | None = None
+    # the trees; a row carries the tokens that its tree asks for later
+    at = lambda level: F.element_at("tokens", F.col("tree") * PATH + level + 1)
+    later = [f"t{level}" for level in range(1, PATH)]
+    rows = tokens.select("rep", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(F.xxhash64("tree", at(0)).alias("node"), "rep", "tree", *[at(level).alias(f"t{level}") for level in range(1, PATH)])
+    met: DataFrame | None = None
     for level in range(1, PATH + 1):
         small, large = _branch(rows)
-        pairs = materialised(_pairs_within(small).distinct())
-        candidates = pairs if candidates is None else candidates.union(pairs)
+        pairs = materialised(_pairs_within(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
+        met = pairs if met is None else met.union(pairs)
         large = materialised(large)
         if level == PATH or _empty(large):
             break
-        rows = _deeper(large, sketches, level)
+        rows = large.select(F.xxhash64("node", f"t{level}").alias("node"), "rep", "tree", *later[level:])
+    candidates = met.groupBy("a", "b").agg(F.sum("trees").alias("trees")).where(F.col("trees") >= MEETINGS).select("a", "b")
     # large nodes at the end of the path: stars around the member that most large nodes share
     stars = None
     if not _empty(large):
@@ -233,11 +239,12 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
         labelled = materialised(_label(large, classes))
         mixed = labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
         large = materialised(labelled.join(mixed, "node", "left_semi").select("node", "rep", "tree"))
+        members = materialised(sketches.join(large.select("rep").distinct(), "rep", "left_semi"))
         gathered = []
         for level in range(PATH, MAX_DEPTH, 2):
             if _empty(large):
                 break
-            small, large = _branch(_deeper(large, sketches, level, level + 1))
+            small, large = _branch(_deeper(large, members, level, level + 1))
             gathered.append(_pairs_within(small).distinct())
             large = materialised(large)
         if not _empty(large):
@@ -279,7 +286,7 @@ def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k:
     b = sketches.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     likely = materialised(candidates.join(a, "a").join(b, "b").select("a", "b", _agreement(F.col("ta"), F.col("tb")).alias("agree")).where(F.col("agree") >= least))
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    needed = materialised(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    needed = materialised(_texts_of(texts, ids).groupBy("doc_id").agg(F.min("text").alias("text")))
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     links = materialised(_compare(best, needed, k, percent))
     joined = connected_components(links)
@@ -289,6 +296,33 @@ def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k:
     return links.union(materialised(_compare(rest, needed, k, percent)))
 
 
+class _Marked:
+    """Rows whose id falls on a marked bit."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = np.packbits(bits)
+
+    def start(self):
+        bits = np.unpackbits(self.bits).astype(bool)
+
+        def run(cols):
+            keep = [i for i, slot in enumerate(cols["slot"]) if bits[slot]]
+            return {n: [cols[n][i] for i in keep] for n in ("doc_id", "text")} if keep else None
+
+        return run
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of some ids. A bitmap of fixed size sorts out most others before texts are shuffled."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
+    marked = ids.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()  # BITS numbers at most
+    bits = np.zeros(BITS, bool)
+    bits[marked] = True
+    rows = texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot"))
+    near = map_slices(rows, _Marked(bits), "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    return near.join(ids, "doc_id", "left_semi")
+
+
 def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
