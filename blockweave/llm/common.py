@@ -6,6 +6,7 @@ carries nothing else, so extra or clashing columns never matter.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,4 +60,17 @@ def shared_dir(spark: SparkSession) -> None:
 def materialised(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _materialised[0] += 1
+    if _materialised[0] % 4 == 0:
+        release(df.sparkSession)
+    return out
+
+
+_materialised = [0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffles and checkpoints that nothing refers to; it does so when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

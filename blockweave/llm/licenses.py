@@ -211,7 +211,7 @@ class Scanner:
         kept: list[tuple[int, int, Rule]] = []
         for i, a, b in found:
             rule = self.rules[i]
-            if rule.base or not any(s <= a and b <= e and (not r.base or r.label == rule.label) for s, e, r in kept):
+            if rule.base or not any(s <= a and b <= e for s, e, _ in kept):
                 kept.append((a, b, rule))
         return kept
 

@@ -79,7 +79,7 @@ class WordEncoder:
         if got is None:
             if len(self.known) > _REMEMBERED:
                 self.known.clear()
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            mapped = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(mapped)]
             got = struct.pack(f"<{len(ids)}I", *ids)
             if len(part) <= _SHORT:
