@@ -37,6 +37,8 @@ _REMEMBERED = 600_000
 _SHORT = 18
 # Characters that Python's split takes for white space and the tokenizer doesn't, and the one
 # whose lower case depends on its place in Python only: such texts go to the tokenizer whole.
+# Letters of Latin scripts, ASCII signs and common quotes: words of these are cut here, all others by the tokenizer.
+_PLAIN = re.compile("[!-~\u00a1-\u024f\u2013-\u2022\u2026\u20ac]+").fullmatch
 _WHOLE = re.compile("[\x1c-\x1f\u03a3]|<\\|")
 
 
@@ -87,8 +89,13 @@ class WordEncoder:
         return got
 
     def _word(self, word: str) -> bytes:
-        parts = [word] if word.isalpha() else self.parts(word)
-        got = self._part(parts[0]) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
+        if not _PLAIN(word):
+            parts, got = [], self.whole(word)
+        elif word.isalpha():
+            parts = [word]
+        else:
+            parts = self.parts(word)
+        got = got if not parts else self._part(parts[0]) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
         if len(word) <= _SHORT:
             if len(self.words) > _REMEMBERED:
                 self.words.clear()
