@@ -67,6 +67,20 @@ def materialised(df: DataFrame) -> DataFrame:
     return out
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """As ``materialised``, for tables of short rows: read again in about one partition per ``rows`` rows, so that few rows don't become many tiny shuffle files. Large tables keep their partitions."""
+    out = materialised(df)
+    return out.coalesce(parts(out.count(), rows))
+
+
+def parts(n: int, rows: int = 100_000) -> int:
+    """Partitions for ``n`` short rows; never fewer than FEW."""
+    return max(FEW, -(-n // rows))
+
+
+#: Partitions of the smallest tables.
+FEW = 4
+
 _materialised = [0]
 
 

@@ -11,31 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import materialised
+from blockweave.llm.common import compact, materialised, parts
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b")))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``links`` (a, b); component is the smallest node reachable."""
+    """(node, component) of every node of ``links`` (a, b); component is the smallest node reachable.
+
+    The number of links sets the number of tasks of a round: a round is a few joins of short rows,
+    and small tables would otherwise become many tiny files.
+    """
     now = materialised(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(max_rounds):
-        now = materialised(_small_star(_large_star(now)))
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
-        mark = new
+        mark, few = new, parts(new[0])
+        upper = _large_star(now.coalesce(few)).coalesce(few)
+        now = materialised(_small_star(upper).coalesce(few).distinct().coalesce(few))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
+    return compact(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component")))

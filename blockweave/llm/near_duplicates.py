@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import map_slices, materialised
+from blockweave.llm.common import compact, map_slices, materialised
 from blockweave.llm.components import connected_components
 
 TREES, PATH, SMALL, MAX_DEPTH = 24, 4, 12, 16
@@ -206,7 +206,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
     sets = base.where("n_shingles > 0 and doc_id is not null")
     reps = sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # one row a representative; an id that comes with several texts keeps the representative of each
-    tokens = materialised(sets.join(reps.select("rep", "key1", "key2").withColumnRenamed("rep", "doc_id"), ["doc_id", "key1", "key2"], "left_semi").select(F.col("doc_id").alias("rep"), "tokens").dropDuplicates(["rep"]))
+    tokens = compact(sets.join(reps.select("rep", "key1", "key2").withColumnRenamed("rep", "doc_id"), ["doc_id", "key1", "key2"], "left_semi").select(F.col("doc_id").alias("rep"), "tokens").dropDuplicates(["rep"]), 10_000)
     sketches = tokens.select(F.col("rep"), "tokens")
 
     # the trees; a row carries the tokens that its tree asks for later
@@ -216,9 +216,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
     met: DataFrame | None = None
     for level in range(1, PATH + 1):
         small, large = _branch(rows)
-        pairs = materialised(_pairs_within(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
+        pairs = compact(_pairs_within(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
         met = pairs if met is None else met.union(pairs)
-        large = materialised(large)
+        large = compact(large)
         if level == PATH or _empty(large):
             break
         rows = large.select(F.xxhash64("node", f"t{level}").alias("node"), "rep", "tree", *later[level:])
@@ -231,22 +231,22 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
         stars = large.join(hubs, "node").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         candidates = candidates.union(stars)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = _confirmed(materialised(candidates.distinct()), sketches, texts, k, percent)
-    classes = materialised(connected_components(links))
+    links = _confirmed(compact(candidates.distinct()), sketches, texts, k, percent)
+    classes = connected_components(links)
 
     # large nodes that aren't one component yet: branch on, then confirm what has gathered
     if stars is not None:
-        labelled = materialised(_label(large, classes))
+        labelled = compact(_label(large, classes))
         mixed = labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-        large = materialised(labelled.join(mixed, "node", "left_semi").select("node", "rep", "tree"))
-        members = materialised(sketches.join(large.select("rep").distinct(), "rep", "left_semi"))
+        large = compact(labelled.join(mixed, "node", "left_semi").select("node", "rep", "tree"))
+        members = compact(sketches.join(large.select("rep").distinct(), "rep", "left_semi"), 10_000)
         gathered = []
         for level in range(PATH, MAX_DEPTH, 2):
             if _empty(large):
                 break
             small, large = _branch(_deeper(large, members, level, level + 1))
             gathered.append(_pairs_within(small).distinct())
-            large = materialised(large)
+            large = compact(large)
         if not _empty(large):
             one = _label(large.select("node", "rep"), classes)
             other = one.select("node", F.col("rep").alias("b"), F.col("component").alias("other"))
@@ -255,10 +255,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
             pairs = gathered[0]
             for g in gathered[1:]:
                 pairs = pairs.union(g)
-            apart = materialised(_between(pairs.distinct(), classes))
+            apart = compact(_between(pairs.distinct(), classes))
             more = _confirmed(apart, sketches, texts, k, percent) if not _empty(apart) else apart
             if not _empty(more):
-                classes = materialised(connected_components(links.union(more)))
+                classes = connected_components(links.union(more))
 
     member = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("class_id"))
     # the side with all documents may be hot in one key: a plain merge join, which Spark splits when skewed
@@ -284,16 +284,16 @@ def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k:
     least = int(np.floor(POOL * t - 6 * np.sqrt(POOL * t * (1 - t))))
     a = sketches.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     b = sketches.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    likely = materialised(candidates.join(a, "a").join(b, "b").select("a", "b", _agreement(F.col("ta"), F.col("tb")).alias("agree")).where(F.col("agree") >= least))
+    likely = compact(candidates.join(a, "a").join(b, "b").select("a", "b", _agreement(F.col("ta"), F.col("tb")).alias("agree")).where(F.col("agree") >= least))
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
     needed = materialised(_texts_of(texts, ids).groupBy("doc_id").agg(F.min("text").alias("text")))
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialised(_compare(best, needed, k, percent))
+    links = compact(_compare(best, needed, k, percent))
     joined = connected_components(links)
-    rest = materialised(_between(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), materialised(joined)))
+    rest = compact(_between(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), joined))
     if _empty(rest):
         return links
-    return links.union(materialised(_compare(rest, needed, k, percent)))
+    return links.union(compact(_compare(rest, needed, k, percent)))
 
 
 class _Marked:
