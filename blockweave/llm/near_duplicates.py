@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import compact, map_slices, materialised
-from blockweave.llm.components import connected_components
+from blockweave.llm.components import extend_components
 
 TREES, PATH, SMALL, MAX_DEPTH = 24, 4, 12, 16
 POOL = TREES * PATH
@@ -231,8 +231,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
         stars = large.join(hubs, "node").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         candidates = candidates.union(stars)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = _confirmed(compact(candidates.distinct()), sketches, texts, k, percent)
-    classes = connected_components(links)
+    classes = _confirmed(compact(candidates.distinct()), sketches, texts, k, percent, None)
 
     # large nodes that aren't one component yet: branch on, then confirm what has gathered
     if stars is not None:
@@ -256,9 +255,8 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
             for g in gathered[1:]:
                 pairs = pairs.union(g)
             apart = compact(_between(pairs.distinct(), classes))
-            more = _confirmed(apart, sketches, texts, k, percent) if not _empty(apart) else apart
-            if not _empty(more):
-                classes = connected_components(links.union(more))
+            if not _empty(apart):
+                classes = _confirmed(apart, sketches, texts, k, percent, classes)
 
     member = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("class_id"))
     # the side with all documents may be hot in one key: a plain merge join, which Spark splits when skewed
@@ -273,8 +271,8 @@ def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among candidate pairs, enough of them to give every component.
+def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int, classes: DataFrame | None) -> DataFrame:
+    """Components of ``classes`` (none yet: None) and of the links among candidate pairs.
 
     Pairs whose tokens agree far less often than the threshold asks for are dropped first (six standard
     deviations below the expectation). Then each text is confirmed against its likeliest smaller
@@ -288,12 +286,11 @@ def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k:
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
     needed = materialised(_texts_of(texts, ids).groupBy("doc_id").agg(F.min("text").alias("text")))
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = compact(_compare(best, needed, k, percent))
-    joined = connected_components(links)
+    joined = extend_components(classes, compact(_compare(best, needed, k, percent)))
     rest = compact(_between(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), joined))
     if _empty(rest):
-        return links
-    return links.union(compact(_compare(rest, needed, k, percent)))
+        return joined
+    return extend_components(joined, compact(_compare(rest, needed, k, percent)))
 
 
 class _Marked:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from blockweave.llm import decontamination, fingerprints, language, licenses, lm_scoring, near_duplicates, packing, pii, sharding, toxicity
-from blockweave.llm.components import connected_components
+from blockweave.llm.components import connected_components, extend_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
 TEXTS = ["", None, "x", "Plain words go here. " * 40, "Plain words go here. " * 40, "päßt — é漢字 😀\n\nzwei", "word " * 30_000, "Under the MIT License.\nCC-BY NC and Apache License, version 2"]
@@ -249,6 +249,14 @@ def test_components(spark):
     assert {r.node: r.component for r in connected_components(links).collect()} == {i: 0 for i in range(21)} | {40: 40, 50: 40, 60: 40}
 
 
+def test_components_extended(spark):
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first, more = [(5, 1), (6, 5), (9, 8), (20, 21), (30, 31)], [(6, 9), (2, 1), (21, 40), (50, 51)]
+    whole = {tuple(r) for r in connected_components(table(first + more)).collect()}
+    assert {tuple(r) for r in extend_components(connected_components(table(first)), table(more)).collect()} == whole
+    assert {tuple(r) for r in extend_components(connected_components(table([])), table(more)).collect()} == {(6, 6), (9, 6), (1, 1), (2, 1), (21, 21), (40, 21), (50, 50), (51, 50)}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
