@@ -1,39 +1,49 @@
 """Cross-entropy difference scores: a target and a background n-gram model over one vocabulary.
 
-Both models are interpolated bigram models over the same words: the VOCABULARY most frequent
-words of all documents, every other word being <unk>. The background model counts all documents,
-the target model those marked as good. A document's score is the mean over its tokens of
-log P_target - log P_background (positive: closer to the target).
+Both models are interpolated bigram models over all words of all documents. The background model
+counts all documents, the target model those marked as good. A document's score is the mean over its
+tokens of log P_target - log P_background (positive: closer to the target).
 
-Bigrams are counted in CELLS hashed cells, the same for both models, so a model has a fixed size
-and no bigram is dropped; counts cover every document.
+Every distinct word and every distinct pair of words has its own exact count; both grow with the
+corpus and stay in Spark. A document's distinct pairs are rows, dealt by the first word, so that
+sums over a window give the counts of the pair and of its first word; rows whose second word isn't
+frequent are dealt once more by that word. HEAD frequent words and pairs are counted in tasks
+instead, and rows of a frequent first word are dealt by both words. Which words and pairs
+are in the head changes the work, not the result.
 
 Cases: null texts and texts without a word have no tokens and score 0; rows labelled twice count
-by their larger mark; without target rows both models are equal and all scores are 0; ties in
-frequency go to the word that sorts first; repeated rows count repeatedly.
+by their larger mark; without target rows both models are equal and all scores are 0; repeated rows
+count repeatedly.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from math import log
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import map_slices
 
-VOCABULARY = 1 << 15
-CELLS = 1 << 20
+#: Frequent words, and pairs, that tasks know by heart; any number gives the same scores.
+HEAD = 100_000
 #: Weights of the bigram and the unigram estimate; what is left is uniform.
 BIGRAM, UNIGRAM = 0.6, 0.35
 _FLUSH = 300_000
+#: Marks in place of words, which hold no white space: before the first word, after the last, and of the row of a document.
+_BEGIN, _END, _DOCUMENT = "\n", "\n\n", "\n\n\n"
+_EDGES = ".,;:!?\"'()[]"
 
 
 def words_of(text: str | None) -> list[str]:
     """Words in lower case between white space, stripped of punctuation at both ends."""
-    return [w.strip(".,;:!?\"'()[]") for w in text.lower().split()] if text else []
+    return [w.strip(_EDGES) for w in text.lower().split()] if text else []
+
+
+# ---- 1. words, and pairs that may be frequent
 
 
 class _Words:
@@ -42,163 +52,186 @@ class _Words:
 
 
 class _WordCounts:
+    """Exact counts of words; of pairs, those that are left when rare ones are dropped now and then (only to choose the head)."""
+
     def __init__(self):
-        self.raw = Counter()
+        self.words, self.pairs = Counter(), Counter()
 
     def __call__(self, cols):
         for t in cols["text"]:
-            if t:
-                self.raw.update(t.lower().split())
-        return self._rows() if len(self.raw) > _FLUSH else None
+            if w := words_of(t):
+                self.words.update(w)
+                self.pairs.update(zip([_BEGIN, *w[:-1]], w, strict=True))
+        if len(self.pairs) > _FLUSH:
+            least = 1
+            while len(self.pairs) > _FLUSH // 2:
+                self.pairs = Counter({k: n for k, n in self.pairs.items() if n > least})
+                least += 1
+        return self._rows() if len(self.words) > _FLUSH else None
 
     def _rows(self):
-        by = Counter()
-        for w, n in self.raw.items():
-            by[w.strip(".,;:!?\"'()[]")] += n
-        self.raw.clear()
-        return {"word": list(by), "n": list(by.values())}
+        out = {"first": [None] * len(self.words), "word": list(self.words), "n": list(self.words.values())}
+        self.words.clear()
+        return out
 
     def finish(self):
-        if self.raw:
+        if self.words:
             yield self._rows()
+        top = [(k, n) for k, n in self.pairs.most_common(HEAD) if n > 2]
+        if top:
+            yield {"first": [k[0] for k, _ in top], "word": [k[1] for k, _ in top], "n": [n for _, n in top]}
 
 
-def shared_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The ``size`` most frequent words of all documents; what reaches the driver is that many words."""
-    counted = map_slices(docs.where(F.col("text").isNotNull()).select("text"), _Words(), "word string, n long", pa.schema([("word", pa.string()), ("n", pa.int64())]))
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
-
-
-class _Encoder(dict):
-    """Raw token to word number, 0 for <unk>; unknown raw tokens aren't kept."""
-
-    def __init__(self, vocabulary: list[str]):
-        super().__init__()
-        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-
-    def __missing__(self, raw: str) -> int:
-        k = self.number.get(raw.strip(".,;:!?\"'()[]"), 0)
-        if k and len(self) < 500_000:
-            self[raw] = k
-        return k
-
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int64)
-        raw = text.lower().split()
-        return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+def frequent(docs: DataFrame, head: int = HEAD) -> tuple[set[str], set[tuple[str, str]], int, int]:
+    """Frequent words, frequent pairs (of such words), the number of distinct words and that of tokens."""
+    arrow = pa.schema([("first", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    counted = map_slices(docs.where(F.col("text").isNotNull()).select("text"), _Words(), "first string, word string, n long", arrow).groupBy("first", "word").agg(F.sum("n").alias("n")).persist()
+    try:
+        single = counted.where(F.col("first").isNull())
+        size, tokens = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        top = [c.orderBy(F.desc("n"), "first", "word").limit(head).collect() for c in (single, counted.where(F.col("first").isNotNull()))]
+    finally:
+        counted.unpersist()
+    pairs = {(r["first"], r.word) for r in top[1]}
+    words = {r.word for r in top[0]} | {w for p in pairs for w in p} - {_BEGIN}
+    return words, pairs, size, tokens
 
 
-def cells_of(ids: np.ndarray) -> np.ndarray:
-    """Cells of the bigrams of a text; the first word follows a begin mark (-1)."""
-    before = np.concatenate([[-1], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)
+# ---- 2. exact counts of the head
 
 
-class _Grams:
-    def __init__(self, vocabulary):
-        self.vocabulary = vocabulary
+class _Head:
+    def __init__(self, words, pairs):
+        self.words, self.pairs = words, pairs
 
     def start(self):
-        return _GramCounts(self.vocabulary)
+        return _HeadCounts(self.words, self.pairs)
 
 
-class _GramCounts:
-    """Counts by kind (0 unigram, 1 bigram cell) of all rows and of target rows."""
-
-    def __init__(self, vocabulary):
-        self.encoder = _Encoder(vocabulary)
-        self.sizes = (len(vocabulary) + 1, CELLS)
-        self.all = [np.zeros(n, np.int64) for n in self.sizes]
-        self.target = [np.zeros(n, np.int64) for n in self.sizes]
+class _HeadCounts:
+    def __init__(self, words, pairs):
+        self.known = words, pairs
+        self.all, self.target, self.tokens = (Counter(), Counter()), (Counter(), Counter()), 0
 
     def __call__(self, cols):
-        for good in (False, True):
-            texts = [self.encoder.ids(t) for t, g in zip(cols["text"], cols["good"], strict=True) if bool(g) == good]
-            texts = [t for t in texts if len(t)]
-            if texts:
-                for k, got in enumerate((np.concatenate(texts), np.concatenate([cells_of(t) for t in texts]))):
-                    for sums in (self.all, self.target) if good else (self.all,):
-                        np.add.at(sums[k], got, 1)
+        words, pairs = self.known
+        for t, good in zip(cols["text"], cols["good"], strict=True):
+            if w := words_of(t):
+                got = [x for x in w if x in words], [x for x in zip([_BEGIN, *w[:-1]], w, strict=True) if x in pairs]
+                for into in (self.all, self.target) if good else (self.all,):
+                    for counter, found in zip(into, got, strict=True):
+                        counter.update(found)
+                self.tokens += len(w) * bool(good)
         return None
 
     def finish(self):
+        yield {"first": [None], "word": [None], "n": [0], "target": [self.tokens]}
         for k in (0, 1):
-            at = np.flatnonzero(self.all[k])
-            for i in range(0, len(at), 100_000):
-                part = at[i : i + 100_000]
-                yield {"kind": [k] * len(part), "cell": part.tolist(), "n": self.all[k][part].tolist(), "target": self.target[k][part].tolist()}
+            keys = list(self.all[k])
+            yield {"first": [x[0] if k else None for x in keys], "word": [x[1] if k else x for x in keys], "n": [self.all[k][x] for x in keys], "target": [self.target[k][x] for x in keys]}
 
 
-def train_models(docs: DataFrame, good: DataFrame, vocabulary: list[str]) -> list[np.ndarray]:
-    """[unigrams, cells] of the background and [unigrams, cells] of the target.
+def head_counts(marked: DataFrame, words: set[str], pairs: set[tuple[str, str]]) -> tuple[dict, dict, int]:
+    """(n, target) of frequent words and pairs, and the number of target tokens."""
+    arrow = pa.schema([("first", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("target", pa.int64())])
+    rows = map_slices(marked.select("text", "good"), _Head(words, pairs), "first string, word string, n long, target long", arrow)
+    got = rows.groupBy("first", "word").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).collect()
+    return ({r.word: (r.n, r.target) for r in got if r["first"] is None and r.word is not None}, {(r["first"], r.word): (r.n, r.target) for r in got if r["first"] is not None}, next((r.target for r in got if r.word is None), 0))
+
+
+# ---- 3. rows of pairs
 
-    ``good``: the doc_ids of target documents, distinct. Texts are joined with them by a shuffle,
-    as both grow with the corpus; sums per cell are formed by Spark, at most CELLS reach the driver.
-    """
-    marked = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")), "doc_id", "left")
-    arrow = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("target", pa.int64())])
-    rows = map_slices(marked.select("text", "good"), _Grams(vocabulary), "kind int, cell int, n long, target long", arrow)
-    sums = rows.groupBy("kind", "cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow()
-    kind, cell, n, target = (sums.column(c).to_numpy() for c in ("kind", "cell", "n", "target"))
-    out = []
-    for counts in (n, target):
-        for k, size in ((0, len(vocabulary) + 1), (1, CELLS)):
-            table = np.zeros(size, np.float32)
-            table[cell[kind == k]] = counts[kind == k]
-            out.append(table)
-    return out
-
-
-class _Score:
-    def __init__(self, vocabulary, tables):
-        self.vocabulary, self.tables = vocabulary, tables
+
+class _Pairs:
+    """Rows (doc, first, word, packed) of each document's distinct pairs that aren't frequent, and one for the
+    document itself; packed = 8 * occurrences + 4 * (word is frequent) + 2 * (first is) + (document is good)."""
+
+    def __init__(self, words, pairs, size, totals):
+        self.words, self.pairs, self.size, self.totals = words, pairs, size, totals
 
     def start(self):
-        encoder = _Encoder(self.vocabulary)
-        flat = 1.0 / (len(self.vocabulary) + 1)
-        models = []
-        for uni, cell in (self.tables[:2], self.tables[2:]):
-            models.append((uni, cell, max(1.0, float(uni.sum(dtype=np.float64)))))
-
-        def loss(ids: np.ndarray, cells: np.ndarray, model) -> np.ndarray:
-            uni, cell, total = model
-            u = uni[ids] / total
-            before = np.concatenate([[0.0], uni[ids[:-1]]])
-            given = np.where(before > 0, np.minimum(1.0, cell[cells] / np.maximum(before, 1.0)), u)
-            return -np.log(BIGRAM * given + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) * flat)
+        words, losses, at = self.words, {}, TaskContext.get().partitionId() << 40
+        for pair, counts in self.pairs.items():
+            first, second = words.get(pair[0]), words[pair[1]]
+            out = []
+            for k, total in enumerate(self.totals):
+                u = second[k] / max(1, total)
+                given = counts[k] / first[k] if first and first[k] else u
+                out.append(-log(BIGRAM * given + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) / self.size))
+            losses[pair] = out
 
         def run(cols):
-            out = {n: [] for n in ("doc_id", "n_tokens", "target_loss", "background_loss", "score")}
-            empty_target = not self.tables[2].any()
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                ids = encoder.ids(text)
-                if len(ids):
-                    cells = cells_of(ids)
-                    b = float(loss(ids, cells, models[0]).mean())
-                    t = b if empty_target else float(loss(ids, cells, models[1]).mean())
-                else:
-                    t = b = 0.0
-                for n, v in zip(out, (doc_id, len(ids), t, b, b - t), strict=True):
-                    out[n].append(v)
+            nonlocal at
+            out = {n: [] for n in ("doc", "first", "word", "packed")}
+            doc, before, after, packed = out.values()
+            for doc_id, text, good in zip(cols["doc_id"], cols["text"], cols["good"], strict=True):
+                at += 1
+                w = words_of(text)
+                background = target = 0.0
+                good = bool(good)
+                for pair, n in Counter(zip([_BEGIN, *w[:-1]], w, strict=True)).items() if w else ():
+                    if (known := losses.get(pair)) is not None:
+                        background += n * known[0]
+                        target += n * known[1]
+                    else:
+                        a, b = pair
+                        before.append(a)
+                        after.append(b)
+                        packed.append(8 * n + 4 * (b in words) + 2 * (a in words or a == _BEGIN) + good)
+                if w and w[-1] not in words:  # with it, the pairs of a first word are as many as its occurrences
+                    before.append(w[-1])
+                    after.append(_END)
+                    packed.append(8 + 4 + good)
+                before.append(_DOCUMENT)
+                after.append(f"{'' if doc_id is None else doc_id},{len(w)},{background!r},{target!r},{at}")
+                packed.append(4 + 2)
+                doc += [at] * (len(before) - len(doc))
             return out
 
         return run
 
 
-def score_documents(docs: DataFrame, good: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def _loss(given: str, u: Column, size: int) -> Column:
+    return -F.log(BIGRAM * F.coalesce(F.col(given), u) + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) / size)
+
+
+def score_documents(docs: DataFrame, good: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and score of every row.
 
-    Three passes over the texts: words, bigrams (the only one that shuffles texts), scores.
-    Broadcast with the last: two tables of fixed size.
+    Three passes over the texts: words, counts of the head, pairs. ``good``: the doc_ids of target
+    documents, distinct; texts are joined with them by a shuffle, as both grow with the corpus.
     """
-    vocabulary = shared_vocabulary(docs, size)
-    tables = train_models(docs, good, vocabulary)
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _Score(vocabulary, tables), "doc_id long, n_tokens long, target_loss double, background_loss double, score double", arrow)
+    spark = docs.sparkSession
+    words, pairs, size, tokens = frequent(docs, head)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")), "doc_id", "left")
+    word_counts, pair_counts, target_tokens = head_counts(marked, words, pairs)
+    totals, size = (max(1, tokens), max(1, target_tokens)), max(1, size)
+    arrow = pa.schema([("doc", pa.int64()), ("first", pa.string()), ("word", pa.string()), ("packed", pa.int64())])
+    rows = map_slices(marked, _Pairs(word_counts, pair_counts, size, totals), "doc long, first string, word string, packed long", arrow)
+
+    bit = lambda k: F.col("packed").bitwiseAND(k) != 0
+    n = F.shiftright("packed", 3)
+    in_target = F.when(bit(1), n).otherwise(0)
+    dealt = rows.withColumn("salt", F.when(bit(2), F.col("word"))).repartition("first", "salt").sortWithinPartitions("first", "salt", "word")
+    of_first, of_pair = Window.partitionBy("first", "salt"), Window.partitionBy("first", "salt", "word")
+    counted = dealt.withColumns({"n1": F.sum(n).over(of_first), "t1": F.sum(in_target).over(of_first)}).withColumns({"n": F.sum(n).over(of_pair), "t": F.sum(in_target).over(of_pair)})
+    known = F.broadcast(spark.createDataFrame([(w, *c) for w, c in word_counts.items()], "head string, n0 long, t0 long"))
+    counted = counted.where(F.col("word") != _END).join(known, F.when(bit(2), F.col("first")) == F.col("head"), "left")
+    before = [F.when(bit(2), F.col(a)).otherwise(F.col(b)) for a, b in (("n0", "n1"), ("t0", "t1"))]  # null after the begin mark
+    given = counted.select("doc", "first", "word", "packed", *[F.when(b > 0, F.col(c) / b).alias(g) for b, c, g in zip(before, "nt", ("given_n", "given_t"), strict=True)])
+    # of frequent second words the counts are known; the others are dealt by the word
+    frequent_second = given.where(bit(4)).join(known, F.col("word") == F.col("head"), "left").select("doc", "first", "word", "packed", "given_n", "given_t", F.col("n0").alias("n2"), F.col("t0").alias("t2"))
+    of_word = Window.partitionBy("word")
+    rare_second = given.where(~bit(4)).select("doc", "first", "word", "packed", "given_n", "given_t", F.sum(n).over(of_word).alias("n2"), F.sum(in_target).over(of_word).alias("t2"))
+    both = frequent_second.unionByName(rare_second)
+
+    own = F.col("first") == _DOCUMENT
+    part = lambda k: F.when(own, F.split("word", ",")[k])
+    value = [F.when(own, part(k).cast("double")).otherwise(n * _loss(g, F.col(c) / total, size)) for k, g, c, total in ((2, "given_n", "n2", totals[0]), (3, "given_t", "t2", totals[1]))]
+    sums = both.groupBy("doc").agg(F.max(F.when(part(0) != "", part(0).cast("long"))).alias("doc_id"), F.max(part(1).cast("long")).alias("n_tokens"), F.sum(value[0]).alias("b"), F.sum(value[1]).alias("t"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0)
+    target = mean("t") if target_tokens else mean("b")
+    return sums.select("doc_id", "n_tokens", target.alias("target_loss"), mean("b").alias("background_loss"), (mean("b") - target).alias("score"))
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

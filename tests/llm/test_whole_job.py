@@ -1,0 +1,45 @@
+"""Tests of findings in which an operator did less than its whole job."""
+
+import os
+import sys
+from collections import Counter
+from math import log
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from blockweave.llm import lm_scoring
+
+
+def exact_scores(texts, good):
+    docs = [lm_scoring.words_of(t) for t in texts]
+    size, losses = len({w for d in docs for w in d}), []
+    for chosen in (docs, [d for i, d in enumerate(docs) if i in good]):
+        one = Counter(w for d in chosen for w in d)
+        two = Counter(p for d in chosen for p in zip(d, d[1:], strict=False))
+        total, out = max(1, sum(one.values())), []
+        for d in docs:
+            s = 0.0
+            for a, b in zip([None, *d], d, strict=False):
+                u = one[b] / total
+                given = two[a, b] / one[a] if one[a] else u
+                s -= log(0.6 * given + 0.35 * u + 0.05 / size)
+            out.append(s / max(1, len(d)))
+        losses.append(out)
+    return [b - t for b, t in zip(*losses, strict=True)]
+
+
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, 15, 1])
+def test_lm_scores_use_every_word_and_pair(spark, head):
+    rng = np.random.default_rng(5)
+    # more words than the 32,768 that were once kept, some of them in two documents
+    texts = [" ".join([f"w{k}" for k in rng.integers(0, 60_000, 1500)] + [f"c{k}" for k in rng.zipf(1.5, 300) % 50]) for _ in range(40)]
+    texts += [texts[0], "", None, "one", "a a a b", "... , c1 c1"]
+    good = {0, 1, 2, 3, 44}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "one c1")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), head).collect()}
+    want = exact_scores([*texts, "one c1"], good)
+    assert len(got) == len(texts) + 1 and got[1].n_tokens == 1800
+    assert np.allclose([got[i].score for i in [*range(len(texts)), None]], want, rtol=1e-9, atol=1e-12)
