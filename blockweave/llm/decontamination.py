@@ -222,7 +222,10 @@ class Searcher:
 
     def _scan(self, ids: np.ndarray, owners: list[tuple[int, int, int]], out: list[list[dict]]) -> None:
         blocks = np.concatenate([self.table[ids[at : at + 1024]].reshape(-1, STRIDE, self.table.shape[1]).sum(1) for at in range(0, len(ids), 1024)])
-        begins = np.array([o[0] for o in owners])
+        begins, lengths = np.array([o[0] for o in owners]), np.array([o[2] for o in owners])
+        starts = np.arange(len(blocks)) * STRIDE
+        owner_of = np.searchsorted(begins, starts, "right") - 1
+        inside = starts < (begins + lengths)[owner_of]  # windows that start in a gap reach into the next text only
         found: dict[tuple[int, int], tuple[float, int, bool]] = {}
         window, have = blocks, 1
         for (n, passages), target in zip(self.by_scale, self.targets, strict=True):
@@ -233,7 +236,7 @@ class Searcher:
                 continue
             norms = np.sqrt(np.einsum("ij,ij->i", window, window))
             least = SHARE * self.space.norms[passages][None]
-            rows = np.flatnonzero(norms >= least.min())  # a shorter vector has no long projection
+            rows = np.flatnonzero((norms >= least.min()) & inside[: len(norms)])  # a shorter vector has no long projection
             for lo in range(0, len(rows), 1024):
                 at = rows[lo : lo + 1024]
                 along = window[at] @ target
@@ -242,14 +245,10 @@ class Searcher:
                 if not hit.any():
                     continue
                 hit &= along >= COSINE * norms[at, None]
-                # of neighbouring windows the best one: what is checked reaches beyond both ends
-                apart = (np.diff(at) > 1)[:, None]
-                hit[1:] &= (along[1:] >= along[:-1]) | apart
-                hit[:-1] &= (along[:-1] > along[1:]) | apart
+                # every hit is checked: a neighbour that projects further need not hold the passage
                 for w, p in zip(*np.nonzero(hit), strict=True):
                     start = int(at[w]) * STRIDE
-                    k = int(np.searchsorted(begins, start, "right")) - 1
-                    begin, owner, length = owners[k]
+                    begin, owner, length = owners[int(owner_of[at[w]])]
                     self._check(ids[begin : begin + length], int(passages[p]), start - begin, n * STRIDE, owner, found)
         for (owner, p), (ratio, start, copy) in sorted(found.items()):
             out[owner].append({"item_id": self.space.items[p], "start_word": start, "lcs": ratio, "copy": copy})

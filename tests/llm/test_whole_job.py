@@ -10,7 +10,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from blockweave.llm import lm_scoring
+from blockweave.llm import decontamination, lm_scoring
 
 
 def exact_scores(texts, good):
@@ -43,3 +43,17 @@ def test_lm_scores_use_every_word_and_pair(spark, head):
     want = exact_scores([*texts, "one c1"], good)
     assert len(got) == len(texts) + 1 and got[1].n_tokens == 1800
     assert np.allclose([got[i].score for i in [*range(len(texts)), None]], want, rtol=1e-9, atol=1e-12)
+
+
+def space_of(spark, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return decontamination.latent_space(decontamination.passages_of(bench))
+
+
+def test_decontamination_finds_passages_at_the_start_of_texts(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    items = [rng.choice(words, n).tolist() for n in (22, 23, 24, 52, 54, 56) * 50]
+    texts = [" ".join([*item, *rng.choice(words, 80)]) for item in items]
+    got = decontamination.Searcher(space_of(spark, map(" ".join, items))).matches(texts)
+    assert [i for i, g in enumerate(got) if i not in [m["item_id"] for m in g]] == []
