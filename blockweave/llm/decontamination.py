@@ -3,10 +3,9 @@
 1. Benchmark items are cut into passages of at most PASSAGE words; their TF-IDF matrix A (idf over the
    passages) is factored by a distributed randomised SVD: tasks hold rows of A and return sums
    of A'(AQ), the driver only orthonormalises terms x RANK numbers.
-2. Every window of a document is folded into the latent space. Windows come in three lengths, so
-   that a passage is compared with windows of about its own; they start every STRIDE words.
-   Windows whose cosine with a passage reaches COSINE, and whose projection on it reaches SHARE of
-   its length (a few shared words don't), are candidates.
+2. Every window of a document is folded into the latent space. Windows come in six lengths, so
+   that a passage is compared with windows that hold it whole; they start every STRIDE words.
+   Windows whose projection on a passage reaches SHARE of its length, well below what 3. asks for, are candidates.
 3. A candidate is checked on its words: by idf weight PARAPHRASE of the passage must be there, then the
    longest common subsequence of passage and surroundings counts. From COPY of the passage's words on it is a copy; from PARAPHRASE on it is one
    if the answer, the last quarter of the passage, is there too.
@@ -33,8 +32,8 @@ PASSAGE, BLOCK = 64, 4096
 RANK, OVERSAMPLE, ITERATIONS = 160, 10, 2
 STRIDE = 8
 #: Windows by length in strides, with the longest passage that each is meant for.
-SCALES = ((2, 18), (4, 36), (8, 10**9))
-COSINE, SHARE, COPY, PARAPHRASE, ANSWER = 0.6, 0.5, 0.65, 0.5, 0.8
+SCALES = ((1, 4), (2, 9), (3, 17), (4, 25), (6, 41), (9, 10**9))
+SHARE, COPY, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
 SEED = 11
 _EDGES = ".,;:!?\"'()[]{}«»„“”…*#$%&|-"
 
@@ -55,8 +54,8 @@ def passages_of(benchmark: DataFrame) -> DataFrame:
         for item, text in zip(cols["item_id"], cols["text"], strict=True):
             w = words_of(text)
             for k, at in enumerate(range(0, len(w), PASSAGE)):
-                if at and len(w) - at < PASSAGE // 4:  # a short rest is part of its predecessor's neighbourhood
-                    break
+                if at and len(w) - at < PASSAGE // 4:  # a short rest is searched with the words before it
+                    at = len(w) - PASSAGE
                 out["item_id"].append(item)
                 out["passage"].append(k)
                 out["words"].append(w[at : at + PASSAGE])
@@ -189,14 +188,18 @@ class Searcher:
         self.table = np.concatenate([np.zeros((1, space.vectors.shape[1]), np.float32), space.vectors])
         self.by_scale = [(n, np.flatnonzero(space.scale == i)) for i, (n, _) in enumerate(SCALES)]
         self.targets = [np.ascontiguousarray(space.coordinates[p].T) for _, p in self.by_scale]
-        self.passages = []
-        for words in space.words:
+        self.passages, self.repeats, self.least = [], [], []
+        self.sizes = np.array([len(words) for words in space.words])
+        self.inside = np.zeros((len(space.words), len(self.table)), bool)
+        for inside, words in zip(self.inside, space.words, strict=True):
             mine = [space.terms[w] + 1 for w in words]
             u, n = np.unique(mine, return_counts=True)
             weight = n * space.idf[u - 1]
-            inside = np.zeros(len(self.table), bool)
             inside[mine] = True
             self.passages.append((mine, inside, u, weight, PARAPHRASE * weight.sum()))
+            self.repeats.append(((n - 1) * space.idf[u - 1]).sum() + 1e-6)
+            self.least.append(PARAPHRASE * weight.sum())
+        self.repeats, self.least, self.idf = np.array(self.repeats), np.array(self.least), np.concatenate([[0.0], space.idf])
         self.mark = np.zeros(len(self.table), bool)
 
     def matches(self, texts: list[str | None]) -> list[list[dict]]:
@@ -228,10 +231,12 @@ class Searcher:
         inside = starts < (begins + lengths)[owner_of]  # windows that start in a gap reach into the next text only
         found: dict[tuple[int, int], tuple[float, int, bool]] = {}
         window, have = blocks, 1
+        windows = {1: blocks}
         for (n, passages), target in zip(self.by_scale, self.targets, strict=True):
-            while have < n:  # twice as long: the window and the one right behind it
-                window = window[:-have] + window[have:]
-                have *= 2
+            while have < n:  # the window and one right behind it
+                more = min(have, n - have)
+                window, have = window[:-more] + windows[more][have:], have + more
+                windows[have] = window
             if not len(passages):
                 continue
             norms = np.sqrt(np.einsum("ij,ij->i", window, window))
@@ -240,16 +245,22 @@ class Searcher:
             for lo in range(0, len(rows), 1024):
                 at = rows[lo : lo + 1024]
                 along = window[at] @ target
-                # by cosine, and with as much of the passage as a paraphrase has to have
+                # by projection only: other words around a passage lower the cosine
                 hit = along >= least
-                if not hit.any():
-                    continue
-                hit &= along >= COSINE * norms[at, None]
                 # every hit is checked: a neighbour that projects further need not hold the passage
-                for w, p in zip(*np.nonzero(hit), strict=True):
-                    start = int(at[w]) * STRIDE
-                    begin, owner, length = owners[int(owner_of[at[w]])]
-                    self._check(ids[begin : begin + length], int(passages[p]), start - begin, n * STRIDE, owner, found)
+                w, p = np.nonzero(hit)
+                for some in range(0, len(w), 4096):
+                    which, near = passages[p[some : some + 4096]], at[w[some : some + 4096]]
+                    k = owner_of[near]
+                    low = np.maximum(begins[k], starts[near] - self.sizes[which])
+                    high = np.minimum(begins[k] + lengths[k], starts[near] + n * STRIDE + self.sizes[which])
+                    places = low[:, None] + np.arange((high - low).max())
+                    there = self.inside[which[:, None], ids[np.minimum(places, len(ids) - 1)]] & (places < high[:, None])
+                    # bounds of what _check asks for
+                    weight = (there * self.idf[ids[np.minimum(places, len(ids) - 1)]]).sum(1) + self.repeats[which]
+                    for i in np.flatnonzero((there.sum(1) >= PARAPHRASE * self.sizes[which]) & (weight >= self.least[which])):
+                        begin, owner, length = owners[int(k[i])]
+                        self._check(ids[begin : begin + length], int(which[i]), int(starts[near[i]]) - begin, n * STRIDE, owner, found)
         for (owner, p), (ratio, start, copy) in sorted(found.items()):
             out[owner].append({"item_id": self.space.items[p], "start_word": start, "lcs": ratio, "copy": copy})
 

@@ -57,3 +57,16 @@ def test_decontamination_finds_passages_at_the_start_of_texts(spark):
     texts = [" ".join([*item, *rng.choice(words, 80)]) for item in items]
     got = decontamination.Searcher(space_of(spark, map(" ".join, items))).matches(texts)
     assert [i for i, g in enumerate(got) if i not in [m["item_id"] for m in g]] == []
+
+
+def test_decontamination_gate_is_wider_than_the_rules(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    items = [rng.choice(words, n, replace=False).tolist() for n in (5, 9, 20, 37) * 25] + [rng.choice(words, 64 + 8, replace=False).tolist()]
+    texts = []
+    for item in items[:-1]:
+        keep = set(rng.choice(len(item), int(np.ceil(0.65 * len(item))), replace=False).tolist()) if len(item) > 5 else set(range(5))
+        texts.append(" ".join([*rng.choice(words, 21), *[w if i in keep else "other" for i, w in enumerate(item)], *rng.choice(words, 70)]))
+    texts.append(" ".join(["x"] * 21 + items[-1][-44:] + ["y"] * 30))  # the end of an item, of which 8 words are beyond a passage
+    got = decontamination.Searcher(space_of(spark, map(" ".join, items))).matches(texts)
+    assert [i for i, g in enumerate(got) if i not in [m["item_id"] for m in g]] == []
