@@ -43,6 +43,11 @@ SIGNS: dict[str, str] = {
 }
 SEPARATORS = " .-_*~,/"
 _WORD = re.compile(r"[^\W\d_]+")
+LONGEST = 40  # letters of a word
+#: Signs of several bytes; letters one by one with repeated separators.
+_WIDE_SIGN = re.compile("|".join(c for c in SIGNS if ord(c) >= 128).encode())
+_ONE = rb"[a-z\x80-\xff0-9@$!|+(<#]"
+_WIDE_SPACED = re.compile(rb"(?<![a-z\x80-\xff])" + _ONE + rb"(?:([ .\-_*~,/])\1+" + _ONE + rb"){2,}(?![a-z\x80-\xff])")
 
 # Classes of bytes: 0 other, 1 letter (all of >= 0x80 too), 2 sign or digit that may stand for a letter, 3 separator.
 _CLASS = np.zeros(256, np.uint8)
@@ -115,10 +120,12 @@ def disguised_spans(raw: bytes) -> list[tuple[int, int]]:
     x, y, z = b[:-2], b[1:-1], b[2:]
     run = a2z[:-2] & (x == y) & (y == z)
     letter = k == 1
-    # a sign before a letter; signs that only follow a word are punctuation
+    # a sign before or after a letter; the word without the signs that follow it is read in the plain text
     sign = np.zeros(len(b), bool)
     sign[:-1] = (k[:-1] == 2) & letter[1:]
-    hits = [np.flatnonzero(run), np.flatnonzero(sign)]
+    sign[1:] |= (k[1:] == 2) & letter[:-1]
+    hits = [np.flatnonzero(run), np.flatnonzero(sign), [m.start() for m in _WIDE_SIGN.finditer(raw)]]
+    wide = [m.span() for m in _WIDE_SPACED.finditer(raw)]
     spaced: list[tuple[int, int]] = []
     if len(b) >= 5:
         sep = _SEPARATOR[b]
@@ -136,7 +143,7 @@ def disguised_spans(raw: bytes) -> list[tuple[int, int]]:
             if end - at >= 5:
                 spaced.append((int(at), end))
     spans = list(spaced)
-    for at in np.unique(np.concatenate(hits)):
+    for at in np.unique(np.concatenate(hits).astype(int)):
         a = b_ = int(at)
         if spans and spans[-1][0] <= a < spans[-1][1]:
             continue
@@ -144,16 +151,19 @@ def disguised_spans(raw: bytes) -> list[tuple[int, int]]:
             a -= 1
         while b_ < len(b) and k[b_] in (1, 2):
             b_ += 1
-        tail = b_
-        while tail > a and k[tail - 1] == 2:
-            tail -= 1
-        if letter[a:tail].any():
-            spans.append((a, b_ if b_ - tail == 1 else tail))
-    return sorted(set(spans))
+        if letter[a:b_].any():
+            tail = b_
+            while k[tail - 1] == 2:
+                tail -= 1
+            # each number of the signs at the end may belong to the word
+            spans += [(a, e) for e in (*range(tail, min(b_, tail + LONGEST)), b_) if e > tail or (k[a:tail] == 2).any() or run[a:tail].any() or _WIDE_SIGN.search(raw, a, tail)]
+    return sorted({*spans, *wide})
 
 
 def lattice(span: str) -> list[list[str]]:
     """Readings of each place of a span: letters, or "" where a character may fall away."""
+    if _WIDE_SPACED.fullmatch(span.encode("utf-8", "surrogatepass")):
+        span = re.sub(r"([ .\-_*~,/])\1+", r"\1", span)
     spaced = bool(re.fullmatch(r"(?:.[ .\-_*~,/])+.", span, re.S))
     places: list[list[str]] = []
     for m in re.finditer(r"([^\W\d_*#])\1*|\*+|#+|.", span, re.S):
@@ -161,13 +171,13 @@ def lattice(span: str) -> list[list[str]]:
         if spaced and m.end() - m.start() == 1 and m.start() % 2 == 1:
             places.append([""])
         elif c[0] in "*#":
-            # one or two hidden letters; a longer row of such signs is a rule, not a mask
-            places += [list(SIGNS[c[0]])] * len(c) if len(c) <= 2 else [[""]]
+            # hidden letters; a row longer than any word is a rule, not a mask
+            places += [list(SIGNS[c[0]])] * len(c) if len(c) <= LONGEST else [[""]]
         elif len(c) >= 3:
             places.append([c[0], c[:2]])
         elif len(c) == 1 and c in SIGNS:
-            # after the last letter, and as an opening mark, a sign may be noise
-            places.append([*SIGNS[c], *([""] if m.end() == len(span) or m.start() == 0 and not c.isdigit() else [])])
+            # as an opening mark a sign may be noise; so may one after the last letter, which the plain text shows too
+            places.append([*SIGNS[c], *([""] if m.start() == 0 and not c.isdigit() else [])])
         else:
             places.append([c])
     return places
@@ -234,7 +244,7 @@ class _Features:
                 words = {w for w in _WORD.findall(low)}
                 for w in restore(low):
                     words.update(_WORD.findall(w))
-                found = {"=" + w for w in words if len(w) <= 40}
+                found = {"=" + w for w in words if len(w) <= LONGEST}
                 for n in PREFIX_LENGTHS:
                     found |= {"^" + w[:n] for w in words if len(w) > n}
                 out.append(sorted(found))

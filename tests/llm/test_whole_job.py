@@ -10,7 +10,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from blockweave.llm import decontamination, lm_scoring
+from blockweave.llm import decontamination, lm_scoring, toxicity
 
 
 def exact_scores(texts, good):
@@ -70,3 +70,16 @@ def test_decontamination_gate_is_wider_than_the_rules(spark):
     texts.append(" ".join(["x"] * 21 + items[-1][-44:] + ["y"] * 30))  # the end of an item, of which 8 words are beyond a passage
     got = decontamination.Searcher(space_of(spark, map(" ".join, items))).matches(texts)
     assert [i for i, g in enumerate(got) if i not in [m["item_id"] for m in g]] == []
+
+
+def test_disguised_spans_with_signs_at_the_end():
+    for text in ("a$$", "dumba55", "di3", "suck5", "f***", "sh**", "b€tch", "b€t§h", "i  d  i  o  t"):
+        raw = f"so {text} then".encode()
+        assert text in [raw[a:b].decode() for a, b in toxicity.disguised_spans(raw)]
+    model = np.full((toxicity.SYMBOLS,) * 3, -9.0)
+    for word in ("ass", "die", "fuck", "betch", "idiot"):
+        s = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            model[a, b, c] = -1.0
+    for text, word in (("a$$", "ass"), ("di3", "die"), ("f***", "fuck"), ("b€tch", "betch"), ("i  d  i  o  t", "idiot"), ("a$$!", "ass"), ("id1ot!!", "idiot")):
+        assert word in toxicity.Restorer(model)(f"so {text} then")
