@@ -6,13 +6,15 @@
    nothing, each run for one or two letters, separators may fall away. Viterbi decoding under
    the character model restores them. Plain words have one path only and are left as they are.
 3. A lexicon is learned from a bounded sample of labelled rows: words and word beginnings with
-   their rate of toxic rows, restored texts included. From candidates of high rate a greedy cover of the toxic rows is
-   taken, so that chance words of copied toxic rows don't enter.
-4. score = 1 - product over found entries of (1 - rate), shrunk towards the base rate.
+   their rate of toxic rows, restored texts included. Copies count once, and a feature enters only
+   if its rate is far above what chance gives any of the features that were looked at.
+4. The plain text and the restored one are scored whole: 1 - product over the entries of its
+   words of (1 - the rate that is sure), shrunk towards the base rate.
 
 Cases: null and empty texts get the base score of a text without entries; without labelled rows
-the lexicon is empty; rows labelled twice count once with their larger label; ties between candidates go to the
-longer, then alphabetically first; repeated rows give repeated results.
+the lexicon is empty, as it is for an empty table; rows labelled twice count once with their larger label; ties
+between readings go to the one listed first; repeated rows give repeated results; very long texts
+are read whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import id_remainder, map_slices
+from blockweave.llm.near_duplicates import Shingler
 
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon is fitted on, at most (the smallest id hashes); a documented bound.
 MAX_LABELLED = 12_000
-MAX_CANDIDATES = 4_096
 MIN_TOXIC, MIN_RATE = 3, 0.8
+#: Features that may be expected to enter by chance.
+CHANCE = 0.01
+#: Minwise hashes by which near copies are told.
+KEYS = 8
 PREFIX_LENGTHS = (4, 5, 6)
 
 # Letters that a sign or digit may stand for; "" means that it may be noise.
@@ -142,22 +149,34 @@ def disguised_spans(raw: bytes) -> list[tuple[int, int]]:
                 end -= 2
             if end - at >= 5:
                 spaced.append((int(at), end))
-    spans = list(spaced)
-    for at in np.unique(np.concatenate(hits).astype(int)):
-        a = b_ = int(at)
-        if spans and spans[-1][0] <= a < spans[-1][1]:
-            continue
-        while a > 0 and k[a - 1] in (1, 2):
-            a -= 1
-        while b_ < len(b) and k[b_] in (1, 2):
-            b_ += 1
-        if letter[a:b_].any():
-            tail = b_
-            while k[tail - 1] == 2:
-                tail -= 1
-            # each number of the signs at the end may belong to the word
-            spans += [(a, e) for e in (*range(tail, min(b_, tail + LONGEST)), b_) if e > tail or (k[a:tail] == 2).any() or run[a:tail].any() or _WIDE_SIGN.search(raw, a, tail)]
-    return sorted({*spans, *wide})
+    at = np.unique(np.concatenate(hits).astype(np.int64))
+    for lo, hi in spaced:
+        at = at[(at < lo) | (at >= hi)]
+    if not len(at):
+        return sorted({*spaced, *wide})
+    # the runs of letters and signs around the hits, and in them the end of the last letter
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (k == 1) | (k == 2), [0]]).astype(np.int8)))
+    own = np.unique(np.searchsorted(edge, at, "right") - 1)
+    first, last = edge[own], edge[own + 1]
+    letters = np.flatnonzero(letter)
+    tail = np.searchsorted(letters, last)
+    some = np.flatnonzero(tail > np.searchsorted(letters, first))
+    first, last, tail = first[some], last[some], letters[tail[some] - 1] + 1
+    odd = np.zeros(len(b) + 1, np.int64)  # signs among the letters, three of a letter, wide signs
+    odd[1:][k == 2] = 1
+    odd[1:-2][run] += 1
+    odd[[m.start() + 1 for m in _WIDE_SIGN.finditer(raw)]] += 1
+    odd = np.cumsum(odd)
+    inside = odd[tail] > odd[first]
+    spans = [*spaced, *wide]
+    for lo, mid, hi, open_ in zip(first.tolist(), tail.tolist(), last.tolist(), inside.tolist(), strict=True):
+        # each number of the signs at the end may belong to the word
+        if open_:
+            spans.append((lo, mid))
+        if hi > mid:
+            spans += [(lo, e) for e in range(mid + 1, min(hi, mid + LONGEST))]
+            spans.append((lo, hi))
+    return sorted(set(spans))
 
 
 def lattice(span: str) -> list[list[str]]:
@@ -183,72 +202,172 @@ def lattice(span: str) -> list[list[str]]:
     return places
 
 
+@lru_cache(10_000)
+def _symbols(text: str) -> tuple[int, ...]:
+    return tuple(_SYMBOL[list(text.encode("utf-8", "surrogatepass"))].tolist())
+
+
+def _viterbi(model: np.ndarray, before: tuple[int, int], places: list[list[str]], after: tuple[int, ...]) -> list[str]:
+    """The likeliest reading of each place between fixed symbols; states are the last two symbols, as a table."""
+    least = np.full((SYMBOLS, SYMBOLS), -np.inf)
+    scores, cells = least.copy(), np.arange(SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
+    scores[before] = 0.0
+    steps = []
+
+    def append(table: np.ndarray, origin: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        longer = table + model[:, :, c]
+        at = longer.argmax(0)
+        out, back = least.copy(), np.zeros_like(origin)
+        out[:, c], back[:, c] = longer[at, cells[0]], origin[at, cells[0]]
+        return out, back
+
+    for readings in places:
+        best, origin, which = least.copy(), cells.copy(), np.zeros_like(cells)
+        coded = [_symbols(r) for r in readings]
+        single = [r for r, c in enumerate(coded) if len(c) == 1]
+        if len(single) > 4:  # hidden letters: all at once
+            letters = np.array([coded[r][0] for r in single])
+            longer = scores[:, :, None] + model[:, :, letters]
+            at = longer.argmax(0)
+            best[:, letters] = np.take_along_axis(longer, at[None], 0)[0]
+            origin[:, letters] = at * SYMBOLS + cells[0][:, None]
+            which[:, letters] = single
+        for r, code in enumerate(coded):
+            if len(single) > 4 and len(code) == 1:
+                continue
+            table, back = scores, cells
+            for c in code:
+                table, back = append(table, back, c)
+            better = table > best
+            best, origin, which = np.where(better, table, best), np.where(better, back, origin), np.where(better, r, which)
+        scores = best
+        steps.append((origin, which))
+    table, back = scores, cells
+    for c in after:
+        table, back = append(table, back, c)
+    state = int(back.ravel()[table.argmax()])
+    chosen = []
+    for (origin, which), readings in zip(reversed(steps), reversed(places), strict=True):
+        chosen.append(readings[which.ravel()[state]])
+        state = int(origin.ravel()[state])
+    return chosen[::-1]
+
+
+class Decoder:
+    """Likeliest readings under a model of three characters.
+
+    Places with one reading are fixed. Two fixed symbols part what stands before them from what comes
+    after, so each stretch of open places is decoded with the two symbols on either side, which
+    gives the reading of the whole span; stretches are remembered.
+    """
+
+    def __init__(self, model: np.ndarray):
+        self.model, self.seen = model, {}
+
+    def __call__(self, span: str) -> str:
+        places = lattice(span)
+        out: list[str] = []
+        last = (0, 0)
+        at = 0
+        while at < len(places):
+            if len(places[at]) == 1:
+                out.append(places[at][0])
+                last = (*last, *_symbols(places[at][0]))[-2:]
+                at += 1
+                continue
+            end, after = at + 1, ()  # up to two fixed symbols, or the end of the word
+            k = end
+            while k < len(places) and len(after) < 2:
+                if len(places[k]) > 1:
+                    end, after = k + 1, ()
+                else:
+                    after = after + _symbols(places[k][0])
+                k += 1
+            after = after[:2] if len(after) >= 2 else (*after, 0)
+            key = (last, tuple(map(tuple, places[at:end])), after)
+            if (got := self.seen.get(key)) is None:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                got = self.seen[key] = _viterbi(self.model, last, places[at:end], after)
+            out += got
+            for r in got:
+                last = (*last, *_symbols(r))[-2:]
+            at = end
+        return "".join(out)
+
+
 def decode(span: str, model: np.ndarray) -> str:
-    """The likeliest reading of a span: Viterbi over states (last two symbols)."""
-
-    def symbols(text: str) -> list[int]:
-        return [int(_SYMBOL[x]) for x in text.encode("utf-8", "surrogatepass")]
-
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in lattice(span):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (score, text) in best.items():
-            for r in readings:
-                a, b, s = p, q, score
-                for c in symbols(r):
-                    s += model[a, b, c]
-                    a, b = b, c
-                if (a, b) not in step or (s, text + r) > step[a, b]:
-                    step[a, b] = (s, text + r)
-        best = step
-    return max((s + model[p, q, 0], t) for (p, q), (s, t) in best.items())[1]
+    """The likeliest reading of a span."""
+    return Decoder(model)(span)
 
 
 class Restorer:
     """Restored readings of the disguised spans of texts, remembered by span."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.seen = model, {}
+        self.decode, self.seen = Decoder(model), {}
 
-    def __call__(self, low: str) -> list[str]:
-        raw = low.encode("utf-8", "surrogatepass")
+    def _read(self, raw: bytes) -> list[tuple[int, int, str]]:
         out = []
         for a, b in disguised_spans(raw):
             piece = raw[a:b]
             if (got := self.seen.get(piece)) is None:
-                if len(self.seen) > 200_000:
+                if len(self.seen) > 100_000:
                     self.seen.clear()
-                text = piece.decode("utf-8", "replace")
-                # pieces between signs are readings too, beside the decoded whole
-                got = self.seen[piece] = decode(text, self.model)
-            out.append(got)
+                got = self.seen[piece] = self.decode(piece.decode("utf-8", "replace"))
+            out.append((a, b, got))
         return out
 
+    def __call__(self, low: str) -> list[str]:
+        return [r for _, _, r in self._read(low.encode("utf-8", "surrogatepass"))]
+
+    def text(self, low: str) -> tuple[str, list[str]]:
+        """The text with the readings in place of its disguised spans, and these readings."""
+        raw = low.encode("utf-8", "surrogatepass")
+        got = self._read(raw)
+        if not got:
+            return low, []
+        parts, at, k = [], 0, 0
+        while k < len(got):
+            a, end = got[k][0], got[k][1]
+            readings = []
+            while k < len(got) and got[k][0] < end:  # several readings of one place
+                end = max(end, got[k][1])
+                readings.append(got[k][2])
+                k += 1
+            parts += [raw[at:a].decode("utf-8", "replace"), " ".join(readings)]
+            at = end
+        parts.append(raw[at:].decode("utf-8", "replace"))
+        return "".join(parts), [r for _, _, r in got]
+
 
 # ---- 3. lexicon
 
 
+def features_of(word: str) -> list[str]:
+    """=word and ^beginnings of it; words that are longer than LONGEST have beginnings only."""
+    return [*(["=" + word] if len(word) <= LONGEST else []), *("^" + word[:n] for n in PREFIX_LENGTHS if len(word) > n)]
+
+
 class _Features:
-    """Distinct features of restored texts: =word and ^beginning."""
+    """Distinct features of the plain and the restored text, and minwise hashes of its runs of five words."""
 
     def __init__(self, model):
         self.model = model
 
     def start(self):
-        restore = Restorer(self.model)
+        restore, shingle = Restorer(self.model), Shingler(5)
+        seeds = np.random.default_rng(KEYS).integers(0, 2**64, KEYS, np.uint64)
 
         def run(cols):
-            out = []
+            features, keys = [], []
             for t in cols["text"]:
                 low = (t or "").lower()
-                words = {w for w in _WORD.findall(low)}
-                for w in restore(low):
-                    words.update(_WORD.findall(w))
-                found = {"=" + w for w in words if len(w) <= LONGEST}
-                for n in PREFIX_LENGTHS:
-                    found |= {"^" + w[:n] for w in words if len(w) > n}
-                out.append(sorted(found))
-            return {"doc_id": cols["doc_id"], "toxic": cols["toxic"], "features": out}
+                words = {w for version in {low, restore.text(low)[0]} for w in _WORD.findall(version)}
+                features.append(sorted({f for w in words for f in features_of(w)}))
+                runs = shingle(t)
+                keys.append([int(((runs ^ s) * s).min().view(np.int64)) for s in seeds | np.uint64(1)] if len(runs) else [0] * KEYS)
+            return {"toxic": cols["toxic"], "features": features, "keys": keys}
 
         return run
 
@@ -260,38 +379,46 @@ class Lexicon:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled: int = MAX_LABELLED) -> Lexicon:
-    """Fit on at most ``max_labelled`` labelled rows that may be learned from."""
+    """Fit on at most ``max_labelled`` labelled rows that may be learned from.
+
+    A feature counts once for each class of near copies, as toxic if all its rows there are. It enters
+    if its rate of toxic classes is MIN_RATE at least and so far above the base rate that
+    none would be expected to by chance (log likelihood ratio against the number of features looked at).
+    """
     usable = labels.where(F.col("toxic").isNotNull() & (id_remainder() != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # bounded: also small enough to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    arrow = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.string()))])
-    rows = map_slices(sample.select("doc_id", "toxic", "text"), _Features(model), "doc_id long, toxic int, features array<string>", arrow).persist()
+    arrow = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.string())), ("keys", pa.list_(pa.int64()))])
+    rows = map_slices(sample.select("toxic", "text"), _Features(model), "toxic int, features array<string>, keys array<bigint>", arrow).persist()
     try:
-        n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        classed = rows.join(_classes(rows), "keys")
+        n, pos = classed.groupBy("class").agg(F.min("toxic").alias("toxic")).agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         base = (pos + 0.5) / (n + 10.0)
         if not pos:
             return Lexicon({}, base)
-        counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-        top = counts.where((F.col("t") >= MIN_TOXIC) & (F.col("t") >= MIN_RATE * F.col("n"))).orderBy(F.desc("t"), F.length("f").desc(), "f").limit(MAX_CANDIDATES).collect()
-        rate = {r.f: (r.t + 2 * base) / (r.n + 2) for r in top}
-        order = {r.f: i for i, r in enumerate(top)}
-        wanted = F.broadcast(docs.sparkSession.createDataFrame([(f,) for f in rate], "f string"))
-        having = rows.where("toxic = 1").select("doc_id", F.explode("features").alias("f")).join(wanted, "f").groupBy("f").agg(F.collect_set("doc_id").alias("ids")).collect()
+        by_class = classed.select("class", "toxic", F.explode("features").alias("f")).groupBy("f", "class").agg(F.min("toxic").alias("toxic"))
+        counts = by_class.groupBy("f").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).persist()
+        looked_at = counts.count()
+        rate = F.col("t") / F.col("n")
+        rest = F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
+        sure = counts.where((F.col("t") >= MIN_TOXIC) & (rate >= MIN_RATE)).where(F.col("t") * F.log(rate / base) + rest >= math.log(looked_at / CHANCE)).collect()  # words of the bounded sample
+        counts.unpersist()
     finally:
         rows.unpersist()
-    left = {r.f: set(r.ids) for r in having}
-    entries: dict[str, float] = {}
-    while left:
-        f = max(left, key=lambda x: (len(left[x]) * rate[x], len(x), -order[x]))
-        ids = left.pop(f)
-        if len(ids) < MIN_TOXIC:
-            break
-        entries[f] = rate[f]
-        for other in list(left):
-            left[other] -= ids
-            if not left[other]:
-                del left[other]
-    return Lexicon(entries, base)
+    return Lexicon({r.f: _least_rate(r.t, r.n) for r in sorted(sure)}, base)
+
+
+def _least_rate(t: int, n: int, z: float = 1.96) -> float:
+    """Lower end of the interval of a rate (Wilson)."""
+    mid, spread = t / n + z * z / (2 * n), z * math.sqrt(t / n * (1 - t / n) / n + z * z / (4 * n * n))
+    return (mid - spread) / (1 + z * z / n)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(keys, class): of its minwise hashes each text takes the one that most texts share, so near copies meet."""
+    slots = rows.select("keys", F.posexplode("keys").alias("slot", "key"))
+    shared = slots.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"))
+    return slots.distinct().join(shared, ["slot", "key"]).groupBy("keys").agg(F.max_by("key", F.struct("n", "slot")).alias("class"))
 
 
 # ---- 4. scores
@@ -303,34 +430,27 @@ class _Score:
 
     def start(self):
         restore, entries = Restorer(self.model), self.lexicon.entries
-        words = {f[1:]: r for f, r in entries.items() if f[0] == "="}
-        starts = {f[1:]: r for f, r in entries.items() if f[0] == "^"}
-        plain = [*words, *starts]
-        # a text without an entry: the share of toxic rows that the cover leaves, far below the threshold
+        least = min(PREFIX_LENGTHS)
+        begins = {f[1 : least + 1] for f in entries}
+        # a text without an entry: the share of toxic rows that the entries leave, far below the threshold
         floor = min(0.3, self.lexicon.base / 2)
 
         def found(text: str) -> set[str]:
+            """The entry of the highest rate of each word that has any."""
             out = set()
-            for e in plain:
-                at = text.find(e)
-                while at >= 0:
-                    if at == 0 or not text[at - 1].isalpha():
-                        end = at + len(e)
-                        if e in starts and end < len(text) and text[end].isalpha():
-                            out.add("^" + e)
-                        if e in words and (end == len(text) or not text[end].isalpha()):
-                            out.add("=" + e)
-                        if ("^" + e in out or e not in starts) and ("=" + e in out or e not in words):
-                            break
-                    at = text.find(e, at + 1)
+            for w in {*_WORD.findall(text)}:
+                if w[:least] in begins and (own := [f for f in features_of(w) if f in entries]):
+                    out.add(max(own, key=lambda f: (entries[f], f)))
             return out
 
         def one(text):
             low = (text or "").lower()
-            restored = restore(low)
-            hits = found(low) | (found(" " + " ".join(restored) + " ") if restored else set())
+            whole, restored = restore.text(low)
+            hits = found(low)
+            if restored:
+                hits |= found(whole)
             miss = 1 - floor
-            for f in hits:
+            for f in sorted(hits):
                 miss *= 1 - entries[f]
             return 1 - miss, " ".join(restored), sorted(f[1:] for f in hits)
 
@@ -378,6 +498,3 @@ class _KeepRow(_Score):
 
         return run
 
-
-def log_loss(probability: float) -> float:
-    return -math.log(max(probability, 1e-12))

@@ -1,5 +1,6 @@
 """Tests of findings in which an operator did less than its whole job."""
 
+import itertools
 import os
 import sys
 from collections import Counter
@@ -83,3 +84,64 @@ def test_disguised_spans_with_signs_at_the_end():
             model[a, b, c] = -1.0
     for text, word in (("a$$", "ass"), ("di3", "die"), ("f***", "fuck"), ("b€tch", "betch"), ("i  d  i  o  t", "idiot"), ("a$$!", "ass"), ("id1ot!!", "idiot")):
         assert word in toxicity.Restorer(model)(f"so {text} then")
+
+
+def _flat_model(seed):
+    rng = np.random.default_rng(seed)
+    return np.log(rng.dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS)))
+
+
+def test_decoding_equals_exhaustive_decoding():
+    rng, model = np.random.default_rng(9), _flat_model(9)
+
+    def loss(text):
+        a = b = 0
+        total = 0.0
+        for c in [*toxicity._symbols(text), 0]:
+            total += model[a, b, c]
+            a, b = b, c
+        return total
+
+    seen = 0
+    while seen < 200:
+        span = "".join(rng.choice(list("abcdeéo10|!6*(")) for _ in range(rng.integers(2, 9)))
+        readings = toxicity.lattice(span)
+        if np.prod([len(r) for r in readings]) > 3000:
+            continue
+        seen += 1
+        best = max(loss("".join(x)) for x in itertools.product(*readings))
+        assert abs(loss(toxicity.decode(span, model)) - best) < 1e-9
+
+
+def test_toxic_lexicon_counts_copies_once(spark):
+    rng = np.random.default_rng(10)
+    plain = lambda: ["".join(rng.choice(["th", "er", "an", "on", "re"], 4)) for _ in range(40)]
+    rows, marks = [], []
+    for i in range(300):
+        words = plain()
+        if i % 3 == 0:
+            words.insert(int(rng.integers(40)), "moron")
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 3 == 0)))
+    copied = plain()
+    for i in range(300, 400):  # near copies of one toxic text without a toxic word
+        words = list(copied)
+        words[int(rng.integers(40))] = plain()[0]
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn_lexicon(df, spark.createDataFrame(marks, "doc_id long, toxic int"), _flat_model(1))
+    assert {f for f in lexicon.entries} == {"=moron", "^moro"}
+
+
+def test_toxicity_time_grows_with_the_text():
+    import time
+
+    restore = toxicity.Restorer(_flat_model(2))
+    took = []
+    for n in (4_000, 16_000):
+        text = "so w0rd1 *** b!g e1e1e1 i d i o t " * n
+        began = time.time()
+        restore.text(text)
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0]
