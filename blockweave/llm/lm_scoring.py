@@ -2,236 +2,205 @@
 
 Both models are interpolated bigram models over all words of all documents. The background model
 counts all documents, the target model those marked as good. A document's score is the mean over its
-tokens of log P_target - log P_background (positive: closer to the target).
-
-Every distinct word and every distinct pair of words has its own exact count; both grow with the
-corpus and stay in Spark. A document's distinct pairs are rows, dealt by the first word, so that
-sums over a window give the counts of the pair and of its first word; rows whose second word isn't
-frequent are dealt once more by that word. HEAD frequent words and pairs are counted in tasks
-instead, and rows of a frequent first word are dealt by both words. Which words and pairs
-are in the head changes the work, not the result.
-
-Cases: null texts and texts without a word have no tokens and score 0; rows labelled twice count
-by their larger mark; without target rows both models are equal and all scores are 0; repeated rows
-count repeatedly.
+tokens of log P_target - log P_background (positive: closer to the target). Target documents are
+scored by the model that counts them too.
+
+Every distinct word and every distinct pair of neighbours has its own count, known by a 64-bit hash;
+the tables of counts grow with the corpus and stay in Spark:
+
+1. Texts are dealt into chunks of about CHUNK_BYTES. Each chunk sorts its distinct words and pairs by hash
+   and sends their counts, packed, to the buckets of the hash range.
+2. A bucket adds up what all chunks have sent, and sends each chunk the totals of its own entries.
+3. Each chunk scores its texts with these totals. Its texts come from the same shuffle as in 1.
+
+A frequent word is one entry a chunk, so nothing is hot. Marks of target documents are dealt to the chunks
+as ids; no text is joined.
+
+Cases: null texts and texts without a word have no tokens and score 0; what has punctuation only is no word;
+rows labelled twice count by their larger mark; without target rows both models are equal and all scores are 0;
+repeated rows count repeatedly, and those of one id are all marked or none; an empty table gives
+no rows; very long texts are read whole and make their chunk as long.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from math import log
+import zlib
+from collections import defaultdict
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import map_slices
 
-#: Frequent words, and pairs, that tasks know by heart; any number gives the same scores.
-HEAD = 100_000
+#: Bytes of text in a chunk, and of text behind a bucket: what one task holds at a time.
+CHUNK_BYTES = 16_000_000
 #: Weights of the bigram and the unigram estimate; what is left is uniform.
 BIGRAM, UNIGRAM = 0.6, 0.35
-_FLUSH = 300_000
-#: Marks in place of words, which hold no white space: before the first word, after the last, and of the row of a document.
-_BEGIN, _END, _DOCUMENT = "\n", "\n\n", "\n\n\n"
 _EDGES = ".,;:!?\"'()[]"
+_FLUSH = 300_000
+
+_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+_COUNTS = "bucket long, chunk long, keys binary, n binary, t binary"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case between white space, stripped of punctuation at both ends."""
-    return [w.strip(_EDGES) for w in text.lower().split()] if text else []
+    """Words in lower case between white space, stripped of punctuation at both ends; what is left empty is none."""
+    return [w for w in (r.strip(_EDGES) for r in text.lower().split()) if w] if text else []
 
 
-# ---- 1. words, and pairs that may be frequent
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-class _Words:
-    def start(self):
-        return _WordCounts()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, which compress well as most are small."""
+    return zlib.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-class _WordCounts:
-    """Exact counts of words; of pairs, those that are left when rare ones are dropped now and then (only to choose the head)."""
 
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+class _Vocabulary:
+    """Hashes of the distinct words of a task."""
+
+    def start(self):
+        return _DistinctWords()
+
+
+class _DistinctWords:
     def __init__(self):
-        self.words, self.pairs = Counter(), Counter()
+        self.words: set[str] = set()
 
     def __call__(self, cols):
         for t in cols["text"]:
-            if w := words_of(t):
-                self.words.update(w)
-                self.pairs.update(zip([_BEGIN, *w[:-1]], w, strict=True))
-        if len(self.pairs) > _FLUSH:
-            least = 1
-            while len(self.pairs) > _FLUSH // 2:
-                self.pairs = Counter({k: n for k, n in self.pairs.items() if n > least})
-                least += 1
+            self.words.update(words_of(t))
         return self._rows() if len(self.words) > _FLUSH else None
 
     def _rows(self):
-        out = {"first": [None] * len(self.words), "word": list(self.words), "n": list(self.words.values())}
-        self.words.clear()
+        out = {"word": np.array([word_hash(w) for w in self.words], np.uint64).view(np.int64).tolist()}
+        self.words = set()
         return out
 
     def finish(self):
         if self.words:
             yield self._rows()
-        top = [(k, n) for k, n in self.pairs.most_common(HEAD) if n > 2]
-        if top:
-            yield {"first": [k[0] for k, _ in top], "word": [k[1] for k, _ in top], "n": [n for _, n in top]}
-
-
-def frequent(docs: DataFrame, head: int = HEAD) -> tuple[set[str], set[tuple[str, str]], int, int]:
-    """Frequent words, frequent pairs (of such words), the number of distinct words and that of tokens."""
-    arrow = pa.schema([("first", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-    counted = map_slices(docs.where(F.col("text").isNotNull()).select("text"), _Words(), "first string, word string, n long", arrow).groupBy("first", "word").agg(F.sum("n").alias("n")).persist()
-    try:
-        single = counted.where(F.col("first").isNull())
-        size, tokens = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        top = [c.orderBy(F.desc("n"), "first", "word").limit(head).collect() for c in (single, counted.where(F.col("first").isNotNull()))]
-    finally:
-        counted.unpersist()
-    pairs = {(r["first"], r.word) for r in top[1]}
-    words = {r.word for r in top[0]} | {w for p in pairs for w in p} - {_BEGIN}
-    return words, pairs, size, tokens
-
 
-# ---- 2. exact counts of the head
 
-
-class _Head:
-    def __init__(self, words, pairs):
-        self.words, self.pairs = words, pairs
-
-    def start(self):
-        return _HeadCounts(self.words, self.pairs)
-
-
-class _HeadCounts:
-    def __init__(self, words, pairs):
-        self.known = words, pairs
-        self.all, self.target, self.tokens = (Counter(), Counter()), (Counter(), Counter()), 0
-
-    def __call__(self, cols):
-        words, pairs = self.known
-        for t, good in zip(cols["text"], cols["good"], strict=True):
-            if w := words_of(t):
-                got = [x for x in w if x in words], [x for x in zip([_BEGIN, *w[:-1]], w, strict=True) if x in pairs]
-                for into in (self.all, self.target) if good else (self.all,):
-                    for counter, found in zip(into, got, strict=True):
-                        counter.update(found)
-                self.tokens += len(w) * bool(good)
-        return None
-
-    def finish(self):
-        yield {"first": [None], "word": [None], "n": [0], "target": [self.tokens]}
-        for k in (0, 1):
-            keys = list(self.all[k])
-            yield {"first": [x[0] if k else None for x in keys], "word": [x[1] if k else x for x in keys], "n": [self.all[k][x] for x in keys], "target": [self.target[k][x] for x in keys]}
-
-
-def head_counts(marked: DataFrame, words: set[str], pairs: set[tuple[str, str]]) -> tuple[dict, dict, int]:
-    """(n, target) of frequent words and pairs, and the number of target tokens."""
-    arrow = pa.schema([("first", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("target", pa.int64())])
-    rows = map_slices(marked.select("text", "good"), _Head(words, pairs), "first string, word string, n long, target long", arrow)
-    got = rows.groupBy("first", "word").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).collect()
-    return ({r.word: (r.n, r.target) for r in got if r["first"] is None and r.word is not None}, {(r["first"], r.word): (r.n, r.target) for r in got if r["first"] is not None}, next((r.target for r in got if r.word is None), 0))
-
-
-# ---- 3. rows of pairs
-
-
-class _Pairs:
-    """Rows (doc, first, word, packed) of each document's distinct pairs that aren't frequent, and one for the
-    document itself; packed = 8 * occurrences + 4 * (word is frequent) + 2 * (first is) + (document is good)."""
-
-    def __init__(self, words, pairs, size, totals):
-        self.words, self.pairs, self.size, self.totals = words, pairs, size, totals
-
-    def start(self):
-        words, losses, at = self.words, {}, TaskContext.get().partitionId() << 40
-        for pair, counts in self.pairs.items():
-            first, second = words.get(pair[0]), words[pair[1]]
-            out = []
-            for k, total in enumerate(self.totals):
-                u = second[k] / max(1, total)
-                given = counts[k] / first[k] if first and first[k] else u
-                out.append(-log(BIGRAM * given + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) / self.size))
-            losses[pair] = out
-
-        def run(cols):
-            nonlocal at
-            out = {n: [] for n in ("doc", "first", "word", "packed")}
-            doc, before, after, packed = out.values()
-            for doc_id, text, good in zip(cols["doc_id"], cols["text"], cols["good"], strict=True):
-                at += 1
-                w = words_of(text)
-                background = target = 0.0
-                good = bool(good)
-                for pair, n in Counter(zip([_BEGIN, *w[:-1]], w, strict=True)).items() if w else ():
-                    if (known := losses.get(pair)) is not None:
-                        background += n * known[0]
-                        target += n * known[1]
-                    else:
-                        a, b = pair
-                        before.append(a)
-                        after.append(b)
-                        packed.append(8 * n + 4 * (b in words) + 2 * (a in words or a == _BEGIN) + good)
-                if w and w[-1] not in words:  # with it, the pairs of a first word are as many as its occurrences
-                    before.append(w[-1])
-                    after.append(_END)
-                    packed.append(8 + 4 + good)
-                before.append(_DOCUMENT)
-                after.append(f"{'' if doc_id is None else doc_id},{len(w)},{background!r},{target!r},{at}")
-                packed.append(4 + 2)
-                doc += [at] * (len(before) - len(doc))
-            return out
-
-        return run
-
-
-def _loss(given: str, u: Column, size: int) -> Column:
-    return -F.log(BIGRAM * F.coalesce(F.col(given), u) + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) / size)
-
-
-def score_documents(docs: DataFrame, good: DataFrame, head: int = HEAD) -> DataFrame:
+class _Chunk:
+    """The tokens of a chunk's texts as numbers, and its entries (all tokens, words, pairs) in order of their keys."""
+
+    def __init__(self, rows: pa.Table):
+        is_mark = np.array(rows.column("mark").to_pylist(), bool)
+        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+        marked = {i for i, m in zip(ids, is_mark, strict=True) if m}
+        self.doc_ids = [i for i, m in zip(ids, is_mark, strict=True) if not m]
+        if not marked <= set(self.doc_ids):
+            raise RuntimeError("a mark has come to another chunk than its text")
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        parts = [np.fromiter(map(number.__getitem__, words_of(t)), np.int64) for t, m in zip(texts, is_mark, strict=True) if not m]
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(len(parts)), self.lengths)
+        good = np.array([i in marked for i in self.doc_ids], bool)[self.owner]
+        hashes = np.array([word_hash(w) for w in number], np.uint64)
+        self.size = len(hashes)
+
+        self.later = np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1  # tokens with one before them
+        self.first = self.tokens[self.later - 1]
+        codes, self.pair = np.unique(self.first * max(1, self.size) + self.tokens[self.later], return_inverse=True)
+        a, b = np.divmod(codes, max(1, self.size))
+        pairs = _mix(hashes[a] * np.uint64(0xD6E8FEB86659FD93) + _mix(hashes[b]) + np.uint64(2))
+        keys = np.concatenate([np.zeros(1, np.uint64), _mix(hashes + np.uint64(1)), pairs])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.n = self._counts(np.ones(len(self.tokens), bool), len(codes))
+        self.t = self._counts(good, len(codes))
+
+    def _counts(self, of: np.ndarray, pairs: int) -> np.ndarray:
+        words = np.bincount(self.tokens[of], minlength=self.size)
+        both = np.bincount(self.pair[of[self.later]], minlength=pairs)
+        return np.concatenate([[of.sum()], words, both])[self.order]
+
+    def packed(self, chunk: int, buckets: int) -> pa.Table:
+        at = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        own, begin = np.unique(at, return_index=True)
+        out = {n: [] for n in _ARROW.names}
+        for bucket, lo, hi in zip(own.tolist(), begin, [*begin[1:], len(at)], strict=True):
+            keys = self.keys[lo:hi]
+            values = (bucket, chunk, _pack(np.diff(keys, prepend=np.uint64(0))), _pack(self.n[lo:hi]), _pack(self.t[lo:hi]))
+            for n, v in zip(out, values, strict=True):
+                out[n].append(v)
+        return pa.table(out, schema=_ARROW)
+
+    def scores(self, n: np.ndarray, t: np.ndarray, size: int) -> pa.Table:
+        """``n`` and ``t``: totals of all documents and of target documents, in order of the keys."""
+        background = self._loss(n, size)
+        target = self._loss(t, size) if t[0] else background
+        mean = [np.bincount(self.owner, x, len(self.lengths)) / np.maximum(1, self.lengths) for x in (target, background)]
+        return pa.table([self.doc_ids, self.lengths, *mean, mean[1] - mean[0]], schema=_SCORED)
+
+    def _loss(self, sorted_totals: np.ndarray, size: int) -> np.ndarray:
+        totals = np.empty(len(self.order))
+        totals[self.order] = sorted_totals
+        words, pairs = totals[1 : 1 + self.size], totals[1 + self.size :]
+        u = words[self.tokens] / max(1.0, totals[0])
+        given = u.copy()  # without a known word before
+        before = words[self.first]
+        given[self.later] = np.where(before > 0, pairs[self.pair] / np.maximum(1.0, before), given[self.later])
+        return -np.log(BIGRAM * given + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) / size)
+
+
+def _add_up(sent: pa.Table) -> pa.Table:
+    """Totals of a bucket's entries, for each chunk in the order in which it has sent them."""
+    keys = [np.cumsum(_unpack(x), dtype=np.uint64) for x in sent.column("keys").to_pylist()]
+    ends = np.cumsum([len(k) for k in keys])
+    place = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    totals = []
+    for name in ("n", "t"):
+        # bincount adds in doubles: exact below 2**53
+        all_of = np.bincount(place, np.concatenate([_unpack(x) for x in sent.column(name).to_pylist()]))
+        totals.append([_pack(x) for x in np.split(all_of[place], ends[:-1])])
+    return pa.table([sent.column("bucket"), sent.column("chunk"), [None] * len(keys), *totals], schema=_ARROW)
+
+
+def score_documents(docs: DataFrame, good: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and score of every row.
 
-    Three passes over the texts: words, counts of the head, pairs. ``good``: the doc_ids of target
-    documents, distinct; texts are joined with them by a shuffle, as both grow with the corpus.
+    ``good``: the doc_ids of target documents, distinct. Texts are shuffled once and read three times.
     """
-    spark = docs.sparkSession
-    words, pairs, size, tokens = frequent(docs, head)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")), "doc_id", "left")
-    word_counts, pair_counts, target_tokens = head_counts(marked, words, pairs)
-    totals, size = (max(1, tokens), max(1, target_tokens)), max(1, size)
-    arrow = pa.schema([("doc", pa.int64()), ("first", pa.string()), ("word", pa.string()), ("packed", pa.int64())])
-    rows = map_slices(marked, _Pairs(word_counts, pair_counts, size, totals), "doc long, first string, word string, packed long", arrow)
-
-    bit = lambda k: F.col("packed").bitwiseAND(k) != 0
-    n = F.shiftright("packed", 3)
-    in_target = F.when(bit(1), n).otherwise(0)
-    dealt = rows.withColumn("salt", F.when(bit(2), F.col("word"))).repartition("first", "salt").sortWithinPartitions("first", "salt", "word")
-    of_first, of_pair = Window.partitionBy("first", "salt"), Window.partitionBy("first", "salt", "word")
-    counted = dealt.withColumns({"n1": F.sum(n).over(of_first), "t1": F.sum(in_target).over(of_first)}).withColumns({"n": F.sum(n).over(of_pair), "t": F.sum(in_target).over(of_pair)})
-    known = F.broadcast(spark.createDataFrame([(w, *c) for w, c in word_counts.items()], "head string, n0 long, t0 long"))
-    counted = counted.where(F.col("word") != _END).join(known, F.when(bit(2), F.col("first")) == F.col("head"), "left")
-    before = [F.when(bit(2), F.col(a)).otherwise(F.col(b)) for a, b in (("n0", "n1"), ("t0", "t1"))]  # null after the begin mark
-    given = counted.select("doc", "first", "word", "packed", *[F.when(b > 0, F.col(c) / b).alias(g) for b, c, g in zip(before, "nt", ("given_n", "given_t"), strict=True)])
-    # of frequent second words the counts are known; the others are dealt by the word
-    frequent_second = given.where(bit(4)).join(known, F.col("word") == F.col("head"), "left").select("doc", "first", "word", "packed", "given_n", "given_t", F.col("n0").alias("n2"), F.col("t0").alias("t2"))
-    of_word = Window.partitionBy("word")
-    rare_second = given.where(~bit(4)).select("doc", "first", "word", "packed", "given_n", "given_t", F.sum(n).over(of_word).alias("n2"), F.sum(in_target).over(of_word).alias("t2"))
-    both = frequent_second.unionByName(rare_second)
-
-    own = F.col("first") == _DOCUMENT
-    part = lambda k: F.when(own, F.split("word", ",")[k])
-    value = [F.when(own, part(k).cast("double")).otherwise(n * _loss(g, F.col(c) / total, size)) for k, g, c, total in ((2, "given_n", "n2", totals[0]), (3, "given_t", "t2", totals[1]))]
-    sums = both.groupBy("doc").agg(F.max(F.when(part(0) != "", part(0).cast("long"))).alias("doc_id"), F.max(part(1).cast("long")).alias("n_tokens"), F.sum(value[0]).alias("b"), F.sum(value[1]).alias("t"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0)
-    target = mean("t") if target_tokens else mean("b")
-    return sums.select("doc_id", "n_tokens", target.alias("target_loss"), mean("b").alias("background_loss"), (mean("b") - target).alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = max(1, map_slices(rows.select("text").where(F.col("text").isNotNull()), _Vocabulary(), "word long", pa.schema([("word", pa.int64())])).distinct().count())
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = 1 + n_bytes // chunk_bytes
+
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    marks = dealt.select("chunk", "doc_id").join(good.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").distinct()
+    both = dealt.select("chunk", "doc_id", "text", F.lit(False).alias("mark")).union(marks.select("chunk", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark")))
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        return _Chunk(table).packed(key[0].as_py(), chunks)
+
+    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
+        totals = totals.sort_by("bucket")
+        n, t = (np.concatenate([_unpack(x) for x in totals.column(name).to_pylist()]) for name in ("n", "t"))
+        return _Chunk(table).scores(n, t, size)
+
+    sent = both.groupBy("chunk").applyInArrow(count, _COUNTS)
+    totals = sent.groupBy("bucket").applyInArrow(_add_up, _COUNTS)
+    return both.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, _SCORES)
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

@@ -32,15 +32,15 @@ def exact_scores(texts, good):
     return [b - t for b, t in zip(*losses, strict=True)]
 
 
-@pytest.mark.parametrize("head", [lm_scoring.HEAD, 15, 1])
-def test_lm_scores_use_every_word_and_pair(spark, head):
+@pytest.mark.parametrize("chunk_bytes", [lm_scoring.CHUNK_BYTES, 30_000])
+def test_lm_scores_use_every_word_and_pair(spark, chunk_bytes):
     rng = np.random.default_rng(5)
     # more words than the 32,768 that were once kept, some of them in two documents
     texts = [" ".join([f"w{k}" for k in rng.integers(0, 60_000, 1500)] + [f"c{k}" for k in rng.zipf(1.5, 300) % 50]) for _ in range(40)]
     texts += [texts[0], "", None, "one", "a a a b", "... , c1 c1"]
     good = {0, 1, 2, 3, 44}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "one c1")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), head).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), chunk_bytes).collect()}
     want = exact_scores([*texts, "one c1"], good)
     assert len(got) == len(texts) + 1 and got[1].n_tokens == 1800
     assert np.allclose([got[i].score for i in [*range(len(texts)), None]], want, rtol=1e-9, atol=1e-12)
