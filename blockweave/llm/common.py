@@ -6,8 +6,11 @@ carries nothing else, so extra or clashing columns never matter.
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,23 +51,33 @@ def id_remainder(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(1))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; without one, a folder of the warehouse, and on a local master a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return _own_folder()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="blockweave-checkpoints-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> None:
-    """Let ``checkpoint()`` write to the cluster's shared folder; set one only where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "/tmp/checkpoints/blockweave")
+    """Let ``checkpoint()`` write to the shared folder, if nothing is set yet."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; survives lost executors."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _materialised[0] += 1
-    if _materialised[0] % 4 == 0:
-        release(df.sparkSession)
-    return out
+    return df.checkpoint(eager=True)
 
 
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -80,11 +93,3 @@ def parts(n: int, rows: int = 100_000) -> int:
 
 #: Partitions of the smallest tables.
 FEW = 4
-
-_materialised = [0]
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffles and checkpoints that nothing refers to; it does so when garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

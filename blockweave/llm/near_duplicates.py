@@ -1,38 +1,46 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
-A text's set is its distinct word shingles. Equal sets are first collapsed to one representative.
-Each of TREES independent trees then branches the representatives: at every level a node's members
-are split by their minwise token under that level's hash function, so two sets of Jaccard
-similarity s stay together with probability s a level. Nodes of at most SMALL members are
-compared exhaustively and leave the tree. A node that is still larger at the PATH-th level holds
-sets that agree in PATH minwise tokens, mostly copies of one text: its members are compared with
-its most central member, and if links so found don't make it one component, it is branched
-further, two levels at a time, and at MAX_DEPTH compared exhaustively between components. Recall: a pair at the threshold t that needs d levels meets in each tree with probability t^d;
-that it meets in fewer than MEETINGS = 2 of the trees has probability 6e-7 for t = 0.85, d = 4, and 4e-5 for t = 0.8.
+A text's set is its distinct word shingles; texts with equal sets are one member from the start.
+Each of TREES independent trees branches the members along their minwise tokens: two sets of Jaccard
+similarity s take the same branch with probability s a level. The first PATH levels are one step.
+
+1. Nodes of at most SMALL members are compared exhaustively on their sketches, within the node; each member is
+   then confirmed against its likeliest partner, and after that all likely pairs whose ends are still apart.
+2. Members of larger nodes are confirmed against their most central member.
+3. Members of large nodes that still hold several components start deeper trees with hash functions of
+   their own: as deep as it takes to get nodes of at most CROWD members, and as many as it takes for a
+   pair at the threshold to be missed with probability MISS. They are compared as in 1., between components only.
 
 Every link is confirmed on the full sets of both texts. Pairs that are already in one component
-aren't confirmed again, as classes and not links are asked for.
+aren't confirmed again, as classes and not links are asked for. Recall: a pair at the threshold t misses
+all trees with probability (1 - t**PATH)**TREES = 6e-7 for t = 0.8, and in a crowd MISS = 1e-3 a pair,
+while a class is lost only if each link that would join it is. Sets are told by 64-bit sums of their shingles' hashes.
 
 Cases: a text of fewer words than a shingle has its whole word sequence as the one shingle; null
 texts, empty ones and ones without words have the empty set and are linked with nothing; rows with
-the same id and text are one document, null ids stay alone with a null class; empty
-tables give no rows.
+the same id and text are one document, an id with several texts has a class for each; null ids stay
+alone with a null class; ties go to smaller members; an empty table gives no rows; very long texts are read whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, log, sqrt
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import compact, map_slices, materialised
 from blockweave.llm.components import extend_components
 
-TREES, PATH, SMALL, MAX_DEPTH = 24, 4, 12, 16
+TREES, PATH, SMALL = 20, 3, 12
 POOL = TREES * PATH
-#: Trees in which a pair has to meet: one meeting is mostly chance.
-MEETINGS = 2
+#: Deeper trees: size of a node, probability of missing a pair at the threshold, depths to choose from, tokens of a sketch.
+CROWD, MISS, DEPTHS, WIDE = 128, 1e-3, (4, 6, 8, 10, 12, 14, 16, 20, 24), 512
+#: Likely pairs: so many standard deviations below the expected agreement, at least.
+DEVIATIONS = 6
 #: Size of the bitmap that prefilters texts by id.
 BITS = 1 << 21
 SEED = 7
@@ -106,32 +114,41 @@ class Shingler:
         return grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
 
 
+class Minwise:
+    """Minwise tokens of a set under ``n`` hash functions."""
+
+    def __init__(self, n: int, seed: int):
+        self.a, self.c = (_draw(seed, n) | _ONE).astype(np.uint32)[:, None], _draw(seed + 1, n).astype(np.uint32)[:, None]
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        best = np.full(len(self.a), 2**32 - 1, np.uint32)
+        u = (hashes >> np.uint64(32)).astype(np.uint32)
+        step = max(64, 131_072 // len(self.a))
+        for at in range(0, len(u), step):
+            best = np.minimum(best, (self.a * u[None, at : at + step] + self.c).min(1))
+        return best
+
+
+def set_number(hashes: np.ndarray) -> int:
+    """A 64-bit number of a set, as a signed whole number."""
+    n = np.array([len(hashes)], np.uint64)
+    return int(_mix(hashes.sum(dtype=np.uint64) + _mix(_mix(hashes * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + n)).view(np.int64)[0])
+
+
 class _Sketch:
-    """Size, digest and POOL minwise tokens of each text's set."""
+    """Size, number and POOL minwise tokens of each text's set."""
 
     def __init__(self, k: int):
         self.k = k
 
     def start(self):
-        shingle = Shingler(self.k)
-        a, c = (_draw(SEED + 3, POOL) | _ONE).astype(np.uint32)[:, None], _draw(SEED + 4, POOL).astype(np.uint32)[:, None]
-
-        def tokens(u: np.ndarray) -> np.ndarray:
-            best = np.full(POOL, 2**32 - 1, np.uint32)
-            u = (u >> np.uint64(32)).astype(np.uint32)
-            for at in range(0, len(u), 2048):
-                best = np.minimum(best, (a * u[None, at : at + 2048] + c).min(1))
-            return best.view(np.int32)
+        shingle, minwise = Shingler(self.k), Minwise(POOL, SEED + 3)
 
         def run(cols):
-            out = {n: [] for n in ("doc_id", "n_shingles", "key1", "key2", "tokens")}
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
+            out = {n: [] for n in ("doc_id", "text_hash", "n_shingles", "member", "tokens")}
+            for doc_id, text_hash, text in zip(cols["doc_id"], cols["text_hash"], cols["text"], strict=True):
                 u = shingle(text)
-                if len(u):
-                    key = (u.sum(dtype=np.uint64), _mix(u * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
-                    values = (doc_id, len(u), int(key[0].view(np.int64)), int(key[1].view(np.int64)), tokens(u))
-                else:
-                    values = (doc_id, 0, None, None, None)
+                values = (doc_id, text_hash, len(u), set_number(u), minwise(u).tobytes()) if len(u) else (doc_id, text_hash, 0, None, None)
                 for n, v in zip(out, values, strict=True):
                     out[n].append(v)
             return out
@@ -139,195 +156,276 @@ class _Sketch:
         return run
 
 
-class _Confirm:
-    """Pairs of texts whose sets reach the threshold, compared as whole numbers in percent."""
+def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("member", pa.int64()), ("tokens", pa.binary())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_slices(rows, _Sketch(k), "doc_id long, text_hash long, n_shingles long, member long, tokens binary", arrow)
 
-    def __init__(self, k: int, percent: int):
-        self.k, self.percent = k, percent
 
-    def start(self):
-        shingle, percent = Shingler(self.k), self.percent
+# ---- trees
 
-        def run(cols):
-            out = {"a": [], "b": []}
-            at, set_a = object(), None
-            for a, b, s, t in zip(cols["a"], cols["b"], cols["text_a"], cols["text_b"], strict=True):
-                if a != at:
-                    at, set_a = a, shingle(s)
-                set_b = shingle(t)
-                both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                if both and 100 * both >= percent * (len(set_a) + len(set_b) - both):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out if out["a"] else None
+_NODES = pa.schema([("node", pa.int64()), ("member", pa.int64())])
 
-        return run
 
+def _paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Nodes (members x trees) at ``depth`` of each tree."""
+    t = tokens.reshape(len(tokens), trees, depth).astype(np.uint64)
+    node = np.broadcast_to(_mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth)), t.shape[:2]).copy()
+    for level in range(depth):
+        node = _mix(node * np.uint64(0xD6E8FEB86659FD93) + t[:, :, level])
+    return node.view(np.int64)
 
-def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _Sketch(k), "doc_id long, n_shingles long, key1 long, key2 long, tokens array<int>", arrow)
 
+def first_nodes(sketches: DataFrame) -> DataFrame:
+    """(node, member) of the members' nodes after the first PATH levels of each tree."""
 
-def _agreement(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, POOL)
+                nodes = _paths(tokens, TREES, PATH)
+                yield pa.record_batch([nodes.ravel(), np.repeat(batch.column("member").to_numpy(), TREES)], schema=_NODES)
 
+    return sketches.select("member", "tokens").mapInArrow(run, "node long, member long")
 
-def _pairs_within(members: DataFrame) -> DataFrame:
-    """All pairs (a < b) of the members of small nodes, once a node."""
-    lists = members.groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("m"))
-    later = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))")
-    return lists.select(F.explode(later).alias("p")).select("p.a", "p.b")
 
+def deep_nodes(sets: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(node, member) of each member's nodes at ``depth`` of ``trees`` trees with hash functions of their own."""
 
-def _branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split rows (node, rep, ...) into those of small nodes with two members or more and of large ones."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = rows.join(sizes, "node")
-    return sized.where(F.col("n") <= SMALL), sized.where(F.col("n") > SMALL).drop("n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minwise = Minwise(trees * depth, SEED + 5)
+        for batch in batches:
+            if batch.num_rows:
+                tokens = np.stack([minwise(np.frombuffer(b, np.uint64)) for b in batch.column("hashes").to_pylist()])
+                yield pa.record_batch([_paths(tokens, trees, depth).ravel(), np.repeat(batch.column("member").to_numpy(), trees)], schema=_NODES)
 
+    return sets.select("member", "hashes").mapInArrow(run, "node long, member long")
 
-def _deeper(rows: DataFrame, tokens: DataFrame, *levels: int) -> DataFrame:
-    chosen = [F.element_at("tokens", (F.col("tree") * PATH + level) % POOL + 1) for level in levels]
-    return rows.select("node", "rep", "tree").join(tokens, "rep").select(F.xxhash64("node", *chosen).alias("node"), "rep", "tree")
 
+def wide_sketches(sets: DataFrame) -> DataFrame:
+    """(member, tokens): sketches of WIDE bytes for close estimates."""
 
-def _empty(df: DataFrame) -> bool:
-    return not df.take(1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minwise = Minwise(WIDE, SEED + 9)
+        for batch in batches:
+            sketches = [(_mix(minwise(np.frombuffer(b, np.uint64)).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes() for b in batch.column("hashes").to_pylist()]
+            yield pa.record_batch([batch.column("member"), pa.array(sketches, pa.binary())], names=["member", "tokens"])
 
+    return sets.select("member", "hashes").mapInArrow(run, "member long, tokens binary")
 
-def _label(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(node, n) of the nodes with two members or more."""
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; link when 100 * |A & B| >= percent * |A | B|."""
-    base = materialised(sketch_documents(docs, k))
-    sets = base.where("n_shingles > 0 and doc_id is not null")
-    reps = sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # one row a representative; an id that comes with several texts keeps the representative of each
-    tokens = compact(sets.join(reps.select("rep", "key1", "key2").withColumnRenamed("rep", "doc_id"), ["doc_id", "key1", "key2"], "left_semi").select(F.col("doc_id").alias("rep"), "tokens").dropDuplicates(["rep"]), 10_000)
-    sketches = tokens.select(F.col("rep"), "tokens")
-
-    # the trees; a row carries the tokens that its tree asks for later
-    at = lambda level: F.element_at("tokens", F.col("tree") * PATH + level + 1)
-    later = [f"t{level}" for level in range(1, PATH)]
-    rows = tokens.select("rep", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(F.xxhash64("tree", at(0)).alias("node"), "rep", "tree", *[at(level).alias(f"t{level}") for level in range(1, PATH)])
-    met: DataFrame | None = None
-    for level in range(1, PATH + 1):
-        small, large = _branch(rows)
-        pairs = compact(_pairs_within(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
-        met = pairs if met is None else met.union(pairs)
-        large = compact(large)
-        if level == PATH or _empty(large):
-            break
-        rows = large.select(F.xxhash64("node", f"t{level}").alias("node"), "rep", "tree", *later[level:])
-    candidates = met.groupBy("a", "b").agg(F.sum("trees").alias("trees")).where(F.col("trees") >= MEETINGS).select("a", "b")
-    # large nodes at the end of the path: stars around the member that most large nodes share
-    stars = None
-    if not _empty(large):
-        central = large.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
-        hubs = large.join(central, "rep").groupBy("node").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("hub"))
-        stars = large.join(hubs, "node").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        candidates = candidates.union(stars)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = _confirmed(compact(candidates.distinct()), sketches, texts, k, percent, None)
-
-    # large nodes that aren't one component yet: branch on, then confirm what has gathered
-    if stars is not None:
-        labelled = compact(_label(large, classes))
-        mixed = labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-        large = compact(labelled.join(mixed, "node", "left_semi").select("node", "rep", "tree"))
-        members = compact(sketches.join(large.select("rep").distinct(), "rep", "left_semi"), 10_000)
-        gathered = []
-        for level in range(PATH, MAX_DEPTH, 2):
-            if _empty(large):
-                break
-            small, large = _branch(_deeper(large, members, level, level + 1))
-            gathered.append(_pairs_within(small).distinct())
-            large = compact(large)
-        if not _empty(large):
-            one = _label(large.select("node", "rep"), classes)
-            other = one.select("node", F.col("rep").alias("b"), F.col("component").alias("other"))
-            gathered.append(one.join(other, "node").where("rep < b and component <> other").select(F.col("rep").alias("a"), "b").distinct())
-        if gathered:
-            pairs = gathered[0]
-            for g in gathered[1:]:
-                pairs = pairs.union(g)
-            apart = compact(_between(pairs.distinct(), classes))
-            if not _empty(apart):
-                classes = _confirmed(apart, sketches, texts, k, percent, classes)
-
-    member = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("class_id"))
-    # the side with all documents may be hot in one key: a plain merge join, which Spark splits when skewed
-    out = base.select("doc_id", "n_shingles", "key1", "key2").join(member.hint("merge"), ["key1", "key2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    a = classes.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = classes.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _confirmed(candidates: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int, classes: DataFrame | None) -> DataFrame:
-    """Components of ``classes`` (none yet: None) and of the links among candidate pairs.
-
-    Pairs whose tokens agree far less often than the threshold asks for are dropped first (six standard
-    deviations below the expectation). Then each text is confirmed against its likeliest smaller
-    partner, and in a second step all pairs whose ends are still apart.
+
+class _Compare:
+    """Pairs of each node's members whose sketches agree in ``least`` places at least.
+
+    Rows come sorted by node and member. ``best``: of each member's pairs the one that agrees most, else
+    all between components.
     """
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
+
+    def __init__(self, kind: type, least: int, best: bool):
+        self.kind, self.least, self.best = kind, least, best
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            node, member, component = (batch.column(n).to_numpy() for n in ("node", "member", "component"))
+            if not len(node):
+                continue
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), self.kind).reshape(len(node), -1)
+            rows = (node, member, component, tokens)
+            if rest is not None:
+                rows = tuple(np.concatenate(x) for x in zip(rest, rows, strict=True))
+            begin = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+            yield from self._nodes(*(x[: begin[-1]] for x in rows[1:]), begin)
+            rest = tuple(x[begin[-1] :] for x in rows)
+        if rest is not None:
+            yield from self._nodes(*rest[1:], np.array([0, len(rest[0])]))
+
+    def _nodes(self, member, component, tokens, begin) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(begin)
+        for m in np.unique(sizes[sizes > 1]):
+            which = begin[:-1][sizes == m]
+            for lo in range(0, len(which), max(1, 4096 // int(m))):
+                at = which[lo : lo + max(1, 4096 // int(m))][:, None] + np.arange(m)
+                t = tokens[at]
+                agree = np.full((len(at), m, m), -1, np.int32)
+                for i in range(m - 1):
+                    agree[:, i, i + 1 :] = (t[:, i + 1 :] == t[:, i : i + 1]).sum(2)
+                if self.best:
+                    both = np.maximum(agree, agree.transpose(0, 2, 1))
+                    partner = both.argmax(2)
+                    g, i = np.nonzero(np.take_along_axis(both, partner[:, :, None], 2)[:, :, 0] >= self.least)
+                    j = partner[g, i]
+                    i, j = np.minimum(i, j), np.maximum(i, j)
+                else:
+                    own = component[at]
+                    g, i, j = np.nonzero((agree >= self.least) & (own[:, :, None] != own[:, None, :]))
+                if len(g):
+                    yield pa.record_batch([member[at[g, i]], member[at[g, j]], agree[g, i, j]], schema=self.schema)
+
+
+def _least(places: int, percent: int) -> int:
     t = percent / 100
-    least = int(np.floor(POOL * t - 6 * np.sqrt(POOL * t * (1 - t))))
-    a = sketches.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    b = sketches.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    likely = compact(candidates.join(a, "a").join(b, "b").select("a", "b", _agreement(F.col("ta"), F.col("tb")).alias("agree")).where(F.col("agree") >= least))
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    needed = materialised(_texts_of(texts, ids).groupBy("doc_id").agg(F.min("text").alias("text")))
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    joined = extend_components(classes, compact(_compare(best, needed, k, percent)))
-    rest = compact(_between(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), joined))
-    if _empty(rest):
-        return joined
-    return extend_components(joined, compact(_compare(rest, needed, k, percent)))
-
-
-class _Marked:
-    """Rows whose id falls on a marked bit."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = np.packbits(bits)
+    return max(1, int(places * t - DEVIATIONS * sqrt(places * t * (1 - t))))
+
+
+def _compare_nodes(rows: DataFrame, sketches: DataFrame, compare: _Compare) -> DataFrame:
+    """Likely pairs (a, b, agree) of nodes with rows (node, member, component)."""
+    together = rows.join(sketches, "member").select("node", "member", "component", "tokens")
+    return together.repartition("node").sortWithinPartitions("node", "member").mapInArrow(compare, "a long, b long, agree int")
+
+
+def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Of rows (node, member, component) those of nodes with several components."""
+    several = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
+    return rows.join(several, "node", "left_semi")
+
+
+# ---- sets of members, and links
+
+
+class _Sets:
+    """(member, hashes) of rows whose id falls on a marked bit."""
+
+    def __init__(self, bits: np.ndarray, k: int):
+        self.bits, self.k = np.packbits(bits), k
 
     def start(self):
-        bits = np.unpackbits(self.bits).astype(bool)
+        bits, shingle = np.unpackbits(self.bits).astype(bool), Shingler(self.k)
 
         def run(cols):
-            keep = [i for i, slot in enumerate(cols["slot"]) if bits[slot]]
-            return {n: [cols[n][i] for i in keep] for n in ("doc_id", "text")} if keep else None
+            out = {"member": [], "hashes": []}
+            for slot, text in zip(cols["slot"], cols["text"], strict=True):
+                if bits[slot] and len(u := shingle(text)):
+                    out["member"].append(set_number(u))
+                    out["hashes"].append(u.tobytes())
+            return out if out["member"] else None
 
         return run
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of some ids. A bitmap of fixed size sorts out most others before texts are shuffled."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
-    marked = ids.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()  # BITS numbers at most
+def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(member, hashes) of members (member, doc_id). A bitmap of fixed size sorts out most other texts before sets are shuffled."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).cast("int")
+    marked = members.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()  # BITS numbers at most
     bits = np.zeros(BITS, bool)
     bits[marked] = True
-    rows = texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot"))
-    near = map_slices(rows, _Marked(bits), "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
-    return near.join(ids, "doc_id", "left_semi")
+    rows = docs.where("doc_id is not null and text is not null").select("text", slot.alias("slot"))
+    near = map_slices(rows, _Sets(bits, k), "member long, hashes binary", pa.schema([("member", pa.int64()), ("hashes", pa.binary())]))
+    # repeated texts have equal sets
+    return near.join(members.select("member"), "member", "left_semi").groupBy("member").agg(F.first("hashes").alias("hashes"))
+
+
+class _Confirm:
+    """Pairs whose sets reach the threshold, compared as whole numbers in percent."""
 
+    def __init__(self, percent: int):
+        self.percent = percent
 
-def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return map_slices(both, _Confirm(k, percent), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def __call__(self, cols):
+        out = {"a": [], "b": []}
+        for a, b, s, t in zip(cols["a"], cols["b"], cols["set_a"], cols["set_b"], strict=True):
+            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if both and 100 * both >= self.percent * (len(s) + len(t) - both):
+                out["a"].append(a)
+                out["b"].append(b)
+        return out if out["a"] else None
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    a = sets.select(F.col("member").alias("a"), F.col("hashes").alias("set_a"))
+    b = sets.select(F.col("member").alias("b"), F.col("hashes").alias("set_b"))
+    return map_slices(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), _Confirm(percent), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _empty(df: DataFrame) -> bool:
+    return not df.take(1)
+
+
+def near_duplicate_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; link when 100 * |A & B| >= percent * |A | B|."""
+    return _classes(docs, k, percent).drop("text_hash")
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    base = materialised(sketch_documents(docs, k))
+    # one row a set; equal sets have equal tokens
+    members = compact(base.where("n_shingles > 0 and doc_id is not null").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")), 20_000)
+    classes = _components(docs, members, k, percent)
+    numbered = members.select("member", "doc_id").join(classes.withColumnRenamed("node", "member"), "member")
+    joined = numbered.select("member", "component").join(numbered.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("member", "class_id")
+    label = members.select("member", "doc_id").join(joined, "member", "left").select("member", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # the side with all documents may be hot in one set: a plain merge join, which Spark splits when skewed
+    out = base.select("doc_id", "text_hash", "n_shingles", "member").join(label.hint("merge"), "member", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _components(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the members that are linked with others."""
+    sketches = members.select("member", "tokens")
+    nodes = first_nodes(members)
+    sized = compact(nodes.join(_sizes(nodes), "node"))
+    small, large = (sized.where(c).select("node", "member") for c in (f"n <= {SMALL}", f"n > {SMALL}"))
+
+    # 1. and 2.: the likeliest partner of each member, and the most central member of each large node
+    near = _compare_nodes(small.withColumn("component", F.col("member")), sketches, _Compare(np.uint32, _least(POOL, percent), True))
+    either = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
+    best = either.groupBy("x").agg(F.max_by("y", F.struct("agree", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    central = large.groupBy("member").agg(F.count(F.lit(1)).alias("c"))
+    hubs = large.join(central, "member").groupBy("node").agg(F.max_by("member", F.struct("c", -F.col("member"))).alias("hub"))
+    stars = large.join(hubs, "node").where("member <> hub").select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b"))
+    first = compact(best.union(stars).distinct())
+    wanted = first.select(F.col("a").alias("member")).union(first.select(F.col("b").alias("member"))).distinct()
+    sets = materialised(sets_of(docs, members.select("member", "doc_id").join(wanted, "member", "left_semi"), k))
+    classes = extend_components(None, compact(_linked(first, sets, percent)))
+
+    mixed = _mixed(_with_component(small, classes))
+    apart = compact(_compare_nodes(mixed, sketches, _Compare(np.uint32, _least(POOL, percent), False)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    if not _empty(apart):
+        classes = extend_components(classes, compact(_linked(apart, sets, percent)))
+
+    # 3. large nodes of several components
+    crowd = compact(_mixed(_with_component(large, classes)).select("member").distinct())
+    if _empty(crowd):
+        return classes
+    crowded = materialised(sets.join(crowd, "member", "left_semi"))
+    depth, trees = _deep(crowded, percent / 100)
+    deep = compact(_mixed(_with_component(deep_nodes(crowded, trees, depth), classes)))
+    sized = deep.join(_sizes(deep), "node")
+    likely = _compare_nodes(sized.where(f"n <= {CROWD}").drop("n"), wide_sketches(crowded), _Compare(np.uint8, _least(WIDE, percent), False)).select("a", "b")
+    over = sized.where(f"n > {CROWD}").select("node", "member", "component")
+    # members outside of the largest component of a node that stays large; the depth leaves few such nodes
+    most = over.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    few = over.join(most, "node").where("component <> most").select("node", F.col("member").alias("x"), F.col("component").alias("other"))
+    across = over.join(few, "node").where("component <> other").select(F.least("member", "x").alias("a"), F.greatest("member", "x").alias("b"))
+    rest = compact(likely.union(across).distinct())
+    return classes if _empty(rest) else extend_components(classes, compact(_linked(rest, sets, percent)))
+
+
+def _deep(crowded: DataFrame, threshold: float) -> tuple[int, int]:
+    """Depth at which nodes get small, by a few trees of each depth, and the trees that this depth asks for."""
+    pilot = None
+    for depth in DEPTHS:
+        nodes = deep_nodes(crowded, 2, depth).select(F.lit(depth).alias("depth"), "node")
+        pilot = nodes if pilot is None else pilot.union(nodes)
+    most = {r.depth: r.n for r in pilot.groupBy("depth", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("depth").agg(F.max("n").alias("n")).collect()}
+    depth = next((d for d in DEPTHS if most.get(d, 0) <= CROWD), DEPTHS[-1])
+    return depth, ceil(log(MISS) / log(1 - threshold**depth))
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its class, with all their columns."""
-    classes = near_duplicate_classes(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti")
+    gone = _classes(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_text")), "left_anti")
