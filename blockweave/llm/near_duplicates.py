@@ -8,8 +8,11 @@ similarity s take the same branch with probability s a level. The first PATH lev
    then confirmed against its likeliest partner, and after that all likely pairs whose ends are still apart.
 2. Members of larger nodes are confirmed against their most central member.
 3. Members of large nodes that still hold several components start deeper trees with hash functions of
-   their own: as deep as it takes to get nodes of at most CROWD members, and as many as it takes for a
-   pair at the threshold to be missed with probability MISS. They are compared as in 1., between components only.
+   their own, as many as it takes for a pair at the threshold to be missed with probability MISS; of DEPTHS the
+   depth is taken that costs the fewest rows. In each node those outside of its largest component are
+   compared with all members, CROWD of them at a time, while the others stream by.
+
+After the first links, sketches are WIDE bytes long, so that few pairs below the threshold are likely ones.
 
 Every link is confirmed on the full sets of both texts. Pairs that are already in one component
 aren't confirmed again, as classes and not links are asked for. Recall: a pair at the threshold t misses
@@ -37,10 +40,12 @@ from blockweave.llm.components import extend_components
 
 TREES, PATH, SMALL = 20, 3, 12
 POOL = TREES * PATH
-#: Deeper trees: size of a node, probability of missing a pair at the threshold, depths to choose from, tokens of a sketch.
-CROWD, MISS, DEPTHS, WIDE = 128, 1e-3, (4, 6, 8, 10, 12, 14, 16, 20, 24), 512
-#: Likely pairs: so many standard deviations below the expected agreement, at least.
-DEVIATIONS = 6
+#: Deeper trees: members compared at a time, probability of missing a pair at the threshold, depths to choose from.
+CROWD, MISS, DEPTHS = 128, 1e-3, (4, 6, 8, 12, 16, 24)
+#: Bytes of the sketches for close estimates.
+WIDE = 1024
+#: Likely pairs: at most so many standard deviations below the agreement that a pair at the threshold is expected to have.
+DEVIATIONS = 5
 #: Size of the bitmap that prefilters texts by id.
 BITS = 1 << 21
 SEED = 7
@@ -220,25 +225,18 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 
 class _Compare:
-    """Pairs of each node's members whose sketches agree in ``least`` places at least.
-
-    Rows come sorted by node and member. ``best``: of each member's pairs the one that agrees most, else
-    all between components.
-    """
+    """Of each node's members, whose rows come sorted by node and member, the pair that agrees most for each member."""
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
-
-    def __init__(self, kind: type, least: int, best: bool):
-        self.kind, self.least, self.best = kind, least, best
+    def __init__(self, least: int):
+        self.least = least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            node, member, component = (batch.column(n).to_numpy() for n in ("node", "member", "component"))
+            node, member = (batch.column(n).to_numpy() for n in ("node", "member"))
             if not len(node):
                 continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), self.kind).reshape(len(node), -1)
-            rows = (node, member, component, tokens)
+            rows = (node, member, np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(len(node), -1))
             if rest is not None:
                 rows = tuple(np.concatenate(x) for x in zip(rest, rows, strict=True))
             begin = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
@@ -247,7 +245,7 @@ class _Compare:
         if rest is not None:
             yield from self._nodes(*rest[1:], np.array([0, len(rest[0])]))
 
-    def _nodes(self, member, component, tokens, begin) -> Iterator[pa.RecordBatch]:
+    def _nodes(self, member, tokens, begin) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(begin)
         for m in np.unique(sizes[sizes > 1]):
             which = begin[:-1][sizes == m]
@@ -257,17 +255,46 @@ class _Compare:
                 agree = np.full((len(at), m, m), -1, np.int32)
                 for i in range(m - 1):
                     agree[:, i, i + 1 :] = (t[:, i + 1 :] == t[:, i : i + 1]).sum(2)
-                if self.best:
-                    both = np.maximum(agree, agree.transpose(0, 2, 1))
-                    partner = both.argmax(2)
-                    g, i = np.nonzero(np.take_along_axis(both, partner[:, :, None], 2)[:, :, 0] >= self.least)
-                    j = partner[g, i]
-                    i, j = np.minimum(i, j), np.maximum(i, j)
-                else:
-                    own = component[at]
-                    g, i, j = np.nonzero((agree >= self.least) & (own[:, :, None] != own[:, None, :]))
+                agree = np.maximum(agree, agree.transpose(0, 2, 1))
+                partner = agree.argmax(2)
+                g, i = np.nonzero(np.take_along_axis(agree, partner[:, :, None], 2)[:, :, 0] >= self.least)
                 if len(g):
-                    yield pa.record_batch([member[at[g, i]], member[at[g, j]], agree[g, i, j]], schema=self.schema)
+                    j = partner[g, i]
+                    yield pa.record_batch([member[at[g, np.minimum(i, j)]], member[at[g, np.maximum(i, j)]], agree[g, i, j]], schema=_AGREE)
+
+
+class _Against:
+    """Pairs of different components with ``least`` equal bytes: of each group (node, part) the few members that come first with all that follow."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, few = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, part, follows, member, component = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "part", "follows", "member", "component"))
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint8).reshape(len(node), -1)
+            begin = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])]))
+            for lo, hi in zip(begin, [*begin[1:], len(node)], strict=True):
+                if now != (node[lo], part[lo]):
+                    now, few = (node[lo], part[lo]), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, tokens.shape[1]), np.uint8)]
+                mid = lo + int((~follows[lo:hi]).sum())
+                few = [np.concatenate([x, y[lo:mid]]) for x, y in zip(few, (member, component, tokens), strict=True)]
+                a, b, n = [], [], []
+                for k in range(len(few[0])):
+                    equal = (tokens[mid:hi] == few[2][k]).sum(1)
+                    hit = np.flatnonzero((equal >= self.least) & (component[mid:hi] != few[1][k]))
+                    a.append(np.full(len(hit), few[0][k]))
+                    b.append(member[mid:hi][hit])
+                    n.append(equal[hit])
+                if a and sum(map(len, a)):
+                    a, b = np.concatenate(a), np.concatenate(b)
+                    yield pa.record_batch([np.minimum(a, b), np.maximum(a, b), np.concatenate(n).astype(np.int32)], schema=_AGREE)
+
+
+_AGREE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
 
 
 def _least(places: int, percent: int) -> int:
@@ -275,20 +302,34 @@ def _least(places: int, percent: int) -> int:
     return max(1, int(places * t - DEVIATIONS * sqrt(places * t * (1 - t))))
 
 
-def _compare_nodes(rows: DataFrame, sketches: DataFrame, compare: _Compare) -> DataFrame:
-    """Likely pairs (a, b, agree) of nodes with rows (node, member, component)."""
-    together = rows.join(sketches, "member").select("node", "member", "component", "tokens")
-    return together.repartition("node").sortWithinPartitions("node", "member").mapInArrow(compare, "a long, b long, agree int")
+def _best_partners(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of each member's likeliest partner in its nodes (node, member)."""
+    together = rows.join(sketches, "member").select("node", "member", "tokens").repartition("node").sortWithinPartitions("node", "member")
+    near = together.mapInArrow(_Compare(_least(POOL, percent)), "a long, b long, agree int")
+    either = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
+    return either.groupBy("x").agg(F.max_by("y", F.struct("agree", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+def _sides(rows: DataFrame) -> DataFrame:
+    """Rows (node, member, component) of nodes with several components, with n, and few: how many are outside of the largest one."""
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
+    nodes = sizes.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("most")).where("n > most.c").select("node", "n", (F.col("n") - F.col("most.c")).alias("few"), F.col("most.component").alias("most"))
+    return rows.join(nodes, "node").withColumn("parts", F.ceil(F.col("few") / CROWD).cast("int"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Of rows (node, member, component) those of nodes with several components."""
-    several = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-    return rows.join(several, "node", "left_semi")
+def _likely_links(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) between components within nodes: rows (node, member, component)."""
+    sided = _sides(rows)
+    own = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
+    first = sided.where("component <> most").select("node", own.alias("part"), F.lit(False).alias("follows"), "member", "component")
+    then = sided.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("follows"), "member", "component")
+    together = first.union(then).join(sketches, "member").select("node", "part", "follows", "member", "component", "tokens")
+    dealt = together.repartition("node", "part").sortWithinPartitions("node", "part", "follows")
+    return dealt.mapInArrow(_Against(_least(WIDE, percent)), "a long, b long, agree int").select("a", "b").distinct()
+
+
+def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
 
 
 # ---- sets of members, and links
@@ -380,49 +421,44 @@ def _components(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Da
     small, large = (sized.where(c).select("node", "member") for c in (f"n <= {SMALL}", f"n > {SMALL}"))
 
     # 1. and 2.: the likeliest partner of each member, and the most central member of each large node
-    near = _compare_nodes(small.withColumn("component", F.col("member")), sketches, _Compare(np.uint32, _least(POOL, percent), True))
-    either = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
-    best = either.groupBy("x").agg(F.max_by("y", F.struct("agree", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     central = large.groupBy("member").agg(F.count(F.lit(1)).alias("c"))
     hubs = large.join(central, "member").groupBy("node").agg(F.max_by("member", F.struct("c", -F.col("member"))).alias("hub"))
     stars = large.join(hubs, "node").where("member <> hub").select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b"))
-    first = compact(best.union(stars).distinct())
+    first = compact(_best_partners(small, sketches, percent).union(stars).distinct())
     wanted = first.select(F.col("a").alias("member")).union(first.select(F.col("b").alias("member"))).distinct()
     sets = materialised(sets_of(docs, members.select("member", "doc_id").join(wanted, "member", "left_semi"), k))
     classes = extend_components(None, compact(_linked(first, sets, percent)))
 
-    mixed = _mixed(_with_component(small, classes))
-    apart = compact(_compare_nodes(mixed, sketches, _Compare(np.uint32, _least(POOL, percent), False)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    # 1.: small nodes of several components
+    apart = compact(_sides(_with_component(small, classes)).select("node", "member", "component"))
     if not _empty(apart):
-        classes = extend_components(classes, compact(_linked(apart, sets, percent)))
+        some = sets.join(apart.select("member").distinct(), "member", "left_semi")
+        rest = compact(_likely_links(apart, wide_sketches(some), percent).join(first, ["a", "b"], "left_anti"))
+        classes = extend_components(classes, compact(_linked(rest, sets, percent)))
 
-    # 3. large nodes of several components
-    crowd = compact(_mixed(_with_component(large, classes)).select("member").distinct())
+    # 3.: large nodes of several components
+    crowd = compact(_sides(_with_component(large, classes)).select("member").distinct())
     if _empty(crowd):
         return classes
     crowded = materialised(sets.join(crowd, "member", "left_semi"))
-    depth, trees = _deep(crowded, percent / 100)
-    deep = compact(_mixed(_with_component(deep_nodes(crowded, trees, depth), classes)))
-    sized = deep.join(_sizes(deep), "node")
-    likely = _compare_nodes(sized.where(f"n <= {CROWD}").drop("n"), wide_sketches(crowded), _Compare(np.uint8, _least(WIDE, percent), False)).select("a", "b")
-    over = sized.where(f"n > {CROWD}").select("node", "member", "component")
-    # members outside of the largest component of a node that stays large; the depth leaves few such nodes
-    most = over.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    few = over.join(most, "node").where("component <> most").select("node", F.col("member").alias("x"), F.col("component").alias("other"))
-    across = over.join(few, "node").where("component <> other").select(F.least("member", "x").alias("a"), F.greatest("member", "x").alias("b"))
-    rest = compact(likely.union(across).distinct())
+    depth, trees = _deep(crowded, classes, percent / 100)
+    deep = compact(_with_component(deep_nodes(crowded, trees, depth), classes))
+    rest = compact(_likely_links(deep, wide_sketches(crowded), percent))
     return classes if _empty(rest) else extend_components(classes, compact(_linked(rest, sets, percent)))
 
 
-def _deep(crowded: DataFrame, threshold: float) -> tuple[int, int]:
-    """Depth at which nodes get small, by a few trees of each depth, and the trees that this depth asks for."""
+def _deep(crowded: DataFrame, classes: DataFrame, threshold: float) -> tuple[int, int]:
+    """The depth of trees that takes the fewest rows, by two trees of each depth, and the trees that this depth asks for."""
     pilot = None
     for depth in DEPTHS:
-        nodes = deep_nodes(crowded, 2, depth).select(F.lit(depth).alias("depth"), "node")
+        nodes = deep_nodes(crowded, 2, depth).withColumn("node", F.xxhash64("node", F.lit(depth))).withColumn("depth", F.lit(depth))
         pilot = nodes if pilot is None else pilot.union(nodes)
-    most = {r.depth: r.n for r in pilot.groupBy("depth", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("depth").agg(F.max("n").alias("n")).collect()}
-    depth = next((d for d in DEPTHS if most.get(d, 0) <= CROWD), DEPTHS[-1])
-    return depth, ceil(log(MISS) / log(1 - threshold**depth))
+    sided = _sides(_with_component(pilot, classes))
+    rows = {r.depth: r.n for r in sided.groupBy("depth").agg(F.sum("parts").alias("n")).collect()}
+    trees = {d: ceil(log(MISS) / log(1 - threshold**d)) for d in DEPTHS}
+    n = crowded.count()
+    depth = min(DEPTHS, key=lambda d: (trees[d] * (2 * n + rows.get(d, 0)), d))
+    return depth, trees[depth]
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

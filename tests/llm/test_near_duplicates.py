@@ -89,9 +89,19 @@ def test_node_comparison_over_batches():
 
     rng = np.random.default_rng(14)
     nodes = np.sort(rng.integers(0, 40, 300))
-    tokens = rng.integers(0, 3, (300, 8)).astype(np.uint8)
-    rows = pa.record_batch([pa.array(nodes), pa.array(np.arange(300)), pa.array(np.arange(300) % 7), pa.array([t.tobytes() for t in tokens])], names=["node", "member", "component", "tokens"])
-    compare = near_duplicates._Compare(np.uint8, 5, False)
-    got = {(a, b): n for out in compare(rows.slice(at, 37) for at in range(0, 300, 37)) for a, b, n in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True)}
-    want = {(i, j): int((tokens[i] == tokens[j]).sum()) for i in range(300) for j in range(i + 1, 300) if nodes[i] == nodes[j] and i % 7 != j % 7}
-    assert got == {p: n for p, n in want.items() if n >= 5}
+    tokens = rng.integers(0, 3, (300, 8))
+    rows = pa.record_batch([pa.array(nodes), pa.array(np.arange(300)), pa.array([t.astype(np.uint32).tobytes() for t in tokens])], names=["node", "member", "tokens"])
+    slices = lambda r: (r.slice(at, 37) for at in range(0, r.num_rows, 37))
+    got = {(a, b): n for out in near_duplicates._Compare(5)(slices(rows)) for a, b, n in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True)}
+    for i in range(300):
+        mine = [(int((tokens[i] == tokens[j]).sum()), j) for j in range(300) if j != i and nodes[i] == nodes[j]]
+        best = max((n for n, _ in mine), default=0)
+        assert best < 5 or any(got.get((min(i, j), max(i, j))) == n for n, j in mine if n == best)
+    assert all(n >= 5 and (tokens[a] == tokens[b]).sum() == n and nodes[a] == nodes[b] for (a, b), n in got.items())
+
+    few = np.flatnonzero(np.arange(300) % 7 == 0)
+    order = sorted([(nodes[i], 0, i) for i in few] + [(nodes[i], 1, i) for i in range(300)])
+    at = [i for _, _, i in order]
+    rows = pa.record_batch([pa.array(nodes[at]), pa.array([0] * len(at)), pa.array([bool(f) for _, f, _ in order]), pa.array(at), pa.array(np.array(at) % 5), pa.array([tokens[i].astype(np.uint8).tobytes() for i in at])], names=["node", "part", "follows", "member", "component", "tokens"])
+    got = {(a, b) for out in near_duplicates._Against(5)(slices(rows)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    assert got == {(min(i, j), max(i, j)) for i in few.tolist() for j in range(300) if nodes[i] == nodes[j] and i % 5 != j % 5 and (tokens[i] == tokens[j]).sum() >= 5}
