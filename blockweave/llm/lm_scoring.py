@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from blockweave.llm.common import map_slices
 
 #: Bytes of text in a chunk, and of text behind a bucket: what one task holds at a time.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Weights of the bigram and the unigram estimate; what is left is uniform.
 BIGRAM, UNIGRAM = 0.6, 0.35
 _EDGES = ".,;:!?\"'()[]"
