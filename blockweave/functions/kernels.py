@@ -6,7 +6,19 @@ P is a block's precision matrix, the inverse of the correlation matrix R; "solve
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
+
+
+def log_normal_tail(z: np.ndarray) -> np.ndarray:
+    """Natural log of the upper normal tail for z >= 0, without underflow."""
+    z = np.asarray(z, float)
+    near = np.array([0.5 * math.erfc(x / math.sqrt(2)) if x < 30 else 1.0 for x in z])
+    far = np.where(z > 0, z, 1.0)
+    series = 1 - 1 / far**2 + 3 / far**4 - 15 / far**6
+    return np.where(z < 30, np.log(near), -far * far / 2 - np.log(far) - 0.5 * math.log(2 * math.pi) + np.log(np.where(z < 30, 1.0, series)))
 
 
 def dense(n: int, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -79,7 +91,7 @@ def inverse_diagonal(p: np.ndarray, method: str = "exact", z: np.ndarray | None
     if method == "xnys":
         gram = z.T @ y
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        keep = values > 1e-12 * values.max()
+        keep = values > np.sqrt(np.finfo(float).eps) * max(values.max(), 1.0)
         half = y @ (vectors[:, keep] / np.sqrt(values[keep]))
         return (half**2).sum(1)
     raise ValueError(f"unknown method {method}")
@@ -94,16 +106,16 @@ def blup(p: np.ndarray, z: np.ndarray, n: float, sigma2: float, active: np.ndarr
 
 
 def clump(p: np.ndarray, z: np.ndarray, active: np.ndarray, rsq: float = 0.1, chi2: float = 30.0) -> np.ndarray:
-    """Lead flags: by falling chi-square, each unpruned variant prunes those correlated with it."""
+    """Lead flags: by falling chi-square, each unpruned variant prunes those correlated with it. One factorisation for all leads."""
     lead, pruned = np.zeros(len(z), bool), np.zeros(len(z), bool)
-    for k in np.argsort(-(z**2), kind="stable"):
-        if z[k] ** 2 < chi2:
-            break
+    order = [k for k in np.argsort(-(z**2), kind="stable") if z[k] ** 2 >= chi2]
+    if not order:
+        return lead
+    r = np.linalg.inv(p)[np.ix_(active, active)]
+    for k in order:
         if pruned[k]:
             continue
-        e = np.zeros(len(z))
-        e[k] = 1.0
-        hit = solve(p, e, active) ** 2 >= rsq
+        hit = r[:, k] ** 2 >= rsq
         if not hit[k]:
             raise ValueError("a lead variant is not in LD with itself")
         pruned |= hit
@@ -111,22 +123,73 @@ def clump(p: np.ndarray, z: np.ndarray, active: np.ndarray, rsq: float = 0.1, ch
     return lead
 
 
+class Gaussian:
+    """Likelihood of Pz with covariance M and its derivatives, from one Cholesky factor."""
+
+    def __init__(self, m: np.ndarray, pz: np.ndarray):
+        factor = np.linalg.cholesky(m)
+        half = np.linalg.inv(factor)
+        self.inverse, self.logdet = half.T @ half, 2 * float(np.log(np.diag(factor)).sum())
+        self.pz, self.b = pz, self.inverse @ pz
+
+    def likelihood(self) -> float:
+        return float(-0.5 * (len(self.pz) * np.log(2 * np.pi) + self.logdet + self.pz @ self.b))
+
+    def node_gradient(self) -> np.ndarray:
+        return -0.5 * (np.diag(self.inverse) - self.b**2)
+
+    def gradient(self, dm: np.ndarray) -> np.ndarray:
+        """For parameters whose change of M's diagonal are the columns of ``dm``."""
+        return self.node_gradient() @ dm
+
+    def hessian(self, dm: np.ndarray) -> np.ndarray:
+        """Average information: -1/2 (dM b)' M^-1 (dM b)."""
+        x = dm * self.b[:, None]
+        return -0.5 * x.T @ self.inverse @ x
+
+
 def likelihood(m: np.ndarray, pz: np.ndarray) -> float:
-    """Gaussian log likelihood of Pz with covariance M."""
-    b = np.linalg.solve(m, pz)
-    return float(-0.5 * (len(pz) * np.log(2 * np.pi) + np.linalg.slogdet(m)[1] + pz @ b))
+    return Gaussian(m, pz).likelihood()
 
 
 def likelihood_gradient(m: np.ndarray, pz: np.ndarray, dm: np.ndarray) -> np.ndarray:
-    """Gradient for parameters whose change of M's diagonal are the columns of ``dm``."""
-    b = np.linalg.solve(m, pz)
-    return -0.5 * (np.diag(np.linalg.inv(m)) - b**2) @ dm
+    return Gaussian(m, pz).gradient(dm)
 
 
 def likelihood_hessian(m: np.ndarray, pz: np.ndarray, dm: np.ndarray) -> np.ndarray:
-    """Average information: -1/2 (dM b)' M^-1 (dM b)."""
-    x = dm * np.linalg.solve(m, pz)[:, None]
-    return -0.5 * x.T @ np.linalg.solve(m, x)
+    return Gaussian(m, pz).hessian(dm)
+
+
+def partial_likelihood(p: np.ndarray, pz: np.ndarray, sigma2: np.ndarray, seen: np.ndarray, n: float, intercept: float = 1.0) -> tuple[float, np.ndarray, float]:
+    """Likelihood of the seen nodes' Pz / sqrt(N), with its gradients for each sigma2 and for the intercept.
+
+    ``sigma2`` has a value for every node. M = intercept / N P + diag(sigma2) loses the unseen nodes as P does: by its Schur complement. An
+    intercept below zero has likelihood -inf.
+    """
+    if intercept < 0:
+        return -np.inf, np.zeros(len(sigma2)), 0.0
+    whole = p * intercept / n + np.diag(sigma2)
+    m = schur(whole, seen)
+    g = Gaussian(m, pz)
+    rest = np.setdiff1d(np.arange(len(p)), seen)
+    # change of the Schur complement with an entry d of the whole: (J d J'), J = [I, -M_sr M_rr^-1]
+    j = np.zeros((len(seen), len(p)))
+    j[:, seen] = np.eye(len(seen))
+    if len(rest):
+        j[:, rest] = -np.linalg.solve(whole[np.ix_(rest, rest)], whole[np.ix_(rest, seen)]).T
+    outer = -0.5 * (g.inverse - np.outer(g.b, g.b))
+    by_node = np.einsum("ai,ab,bi->i", j, outer, j)
+    return g.likelihood(), by_node, float((outer * (j @ (p / n) @ j.T)).sum())
+
+
+def reml_state(p: np.ndarray, v: pd.DataFrame, annotations: list[str], theta: np.ndarray, n: float, denominator: float, intercept: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a block's rows, each row's place among them, Pz / sqrt(N) and the covariance M."""
+    u, inverse = np.unique(v["i"].to_numpy(), return_inverse=True)
+    eta = v[annotations].to_numpy(float) @ np.asarray(theta)
+    z = np.zeros(len(u))
+    z[inverse[::-1]] = v["z"].to_numpy()[::-1]  # the first row of a node stands for it
+    view = schur(p, u)
+    return u, inverse, view @ z / np.sqrt(n), view * intercept / n + np.diag(np.bincount(inverse, np.logaddexp(0, eta) / denominator))
 
 
 def impute(r: np.ndarray, z: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -151,34 +214,41 @@ def regularise(r: np.ndarray, z: np.ndarray, strength: float) -> np.ndarray:
     return r @ np.linalg.solve((1 - strength) * r + strength * np.eye(len(r)), z)
 
 
-def lasso_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.0, sweeps: int = 25) -> np.ndarray:
+def lasso_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.0, sweeps: int = 25, tolerance: float = 1e-10) -> np.ndarray:
     """Precision matrix on a support from correlations ``c``: coordinate descent on the penalised likelihood.
 
-    Each step sets one entry to the minimiser of its quadratic model, halved until the matrix stays positive definite.
+    An entry moves to the minimiser of its quadratic model, halved until the determinant stays positive and
+    the objective falls. The inverse is kept up to date by rank-two updates, so a step costs n * n.
     """
     n = len(c)
-    p = np.diag(1 / np.diag(c))
-
-    def value(q: np.ndarray) -> float:
-        sign, ld = np.linalg.slogdet(q)
-        return np.inf if sign <= 0 or np.linalg.eigvalsh(q)[0] <= 0 else float((c * q).sum() - ld + penalty * (np.abs(q).sum() - np.abs(np.diag(q)).sum()))
-
-    now = value(p)
+    p, w = np.diag(1 / np.diag(c)), np.diag(np.diag(c)).astype(float)
+    pairs = np.argwhere(np.triu(support | np.eye(n, dtype=bool)))
     for _ in range(sweeps):
-        for i, j in zip(*np.nonzero(np.triu(support | np.eye(n, dtype=bool))), strict=True):
-            w = np.linalg.inv(p)
-            g = c[i, j] - w[i, j]
-            h = w[i, j] ** 2 + w[i, i] * w[j, j] if i != j else w[i, i] ** 2
-            target = p[i, j] - g / h
-            if i != j and penalty:
+        moved = 0.0
+        for i, j in pairs:
+            diagonal = i == j
+            h = w[i, i] ** 2 if diagonal else w[i, j] ** 2 + w[i, i] * w[j, j]
+            target = p[i, j] - (c[i, j] - w[i, j]) / h
+            if not diagonal and penalty:
                 target = np.sign(target) * max(0.0, abs(target) - penalty / h)
             step = target - p[i, j]
-            while abs(step) > 1e-10:
-                q = p.copy()
-                q[i, j] += step
-                q[j, i] = q[i, j]
-                if (v := value(q)) < now:
-                    p, now = q, v
-                    break
+            while abs(step) > tolerance:
+                grown = 1 + step * w[i, i] if diagonal else (1 + step * w[i, j]) ** 2 - step**2 * w[i, i] * w[j, j]
+                if grown > 0:
+                    change = (1 if diagonal else 2) * (step * c[i, j]) - np.log(grown) + (0 if diagonal else 2 * penalty * (abs(p[i, j] + step) - abs(p[i, j])))
+                    if change < 0:
+                        break
                 step /= 2
+            else:
+                continue
+            p[i, j] = p[j, i] = p[i, j] + step
+            if diagonal:
+                w -= step / grown * np.outer(w[:, i], w[i])
+            else:
+                a = w[:, [i, j]]
+                w -= a @ np.linalg.solve(np.array([[w[i, i], w[i, j] + 1 / step], [w[i, j] + 1 / step, w[j, j]]]), a[:, [0, 1]].T)
+            moved = max(moved, abs(step))
+        w = np.linalg.inv(p)
+        if moved < tolerance:
+            break
     return p

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from blockweave.functions.kernels import log_normal_tail
+
 
 def chromosome(c: Column) -> Column:
     """Chromosome number of '7' or 'chr7'; anything else raises under ANSI mode."""
@@ -66,25 +68,43 @@ def rule_two(a: Column, b: Column) -> Column:
     return F.abs(F.log(odds(a) * odds(b)))
 
 
-def _log_tail(z: np.ndarray) -> np.ndarray:
-    """Natural log of the upper normal tail for z >= 0, without underflow."""
-    z = np.asarray(z, float)
-    near = np.array([0.5 * math.erfc(x / math.sqrt(2)) if x < 30 else 1.0 for x in z])
-    far = np.where(z > 0, z, 1.0)
-    series = 1 - 1 / far**2 + 3 / far**4 - 15 / far**6
-    return np.where(z < 30, np.log(near), -far * far / 2 - np.log(far) - 0.5 * math.log(2 * math.pi) + np.log(np.where(z < 30, 1.0, series)))
-
-
 @F.pandas_udf(DoubleType())
 def log10_two_sided_p(z: pd.Series) -> pd.Series:
     """log10 of the two-sided normal p value of z; null stays null."""
     out = pd.Series(np.nan, index=z.index)
     ok = z.notna()
-    out[ok] = (math.log(2) + _log_tail(z[ok].abs().to_numpy())) / math.log(10)
+    out[ok] = (math.log(2) + log_normal_tail(z[ok].abs().to_numpy())) / math.log(10)
     return out.astype("float64").where(ok, None)
 
 
 @F.pandas_udf(DoubleType())
-def chi2_tail(t: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution with one degree of freedom."""
-    return t.map(lambda x: None if x is None or x != x else math.erfc(math.sqrt(max(x, 0.0) / 2)))
+def log10_chi2_tail(t: pd.Series) -> pd.Series:
+    """log10 of the upper tail of the chi-square distribution with one degree of freedom; null stays null."""
+    out = pd.Series(np.nan, index=t.index)
+    ok = t.notna()
+    out[ok] = (math.log(2) + log_normal_tail(np.sqrt(t[ok].clip(lower=0).to_numpy()))) / math.log(10)
+    return out.astype("float64").where(ok, None)
+
+
+def per_allele(weight: Column, af: Column) -> Column:
+    """Weight per standard deviation as one per allele."""
+    return F.try_divide(weight, F.sqrt(heterozygosity(af)))
+
+
+def per_deviation(weight: Column, af: Column) -> Column:
+    """Weight per allele as one per standard deviation."""
+    return weight * F.sqrt(heterozygosity(af))
+
+
+def similarity(distance: Column) -> Column:
+    return 1 / (distance + 1)
+
+
+def metadata_text(json: Column, key: str) -> Column:
+    """A text value of JSON metadata; other kinds of values count as missing."""
+    return F.when(json.rlike(f'"{key}"\\s*:\\s*"'), F.get_json_object(json, f"$.{key}"))
+
+
+def id_list(text: Column) -> Column:
+    """Numbers of a list joined by semicolons; an empty or missing text is an empty list."""
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))

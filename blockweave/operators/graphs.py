@@ -1,11 +1,18 @@
-"""Edge-list operators of the graph construction: merging, node removal, brick rules. DataFrame functions only."""
+"""Graph construction on edge lists: merging, node removal, bricks, brick-haplotype graphs, bounded paths.
+
+DataFrame functions only, but for the replay of one tree sequence, whose trees follow each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockweave.functions.scalars import rule_one, rule_two
+from blockweave.functions.scalars import odds, rule_one, rule_two
+from blockweave.operators.joins import mutations_to_bricks
 
 
 def round_weights(edges: DataFrame, digits: int = 4) -> DataFrame:
@@ -48,6 +55,11 @@ def vertex(brick: Column, place: int) -> Column:
     return brick * 8 + place
 
 
+def haplotype(node: Column) -> Column:
+    """Number of a haplotype node in reduced graphs, below zero; its own inverse."""
+    return -node - 1
+
+
 def brick_rule_edges(events: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
     """Weighted brick pairs of parent and child (rule one) and of siblings (rule two) below a threshold.
 
@@ -59,3 +71,310 @@ def brick_rule_edges(events: DataFrame, frequency: DataFrame, threshold: float)
     pairs = up.union(across).join(f("a"), "a").join(f("b"), "b")
     weight = F.when(F.col("rule") == 1, rule_one(F.col("f_a"), F.col("f_b"))).otherwise(rule_two(F.col("f_a"), F.col("f_b")))
     return pairs.select(F.col("a").alias("from"), F.col("b").alias("to"), "rule", weight.alias("weight")).where(F.col("weight") < threshold)
+
+
+# ---- graph of bricks and haplotypes
+
+
+def _edge(a: str, place_a: int | Column, b: str, place_b: int | Column, when: Column | None = None) -> Column:
+    row = F.struct((F.col(a) * 8 + place_a).cast("int").alias("from"), (F.col(b) * 8 + place_b).cast("int").alias("to"))
+    return F.when(when, row) if when is not None else row
+
+
+def brick_haplotype_graph(bricks: DataFrame, events: DataFrame, labelled: DataFrame, threshold: float | None = None, make_siblings: bool = False) -> DataFrame:
+    """Edges (from, to, weight) between the vertices of bricks and haplotypes, below ``threshold``.
+
+    bricks: brick, child, frequency (between 0 and 1); events: event (order), focal_brick, parent_brick
+    (nullable), child_bricks and sibling_bricks (arrays); labelled: brick, those with a mutation. Parent and child bricks are tied
+    by rule one, siblings, where asked for, by rule two unless the focal brick is too rare for the threshold. Of repeated edges the
+    last one holds. Each event is exploded by itself; odds come by equi joins.
+    """
+    if labelled.join(bricks, "brick", "left_anti").take(1):
+        raise ValueError("a labelled brick is not among the bricks")
+    wrong = F.assert_true((F.col("frequency") > 0) & (F.col("frequency") < 1), F.lit("a brick's frequency must lie between 0 and 1"))
+    marks = bricks.join(labelled.select("brick", F.lit(True).alias("labelled")).distinct(), "brick", "left").withColumn("_ok", wrong).where("_ok is null")
+    known = marks.select("brick", "child", F.coalesce("labelled", F.lit(False)).alias("labelled"), odds(F.col("frequency")).alias("odds"))
+    side = lambda x: known.select(F.col("brick").alias(x), F.col("odds").alias(f"odds_{x}"), F.col("labelled").alias(f"has_{x}"))
+    after = lambda x: F.col(f"has_{x}").cast("int")
+
+    own = known.withColumnsRenamed({"brick": "b", "child": "h", "labelled": "has_b"})
+    zero = own.select(F.lit(-1).alias("event"), F.lit(0).alias("step"), F.lit(0.0).alias("weight"), F.explode(F.array_compact(F.array(_edge("b", DOWN_BEFORE, "h", after("b") + HAPLO_BEFORE), _edge("b", DOWN_AFTER, "h", HAPLO_AFTER), _edge("b", OUT, "h", HAPLO_BEFORE, F.col("has_b"))))).alias("e"))
+
+    below = events.select("event", F.posexplode("child_bricks").alias("step", "c"), F.col("focal_brick").alias("p"))
+    above = events.where("parent_brick is not null").select("event", F.lit(1_000_000).alias("step"), F.col("focal_brick").alias("c"), F.col("parent_brick").alias("p"))
+    kin = below.unionByName(above).join(side("p"), "p").join(side("c"), "c")
+    siblings = F.lit(make_siblings)
+    one = [
+        _edge("c", UP_AFTER, "p", UP_AFTER), _edge("p", DOWN_AFTER, "c", DOWN_AFTER), _edge("c", UP_BEFORE, "p", after("c") + UP_BEFORE), _edge("p", DOWN_BEFORE, "c", after("p") + DOWN_BEFORE),
+        _edge("p", OUT, "c", DOWN_BEFORE, F.col("has_p")), _edge("p", UTURN, "c", DOWN_BEFORE, F.col("has_p") & siblings), _edge("c", OUT, "p", UP_BEFORE, F.col("has_c")),
+        _edge("c", OUT, "p", UTURN, F.col("has_c") & F.col("has_p") & siblings), _edge("c", UP_BEFORE, "p", UTURN, ~F.col("has_c") & F.col("has_p") & siblings),
+    ]
+    first = kin.select("event", "step", rule_one(F.col("odds_p") / (1 + F.col("odds_p")), F.col("odds_c") / (1 + F.col("odds_c"))).alias("weight"), F.explode(F.array_compact(F.array(*one))).alias("e"))
+    rows = zero.unionByName(first)
+    if make_siblings:
+        gated = events.join(side("focal_brick"), "focal_brick")
+        if threshold is not None:
+            gated = gated.where(-F.log(F.col("odds_focal_brick") * F.col("odds_focal_brick")) < threshold)
+        left = gated.select("event", F.explode("sibling_bricks").alias("l"), "sibling_bricks")
+        pairs = left.select("event", "l", F.explode("sibling_bricks").alias("r")).where("l <> r").join(side("l"), "l").join(side("r"), "r")  # siblings of one edge only
+        two = [_edge("l", UP_AFTER, "r", DOWN_AFTER), _edge("l", UP_BEFORE, "r", after("l") + DOWN_BEFORE), _edge("l", OUT, "r", DOWN_BEFORE, F.col("has_l"))]
+        rows = rows.unionByName(pairs.select("event", F.lit(2_000_000).alias("step"), F.abs(F.log(F.col("odds_l") * F.col("odds_r"))).alias("weight"), F.explode(F.array_compact(F.array(*two))).alias("e")))
+    if threshold is not None:
+        rows = rows.where(F.col("weight") < threshold)
+    return rows.select("event", "step", "weight", "e.*").groupBy("from", "to").agg(F.max_by("weight", F.struct("event", "step")).alias("weight"))
+
+
+# ---- bounded shortest paths
+
+
+def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float, may_pass: Callable[[Column], Column], may_reach: Callable[[Column, Column], Column], max_rounds: int = 1000) -> DataFrame:
+    """(source, vertex, distance) of the shortest paths of at most ``cutoff`` from each source.
+
+    ``may_pass`` says which vertices a path may run through, ``may_reach`` (source, vertex) which it may touch at all.
+    All sources move at once: a round joins the distances that have become shorter with the edges and keeps
+    minima, so work is spread by vertex and no graph has to fit into a task. Weights must not be negative.
+    """
+    checked = F.assert_true(F.col("weight") >= 0, F.lit("edge weights must not be negative"))
+    out = edges.withColumn("_ok", checked).where("_ok is null").select(F.col("from").alias("vertex"), F.col("to").alias("next"), F.col("weight").alias("step")).persist()
+    best = sources.select("source", F.col("source").alias("vertex"), F.lit(0.0).alias("distance"))
+    front, kept = best, [out]
+    try:
+        for k in range(max_rounds):
+            moving = front if k == 0 else front.where(may_pass(F.col("vertex")))
+            tried = moving.join(out, "vertex").select("source", F.col("next").alias("vertex"), (F.col("distance") + F.col("step")).alias("distance"))
+            tried = tried.where((F.col("distance") <= cutoff) & (F.col("vertex") != F.col("source")) & may_reach(F.col("source"), F.col("vertex"))).groupBy("source", "vertex").agg(F.min("distance").alias("new"))
+            both = best.join(tried, ["source", "vertex"], "full").select("source", "vertex", F.least("distance", "new").alias("distance"), F.coalesce(F.col("new") < F.col("distance"), F.col("distance").isNull()).alias("moved"))
+            both = both.checkpoint() if both.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else both.persist()
+            kept.append(both)
+            best, front = both.drop("moved"), both.where("moved").drop("moved")
+            if not front.take(1):
+                return best
+    finally:
+        for df in kept[:-1]:
+            df.unpersist()
+    raise RuntimeError(f"paths have not settled after {max_rounds} rounds")
+
+
+def reduce_graph(edges: DataFrame, bricks_to_mutations: DataFrame, cutoff: float) -> DataFrame:
+    """Edges between mutations, and from mutations to haplotypes, by paths of at most ``cutoff`` from the out vertices.
+
+    edges: brick-haplotype graph, of repeated ones the last (by ``row_nr`` if there is one); bricks_to_mutations: brick, mutation (its first).
+    A brick is met when one of its before vertices is reached and none of its after vertices.
+    """
+    if "row_nr" in edges.columns:
+        edges = edges.groupBy("from", "to").agg(F.max_by("weight", "row_nr").alias("weight"))
+    out = F.lit(OUT)
+    sources = edges.select(F.explode(F.array("from", "to")).alias("source")).where(F.pmod("source", F.lit(8)) == out).where("source >= 0").distinct()
+    names = bricks_to_mutations.groupBy("brick").agg(F.min("mutation").alias("mutation"))
+    unnamed = sources.select(F.floor(F.col("source") / 8).alias("brick")).join(names, "brick", "left_anti")
+    if unnamed.take(1):
+        raise ValueError("an out vertex belongs to a brick without a mutation")
+    own = lambda s, v: (F.floor(s / 8) != F.floor(v / 8)) | (F.pmod(v, F.lit(8)) > F.lit(UTURN))  # noqa: E731  not the source's own vertices
+    reached = bounded_paths(edges, sources, cutoff, lambda v: F.lit(True), own).where("vertex <> source")
+    place, brick = F.pmod("vertex", F.lit(8)), F.floor(F.col("vertex") / 8)
+    cells = reached.groupBy("source", brick.alias("brick")).agg(
+        F.min(F.when(place.isin(UP_BEFORE, DOWN_BEFORE), F.col("distance"))).alias("before"),
+        F.max(place.isin(UP_AFTER, DOWN_AFTER)).alias("after"),
+        F.min(F.when(place == HAPLO_BEFORE, F.col("distance"))).alias("haplo_before"),
+        F.max(place == HAPLO_AFTER).alias("haplo_after"),
+    )
+    cells = cells.join(names.withColumnsRenamed({"brick": "sb", "mutation": "a"}), F.floor(F.col("source") / 8) == F.col("sb"))
+    met = cells.where("before is not null and not after").join(names.withColumnRenamed("mutation", "b"), "brick").select("a", "b", F.col("before").alias("weight"))
+    haplo = cells.where("haplo_before is not null and not haplo_after").select("a", haplotype(F.col("brick")).alias("b"), F.col("haplo_before").alias("weight"))
+    every = met.union(met.select("b", "a", "weight")).union(haplo)
+    return every.groupBy(F.col("a").cast("int").alias("from"), F.col("b").cast("int").alias("to")).agg(F.min("weight").alias("weight"))
+
+
+def finalise_graph(first: DataFrame, second: DataFrame, groups: DataFrame, cutoff: float) -> DataFrame:
+    """Undirected edges of mutation groups from two reduced graphs: those of the first both ways, then those of the second.
+
+    Haplotype nodes fall away: two mutations get the shortest path that runs through haplotypes only, if it is at
+    most ``cutoff`` and shorter than their edge. As partial paths are never longer than whole ones, this is what removing the
+    haplotypes one by one gives, in any order. groups: group, mutation (its first).
+    """
+    both = last_edge_wins(first, first.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight"), second)
+    both = both.persist()
+    direct = both.where("`from` >= 0 and `to` >= 0")
+    ends = both.where("`from` >= 0 and `to` < 0").select(F.col("from").alias("source")).distinct()
+    # the first step goes to a haplotype only: a direct edge is no path through haplotypes
+    through = both.where("`from` < 0 or `to` < 0")
+    paths = bounded_paths(through, ends, cutoff, lambda v: v < 0, lambda s, v: F.lit(True)).where("vertex >= 0 and vertex <> source")
+    every = direct.unionByName(paths.select(F.col("source").alias("from"), F.col("vertex").alias("to"), F.col("distance").alias("weight")))
+    number = lambda x: groups.groupBy(F.col("mutation").alias(x)).agg(F.min("group").alias(f"group_{x}"))
+    named = every.join(number("from"), "from", "left").join(number("to"), "to", "left")
+    known = F.assert_true(F.col("group_from").isNotNull() & F.col("group_to").isNotNull(), F.lit("a mutation of the graph has no group"))
+    named = named.withColumn("_ok", known).where("_ok is null and group_from <> group_to")
+    return undirected_minimum(named.select(F.col("group_from").alias("from"), F.col("group_to").alias("to"), "weight"))
+
+
+def make_graph(bricks: DataFrame, events: DataFrame, bricks_to_mutations: DataFrame, path_threshold: float, edge_threshold: float | None = None) -> DataFrame:
+    """Graph of mutation groups from bricks: with and without siblings, each reduced, then brought together.
+
+    bricks_to_mutations: group, brick, mutation (the group's first).
+    """
+    labelled = bricks_to_mutations.select("brick").distinct()
+    reduced = [reduce_graph(brick_haplotype_graph(bricks, events, labelled, edge_threshold, s), bricks_to_mutations, path_threshold) for s in (False, True)]
+    return finalise_graph(*reduced, bricks_to_mutations, path_threshold)
+
+
+def snplist(groups: DataFrame, mutations: DataFrame) -> DataFrame:
+    """Mutations with the index of their group; -1 without one. groups: group, mutations (array). A mutation in two groups is an error."""
+    placed = groups.select(F.col("group").alias("index"), F.explode("mutations").alias("mutation"))
+    counted = placed.groupBy("mutation").agg(F.min("index").alias("index"), F.countDistinct("index").alias("n"))
+    checked = counted.withColumn("_ok", F.assert_true(F.col("n") == 1, F.concat(F.lit("two groups hold mutation "), F.col("mutation").cast("string")))).where("_ok is null")
+    return mutations.join(checked.select("mutation", "index"), "mutation", "left").withColumn("index", F.coalesce("index", F.lit(-1)).cast("int"))
+
+
+def mutation_groups(mutations: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group, brick, mutation, mutations) of the bricks that carry mutations, in order of their first mutation by position and number."""
+    placed = mutations_to_bricks(mutations, edges)
+    lists = placed.groupBy("brick").agg(F.array_sort(F.collect_list(F.struct("position", "mutation"))).alias("m"))
+    # one row a brick with mutations
+    return lists.select((F.row_number().over(Window.orderBy(F.element_at("m", 1))) - 1).cast("int").alias("group"), "brick", F.element_at("m", 1)["mutation"].alias("mutation"), F.transform("m", lambda x: x["mutation"]).alias("mutations"))
+
+
+# ---- bricks from tree sequences
+
+
+def _replay(pdf: pd.DataFrame, threshold: float) -> list[tuple[float, float, int, int]]:
+    """Edges of one tree sequence, cut where the way from a child to its old and its new ancestors parts."""
+    part = {k: g for k, g in pdf.groupby("kind")}
+    rows = lambda k, *cols: part[k][list(cols)].itertuples(index=False) if k in part else ()
+    samples = int(next(rows("samples", "n"))[0])
+    now = {int(c): (float(a), float(b), int(p)) for a, b, p, c in rows("initial", "left", "right", "parent", "child")}
+    gone: dict[int, list[int]] = {}
+    for t, c in rows("out", "transition", "child"):
+        gone.setdefault(int(t), []).append(int(c))
+    come: dict[int, list[tuple]] = {}
+    for t, a, b, p, c in rows("in", "transition", "left", "right", "parent", "child"):
+        come.setdefault(int(t), []).append((float(a), float(b), int(p), int(c)))
+    state: dict[int, dict[int, tuple]] = {}
+    for t, node, old, new, time, n in rows("state", "transition", "child", "old_parent", "parent", "time", "n"):
+        state.setdefault(int(t), {})[int(node)] = (int(old), int(new), float(time), int(n))
+    done: list[tuple[float, float, int, int]] = []
+
+    def cut(child: int, at: float) -> None:
+        if child in now and now[child][0] < at < now[child][1]:
+            left, right, parent = now[child]
+            done.append((left, at, parent, child))
+            now[child] = (at, right, parent)
+
+    for t, at in sorted((int(t), float(x)) for t, x in rows("transition", "transition", "left")):
+        for c in gone.get(t, ()):
+            left, right, parent = now.pop(c)
+            done.append((left, right, parent, c))
+        nodes = state[t]
+        for left, right, parent, child in come.get(t, ()):
+            now[child] = (left, right, parent)
+            if nodes[child][3] / samples <= threshold:
+                continue
+            new, old = parent, nodes[child][0]
+            while new != old and -1 not in (new, old):
+                if nodes[old][2] < nodes[new][2]:  # the younger one goes up; at equal times the new one
+                    cut(old, at)
+                    old = nodes[old][0]
+                else:
+                    cut(new, at)
+                    new = nodes[new][1]
+    done += [(left, right, parent, child) for child, (left, right, parent) in now.items()]
+    return sorted(done)
+
+
+TREE_TABLES = "ts_id string, kind string, transition int, left double, right double, parent int, child int, old_parent int, time double, n int"
+
+
+def tree_rows(ts_id: str, spark: SparkSession, initial: DataFrame, transitions: DataFrame, edges_out: DataFrame, edges_in: DataFrame, node_state: DataFrame, num_samples: int) -> DataFrame:
+    """The tables of one tree sequence as rows of TREE_TABLES, checked: whole intervals, ids not below zero."""
+    names = [f.split()[0] for f in TREE_TABLES.split(", ")]
+    types = dict(f.split() for f in TREE_TABLES.split(", "))
+
+    def part(df: DataFrame, kind: str, **cols: str) -> DataFrame:
+        given = {"ts_id": F.lit(ts_id), "kind": F.lit(kind), **{k: F.col(v) for k, v in cols.items()}}
+        return df.select(*[given.get(n, F.lit(None)).cast(types[n]).alias(n) for n in names])
+
+    edge = {"left": "left", "right": "right", "parent": "parent", "child": "child"}
+    out = part(initial, "initial", **edge).union(part(transitions, "transition", transition="transition", left="left")).union(part(edges_out, "out", transition="transition", child="child")).union(part(edges_in, "in", transition="transition", **edge))
+    out = out.union(part(node_state, "state", transition="transition", child="node", old_parent="prev_parent", parent="curr_parent", time="time", n="curr_num_samples"))
+    out = out.union(spark.createDataFrame([(num_samples,)], "n int").select(*[{"ts_id": F.lit(ts_id), "kind": F.lit("samples"), "n": F.col("n")}.get(n, F.lit(None)).cast(types[n]).alias(n) for n in names]))
+    fine = F.when(F.col("kind").isin("initial", "in"), (F.col("left") < F.col("right")) & (F.col("parent") >= 0) & (F.col("child") >= 0)).when(F.col("kind") == "state", (F.col("child") >= 0) & (F.col("n") >= 0)).when(F.col("kind") == "out", F.col("child") >= 0).when(F.col("kind") == "samples", F.col("n") > 0).otherwise(F.col("left").isNotNull())
+    return out.withColumn("_ok", F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("a row of the tree tables is not valid"))).where("_ok is null").drop("_ok")
+
+
+def brick_edges(trees: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(ts_id, brick, left, right, parent, child) of tree sequences given as rows of TREE_TABLES.
+
+    The trees of one sequence have to be gone through in order, so a sequence is a group; sequences run in parallel.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_replay(pdf, threshold), columns=["left", "right", "parent", "child"])
+        out.insert(0, "brick", range(len(out)))
+        out.insert(0, "ts_id", pdf["ts_id"].iloc[0])
+        return out
+
+    return trees.groupBy("ts_id").applyInPandas(run, "ts_id string, brick int, left double, right double, parent int, child int")
+
+
+def brick_intervals(edges: DataFrame) -> DataFrame:
+    """Edges repeated for each interval between neighbouring breakpoints that they cover: (ts_id, interval, brick, parent, child, fresh).
+
+    ``fresh`` marks a brick's first interval. Breakpoints are ordered within their sequence.
+    """
+    points = edges.select("ts_id", F.explode(F.array("left", "right")).alias("at")).distinct()
+    numbered = points.withColumn("interval", F.row_number().over(Window.partitionBy("ts_id").orderBy("at")) - 1)
+    begin = numbered.select("ts_id", F.col("at").alias("left"), F.col("interval").alias("lo"))
+    end = numbered.select("ts_id", F.col("at").alias("right"), F.col("interval").alias("hi"))
+    spans = edges.join(begin, ["ts_id", "left"]).join(end, ["ts_id", "right"])
+    return spans.select("ts_id", "brick", "parent", "child", "lo", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("interval")).select("ts_id", "interval", "brick", "parent", "child", (F.col("interval") == F.col("lo")).alias("fresh"), F.col("lo").alias("since"))
+
+
+def brick_events(edges: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bricks (with the share of samples below them) and events of bricked edges.
+
+    edges: ts_id, brick, left, right, parent, child; samples: ts_id, node. An event stands for each brick at its first
+    interval: its parent brick (none at the root), its children's and its siblings' bricks, those longest there first. Samples below a
+    node are found by going up from all samples of all intervals at once, one level a round.
+    """
+    tree = brick_intervals(edges).persist()
+    total = samples.groupBy("ts_id").agg(F.countDistinct("node").alias("total"))
+    fresh = tree.where("fresh")
+    wanted = fresh.select("ts_id", "interval").distinct()
+    up = tree.join(wanted, ["ts_id", "interval"], "left_semi").select("ts_id", "interval", F.col("child").alias("node"), "parent").persist()
+    at = samples.select("ts_id", "node").distinct().join(wanted, "ts_id").select("ts_id", "interval", "node", F.lit(1).alias("n"))
+    counts = at
+    while True:  # as often as the trees are high
+        at = at.join(up, ["ts_id", "interval", "node"]).groupBy("ts_id", "interval", F.col("parent").alias("node")).agg(F.sum("n").cast("int").alias("n")).persist()
+        if not at.take(1):
+            break
+        counts = counts.union(at)
+    below = counts.groupBy("ts_id", "interval", "node").agg(F.sum("n").alias("n"))
+    rows = fresh.join(below.withColumnRenamed("node", "child"), ["ts_id", "interval", "child"], "left").join(total, "ts_id")
+    bricks = rows.select("ts_id", "brick", "parent", "child", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("frequency"))
+
+    kept = tree.select("ts_id", "interval", "since", F.col("brick").alias("other"), F.col("parent").alias("of"), F.col("child").alias("node"))
+    families = kept.groupBy("ts_id", "interval", "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "other"))), lambda x: x["other"]).alias("bricks"))
+    above = kept.select("ts_id", "interval", F.col("node").alias("parent"), F.col("other").alias("parent_brick"))
+    child = families.withColumnsRenamed({"of": "child", "bricks": "child_bricks"})
+    sibling = families.withColumnsRenamed({"of": "parent", "bricks": "sibling_bricks"})
+    none = F.array().cast("array<int>")
+    events = fresh.join(above, ["ts_id", "interval", "parent"], "left").join(child, ["ts_id", "interval", "child"], "left").join(sibling, ["ts_id", "interval", "parent"])
+    order = Window.partitionBy("ts_id").orderBy("interval", "brick")
+    return bricks, events.select("ts_id", (F.row_number().over(order) - 1).cast("int").alias("event"), F.col("brick").alias("focal_brick"), "parent_brick", F.coalesce("child_bricks", none).alias("child_bricks"), F.coalesce("sibling_bricks", none).alias("sibling_bricks"))
+
+
+def thin_graph(edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """A weighted graph without the ``missing`` nodes (node), whose neighbours are tied through them.
+
+    Weights are similarities up to 1; as lengths they are 1/w - 1. Two nodes that stay get the shorter of their edge and
+    of the ways through missing nodes only, which is what taking these out one by one gives.
+    """
+    gone = missing.select("node", F.lit(True).alias("gone")).distinct()
+    both = edges.where("`from` <> `to`").select("from", "to", "weight")
+    both = both.union(both.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight"))
+    for end in ("from", "to"):  # numbers of missing nodes become negative
+        both = both.join(gone.withColumnRenamed("node", end), end, "left").withColumn(end, F.when(F.col("gone"), haplotype(F.col(end))).otherwise(F.col(end))).drop("gone")
+    lengths = both.select("from", "to", (1 / F.col("weight") - 1).alias("weight")).groupBy("from", "to").agg(F.min("weight").alias("weight")).persist()
+    ends = lengths.where("`from` >= 0 and `to` < 0").select(F.col("from").alias("source")).distinct()
+    ways = bounded_paths(lengths.where("`from` < 0 or `to` < 0"), ends, float("inf"), lambda v: v < 0, lambda s, v: F.lit(True)).where("vertex >= 0 and vertex <> source")
+    every = lengths.where("`from` >= 0 and `to` >= 0").unionByName(ways.select(F.col("source").alias("from"), F.col("vertex").alias("to"), F.col("distance").alias("weight")))
+    return undirected_minimum(every).select("from", "to", (1 / (F.col("weight") + 1)).alias("weight"))

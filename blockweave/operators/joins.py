@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockweave.functions.scalars import allele_phase
+from blockweave.functions.scalars import allele_phase, chromosome, phased_frequency
 
-#: A catalog or range table is broadcast up to this many rows; larger ones are joined by bins.
+#: A range table is broadcast up to this many rows.
 BROADCAST_ROWS = 50_000
+#: Bits by which the bin widths of range lengths differ: a range covers two bins of its width at most.
+LEVEL_BITS = 4
+#: Bins of the genome line for nearest genes; their summaries, two times k genes each, are the only thing ordered as a whole.
+LINE_BINS = 65_536
 
 
 def first_present(df: DataFrame, *names: str) -> str:
@@ -19,26 +23,43 @@ def first_present(df: DataFrame, *names: str) -> str:
     raise ValueError(f"none of {names} among {df.columns}")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, how: str = "inner", bin_width: int = 1 << 16) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
     """Points (chrom, pos) with half-open ranges (chrom, start, end) on the same chromosome.
 
-    Few ranges are broadcast after a count; many are cut into bins of positions and joined by
-    (chrom, bin), each pair once as a point has one bin.
+    A range goes to the bins of its own width class that it touches, two at most; a point looks into its bin of
+    each width class that occurs. So work follows matches, however long, short or dense ranges are,
+    and the join is an equi join that Spark broadcasts, sorts or splits.
+    ``how``: inner, or left_semi for the points that lie in any range (each row once if points are distinct).
     """
+    shift = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double")) / LEVEL_BITS).cast("int") * LEVEL_BITS
+    sized = ranges.where("end > start").withColumn("_level", shift)
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("_level")).alias("levels")).first()  # 16 levels at most
+    wide = lambda c: F.expr(f"shiftright({c}, _level)")
+    r = sized.withColumn("_bin", F.explode(F.expr("array_distinct(array(shiftright(cast(start as bigint), _level), shiftright(cast(end - 1 as bigint), _level)))"))).withColumnsRenamed({"chrom": "_chrom", "_level": "_rlevel", "_bin": "_rbin"})
+    if stats.n <= BROADCAST_ROWS:
+        r = F.broadcast(r)
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in stats.levels or [0]]).cast("array<int>"))).withColumn("_bin", wide("cast(pos as bigint)"))
     inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    if ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        b = F.broadcast(ranges).withColumnRenamed("chrom", "_chrom")
-        return points.join(b, (F.col("chrom") == F.col("_chrom")) & inside, how).drop("_chrom")
-    bins = F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("end") - 1) / bin_width))
-    r = ranges.where("end > start").withColumn("_bin", F.explode(bins)).withColumnRenamed("chrom", "_chrom").withColumnRenamed("_bin", "_rbin")
-    p = points.withColumn("_bin", F.floor(F.col("pos") / bin_width))
-    return p.join(r, (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_rbin")) & inside, how).drop("_bin", "_rbin", "_chrom")
+    out = p.join(r, (F.col("chrom") == F.col("_chrom")) & (F.col("_level") == F.col("_rlevel")) & (F.col("_bin") == F.col("_rbin")) & inside, how).drop("_level", "_bin", "_rlevel", "_rbin", "_chrom")
+    return out.distinct() if how == "left_semi" else out
 
 
 def partition_variants(variants: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Variants with the block they lie in; overlapping blocks repeat them, those outside all vanish."""
-    ranges = blocks.select("block_id", "chrom", F.col("chromStart").alias("start"), F.col("chromEnd").alias("end"))
-    return range_join(variants.withColumnRenamed("CHR", "chrom"), ranges).drop("start", "end").withColumnRenamed("chrom", "CHR")  # column names ignore case: pos is POS
+    """Variants with the block they lie in; overlapping blocks repeat them, those outside all vanish.
+
+    Chromosomes may be written 7 or chr7 on either side.
+    """
+    ranges = blocks.select("block_id", chromosome(F.col("chrom")).alias("chrom"), F.col("chromStart").alias("start"), F.col("chromEnd").alias("end"))
+    points = variants.withColumn("_written", F.col("CHR")).withColumn("CHR", chromosome(F.col("CHR"))).withColumnRenamed("CHR", "chrom")
+    return range_join(points, ranges).drop("start", "end", "chrom").withColumnRenamed("_written", "CHR")  # column names ignore case: pos is POS
+
+
+def partition_by_block(variants: DataFrame, blocks: DataFrame) -> DataFrame:
+    """As ``partition_variants`` for all blocks of a catalog: one row a block, its variants in order of position, none as an empty list."""
+    inside = partition_variants(variants, blocks)
+    fields = ["POS", *[c for c in variants.columns if c != "POS"]]
+    lists = inside.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("variants"))
+    return blocks.join(lists, "block_id", "left").withColumn("variants", F.coalesce("variants", F.array().cast(lists.schema["variants"].dataType)))
 
 
 def annotate_ranges(variants: DataFrame, ranges: DataFrame, name: str = "annotated") -> DataFrame:
@@ -52,64 +73,138 @@ def annotate_ranges(variants: DataFrame, ranges: DataFrame, name: str = "annotat
 def merge_snplists(info: DataFrame, sumstats: DataFrame, by: str = "SNP", extra: tuple[str, ...] = (), signed: tuple[str, ...] = ("Z",)) -> DataFrame:
     """Variant rows of each block with their summary statistics.
 
+    Statistics that carry a block_id (from ``partition_variants``) meet the variants of their own block only.
     Keys are compared null-safe. Rows whose alleles differ go; swapped alleles flip the signed columns, an
     unknown phase makes them null. Result: new dense node index, first row of each node marked.
     """
+    name_of = lambda c: f"{c}_sumstats" if c in info.columns else c
     left_key = "site_ids" if by == "SNP" else "position"
-    right = sumstats.select(F.col(by).alias("_key"), F.col("REF").alias("_ref"), F.col("ALT").alias("_alt"), F.col("row_nr").alias("sumstat_row"), *[F.col(c).alias(f"{c}_sumstats" if c in info.columns else c) for c in (*signed, *extra)])
-    both = info.join(right, info[left_key].eqNullSafe(right["_key"])).withColumn("phase", allele_phase(F.col("anc_alleles"), F.col("deriv_alleles"), F.col("_ref"), F.col("_alt"))).where("phase <> 0 or phase is null")
+    block = [F.col("block_id").alias("_block")] if "block_id" in sumstats.columns else []
+    right = sumstats.select(F.col(by).alias("_key"), F.col("REF").alias("_ref"), F.col("ALT").alias("_alt"), F.col("row_nr").alias("sumstat_row"), *block, *[F.col(c).alias(name_of(c)) for c in (*signed, *extra)])
+    same = info[left_key].eqNullSafe(right["_key"])
+    both = info.join(right, same & (info["block_id"] == right["_block"]) if block else same).withColumn("phase", allele_phase(F.col("anc_alleles"), F.col("deriv_alleles"), F.col("_ref"), F.col("_alt"))).where("phase <> 0 or phase is null")
     for c in signed:
-        name = f"{c}_sumstats" if c in info.columns else c
-        both = both.withColumn(name, F.col(name) * F.col("phase"))
+        both = both.withColumn(name_of(c), F.col(name_of(c)) * F.col("phase"))
     node = Window.partitionBy("block_id", "index").orderBy("row_nr", "sumstat_row")
-    block = Window.partitionBy("block_id").orderBy("index")
-    return both.withColumn("is_representative", F.row_number().over(node) == 1).withColumn("node", (F.dense_rank().over(block) - 1).cast("int")).drop("_key", "_ref", "_alt")
+    order = Window.partitionBy("block_id").orderBy("index")
+    return both.withColumn("is_representative", F.row_number().over(node) == 1).withColumn("node", (F.dense_rank().over(order) - 1).cast("int")).drop("_key", "_ref", "_alt", "_block")
+
+
+def merge_first_match(info: DataFrame, sumstats: DataFrame, weights: str | None = None, af_tolerance: float | None = None) -> DataFrame:
+    """Merge that takes the first row only of a repeated variant on either side, by (block_id, SNP).
+
+    Z is that of the table, or BETA / SE where it has none. ``weights`` names a column of per-allele
+    weights, which is summed over the variants of a node. ``af_tolerance`` drops variants whose allele
+    frequencies (AF in the statistics, af in the list, flipped with the alleles) differ by as much or more.
+    """
+    first = lambda df, *keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("row_nr"))).where("_n = 1").drop("_n")
+    z = F.col("Z") if "Z" in sumstats.columns else F.try_divide(F.col("BETA"), F.col("SE"))
+    right = first(sumstats, "block_id", "SNP").select(F.col("block_id").alias("_block"), F.col("SNP").alias("_snp"), F.col("REF").alias("_ref"), F.col("ALT").alias("_alt"), F.col("row_nr").alias("sumstat_row"), z.alias("z"), *([F.col("AF").alias("_af")] if af_tolerance is not None else []), *([F.col(weights).alias("_w")] if weights else []))
+    both = first(info, "block_id", "site_ids").join(right, (F.col("block_id") == F.col("_block")) & (F.col("site_ids") == F.col("_snp")))
+    both = both.withColumn("phase", allele_phase(F.col("anc_alleles"), F.col("deriv_alleles"), F.col("_ref"), F.col("_alt"))).where("phase <> 0").withColumn("z", F.col("z") * F.col("phase"))
+    if af_tolerance is not None:
+        both = both.where(F.abs(F.col("af") - phased_frequency(F.col("phase"), F.col("_af"))) < af_tolerance)
+    if weights:
+        both = both.withColumn("weight", F.sum(F.col("_w") * F.col("phase")).over(Window.partitionBy("block_id", "index")))
+    node = Window.partitionBy("block_id", "index").orderBy("row_nr")
+    return both.withColumn("is_representative", F.row_number().over(node) == 1).drop("_block", "_snp", "_ref", "_alt", "_af", "_w")
+
+
+def merge_panels(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Full join of two reference panels (SNP, REF, ALT, genotypes as an array of 0 to 2) with aligned alleles.
+
+    provenance: 0 both, 1 left only, 2 right only. Individuals of a panel without the variant get the
+    other panel's mean. Variants with other alleles than the left panel's count as missing on the right.
+    """
+    size = lambda df: df.agg(F.max(F.size("genotypes")).alias("n"))
+    r = right.select("SNP", F.col("REF").alias("_ref"), F.col("ALT").alias("_alt"), F.col("genotypes").alias("_g"))
+    both = left.join(r, "SNP", "full").withColumn("phase", F.when(F.col("REF").isNull(), 1).otherwise(allele_phase(F.col("REF"), F.col("ALT"), F.col("_ref"), F.col("_alt"))))
+    other = F.when(F.col("phase") == 1, F.col("_g")).when(F.col("phase") == -1, F.transform("_g", lambda x: 2 - x))
+    both = both.withColumn("_g", other).join(F.broadcast(size(left).withColumnRenamed("n", "_nl"))).join(F.broadcast(size(right).withColumnRenamed("n", "_nr")))  # one row each
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    filled = lambda own, given, n: F.coalesce(F.col(own).cast("array<double>"), F.array_repeat(mean(F.col(given).cast("array<double>")), F.col(n).cast("int")))
+    provenance = F.when(F.col("genotypes").isNull(), 2).when(F.col("_g").isNull(), 1).otherwise(0)
+    return both.select("SNP", F.coalesce("REF", "_ref").alias("REF"), F.coalesce("ALT", "_alt").alias("ALT"), F.concat(filled("genotypes", "_g", "_nl"), filled("_g", "genotypes", "_nr")).alias("genotypes"), provenance.alias("provenance"))
+
+
+def common_nodes(selections: DataFrame) -> DataFrame:
+    """(block_id, i) of the nodes that the selection (population, block_id, i, ord) of every population holds, in the order of the first."""
+    populations = selections.select("population").distinct()
+    first = populations.agg(F.min("population").alias("first"), F.count(F.lit(1)).alias("n"))
+    kept = selections.join(F.broadcast(first)).groupBy("block_id", "i").agg(F.countDistinct("population").alias("k"), F.max("n").alias("n"), F.min(F.when(F.col("population") == F.col("first"), F.col("ord"))).alias("ord")).where("k = n")
+    return kept.select("block_id", "i", (F.row_number().over(Window.partitionBy("block_id").orderBy("ord")) - 1).alias("ord"))
+
+
+def _line(df: DataFrame) -> Column:
+    """Global position; positions are below 1e9."""
+    return (chromosome(F.col("CHR")).cast("long") * F.lit(10**9) + F.col("POS")).cast("long")
 
 
 def nearest_genes(variants: DataFrame, genes: DataFrame, weights: list[float]) -> DataFrame:
     """The len(weights) nearest genes of each variant with their weight, by global position.
 
-    Positions are chrom * 1e9 + pos; ties go to the earlier gene row. Genes carry their order; a variant
-    needs only the k genes on either side, found by where it falls among the sorted genes: both
-    are put on one line per chromosome stretch and the last k genes before and after are collected
-    with windows, so nothing is crossed.
+    Positions are chrom * 1e9 + pos; ties go to the earlier gene row. The line of positions is cut into at most
+    LINE_BINS bins. A variant is compared with the genes of its own bin and with the k nearest to that
+    bin on either side, which are carried over from bin to bin: no table is crossed and none is gathered.
     """
     k = len(weights)
     w = F.array(*[F.lit(float(x)) for x in weights])
-    span = genes.select((F.col("CHR").cast("long") * F.lit(10**9) + F.col("POS")).cast("long").alias("g"), F.col("gene_id"), F.col("gene_row"))
-    points = variants.select((F.col("CHR").cast("long") * F.lit(10**9) + F.col("POS")).cast("long").alias("g")).distinct()
-    if genes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} genes")
-    # a sorted array of a bounded number of genes in every task, and a search in it
-    packed = span.agg(F.array_sort(F.collect_list(F.struct("g", "gene_row", "gene_id"))).alias("all")).first()["all"] or []
-    keys = [(int(r["g"]), int(r["gene_row"]), r["gene_id"]) for r in packed]
-
-    def search(frames):
-        import numpy as np
-        import pandas as pd
-
-        pos = np.array([x[0] for x in keys], np.int64)
-        for pdf in frames:
-            rows = []
-            for g in pdf["g"]:
-                at = int(np.searchsorted(pos, g))
-                lo = max(0, at - k)
-                while lo > 0 and pos[lo - 1] == pos[lo]:  # equal positions compete by row
-                    lo -= 1
-                near = sorted((abs(pos[i] - g), keys[i][1], keys[i][2]) for i in range(lo, min(len(keys), at + 2 * k)))[:k]
-                rows += [(g, n[2], i) for i, n in enumerate(near)]
-            yield pd.DataFrame(rows, columns=["g", "gene_id", "rank"])
-
-    found = points.mapInPandas(search, "g long, gene_id string, rank int").withColumn("weight", F.element_at(w, F.col("rank") + 1))
-    return variants.withColumn("g", (F.col("CHR").cast("long") * F.lit(10**9) + F.col("POS")).cast("long")).join(found, "g").drop("g")
+    line = genes.select(_line(genes).alias("g"), "gene_id", "gene_row")
+    ends = line.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
+    if ends.lo is None:
+        return variants.select("*", F.lit(None).cast("string").alias("gene_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("weight")).where(F.lit(False))
+    width = (ends.hi - ends.lo) // LINE_BINS + 1
+    bin_of = F.least(F.greatest(F.floor((F.col("g") - ends.lo) / width), F.lit(-1)), F.lit(LINE_BINS + 1)).cast("long")
+    own = line.withColumn("bin", bin_of).groupBy("bin").agg(F.collect_list(F.struct("g", "gene_row", "gene_id")).alias("genes"))
+    points = variants.select(_line(variants).alias("g")).distinct().withColumn("bin", bin_of)
+
+    # k nearest to a border: to the right of it by (g, row), to the left by (-g, row)
+    right_order = lambda a: F.slice(F.array_sort(a), 1, k)
+    left_order = lambda a: F.transform(F.slice(F.array_sort(F.transform(a, lambda x: F.struct((-x["g"]).alias("m"), x["gene_row"].alias("gene_row"), x["gene_id"].alias("gene_id")))), 1, k), lambda x: F.struct((-x["m"]).alias("g"), x["gene_row"].alias("gene_row"), x["gene_id"].alias("gene_id")))
+    bins = own.select("bin", left_order(F.col("genes")).alias("last"), right_order(F.col("genes")).alias("first"))
+    ordered = Window.orderBy("bin")  # of at most LINE_BINS rows with k genes on either side
+    carried = bins.select("bin", left_order(F.flatten(F.collect_list("last").over(ordered.rowsBetween(-k, 0)))).alias("upto"), right_order(F.flatten(F.collect_list("first").over(ordered.rowsBetween(0, k)))).alias("onward"))
+    places = points.select("bin").distinct().join(carried, "bin", "full")
+    before = F.last("upto", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("onward", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    around = places.select("bin", before.alias("before"), after.alias("after")).join(own, "bin", "left")
+    none = F.array().cast(own.schema["genes"].dataType)
+    near = around.select("bin", F.explode(F.concat(*[F.coalesce(F.col(c), none) for c in ("before", "genes", "after")])).alias("x")).select("bin", "x.*").withColumnRenamed("g", "at")
+    ranked = points.join(near, "bin").withColumn("rank", (F.row_number().over(Window.partitionBy("g").orderBy(F.abs(F.col("at") - F.col("g")), "gene_row")) - 1).cast("int")).where(F.col("rank") < k)
+    found = ranked.select("g", "gene_id", "rank", F.element_at(w, F.col("rank") + 1).alias("weight"))
+    return variants.withColumn("g", _line(variants)).join(found, "g").drop("g")
+
+
+def gene_scores(near: DataFrame, values: list[str]) -> DataFrame:
+    """Values of variants carried to genes: sum(weight * value) for each of ``values``, from rows of ``nearest_genes``."""
+    return near.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
+
+
+def gene_set_variants(near: DataFrame, members: DataFrame) -> DataFrame:
+    """(row_nr, set_name, weight): a variant's weight in a gene set, summed over its near genes (``gene_set_annotations``)."""
+    return near.join(members, "gene_id").groupBy("row_nr", "set_name").agg(F.sum("weight").alias("weight"))
 
 
 def gene_set_annotations(genes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(gene_id, set_name) of every gene that a set names, by id or by name."""
-    distinct = sets.select("set_name", "gene").distinct()
-    by_id = genes.join(distinct, genes["gene_id"] == distinct["gene"])
-    by_name = genes.join(distinct, (genes["gene_name"] == distinct["gene"]) & ~distinct["gene"].contains("ENSG"))
-    return by_id.select("gene_id", "set_name").union(by_name.select("gene_id", "set_name")).distinct()
+    """(gene_id, set_name) of every gene that a set names; by gene_id if the first gene named contains ENSG, else by gene_name."""
+    first = sets.agg(F.min(F.struct(*[c for c in ("set_row", "set_name") if c in sets.columns], "gene")).alias("x")).select(F.col("x.gene").contains("ENSG").alias("_by_id"))
+    distinct = sets.select("set_name", "gene").distinct().join(F.broadcast(first))  # one row
+    named = genes.select("gene_id", "gene_name")
+    return named.join(distinct, F.when(F.col("_by_id"), F.col("gene_id")).otherwise(F.col("gene_name")) == F.col("gene")).select("gene_id", "set_name").distinct()
+
+
+def match_annotations(rows: DataFrame, annotations: DataFrame, by: str | None = None) -> DataFrame:
+    """Score rows with their annotations; inner by a key that the annotations must not repeat.
+
+    ``by`` None: the first of RSID, gene_id, gene_name and SNP that both have.
+    """
+    key = by or next((c for c in ("RSID", "gene_id", "gene_name", "SNP") if c in rows.columns and c in annotations.columns), None)
+    if key is None:
+        raise ValueError("score rows and annotations have no key in common")
+    counted = annotations.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    checked = counted.withColumn("_ok", F.assert_true(F.col("_n") == 1, F.concat(F.lit("annotations repeat the key "), F.col(key).cast("string")))).where("_ok is null")
+    keep = [c for c in annotations.columns if c == key or c not in rows.columns]
+    return rows.join(checked.select(*keep), key)
 
 
 def mutations_to_bricks(mutations: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,9 +214,13 @@ def mutations_to_bricks(mutations: DataFrame, edges: DataFrame) -> DataFrame:
     return hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("mutation", "position", "brick")
 
 
-def reml_join(sumstats: DataFrame, annotations: DataFrame, keep_annotations: bool = False) -> DataFrame:
-    """Summary statistics with annotations by SNP; the first row of each repeated SNP stays."""
-    first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("SNP").orderBy("row_nr"))).where("_n = 1").drop("_n")
+def reml_join(sumstats: DataFrame, annotations: DataFrame, keep_annotations: bool = False, by: tuple[str, ...] = ("SNP",)) -> DataFrame:
+    """Summary statistics with annotations by SNP, or by (CHR, POS); the first row of each repeated key stays.
+
+    CHR and POS are those of the annotations. ``keep_annotations``: annotated variants without statistics stay too.
+    """
+    first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("row_nr"))).where("_n = 1").drop("_n")
     right = first(annotations)
-    left = first(sumstats).select("SNP", "REF", "ALT", "Z", "N")
-    return left.join(right, "SNP", "right" if keep_annotations else "inner")
+    taken = [c for c in ("SNP", "REF", "ALT", "Z", "N") if c in by or c not in annotations.columns]
+    left = first(sumstats).select(*dict.fromkeys((*by, *taken)))
+    return left.join(right, list(by), "right" if keep_annotations else "inner")

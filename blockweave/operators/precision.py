@@ -6,11 +6,12 @@ the two sides meet in ``cogroup`` and numpy works on one block, whose size the b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions import kernels
@@ -78,9 +79,59 @@ def variant_solve(matrix: DataFrame, values: DataFrame) -> DataFrame:
     return values.join(solve(matrix, node_sums(values)), ["block_id", "i"]).select("block_id", "variant", "i", "y")
 
 
+def select_nodes(selection: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A view of a view: ``chosen`` (block_id, at, ord) are places in ``selection`` (block_id, i, ord); repeated ones count once.
+
+    Views are tables of node numbers; nothing is computed until a product, a solve or a determinant asks for it.
+    """
+    first = chosen.groupBy("block_id", "at").agg(F.min("ord").alias("ord"))
+    own = selection.select("block_id", "i", F.col("ord").alias("at"))
+    return own.join(first, ["block_id", "at"]).withColumn("ord", (F.row_number().over(Window.partitionBy("block_id").orderBy("ord")) - 1).cast("int")).select("block_id", "i", "ord")
+
+
+def select_where(selection: DataFrame, condition: Column | str) -> DataFrame:
+    """A view of the nodes for which a condition on (i, ord) holds."""
+    return selection.where(condition).withColumn("ord", (F.row_number().over(Window.partitionBy("block_id").orderBy("ord")) - 1).cast("int"))
+
+
+def _view(matrix: DataFrame, selection: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return per_block(matrix, selection, lambda p, v: kernel(p, v.sort_values("ord", ignore_index=True)), schema)
+
+
+def selected_matrix(matrix: DataFrame, selection: DataFrame) -> DataFrame:
+    """Entries (block_id, i, j, value) of a view's matrix, by place in the view."""
+
+    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+        m = kernels.schur(p, v["i"].to_numpy())
+        i, j = np.nonzero(m)
+        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j, "value": m[i, j]})
+
+    return _view(matrix, selection, kernel, "block_id string, i int, j int, value double")
+
+
+def selected_multiply(matrix: DataFrame, vector: DataFrame) -> DataFrame:
+    """P_view x for views whose rows carry x: (block_id, i, ord, x)."""
+    kernel = lambda p, v: v[["block_id", "i", "ord"]].assign(y=kernels.multiply(p, v["x"].to_numpy(), v["i"].to_numpy()))
+    return _view(matrix, vector, kernel, "block_id string, i int, ord int, y double")
+
+
+def selected_log_determinant(matrix: DataFrame, selection: DataFrame) -> DataFrame:
+    kernel = lambda p, v: pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "logdet": [kernels.logdet(p, v["i"].to_numpy())]})
+    return _view(matrix, selection, kernel, "block_id string, logdet double")
+
+
+def normalise(matrix: DataFrame) -> DataFrame:
+    """Matrices scaled on both sides so that their inverses have a diagonal of ones."""
+    root = inverse_diagonal(matrix).select("block_id", "i", F.sqrt("y").alias("root"))
+    return matrix.join(root, ["block_id", "i"]).join(root.withColumnsRenamed({"i": "j", "root": "other"}), ["block_id", "j"]).select("block_id", "i", "j", (F.col("value") * F.col("root") * F.col("other")).alias("value"))
+
+
 def inverse_diagonal(matrix: DataFrame, method: str = "exact", n_samples: int = 100, seed: int = 0) -> DataFrame:
+    """Diagonal of R, exact or estimated; probes are a function of the seed and the block."""
+
     def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": np.arange(len(p)), "y": kernels.inverse_diagonal(p, method, n_samples=n_samples, seed=seed)})
+        block = v["block_id"].iloc[0]
+        return pd.DataFrame({"block_id": block, "i": np.arange(len(p)), "y": kernels.inverse_diagonal(p, method, n_samples=n_samples, seed=seed + zlib.crc32(str(block).encode()))})
 
     return per_block(matrix, matrix.select("block_id").distinct(), kernel, "block_id string, i int, y double")
 
@@ -110,6 +161,7 @@ def clump(matrix: DataFrame, rows: DataFrame, rsq: float = 0.1, chi2: float = 30
     """Lead flags of merged rows; rows that represent no node are no leads."""
 
     def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values(["i", "row_nr"], ignore_index=True)  # ties in chi-square go to the smaller node
         out = v[["block_id", "row_nr"]].assign(is_index=False)
         rep = v["is_representative"].to_numpy(bool) & v["z"].notna().to_numpy()
         if rep.any() and len(p):
@@ -120,56 +172,35 @@ def clump(matrix: DataFrame, rows: DataFrame, rsq: float = 0.1, chi2: float = 30
 
 
 def reml_terms(matrix: DataFrame, rows: DataFrame, annotations: list[str], theta: list[float], denominator: float = 6e6, intercept: float = 1.0) -> DataFrame:
-    """Log likelihood, gradient and Hessian of each block as arrays, from rows (block_id, i, z, n, annotations)."""
-    k = len(annotations)
+    """Log likelihood, gradient and Hessian of each block as arrays, from rows (block_id, i, z, n, annotations); n is the same in all rows."""
 
     def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
         a, t = v[annotations].to_numpy(float), np.asarray(theta)
-        nodes, n = v["i"].to_numpy(), float(v["n"].mean())
-        u, inverse = np.unique(nodes, return_inverse=True)
-        eta = a @ t
-        h2 = np.bincount(inverse, np.logaddexp(0, eta) / denominator)
-        slope = np.zeros((len(u), k))
-        np.add.at(slope, inverse, a / (1 + np.exp(-eta))[:, None] / denominator)
-        z = np.zeros(len(u))
-        z[inverse[::-1]] = v["z"].to_numpy()[::-1]  # the first row of a node stands for it
-        view = kernels.schur(p, u)
-        pz = view @ z / np.sqrt(n)
-        m = view * intercept / n + np.diag(h2)
-        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "ll": [kernels.likelihood(m, pz)], "gradient": [kernels.likelihood_gradient(m, pz, slope).tolist()], "hessian": [kernels.likelihood_hessian(m, pz, slope).ravel().tolist()]})
+        u, inverse, pz, m = kernels.reml_state(p, v, annotations, t, float(v["n"].mean()), denominator, intercept)
+        slope = np.zeros((len(u), len(annotations)))
+        np.add.at(slope, inverse, a / (1 + np.exp(-(a @ t)))[:, None] / denominator)
+        g = kernels.Gaussian(m, pz)
+        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "ll": [g.likelihood()], "gradient": [g.gradient(slope).tolist()], "hessian": [g.hessian(slope).ravel().tolist()]})
 
     return per_block(matrix, rows, kernel, "block_id string, ll double, gradient array<double>, hessian array<double>")
 
 
-def reml_fit(matrix: DataFrame, rows: DataFrame, annotations: list[str], iterations: int = 20, denominator: float = 6e6, tolerance: float = 1e-4) -> dict:
-    """Trust-region Newton over all blocks: one job an evaluation, p x p sums on the driver."""
-    k = len(annotations)
-    matrix, rows = matrix.persist(), rows.persist()
-
-    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        terms = reml_terms(matrix, rows, annotations, theta.tolist(), denominator)
-        row = terms.agg(F.sum("ll").alias("ll"), F.array(*[F.sum(F.col("gradient")[i]) for i in range(k)]).alias("g"), F.array(*[F.sum(F.col("hessian")[i]) for i in range(k * k)]).alias("h")).first()
-        return row.ll, np.array(row.g), np.array(row.h).reshape(k, k)
-
-    try:
-        theta, radius, trace = np.zeros(k), 1e-3, []
-        ll, g, h = evaluate(theta)
-        for _ in range(iterations):
-            step = -np.linalg.solve(h + radius * np.diag(np.diag(h) - 1e-12), g)
-            new = evaluate(theta + step)
-            predicted = g @ step + 0.5 * step @ h @ step
-            rho = (new[0] - ll) / predicted if predicted else 0.0
-            trace.append((ll, radius, rho))
-            if rho < 1e-4:
-                radius *= 5
-                continue
-            gain = new[0] - ll
-            theta, (ll, g, h) = theta + step, new
-            if rho > 0.99:
-                radius /= 5
-            if abs(gain) < tolerance:
-                break
-        return {"theta": theta, "loglik": ll, "gradient": g, "hessian": h, "trace": trace}
-    finally:
-        matrix.unpersist()
-        rows.unpersist()
+def estimate_precision(correlations: DataFrame, penalty: float = 0.0, sweeps: int = 25) -> DataFrame:
+    """Precision entries (block_id, i, j, value) from correlations (block_id, i, j, value), whose entries are the support too."""
+
+    def kernel(c: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+        p = kernels.lasso_precision(c, c != 0, penalty, sweeps)
+        i, j = np.nonzero(p)
+        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j, "value": p[i, j]})
+
+    return per_block(correlations, correlations.select("block_id").distinct(), kernel, "block_id string, i int, j int, value double")
+
+
+def fit_summary(precision: DataFrame, correlations: DataFrame) -> DataFrame:
+    """Mean squared difference of R and the correlations on their support, and the mean degree, by block."""
+
+    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.inv(p)[v["i"].to_numpy(), v["j"].to_numpy()]
+        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "mse": [float(((r - v["value"].to_numpy()) ** 2).mean())], "degree": [float((p != 0).sum() / len(p) - 1)]})
+
+    return per_block(precision, correlations, kernel, "block_id string, mse double, degree double")

@@ -5,6 +5,12 @@ Numbers are multiples of 1/8 or whole, so sums are exact in any order.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 # name -> (table, expressions, filter)
@@ -27,6 +33,11 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
     "score": ("part", ["CAST(p_partkey % 2 AS INT) AS store", "CAST(p_partkey AS BIGINT) AS row_nr", "CAST(floor(CAST(p_partkey AS DOUBLE) / 100) % 7 AS INT) AS jackknife_block", "CAST((p_partkey * 31) % 17 - 8 AS DOUBLE) / 8 AS gradient", "CAST(1 AS DOUBLE) AS base", "CAST(p_partkey % 3 AS DOUBLE) AS cont"], "true"),
     "entries": ("part", [
         "concat('b', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 50) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey % 50 AS INT) AS i", "CAST(least(p_partkey % 50 + 1 + p_size % 3, 49) AS INT) AS j", "CAST(p_size % 5 - 2 AS DOUBLE) / 8 AS value"], "true"),
+    "pair_stats": ("part", ["CAST(p_partkey AS BIGINT) AS row_nr", "concat('rs', CAST(p_partkey AS VARCHAR(20))) AS SNP", "CAST(1 AS INT) AS CHR", "CAST(p_partkey * 10 AS BIGINT) AS POS", "'A' AS REF", "'C' AS ALT", "CAST((p_partkey * 37) % 97 - 48 AS DOUBLE) / 8 AS Z", "CAST(1024 AS DOUBLE) AS N", "CAST(p_size % 9 + 1 AS DOUBLE) / 16 AS AF"], "true"),
+    "pair_info": ("part", ["concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey AS BIGINT) AS row_nr", "CAST(p_partkey % 2 AS INT) AS index", "CASE WHEN p_partkey % 13 = 0 THEN 'none' ELSE concat('rs', CAST(p_partkey AS VARCHAR(20))) END AS site_ids", "CAST(p_partkey * 10 AS BIGINT) AS position", "CASE WHEN p_partkey % 3 = 0 THEN 'C' ELSE 'A' END AS anc_alleles", "CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'C' END AS deriv_alleles", "CAST(p_size % 7 + 1 AS DOUBLE) / 16 AS af"], "true"),
+    "pair_blocks": ("part", ["DISTINCT concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(1 AS INT) AS chrom", "CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) * 20 AS chromStart", "CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) * 20 + 20 AS chromEnd"], "true"),
+    "pair_diagonal": ("part", ["concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey % 2 AS INT) AS i", "CAST(p_partkey % 2 AS INT) AS j", "CAST(2 + p_size % 4 AS DOUBLE) AS value"], "true"),
+    "pair_corner": ("part", ["concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(0 AS INT) AS i", "CAST(1 AS INT) AS j", "CAST(p_size % 5 - 2 AS DOUBLE) / 4 AS value"], "p_partkey % 2 = 0"),
     "graph": ("lineitem", ["CAST(l_partkey % 60 AS INT) AS a", "CAST(l_suppkey % 60 AS INT) AS b", "l_quantity / 8 AS weight"], "l_partkey % 60 <> l_suppkey % 60"),
 }
 
@@ -42,3 +53,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cte(*names: str) -> str:
     """WITH clauses of views for an oracle."""
     return "WITH " + ", ".join(f"{n} AS (SELECT {', '.join(VIEWS[n][1])} FROM {VIEWS[n][0]} WHERE {VIEWS[n][2]})" for n in names) + " "
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads again: where the cluster's shared folder or warehouse is, on a local master a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        shared = _own_folder() if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="blockweave-scratch-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions import scalars as S
-from blockweave.operators import graphs, joins, precision, statistics
-from blockweave.plans.fixtures import cte, view
-from blockweave.sources import readers
+from blockweave.operators import graphs, joins, precision, statistics, workflows
+from blockweave.plans.fixtures import cte, scratch, view
+from blockweave.sources import readers, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,10 +69,10 @@ def _(spark, d):
     return statistics.missingness_filter(view(spark, d, "variants"), 0.02).select("row_nr", "SNP", "N")
 
 
-@query("p9_exclude_large_chi2", cte("variants") + ", p AS (SELECT CAST(floor(row_nr / 20.0) AS BIGINT) AS block_id, Z FROM variants) SELECT block_id, count(*) AS n FROM p WHERE block_id IN (SELECT block_id FROM p GROUP BY 1 HAVING max(Z * Z) <= 33) GROUP BY 1")
+@query("p9_exclude_large_chi2", cte("variants") + ", p AS (SELECT CAST(floor(row_nr / 7.0) AS BIGINT) AS block_id, Z FROM variants) SELECT block_id, count(*) AS n FROM p WHERE block_id IN (SELECT block_id FROM p GROUP BY 1 HAVING max(Z * Z) <= 33) GROUP BY 1")
 def _(spark, d):
-    p = view(spark, d, "variants").withColumn("block_id", F.floor(F.col("row_nr") / 20))
-    return statistics.exclude_large_chi2(p, 33.0).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    p = view(spark, d, "variants").withColumn("block_id", F.floor(F.col("row_nr") / 7))
+    return statistics.exclude_large_chi2(p, 33.0)[0].groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _NEAR = cte("variants", "genes") + ", c AS (SELECT v.row_nr, g.gene_id, v.Z, row_number() OVER (PARTITION BY v.row_nr ORDER BY abs((CAST(g.CHR AS BIGINT) * 1000000000 + g.POS) - (CAST(v.CHR AS BIGINT) * 1000000000 + v.POS)), g.gene_row) AS rn FROM variants v CROSS JOIN genes g), k AS (SELECT *, CASE rn WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 0.125 END::DOUBLE AS weight FROM c WHERE rn <= 3) "
@@ -103,7 +102,7 @@ def _(spark, d):
     return joins.reml_join(view(spark, d, "variants"), view(spark, d, "annot"), True)
 
 
-_RUNS = cte("score") + ", c AS (SELECT *, CASE WHEN lag(jackknife_block) OVER w IS NULL THEN 0 ELSE CAST(jackknife_block <> lag(jackknife_block) OVER w AS INT) END AS ch FROM score WINDOW w AS (PARTITION BY store ORDER BY row_nr)), e AS (SELECT *, coalesce(lead(ch) OVER (PARTITION BY store ORDER BY row_nr), 0) AS ch2 FROM c), r AS (SELECT *, CAST(sum(ch2) OVER (PARTITION BY store ORDER BY row_nr ROWS UNBOUNDED PRECEDING) AS INT) AS run FROM e), l AS (SELECT store, run, 'base' AS annotation, base * gradient AS v FROM r UNION ALL SELECT store, run, 'cont', cont * gradient FROM r), bs AS (SELECT store, run, annotation, sum(v) AS score FROM l GROUP BY ALL), t AS (SELECT store, annotation, sum(score) AS total FROM bs GROUP BY ALL), o AS (SELECT bs.*, total, total - score AS loo FROM bs JOIN t USING (store, annotation)) "
+_RUNS = cte("score") + ", c AS (SELECT *, CASE WHEN lag(jackknife_block) OVER w IS NULL THEN 0 ELSE CAST(jackknife_block <> lag(jackknife_block) OVER w AS INT) END AS ch FROM score WINDOW w AS (PARTITION BY store ORDER BY row_nr)), e AS (SELECT *, coalesce(lead(ch) OVER (PARTITION BY store ORDER BY row_nr), 0) AS ch2 FROM c), r AS (SELECT *, CAST(sum(ch2) OVER (PARTITION BY store ORDER BY row_nr ROWS UNBOUNDED PRECEDING) AS INT) AS run FROM e), l AS (SELECT store, run, 'base' AS annotation, base * gradient AS v FROM r UNION ALL SELECT store, run, 'cont', cont * gradient FROM r), bs AS (SELECT store, run, annotation, sum(v) AS score FROM (SELECT * FROM l UNION ALL SELECT DISTINCT store, 0, a, 0::DOUBLE FROM score CROSS JOIN (VALUES ('base'), ('cont')) v(a)) GROUP BY ALL), t AS (SELECT store, annotation, sum(score) AS total FROM bs GROUP BY ALL), o AS (SELECT bs.*, total, total - score AS loo FROM bs JOIN t USING (store, annotation)) "
 
 
 @query("a3_block_scores", _RUNS + "SELECT store, run, annotation, score FROM bs")
@@ -193,27 +192,179 @@ def _(spark, d):
     return precision.clump(*_diagonal(spark, d), 0.1, 4.0)
 
 
-@query("l9_inverse_diagonal", _DIAG + "SELECT block_id, i, CAST(0.5 AS DOUBLE) AS y FROM v")
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of two nodes with an off-diagonal entry, whose inverses have a closed form."""
+    return precision.sparse_precision(view(spark, d, "pair_diagonal").unionByName(view(spark, d, "pair_corner")))
+
+
+_PAIR = cte("pair_stats", "pair_info", "pair_blocks", "pair_diagonal", "pair_corner") + """, q AS (SELECT d.block_id, max(CASE WHEN d.i = 0 THEN d.value END) AS d0, max(CASE WHEN d.i = 1 THEN d.value END) AS d1, max(c.value) AS o FROM pair_diagonal d JOIN pair_corner c USING (block_id) GROUP BY 1 HAVING count(*) = 2),
+ m AS (SELECT i.block_id, i.index, s.row_nr, s.Z * CASE WHEN i.anc_alleles = s.REF THEN 1 ELSE -1 END AS z FROM pair_info i JOIN pair_stats s ON i.site_ids = s.SNP),
+ w AS (SELECT q.*, d0 * d1 - o * o AS det, max(CASE WHEN m.index = 0 THEN z END) AS z0, max(CASE WHEN m.index = 1 THEN z END) AS z1 FROM q LEFT JOIN m USING (block_id) GROUP BY ALL),
+ nodes AS (SELECT block_id, index AS i, row_nr FROM pair_info SEMI JOIN q USING (block_id)) """
+
+
+def _whole_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Of ``_pairs`` the blocks that have both nodes."""
+    m = _pairs(spark, d)
+    return m.join(m.where("i = j").groupBy("block_id").count().where("count = 2").select("block_id"), "block_id", "left_semi")
+
+
+def _pair_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    m = _whole_pairs(spark, d)
+    whole = m.select("block_id").distinct()
+    return m, view(spark, d, "pair_info").join(whole, "block_id"), view(spark, d, "pair_stats"), view(spark, d, "pair_blocks").join(whole, "block_id")
+
+
+@query("l9_inverse_diagonal", _PAIR + "SELECT block_id, i, round(CASE i WHEN 0 THEN d1 ELSE d0 END / det, 9) AS y FROM nodes JOIN w USING (block_id)")
+def _(spark, d):
+    return precision.inverse_diagonal(_whole_pairs(spark, d)).withColumn("y", F.round("y", 9))
+
+
+@query("l7_log_determinant", _PAIR + "SELECT block_id, round(ln(det), 9) AS logdet FROM w")
+def _(spark, d):
+    return precision.log_determinant(_whole_pairs(spark, d)).withColumn("logdet", F.round("logdet", 9))
+
+
+@query("l4_selected_matrix", _PAIR + "SELECT block_id, CAST(0 AS INT) AS i, CAST(0 AS INT) AS j, round(d0 - o * o / d1, 9) AS value FROM w")
+def _(spark, d):
+    whole = _whole_pairs(spark, d).where("i = j").select("block_id", F.col("i"), F.col("i").alias("ord"))
+    return precision.selected_matrix(_whole_pairs(spark, d), precision.select_where(whole, "i = 0")).withColumn("value", F.round("value", 9))
+
+
+@query("l2_selected_multiply", _PAIR + "SELECT block_id, CAST(1 AS INT) AS i, CAST(0 AS INT) AS ord, round((d1 - o * o / d0) * 3, 9) AS y FROM w")
+def _(spark, d):
+    rows = _whole_pairs(spark, d).where("i = j and i = 1").select("block_id", "i", F.lit(0).alias("ord"), F.lit(3.0).alias("x"))
+    return precision.selected_multiply(_whole_pairs(spark, d), rows).withColumn("y", F.round("y", 9))
+
+
+@query("l7_selected_log_determinant", _PAIR + "SELECT block_id, round(ln(det) - ln(d1), 9) AS logdet FROM w")
+def _(spark, d):
+    rows = _whole_pairs(spark, d).where("i = j and i = 0").select("block_id", "i", F.lit(0).alias("ord"))
+    return precision.selected_log_determinant(_whole_pairs(spark, d), rows).withColumn("logdet", F.round("logdet", 9))
+
+
+@query("l5_scale", _PREC + "SELECT block_id, i, j, value * 0.25 AS value FROM p")
 def _(spark, d):
-    return precision.inverse_diagonal(_diagonal(spark, d)[0])
+    return precision.scale(precision.sparse_precision(view(spark, d, "entries")), 0.25)
 
 
-@query("l7_log_determinant", _DIAG + "SELECT block_id, round(count(*) * ln(2), 6) AS logdet FROM v GROUP BY 1")
+@query("l8_variant_solve", _PAIR + "SELECT block_id, row_nr AS variant, i, round(CASE i WHEN 0 THEN (d1 * 3 - o * 2) / det ELSE (d0 * 2 - o * 3) / det END, 9) AS y FROM (SELECT * FROM nodes UNION ALL SELECT block_id, i, row_nr + 1000000 FROM nodes WHERE i = 0) JOIN w USING (block_id)")
 def _(spark, d):
-    return precision.log_determinant(_diagonal(spark, d)[0]).withColumn("logdet", F.round("logdet", 6))
+    m, info, _, _ = _pair_tables(spark, d)
+    one = info.select("block_id", F.col("row_nr").alias("variant"), F.col("index").alias("i"), F.when(F.col("index") == 0, 1.0).otherwise(2.0).alias("x"))
+    twin = one.where("i = 0").select("block_id", (F.col("variant") + 1_000_000).alias("variant"), "i", F.lit(2.0).alias("x"))
+    return precision.variant_solve(m, one.union(twin)).withColumn("y", F.round("y", 9))
+
+
+@query("s23_normalise", _PAIR + "SELECT block_id, i, i AS j, round(CASE i WHEN 0 THEN d0 * d1 ELSE d0 * d1 END / det, 9) AS value FROM nodes JOIN w USING (block_id)")
+def _(spark, d):
+    return precision.normalise(_whole_pairs(spark, d)).where("i = j").withColumn("value", F.round("value", 9))
+
+
+@query("b2_run_blup", _PAIR + """, b AS (SELECT *, CASE WHEN z0 IS NOT NULL AND z1 IS NOT NULL THEN d0 * z0 + o * z1 WHEN z0 IS NOT NULL THEN (d0 - o * o / d1) * z0 ELSE 0 END AS p0, CASE WHEN z0 IS NOT NULL AND z1 IS NOT NULL THEN d1 * z1 + o * z0 WHEN z1 IS NOT NULL THEN (d1 - o * o / d0) * z1 ELSE 0 END AS p1, d0 + CASE WHEN z0 IS NULL THEN 0 ELSE 256 END AS m0, d1 + CASE WHEN z1 IS NULL THEN 0 ELSE 256 END AS m1 FROM w),
+ g AS (SELECT *, 8 * (m1 * p0 - o * p1) / (m0 * m1 - o * o) AS w0, 8 * (m0 * p1 - o * p0) / (m0 * m1 - o * o) AS w1 FROM b)
+ SELECT s.row_nr, s.SNP, round(CASE WHEN m.row_nr IS NULL THEN 0 WHEN m.index = 0 THEN w0 ELSE w1 END, 7)::DOUBLE AS weight FROM pair_stats s JOIN pair_blocks k ON s.POS >= k.chromStart AND s.POS < k.chromEnd JOIN g ON g.block_id = k.block_id LEFT JOIN m ON m.row_nr = s.row_nr""")
+def _(spark, d):
+    m, info, stats, catalog = _pair_tables(spark, d)
+    return workflows.run_blup(m, info, stats, 0.25, 1024.0, catalog).select("row_nr", "SNP", (F.round("weight", 7) + 0.0).alias("weight"))
+
+
+@query("c1_run_clump", _PAIR + """, c AS (SELECT *, coalesce(z0 * z0, -1) AS c0, coalesce(z1 * z1, -1) AS c1, (o / det) * (o / det) >= 0.0005 AS tied FROM w),
+ g AS (SELECT *, c0 >= 4 AND NOT (tied AND c1 > c0) AS l0, c1 >= 4 AND NOT (tied AND c0 >= c1 AND c0 >= 4) AS l1 FROM c)
+ SELECT s.row_nr, CASE WHEN m.row_nr IS NULL THEN false WHEN m.index = 0 THEN l0 ELSE l1 END AS is_index FROM pair_stats s JOIN pair_blocks k ON s.POS >= k.chromStart AND s.POS < k.chromEnd JOIN g ON g.block_id = k.block_id LEFT JOIN m ON m.row_nr = s.row_nr""")
+def _(spark, d):
+    m, info, stats, catalog = _pair_tables(spark, d)
+    return workflows.run_clump(m, info, stats, 0.0005, 4.0, catalog, "SNP").select("row_nr", "is_index")
+
+
+def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m, info, stats, _ = _pair_tables(spark, d)
+    z = stats.select("row_nr", F.col("Z").alias("z"))
+    return m, info.select("block_id", "row_nr", F.col("index").alias("i")).join(z, "row_nr")
+
+
+@query("q1_impute", _PAIR + "SELECT n.block_id, n.row_nr, round(CASE WHEN n.i = 0 THEN s.Z ELSE -o / d1 * t.Z END + 0.0, 9) AS z FROM nodes n JOIN w USING (block_id) JOIN pair_stats s ON s.row_nr = n.row_nr LEFT JOIN pair_stats t ON t.row_nr = n.row_nr - 1")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    return workflows.impute_z(m, rows.withColumn("z", F.when(F.col("i") == 0, F.col("z")))).withColumn("z", F.round("z", 9) + 0.0)
+
+
+@query("q2_outlier_chi2", _PAIR + "SELECT n.block_id, n.row_nr, round(power(s.Z - CASE n.i WHEN 0 THEN -o / d0 ELSE -o / d1 END * t.Z, 2) / CASE n.i WHEN 0 THEN 1 / d0 ELSE 1 / d1 END, 6) AS chi2 FROM nodes n JOIN w USING (block_id) JOIN pair_stats s ON s.row_nr = n.row_nr JOIN pair_stats t ON t.row_nr = n.row_nr + CASE n.i WHEN 0 THEN 1 ELSE -1 END")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    return workflows.outlier_chi2(m, rows.withColumn("half", F.col("i") == 0)).withColumn("chi2", F.round("chi2", 6))
+
+
+@query("q3_regularise", _PAIR + ", r AS (SELECT *, d1 / det AS r0, -o / det AS ro, d0 / det AS r1 FROM w), s AS (SELECT *, 0.75 * r0 + 0.25 AS s0, 0.75 * ro AS so, 0.75 * r1 + 0.25 AS s1 FROM r), t AS (SELECT *, s0 * s1 - so * so AS e FROM s), u AS (SELECT t.*, a.Z AS ya, b.Z AS yb FROM t JOIN nodes p ON p.block_id = t.block_id AND p.i = 0 JOIN pair_stats a ON a.row_nr = p.row_nr JOIN pair_stats b ON b.row_nr = p.row_nr + 1) SELECT n.block_id, n.row_nr, round(CASE n.i WHEN 0 THEN r0 * (s1 * ya - so * yb) / e + ro * (s0 * yb - so * ya) / e ELSE ro * (s1 * ya - so * yb) / e + r1 * (s0 * yb - so * ya) / e END + 0.0, 7) AS z FROM nodes n JOIN u USING (block_id)")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    return workflows.regularise_z(m, rows, 0.25).withColumn("z", F.round("z", 7) + 0.0)
+
+
+@query("q4_score_accuracy", _PAIR + ", s AS (SELECT sum((d1 * 3 + d0 * 5 - o * 8) / det) AS wt, sum((d1 + d0 - 2 * o) / det) AS ww, sum((d1 * 9 + d0 * 25 - 30 * o) / det) AS tt FROM w) SELECT round(wt * wt / (ww * tt), 9) AS r2 FROM s")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    marked = rows.select("block_id", "i", F.lit(1.0).alias("weight"), F.when(F.col("i") == 0, 3.0).otherwise(5.0).alias("truth"))
+    return workflows.score_accuracy(m, marked).withColumn("r2", F.round("r2", 9))
+
+
+@query("q4_score_accuracy_from_z", _PAIR + ", s AS (SELECT sum((d1 + d0 - 2 * o) / det) AS ww FROM w), x AS (SELECT sum(s.Z) AS wz FROM nodes n JOIN pair_stats s ON s.row_nr = n.row_nr) SELECT round(wz * wz / (ww * 1024), 9) AS r2, round(wz / sqrt(ww), 7) AS z FROM s CROSS JOIN x")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    return workflows.score_accuracy_from_z(m, rows.withColumn("weight", F.lit(1.0)), 1024.0).select(F.round("r2", 9).alias("r2"), F.round("z", 7).alias("z"))
+
+
+@query("q4_project_weights", _PAIR + "SELECT block_id, CAST(0 AS INT) AS i, round(1 - 2 * o / d1, 9) AS weight FROM w")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    weights = rows.select("block_id", "row_nr", "i", (F.col("i") + 1.0).alias("weight"))
+    return workflows.project_weights(m, weights, rows.where("i = 0").select("block_id", "i")).withColumn("weight", F.round("weight", 9))
+
+
+@query("j13_surrogate_markers", _PAIR + "SELECT n.block_id, n.row_nr, n.i, CAST(0 AS INT) AS surrogate, CASE n.i WHEN 0 THEN s.Z ELSE t.Z END AS z, CASE n.i WHEN 1 THEN 'correlation' END AS method FROM nodes n JOIN pair_stats s ON s.row_nr = n.row_nr LEFT JOIN pair_stats t ON t.row_nr = n.row_nr - 1")
+def _(spark, d):
+    m, rows = _seen(spark, d)
+    return workflows.surrogate_markers(m, rows.withColumn("z", F.when(F.col("i") == 0, F.col("z"))))
 
 
 @query("r3_reml_terms")
 def _(spark, d):
-    m, rows = _diagonal(spark, d)
-    return precision.reml_terms(m, rows.withColumn("base", F.lit(1.0)), ["base"], [0.0], 1e3)
+    m, info, stats, catalog = _pair_tables(spark, d)
+    rows = workflows.prepare_reml_inputs(m, info, stats, _pair_annotations(stats), ["base", "coding"], catalog)
+    return precision.reml_terms(m, rows, ["base", "coding"], [0.5, -0.25], 1e3)
+
+
+def _pair_annotations(stats: DataFrame) -> DataFrame:
+    return stats.select("row_nr", "SNP", "CHR", "POS", "REF", "ALT", F.lit(1.0).alias("base"), (F.col("row_nr") % 2).cast("double").alias("coding"))
+
+
+@query("r4_reml_inputs", _PAIR + "SELECT m.block_id, m.row_nr, m.index AS i, m.z, 1024.0::DOUBLE AS n, 1.0::DOUBLE AS base, CAST(m.row_nr % 2 AS DOUBLE) AS coding FROM m SEMI JOIN q USING (block_id)")
+def _(spark, d):
+    m, info, stats, catalog = _pair_tables(spark, d)
+    return workflows.prepare_reml_inputs(m, info, stats, _pair_annotations(stats), ["base", "coding"], catalog)
 
 
 @query("r5_reml_fit")
 def _(spark, d):
-    m, rows = _diagonal(spark, d)
-    fit = precision.reml_fit(m, rows.withColumn("base", F.lit(1.0)), ["base"], 10, 1e3)
-    return spark.createDataFrame([(float(fit["loglik"]), float(np.asarray(fit["theta"])[0]))], "loglik double, theta double")
+    m, info, stats, catalog = _pair_tables(spark, d)
+    rows = workflows.prepare_reml_inputs(m, info, stats, _pair_annotations(stats), ["base", "coding"], catalog)
+    return workflows.reml_results(spark, workflows.reml_fit(m, rows, ["base", "coding"], iterations=5, denominator=1e3, groups=10))
+
+
+@query("m1_simulate")
+def _(spark, d):
+    m, info, _, _ = _pair_tables(spark, d)
+    rows = info.select("block_id", "row_nr", F.col("index").alias("i"), "af")
+    return workflows.simulate(m, rows, 1024.0, 0.5, [0.5, 0.1], [0.5, 4.0], alpha=-0.5, seed=3)
+
+
+@query("e1_estimate_precision", _PAIR + "SELECT block_id, CAST(0 AS INT) AS i, CAST(0 AS INT) AS j, round(d0, 6) AS value FROM w")
+def _(spark, d):
+    r = _whole_pairs(spark, d).groupBy("block_id").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("value"))).alias(n) for n, i, j in (("d0", 0, 0), ("d1", 1, 1), ("o", 0, 1))])
+    det = F.col("d0") * F.col("d1") - F.col("o") * F.col("o")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(c) * s / det).alias("value")) for i, j, c, s in ((0, 0, "d1", 1), (0, 1, "o", -1), (1, 0, "o", -1), (1, 1, "d0", 1))])
+    correlations = r.select("block_id", F.explode(cells).alias("x")).select("block_id", "x.*")
+    return precision.estimate_precision(correlations, 0.0, 200).where("i = 0 and j = 0").withColumn("value", F.round("value", 6))
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
@@ -262,14 +413,14 @@ def _(spark, d):
 @query("s15_gmt", cte("genes") + "SELECT concat('set', CAST(nation AS VARCHAR)) AS set_name, gene_id AS gene FROM genes")
 def _(spark, d):
     g = view(spark, d, "genes").groupBy("nation").agg(F.collect_list("gene_id").alias("ids"))
-    return readers.parse_gmt(g.select(F.concat(F.lit("set"), F.col("nation").cast("string"), F.lit("\tabout\t"), F.array_join("ids", "\t"), F.lit("\t\t"), F.element_at("ids", 1)).alias("value")))
+    return readers.parse_gmt(g.select(F.concat(F.lit("set"), F.col("nation").cast("string"), F.lit("\tabout\t"), F.array_join("ids", "\t"), F.lit("\t\t"), F.element_at("ids", 1)).alias("value"))).select("set_name", "gene")
 
 
 @query("s7_bed", cte("ranges") + "SELECT concat('chr', CAST(chrom AS VARCHAR)) AS chrom, range_start AS chromStart, range_end AS chromEnd, 'r' AS name FROM ranges")
 def _(spark, d):
     lines = view(spark, d, "ranges").select(F.concat(F.lit("chr"), F.col("chrom").cast("string"), F.lit(" "), F.col("range_start").cast("string"), F.lit("\t"), F.col("range_end").cast("string"), F.lit(" r")).alias("value"))
     noise = spark.createDataFrame([("# note",), ("track x",), ("browser y",), ("  ",)], "value string")
-    return readers.parse_bed(lines.union(noise))
+    return readers.parse_bed(lines.union(noise), max_fields=4)
 
 
 @query("s14_multi_trait", cte("variants") + "SELECT SNP, 'bmi' AS trait, Z / 4 AS Z FROM variants UNION ALL SELECT SNP, 'height', Z * 2 FROM variants")
@@ -278,12 +429,281 @@ def _(spark, d):
     return readers.sumstats_of(wide)
 
 
-@query("a18_genotype_correlation", "WITH g AS (SELECT vec_id, unnest(generate_series(1, 12)) AS k, embedding FROM embeddings), b AS (SELECT vec_id, k, CAST(embedding[k] > 0 AS INT) AS x FROM g) SELECT CAST(p.k - 1 AS INT) AS i, CAST(q.k - 1 AS INT) AS j, round(corr(p.x, q.x), 6) AS r FROM b p JOIN b q ON p.vec_id = q.vec_id AND q.k = p.k + 1 GROUP BY 1, 2")
+_BITS = "WITH b AS (SELECT vec_id, k, CAST(embedding[k] > 0 AS INT) AS x FROM (SELECT vec_id, unnest(generate_series(1, 64)) AS k, embedding FROM embeddings)) "
+
+
+@query("a18_genotype_correlation", _BITS + "SELECT CAST(p.k - 1 AS INT) AS i, CAST(q.k - 1 AS INT) AS j, round(corr(p.x, q.x), 6) + 0.0 AS r FROM b p JOIN b q ON p.vec_id = q.vec_id AND q.k > p.k GROUP BY 1, 2")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.transform("embedding", lambda x: (x > 0).cast("double")).alias("bits"))
+    return statistics.genotype_correlation(e, "bits").withColumn("r", F.round("r", 6) + 0.0)
+
+
+@query("e2_correlation_edges", _BITS + 'SELECT CAST(p.k - 1 AS INT) AS "from", CAST(q.k - 1 AS INT) AS "to", round(corr(p.x, q.x), 6) + 0.0 AS r FROM b p JOIN b q ON p.vec_id = q.vec_id AND q.k = p.k + 1 GROUP BY 1, 2')
+def _(spark, d):
+    bits = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("variant", "x")).select("row", "variant", (F.col("x") > 0).cast("double").alias("value"))
+    support = spark.range(63).select(F.col("id").cast("int").alias("from"), (F.col("id") + 1).cast("int").alias("to"))
+    return workflows.correlation_edges(support, bits).withColumn("r", F.round("r", 6) + 0.0)
+
+
+@query("j2_partition_by_block", cte("variants", "blocks") + "SELECT b.block_id, coalesce(string_agg(v.SNP, ',' ORDER BY v.POS), '') AS snps FROM blocks b LEFT JOIN variants v ON v.CHR = b.chrom AND v.POS >= b.chromStart AND v.POS < b.chromEnd AND v.N > 1010 GROUP BY 1")
+def _(spark, d):
+    some = view(spark, d, "variants").where("N > 1010").withColumn("CHR", F.concat(F.lit("chr"), F.col("CHR").cast("string")))
+    return joins.partition_by_block(some, view(spark, d, "blocks")).select("block_id", F.array_join("variants.SNP", ",").alias("snps"))
+
+
+@query("j5_merge_first_match", _PAIR + ", f AS (SELECT i.block_id, i.row_nr, i.index, s.row_nr AS sumstat_row, CASE WHEN i.anc_alleles = s.REF THEN 1 ELSE -1 END AS phase, s.Z, s.AF, i.af AS own FROM pair_info i JOIN pair_stats s ON i.site_ids = s.SNP) SELECT block_id, row_nr, sumstat_row, phase, Z * phase AS z, phase * 2.0::DOUBLE AS weight FROM f WHERE abs(own - CASE phase WHEN 1 THEN AF ELSE 1 - AF END) < 0.25")
+def _(spark, d):
+    _, info, stats, catalog = _pair_tables(spark, d)
+    placed = joins.partition_variants(stats, catalog).withColumn("w", F.lit(2.0))
+    twice = info.union(info.withColumn("row_nr", F.col("row_nr") + 1_000_000))  # the second of a repeated variant is passed over
+    return joins.merge_first_match(twice, placed, "w", 0.25).select("block_id", "row_nr", "sumstat_row", "phase", "z", "weight")
+
+
+@query("j7_match_annotations", cte("variants", "annot") + "SELECT v.row_nr, v.SNP, v.Z, a.coding, a.cont FROM variants v JOIN annot a USING (SNP)")
+def _(spark, d):
+    return joins.match_annotations(view(spark, d, "variants"), view(spark, d, "annot").drop("row_nr")).select("row_nr", "SNP", "Z", "coding", "cont")
+
+
+_BRICKS = cte("variants") + ", e AS (SELECT CAST(row_nr AS INT) AS brick, CAST(row_nr % 50 AS INT) AS child, CAST(row_nr % 7 * 10 AS DOUBLE) AS lo, CAST(row_nr % 7 * 10 + 25 AS DOUBLE) AS hi FROM variants), u AS (SELECT CAST(row_nr AS INT) AS mutation, CAST(row_nr % 100 AS DOUBLE) AS position, CAST(row_nr % 50 AS INT) AS node FROM variants), h AS (SELECT mutation, position, brick, row_number() OVER (PARTITION BY mutation ORDER BY brick) AS n FROM u JOIN e ON node = child AND position >= lo AND position < hi) "
+
+
+def _bricks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = view(spark, d, "variants")
+    r = F.col("row_nr")
+    edges = v.select(r.cast("int").alias("brick"), (r % 50).cast("int").alias("child"), (r % 7 * 10).cast("double").alias("left"), (r % 7 * 10 + 25).cast("double").alias("right"))
+    return v.select(r.cast("int").alias("mutation"), (r % 100).cast("double").alias("position"), (r % 50).cast("int").alias("node")), edges
+
+
+@query("j8_mutations_to_bricks", _BRICKS + "SELECT mutation, position, brick FROM h WHERE n = 1")
+def _(spark, d):
+    return joins.mutations_to_bricks(*_bricks(spark, d))
+
+
+@query("g3_mutation_groups", _BRICKS + ", g AS (SELECT brick, min((position, mutation)) AS first, string_agg(CAST(mutation AS VARCHAR), ';' ORDER BY position, mutation) AS mutations FROM h WHERE n = 1 GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS \"group\", brick, first[2] AS mutation, mutations FROM g")
+def _(spark, d):
+    return graphs.mutation_groups(*_bricks(spark, d)).select("group", "brick", "mutation", F.array_join("mutations", ";").alias("mutations"))
+
+
+@query("g9_snplist", _BRICKS + ", g AS (SELECT brick, min((position, mutation)) AS first FROM h WHERE n = 1 GROUP BY 1), o AS (SELECT brick, row_number() OVER (ORDER BY first) - 1 AS idx FROM g) SELECT u.mutation, CAST(coalesce(o.idx, -1) AS INT) AS index FROM u LEFT JOIN h ON h.mutation = u.mutation AND h.n = 1 LEFT JOIN o USING (brick)")
+def _(spark, d):
+    mutations, edges = _bricks(spark, d)
+    return graphs.snplist(graphs.mutation_groups(mutations, edges), mutations.select("mutation"))
+
+
+_HAPLO = cte("genes") + """, b AS (SELECT gene_row AS brick, gene_row + 1000 AS child, (gene_row % 31 + 1) / 64.0::DOUBLE AS f, gene_row % 3 = 0 AS lab FROM genes),
+ r AS (SELECT brick, child, lab, f / (1 - f) AS odds FROM b),
+ k AS (SELECT c.brick AS c, p.brick AS p, c.lab AS lc, p.lab AS lp, abs(ln(p.odds / c.odds)) AS w FROM r c JOIN r p ON p.brick = c.brick // 2 WHERE c.brick > 0),
+ e AS (SELECT 8 * brick + 2 AS a, 8 * child + CASE WHEN lab THEN 7 ELSE 6 END AS b, 0::DOUBLE AS w FROM r UNION ALL SELECT 8 * brick + 3, 8 * child + 7, 0 FROM r UNION ALL SELECT 8 * brick + 4, 8 * child + 6, 0 FROM r WHERE lab
+  UNION ALL SELECT 8 * c + 1, 8 * p + 1, w FROM k UNION ALL SELECT 8 * p + 3, 8 * c + 3, w FROM k UNION ALL SELECT 8 * c, 8 * p + CAST(lc AS INT), w FROM k UNION ALL SELECT 8 * p + 2, 8 * c + 2 + CAST(lp AS INT), w FROM k
+  UNION ALL SELECT 8 * p + 4, 8 * c + 2, w FROM k WHERE lp UNION ALL SELECT 8 * p + 5, 8 * c + 2, w FROM k WHERE lp UNION ALL SELECT 8 * c + 4, 8 * p, w FROM k WHERE lc UNION ALL SELECT 8 * c + 4, 8 * p + 5, w FROM k WHERE lc AND lp UNION ALL SELECT 8 * c, 8 * p + 5, w FROM k WHERE lp AND NOT lc
+  UNION ALL SELECT x.a, x.b, x.w FROM (SELECT l.brick AS l, o.brick AS o, l.lab AS ll, abs(ln(l.odds * o.odds)) AS w FROM r l JOIN r o ON l.brick <> o.brick AND l.brick // 2 = o.brick // 2 WHERE l.brick > 1 AND o.brick > 1 AND least(-ln(l.odds * l.odds), -ln(o.odds * o.odds)) < 3.0) s, LATERAL (SELECT 8 * s.l + 1 AS a, 8 * s.o + 3 AS b, s.w AS w UNION ALL SELECT 8 * s.l, 8 * s.o + 2 + CAST(s.ll AS INT), s.w UNION ALL SELECT 8 * s.l + 4, 8 * s.o + 2, s.w WHERE s.ll) x) """
+
+
+def _brick_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A binary tree of genes: brick g has the parent g // 2; siblings share it."""
+    g = view(spark, d, "genes").select(F.col("gene_row").cast("int").alias("g"))
+    bricks = g.select(F.col("g").alias("brick"), (F.col("g") + 1000).alias("child"), ((F.col("g") % 31 + 1) / F.lit(64.0)).alias("frequency"))
+    family = g.where("g > 1").groupBy(F.floor(F.col("g") / 2).cast("int").alias("p")).agg(F.array_sort(F.collect_list("g")).alias("siblings"))
+    none = F.array().cast("array<int>")
+    events = g.withColumn("p", F.when(F.col("g") > 0, F.floor(F.col("g") / 2).cast("int"))).join(family, "p", "left").select(F.col("g").alias("event"), F.col("g").alias("focal_brick"), F.col("p").alias("parent_brick"), none.alias("child_bricks"), F.when(F.col("g") > 1, F.coalesce("siblings", none)).otherwise(none).alias("sibling_bricks"))
+    return bricks, events, bricks.where("brick % 3 = 0").select("brick")
+
+
+@query("g4_brick_haplotype_graph", _HAPLO + 'SELECT CAST(a AS INT) AS "from", CAST(b AS INT) AS "to", round(max(w), 6) AS weight FROM e WHERE w < 3 GROUP BY 1, 2')
+def _(spark, d):
+    return graphs.brick_haplotype_graph(*_brick_tables(spark, d), 3.0, True).withColumn("weight", F.round("weight", 6))
+
+
+_REACH = _HAPLO.replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT a, b, max(w) AS w FROM e WHERE w < 3 GROUP BY 1, 2), walk AS (SELECT a AS s, b AS v, w AS x FROM t WHERE a % 8 = 4 AND NOT (b // 8 = a // 8 AND b % 8 <= 5) UNION SELECT s, t.b, x + t.w FROM walk JOIN t ON t.a = walk.v WHERE x + t.w <= 1.25 AND t.b <> s AND NOT (t.b // 8 = s // 8 AND t.b % 8 <= 5)),
+ best AS (SELECT s, v, min(x) AS x FROM walk WHERE x <= 1.25 GROUP BY 1, 2), cell AS (SELECT s // 8 AS a, v // 8 AS b, min(CASE WHEN v % 8 IN (0, 2) THEN x END) AS near, coalesce(bool_or(v % 8 IN (1, 3)), false) AS past, min(CASE WHEN v % 8 = 6 THEN x END) AS hnear, coalesce(bool_or(v % 8 = 7), false) AS hpast FROM best GROUP BY 1, 2),
+ m AS (SELECT a, b, near AS w FROM cell WHERE near IS NOT NULL AND NOT past AND b % 3 = 0 AND b < 1000), z AS (SELECT a, b, w FROM m UNION ALL SELECT b, a, w FROM m UNION ALL SELECT a, -b - 1, hnear FROM cell WHERE hnear IS NOT NULL AND NOT hpast) """
+
+
+@query("g5_reduce_graph", _REACH + 'SELECT CAST(a AS INT) AS "from", CAST(b AS INT) AS "to", round(min(w), 6) AS weight FROM z GROUP BY 1, 2')
+def _(spark, d):
+    bricks, events, labelled = _brick_tables(spark, d)
+    graph = graphs.brick_haplotype_graph(bricks, events, labelled, 3.0, True)
+    return graphs.reduce_graph(graph, labelled.select("brick", F.col("brick").alias("mutation")), 1.25).withColumn("weight", F.round("weight", 6))
+
+
+@query("g8_make_graph")
+def _(spark, d):
+    bricks, events, labelled = _brick_tables(spark, d)
+    return graphs.make_graph(bricks, events, labelled.select((F.col("brick") / 3).cast("int").alias("group"), "brick", F.col("brick").alias("mutation")), 2.0, 3.0)
+
+
+@query("g11_thin_graph", cte("genes") + 'SELECT CAST(gene_row AS INT) AS "from", CAST(gene_row + 2 AS INT) AS "to", 1 / 3.0::DOUBLE AS weight FROM genes WHERE gene_row % 2 = 0 AND gene_row + 2 < (SELECT count(*) FROM genes)')
+def _(spark, d):
+    g = view(spark, d, "genes").select(F.col("gene_row").cast("int").alias("g"))
+    n = g.count()
+    edges = g.where(F.col("g") + 1 < n).select(F.col("g").alias("from"), (F.col("g") + 1).alias("to"), F.lit(0.5).alias("weight"))
+    return graphs.thin_graph(edges, g.where("g % 2 = 1").select(F.col("g").alias("node")))
+
+
+@query("w5_gene_jackknife", cte("score", "genes") + ", h AS (SELECT row_nr, jackknife_block, row_nr // 20 AS gene_row FROM score WHERE store = 0 AND row_nr // 20 < (SELECT count(*) FROM genes)), c AS (SELECT *, coalesce(CAST(jackknife_block <> lag(jackknife_block) OVER (ORDER BY row_nr) AS INT), 0) AS ch FROM h), r AS (SELECT *, sum(ch) OVER (ORDER BY row_nr ROWS UNBOUNDED PRECEDING) AS run FROM c), f AS (SELECT run, arg_min(gene_row, row_nr) AS gene_row FROM r WHERE run > 0 GROUP BY 1) SELECT g.gene_row, CAST(coalesce((SELECT max(run) FROM f WHERE f.gene_row <= g.gene_row), 0) AS INT) AS jackknife_block FROM genes g")
+def _(spark, d):
+    genes = view(spark, d, "genes")
+    n = genes.count()
+    hits = view(spark, d, "score").where("store = 0").select("row_nr", "jackknife_block", F.floor(F.col("row_nr") / 20).alias("gene_row")).where(F.col("gene_row") < n)
+    return statistics.gene_jackknife(hits, genes).select("gene_row", F.col("jackknife_block").cast("int").alias("jackknife_block"))
+
+
+def _score_store(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A store of two traits written anew, and its annotations."""
+    path = scratch(spark, "scores")
+    rows = view(spark, d, "score")
+    key = F.concat(F.lit("rs"), F.col("row_id").cast("string"))
+    half = rows.where("store = 0").withColumn("row_id", F.floor(F.col("row_nr") / 2))
+    other = rows.where("store = 1").withColumn("row_id", F.floor(F.col("row_nr") / 2))
+    stores.write_rows(path, half.select("row_id", key.alias("RSID"), "jackknife_block"))
+    stores.write_trait(path, "bmi", half.select("row_id", "gradient"))
+    stores.write_trait(path, "height", half.select("row_id").join(other.select("row_id", "gradient"), "row_id", "left").fillna(0.0))
+    stores.add_group(spark, path, "body", "*")
+    return path, half.select(key.alias("RSID"), "base", "cont")
+
+
+_STORE = cte("score").replace("score AS (", "raw AS (", 1) + ", h AS (SELECT row_nr // 2 AS id, * FROM raw WHERE store = 0), k AS (SELECT row_nr // 2 AS id, gradient FROM raw WHERE store = 1), score AS (SELECT 'bmi' AS store, id AS row_nr, jackknife_block, gradient, base, cont FROM h UNION ALL SELECT 'height', h.id, jackknife_block, coalesce(k.gradient, 0), base, cont FROM h LEFT JOIN k USING (id))" + _RUNS.split("FROM part WHERE true)", 1)[1]
+
+
+@query("t3_score_test_store", _STORE + "SELECT store, annotation, max(total) AS score, round(sqrt(var_pop(loo) * (count(*) - 1)), 6) AS se FROM o GROUP BY 1, 2")
+def _(spark, d):
+    path, annotations = _score_store(spark, d)
+    return stores.score_test_store(spark, path, ["body"], annotations, ["base", "cont"]).select("store", "annotation", "score", F.round("se", 6).alias("se"))
+
+
+@query("t3_results_table", _STORE + ", z AS (SELECT store, annotation, round(max(total) / sqrt(var_pop(loo) * (count(*) - 1)), 6) AS z FROM o GROUP BY 1, 2) SELECT annotation, max(CASE store WHEN 'bmi' THEN z END) AS bmi_Z, max(CASE store WHEN 'height' THEN z END) AS height_Z FROM z GROUP BY 1")
+def _(spark, d):
+    path, annotations = _score_store(spark, d)
+    out = stores.results_table(spark, path, ["bmi", "height"], annotations, ["base", "cont"])
+    return out.select("annotation", F.round("bmi_Z", 6).alias("bmi_Z"), F.round("height_Z", 6).alias("height_Z"))
+
+
+@query("k9_inventory", _STORE + "SELECT x.t AS \"table\", x.c AS \"column\", x.k AS \"type\", x.n AS length FROM (SELECT count(*) AS n FROM h) s, LATERAL (VALUES ('rows', 'row_id', 'bigint', n), ('rows', 'RSID', 'string', n), ('rows', 'jackknife_block', 'int', n), ('groups', 'group', 'string', 1), ('groups', 'traits', 'array<string>', 1), ('traits/trait=bmi', 'row_id', 'bigint', n), ('traits/trait=bmi', 'gradient', 'double', n), ('traits/trait=height', 'row_id', 'bigint', n), ('traits/trait=height', 'gradient', 'double', n)) x(t, c, k, n)")
+def _(spark, d):
+    return stores.inventory(spark, _score_store(spark, d)[0])
+
+
+@query("s19_read_trait", _STORE + "SELECT concat('rs', CAST(id AS VARCHAR)) AS RSID, jackknife_block, gradient FROM h")
+def _(spark, d):
+    return stores.read_trait(spark, _score_store(spark, d)[0], "bmi").select("RSID", "jackknife_block", "gradient")
+
+
+@query("k10_surrogates", _PAIR + "SELECT block_id, index AS i, CASE WHEN site_ids <> 'none' THEN index ELSE -9 END AS surrogate FROM pair_info")
+def _(spark, d):
+    path = scratch(spark, "surrogates")
+    stores.write_surrogates(view(spark, d, "pair_info").select("block_id", F.col("index").alias("i"), F.when(F.col("site_ids") != "none", F.col("index")).alias("surrogate")), path)
+    return stores.read_surrogates(spark, path).withColumn("surrogate", F.coalesce("surrogate", F.lit(-9)))
+
+
+@query("k2_edgelist_files", _PREC + "SELECT block_id, i, j, round_even(value, 6) AS value FROM p WHERE i <= j")
+def _(spark, d):
+    path = scratch(spark, "edges")
+    stores.write_edgelist(precision.sparse_precision(view(spark, d, "entries")), path)
+    return spark.read.csv(path, schema="i int, j int, value double, block_id string").select("block_id", "i", "j", "value")
+
+
+def _block_files(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """Files of two blocks and their catalog; node 3 has no diagonal entry and falls away."""
+    path = scratch(spark, "blocks")
+    e = view(spark, d, "entries").where("block_id in ('b0', 'b1')").groupBy("block_id", "i", "j").agg(F.sum("value").alias("value")).where("i <> j")
+    diagonal = e.select("block_id", "i", F.col("i").alias("j"), F.lit(4.0).alias("value")).where("i <> 3").distinct()
+    for b in ("b0", "b1"):
+        e.union(diagonal).where(F.col("block_id") == b).select("i", "j", "value").write.csv(f"{path}/{b}.edgelist")
+        nodes = diagonal.union(e.where("i = 3")).where(F.col("block_id") == b).select(F.col("i").alias("index")).distinct()
+        nodes.select("index", F.lit("A").alias("anc_alleles"), F.lit("C").alias("deriv_alleles"), (F.col("index") / 64).alias("EUR"), F.concat(F.lit("rs"), F.col("index").cast("string")).alias("site_ids"), (F.col("index") * 10).alias("position"), F.lit("+").alias("swap")).write.csv(f"{path}/{b}.snplist", header=True)
+    catalog = spark.createDataFrame([(2, 0, 9, "b1.edgelist", "b1.snplist", "EUR"), (1, 0, 9, "b0.edgelist", "b0.snplist", "EUR"), (1, 0, 9, "b0.edgelist", "b0.snplist", "EAS")], "chrom int, chromStart long, chromEnd long, name string, snplistName string, population string")
+    return path, readers.block_catalog(catalog, "EUR")
+
+
+_FILES = cte("entries") + ", s AS (SELECT block_id, i, j, sum(value) AS value FROM entries WHERE block_id IN ('b0', 'b1') AND i <> j GROUP BY ALL), n AS (SELECT DISTINCT block_id, i FROM s WHERE i <> 3), k AS (SELECT block_id, i, CAST(row_number() OVER (PARTITION BY block_id ORDER BY i) - 1 AS INT) AS node FROM n) "
+
+
+@query("s6_load_matrices", _FILES + "SELECT s.block_id, a.node AS i, b.node AS j, s.value FROM s JOIN k a ON a.block_id = s.block_id AND a.i = s.i JOIN k b ON b.block_id = s.block_id AND b.i = s.j")
+def _(spark, d):
+    path, catalog = _block_files(spark, d)
+    return readers.load_blocks(spark, catalog, path)[0].where("i < j")
+
+
+@query("s3_load_variants", _FILES + "SELECT block_id, node AS index, i AS original_index, concat('rs', CAST(i AS VARCHAR)) AS site_ids, i / 64.0::DOUBLE AS af FROM k")
+def _(spark, d):
+    path, catalog = _block_files(spark, d)
+    return readers.load_blocks(spark, catalog, path)[1].select("block_id", "index", "original_index", "site_ids", "af")
+
+
+@query("s5_block_catalog", cte("blocks") + "SELECT block_id, chrom, chromStart, chromEnd FROM blocks WHERE chrom IN (2, 3)")
+def _(spark, d):
+    table = view(spark, d, "blocks").withColumns({"name": F.col("block_id"), "snplistName": F.col("block_id"), "population": F.lit("EUR")})
+    return readers.block_catalog(table, "EUR", chromosomes=[2, 3]).select("block_id", "chrom", "chromStart", "chromEnd")
+
+
+@query("s9_annotations", cte("annot", "ranges") + "SELECT CAST(row_nr AS BIGINT) AS row_nr, CAST(1 AS INT) AS CHR, row_nr * 10 AS BP, coding = 1 AS coding, cont, EXISTS (SELECT 1 FROM ranges r WHERE r.chrom = 1 AND row_nr * 10 >= range_start AND row_nr * 10 < range_end)::DOUBLE AS regions FROM annot WHERE row_nr < 1000")
+def _(spark, d):
+    path = scratch(spark, "annotations")
+    rows = view(spark, d, "annot").where("row_nr < 1000").orderBy("row_nr")
+    keys = [F.lit("1"), (F.col("row_nr") * 10).cast("string"), F.col("row_nr").cast("string")]
+    for name, columns in (("a", ["coding"]), ("b", ["cont", "coding"])):
+        lines = rows.select("row_nr", F.concat_ws("\t", *keys, *[F.col(c).cast("string") for c in columns]).alias("value"))
+        head = spark.createDataFrame([(-1, "\t".join(["CHR", "BP", "SNP", *columns]))], "row_nr long, value string")
+        head.union(lines).coalesce(1).sortWithinPartitions("row_nr").select("value").write.text(f"{path}/{name}.1.annot")
+    view(spark, d, "ranges").select(F.concat_ws("\t", F.concat(F.lit("chr"), F.col("chrom").cast("string")), F.col("range_start").cast("string"), F.col("range_end").cast("string")).alias("value")).write.text(f"{path}/regions.bed")
+    return readers.load_annotations(spark, path).select("row_nr", "CHR", "BP", "coding", "cont", "regions")
+
+
+@query("s13_parquet_sumstats", cte("variants") + "SELECT SNP, CHR, POS, REF, ALT, N, Z * 2 AS Z FROM variants WHERE N >= 0.99 * (SELECT max(N) FROM variants)")
+def _(spark, d):
+    wide = view(spark, d, "variants").select(F.col("SNP").alias("site_ids"), F.col("CHR").alias("chrom"), F.col("POS").alias("position"), F.col("REF").alias("ref"), F.col("ALT").alias("alt"), "N", (F.col("Z") * 4).alias("height_BETA"), F.lit(2.0).alias("height_SE"))
+    return readers.read_parquet_sumstats(wide, "height", 0.01)
+
+
+@query("s16_gene_table", cte("genes") + "SELECT gene_id, coalesce(nullif(gene_name, 'Supplier#000000003'), 'NA') AS gene_name, CHR, POS + 5.5::DOUBLE AS midpoint, CAST(POS + 5 AS INT) AS POS FROM genes WHERE CHR <= 3")
+def _(spark, d):
+    g = view(spark, d, "genes")
+    raw = g.select(F.col("gene_id").alias("Gene stable ID"), F.when(F.col("gene_name") != "Supplier#000000003", F.col("gene_name")).alias("Gene name"), F.col("CHR").cast("string").alias("Chromosome/scaffold name"), F.col("POS").alias("Gene start (bp)"), (F.col("POS") + 11).alias("Gene end (bp)"))
+    return readers.gene_table(raw, [1, 2, 3]).select("gene_id", "gene_name", "CHR", "midpoint", "POS")
+
+
+@query("s24_adjacency", cte("graph") + ", g AS (SELECT least(a, b) AS i, greatest(a, b) AS j, round_even(max(weight), 6) AS value FROM graph GROUP BY 1, 2) SELECT * FROM g")
+def _(spark, d):
+    g = view(spark, d, "graph")
+    lines = g.select(F.concat(F.lit("rs"), F.col("a").cast("string"), F.lit(" rs"), F.col("b").cast("string"), F.lit(" {'weight': "), F.col("weight").cast("string"), F.lit("}")).alias("value"))
+    names = spark.range(60).select(F.concat(F.lit("rs"), F.col("id").cast("string")).alias("site_ids"), F.col("id").cast("int").alias("index"))
+    return readers.parse_adjacency(lines, names)
+
+
+@query("s25_genotypes", "SELECT vec_id AS \"row\", CAST(k - 1 AS INT) AS variant, CAST(embedding[k] > 0 AS INT)::DOUBLE AS value FROM (SELECT vec_id, unnest(generate_series(1, 8)) AS k, embedding FROM embeddings)")
+def _(spark, d):
+    bits = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda x: (x > 0).cast("int").cast("string")), "")
+    return readers.parse_genotypes(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("nr"), bits.alias("value")))
+
+
+@query("j11_common_nodes", "WITH s AS (SELECT p, i FROM (SELECT unnest([0, 1, 2]) AS p) CROSS JOIN (SELECT CAST(p_partkey AS INT) AS i FROM part) WHERE i % (p + 2) = 0), c AS (SELECT i FROM s GROUP BY i HAVING count(*) = 3) SELECT 'b' AS block_id, i, CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS ord FROM c")
+def _(spark, d):
+    i = F.col("p_partkey").cast("int")
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.lit("b").alias("block_id"), i.alias("i"), i.alias("ord"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("population")).where("i % (population + 2) = 0")
+    return joins.common_nodes(rows).withColumn("ord", F.col("ord").cast("int"))
+
+
+@query("j12_merge_panels", "WITH g AS (SELECT p_partkey AS k, p_size % 3 AS x FROM part), a AS (SELECT * FROM g WHERE k % 3 <> 0), b AS (SELECT * FROM g WHERE k % 4 <> 0) SELECT concat('rs', CAST(coalesce(a.k, b.k) AS VARCHAR)) AS SNP, CASE WHEN a.k IS NULL THEN 2 WHEN b.k IS NULL THEN 1 ELSE 0 END AS provenance, (CASE WHEN a.k IS NULL THEN 2 * b.x WHEN b.k IS NULL THEN 2 * a.x ELSE a.x + 2 - b.x END)::DOUBLE AS total FROM a FULL JOIN b ON a.k = b.k")
+def _(spark, d):
+    g = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("rs"), F.col("p_partkey").cast("string")).alias("SNP"), (F.col("p_size") % 3).alias("x"))
+    left = g.where("p_partkey % 3 <> 0").select("SNP", F.lit("A").alias("REF"), F.lit("C").alias("ALT"), F.array("x").alias("genotypes"))
+    right = g.where("p_partkey % 4 <> 0").select("SNP", F.lit("C").alias("REF"), F.lit("A").alias("ALT"), F.array("x").alias("genotypes"))
+    return joins.merge_panels(left, right).select("SNP", "provenance", F.aggregate("genotypes", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("f12_weight_scales", cte("pair_stats") + "SELECT row_nr, round(Z / sqrt(2 * AF * (1 - AF)), 7) AS per_allele, round(Z * sqrt(2 * AF * (1 - AF)), 7) AS per_deviation, round(1 / (abs(Z) + 1), 9) AS similarity, CAST(-row_nr - 1 AS BIGINT) AS haplotype FROM pair_stats")
+def _(spark, d):
+    z, af = F.col("Z"), F.col("AF")
+    return view(spark, d, "pair_stats").select("row_nr", F.round(S.per_allele(z, af), 7).alias("per_allele"), F.round(S.per_deviation(z, af), 7).alias("per_deviation"), F.round(S.similarity(F.abs(z)), 9).alias("similarity"), graphs.haplotype(F.col("row_nr")).alias("haplotype"))
+
+
+@query("f15_id_lists", "SELECT p_partkey AS row_nr, p_size + p_size + 1 AS total, CASE WHEN p_size % 2 = 0 THEN concat('rs', CAST(p_size AS VARCHAR)) END AS id FROM part")
 def _(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    bit = lambda k: (F.element_at("embedding", k) > 0).cast("double")
-    row = e.agg(*[F.corr(bit(k), bit(k + 1)).alias(f"r{k}") for k in range(1, 12)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(k - 1).alias("i"), F.lit(k).alias("j"), F.round(f"r{k}", 6).alias("r")) for k in range(1, 12)])).alias("x")).select("x.*")
+    p = spark.read.parquet(f"{d}/part.parquet")
+    size = F.col("p_size").cast("string")
+    text = F.concat(size, F.lit("; "), (F.col("p_size") + 1).cast("string"), F.lit(";"))
+    json = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"ID": "rs'), size, F.lit('"}'))).otherwise(F.concat(F.lit('{"ID": '), size, F.lit("}")))
+    return p.select(F.col("p_partkey").alias("row_nr"), F.aggregate(S.id_list(text), F.lit(0), lambda a, x: a + x).alias("total"), S.metadata_text(json, "ID").alias("id"))
 
 
 @query("f4_log10_p")

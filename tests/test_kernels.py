@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from blockweave.functions import kernels as K
-from blockweave.functions.scalars import _log_tail
+from blockweave.functions.kernels import log_normal_tail
 
 
 @pytest.fixture
@@ -71,5 +71,5 @@ def test_imputation_quality_control_and_estimation(p):
 
 
 def test_normal_tail():
-    assert math.isclose(_log_tail(np.array([1.959964]))[0], math.log(0.025), rel_tol=1e-6)
-    assert math.isclose(_log_tail(np.array([40.0]))[0], -804.6084420137538, rel_tol=1e-9)
+    assert math.isclose(log_normal_tail(np.array([1.959964]))[0], math.log(0.025), rel_tol=1e-6)
+    assert math.isclose(log_normal_tail(np.array([40.0]))[0], -804.6084420137538, rel_tol=1e-9)

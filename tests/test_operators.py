@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,27 +40,136 @@ def test_annotate_ranges_half_open(spark):
     assert rows(joins.annotate_ranges(v, r)) == [(1, 10, False), (1, 20, True), (1, 25, False), (2, 5, True)]
 
 
-def test_binned_range_join_equals_broadcast(spark, monkeypatch):
-    p = spark.range(3000).select((F.col("id") % 3).cast("int").alias("chrom"), (F.col("id") * 37 % 5000).alias("pos"))
-    r = spark.range(200).select((F.col("id") % 3).cast("int").alias("chrom"), (F.col("id") * 25).alias("start"), (F.col("id") * 25 + 90).alias("end"))
-    small = rows(joins.range_join(p, r))
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-    assert rows(joins.range_join(p, r, bin_width=64)) == small
+def test_range_join_of_short_and_long_ranges(spark):
+    points = [(c, p) for c in (1, 2) for p in range(0, 5000, 7)]
+    ranges = [(1 + k % 2, k * 25, k * 25 + 1 + k % 90) for k in range(150)] + [(1, 0, 4000), (2, 100, 10**9), (1, 30, 30)]
+    p = spark.createDataFrame(points, "chrom int, pos long")
+    r = spark.createDataFrame(ranges, "chrom int, start long, end long")
+    want = sorted((c, x, s, e) for c, x in points for k, s, e in ranges if c == k and s <= x < e)
+    assert sorted((a.chrom, a.pos, a.start, a.end) for a in joins.range_join(p, r).collect()) == want
+    assert rows(joins.range_join(p, r, "left_semi")) == sorted({(c, x) for c, x, _, _ in want})
+    assert joins.range_join(p, r.limit(0)).count() == 0
+
+
+def test_many_ranges_in_little_space(spark):
+    r = spark.range(1_000_000).select(F.lit(1).alias("chrom"), (F.col("id") * 7919 % 1_000_000).alias("start")).withColumn("end", F.col("start") + 1 + F.col("start") % 50)
+    p = spark.range(0, 2_000_000, 100).select(F.lit(1).alias("CHR"), F.col("id").alias("POS"))
+    got = joins.annotate_ranges(p, r)
+    assert got.where("annotated and POS < 1000000").count() == got.where("POS < 1000000").count() == 10_000 and got.where("annotated").count() <= 10_001
+
+
+def test_nearest_genes_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    genes = [(k, f"g{k}", int(rng.integers(1, 4)), int(rng.choice([rng.integers(0, 500), rng.integers(0, 10**6), 77]))) for k in range(120)]
+    variants = [(i, int(rng.integers(1, 5)), int(rng.integers(0, 10**6))) for i in range(150)] + [(500, 1, 77), (501, 9, 5)]
+    g = spark.createDataFrame(genes, "gene_row long, gene_id string, CHR int, POS long")
+    v = spark.createDataFrame(variants, "row_nr long, CHR int, POS long")
+    got = {(r.row_nr, r["rank"]): r.gene_id for r in joins.nearest_genes(v, g, [0.5, 0.3, 0.2]).collect()}
+    for i, c, p in variants:
+        near = sorted((abs(gc * 10**9 + gp - c * 10**9 - p), k, name) for k, name, gc, gp in genes)[:3]
+        assert [got[i, k] for k in range(3)] == [n for _, _, n in near]
+    assert joins.nearest_genes(v, g.limit(0), [1.0]).count() == 0
+    many = spark.range(60_000).select(F.col("id").alias("gene_row"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene_id"), F.lit(1).alias("CHR"), (F.col("id") * 10).alias("POS"))
+    assert [r.gene_id for r in joins.nearest_genes(v.where("row_nr = 500").withColumn("POS", F.lit(300_004)), many, [1.0, 1.0]).orderBy("rank").collect()] == ["g30000", "g30001"]
+
+
+def test_merge_within_blocks(spark):
+    info = spark.createDataFrame([("a", 0, 0, "rs0", 10, "A", "C"), ("b", 0, 0, "rs9", 10, "A", "C"), ("a", 1, 1, None, 20, "A", "C")], "block_id string, row_nr long, index int, site_ids string, position long, anc_alleles string, deriv_alleles string")
+    stats = spark.createDataFrame([(0, 1, 10, "rs0", "C", "A", 2.0), (1, 2, 10, "rs9", "A", "C", 1.0)], "row_nr long, CHR int, POS long, SNP string, REF string, ALT string, Z double")
+    catalog = spark.createDataFrame([("a", "chr1", 0, 100), ("b", "2", 0, 100)], "block_id string, chrom string, chromStart long, chromEnd long")
+    placed = joins.partition_variants(stats, catalog)
+    assert sorted((r.block_id, r.sumstat_row, r.phase, r.Z) for r in joins.merge_snplists(info, placed, "POS").collect()) == [("a", 0, -1, -2.0), ("b", 1, 1, 1.0)]
+    assert joins.merge_snplists(info, stats, "POS").count() == 4  # without blocks positions of different chromosomes meet
+
+
+# fixed: a store of gradients 1 to 5 with blocks 0, 1, 1, 2, 2, by hand: scores 0, 1 + 2, 3 + 4 + 5
+def test_first_run_of_one_row_leaves_an_empty_block(spark):
+    df = spark.createDataFrame([(0, i, b, i + 1.0, 1.0) for i, b in enumerate((0, 1, 1, 2, 2))], "store int, row_nr long, jackknife_block int, gradient double, a double")
+    for stretch in (2, 100_000):
+        runs = {r.row_nr: r.run for r in statistics.run_ordinals(df, "jackknife_block", "row_nr", stretch=stretch).collect()}
+        assert runs == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}
+        late = {r.row_nr: r.run for r in statistics.run_ordinals(df, "jackknife_block", "row_nr", early=False, stretch=stretch).collect()}
+        assert late == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
+    got = statistics.score_test(df, ["a"]).first()
+    assert got.score == 15 and abs(got.se - 7.2111) < 1e-3
+
+
+# fixed: expectations that the published example states (score, error, z, log10 p)
+def test_score_test_of_the_example_store(spark):
+    df = spark.createDataFrame([(s, i, b, g, a) for s in ("x", "y") for i, (b, g, a) in enumerate([(0, 0.2, 1.0), (1, -0.1, 0.0), (1, 0.4, 1.0)])], "store string, row_nr long, jackknife_block int, gradient double, enhancer double")
+    one = statistics.score_test(df.where("store = 'x'"), ["enhancer"]).first()
+    assert np.allclose([one.score, one.se, one.z, one.log10_p], [0.6, 0.3, 2, -1.341986], atol=1e-6)
+    both = statistics.meta_analysis(df, ["enhancer"]).first()
+    assert np.allclose([both.z, both.log10_p], [2, -1.341986], atol=1e-6)
+    with pytest.raises(Exception, match="two jackknife blocks"):
+        statistics.meta_analysis(df.withColumn("jackknife_block", F.lit(0)), ["enhancer"]).collect()
+
+
+def test_store(spark, tmp_path):
+    store = str(tmp_path / "s")
+    rows_ = spark.createDataFrame([(0, "rs0", 0), (1, "rs1", 1)], "row_id long, RSID string, jackknife_block int")
+    stores.write_rows(store, rows_)
+    t = spark.createDataFrame([(0, 1.5), (1, 2.0)], "row_id long, gradient double")
+    for name in ("bmi", "bp", "height"):
+        stores.write_trait(store, name, t)
+    assert stores.read_traits(spark, store, "bmi").count() == 2 and stores.traits_of(spark, store) == ["bmi", "bp", "height"]
+    with pytest.raises(Exception, match="exist"):
+        stores.write_trait(store, "bmi", t)
+    with pytest.raises(ValueError, match="rows"):
+        stores.write_trait(store, "short", t.limit(1))
+    stores.add_group(spark, store, "body", "b*")
+    with pytest.raises(ValueError):
+        stores.add_group(spark, store, "one", "height")
+    stores.rename_entry(spark, store, "bmi", "weight")
+    assert stores.read_groups(spark, store) == {"body": ["weight", "bp"]}
+    stores.rename_entry(spark, store, "body", "all")
+    assert stores.remove_entries(spark, store, "weight") == ["weight"] and stores.read_groups(spark, store) == {}
+    assert stores.remove_entries(spark, store, "b*") == ["bp"] and stores.traits_of(spark, store) == ["height"]
+    with pytest.raises(ValueError):
+        stores.remove_entries(spark, store, "zzz")
 
 
-def test_readers_and_store(spark, tmp_path):
+def test_readers(spark, tmp_path):
     lines = spark.createDataFrame([("s\td\tA\tB\tA\t",), ("short\tx",)], "value string")
-    assert rows(readers.parse_gmt(lines)) == [("s", "A"), ("s", "B")]
+    assert rows(readers.parse_gmt(lines).select("set_name", "gene")) == [("s", "A"), ("s", "B")]
+    with pytest.raises(Exception, match="set"):
+        readers.parse_gmt(lines.union(lines)).collect()
     assert readers.vcf_fields("\t".join(["x"] * 8 + ["ES:SE:LP:NS", "y"])) == ["ES", "SE", "LP", "NS"]
     with pytest.raises(ValueError):
         readers.vcf_fields("\t".join(["x"] * 8 + ["ES:SE", "y"]))
-    t = spark.createDataFrame([(0, 1.5)], "row_id long, gradient double")
-    stores.write_trait(str(tmp_path / "s"), "bmi", t)
-    assert stores.read_traits(spark, str(tmp_path / "s"), "bmi").count() == 1
-    with pytest.raises(Exception, match="exist"):
-        stores.write_trait(str(tmp_path / "s"), "bmi", t)
-    groups = stores.add_group({}, "body", "b*", ["bmi", "bp", "height"])
-    assert groups == {"body": ["bmi", "bp"]} and stores.drop_traits(groups, ["bp"]) == {}
+    head = ["##x", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS"]
+    body = [f"1\t{p}\trs{p}\tA\tC\t.\tPASS\t.\tES:SE:LP:AF:NS\t{v}" for p, v in ((1, "0.2:0.1:1:0.5:100"), (2, "-0.3:0.2:1:0.5:50"), (3, "1:0:1:0.5:100"))]
+    (tmp_path / "x.vcf").write_text("\n".join(head + body))
+    assert [(r.SNP, r.Z) for r in readers.read_gwas_vcf(spark, str(tmp_path / "x.vcf")).collect()] == [("rs1", 2.0)]
+    assert [r.Z for r in readers.read_gwas_vcf(spark, str(tmp_path / "x.vcf"), 2, 0.9).orderBy("POS").collect()] == pytest.approx([2.0, -1.5])
+    with pytest.raises(Exception, match="one sample"):
+        readers.parse_vcf(spark.createDataFrame([(body[0] + "\tmore",)], "value string")).collect()
+    bed = spark.createDataFrame([("chr1 5 9 n 3 +",), ("track x",)], "value string")
+    got = readers.parse_bed(bed, zero_based=False).first()
+    assert (got.chromStart, got.chromEnd, got["name"], got.score, got.strand, got.thickStart) == (6, 9, "n", 3.0, "+", None)
+    with pytest.raises(Exception, match="fields"):
+        readers.parse_bed(spark.createDataFrame([("chr1 5",)], "value string")).collect()
+    (tmp_path / "e.csv").write_text("0,0,2\n0,1,0\n1,0,0\n")
+    assert rows(readers.read_edgelist(spark, str(tmp_path / "e.csv"), 0.5, True)) == [(0, 0, 2.0), (0, 1, 0.5), (1, 0, 0.5)]
+    t = spark.createDataFrame([("rs1", 1.0)], "SNP string, Z double").createOrReplaceTempView("stats_table")
+    assert readers.source(spark, "(SELECT SNP AS s, Z FROM stats_table)", ["SNP", "Z"], {"SNP": "s"}).columns == ["SNP", "Z"]
+    assert readers.source(spark, lambda s, c: s.table("stats_table").select(*c), ["Z"]).first().Z == 1.0
+    with pytest.raises(ValueError, match="lacks"):
+        readers.source(spark, "stats_table", ["N"])
+    with pytest.raises(ValueError, match="summary statistics"):
+        readers.assert_contract(spark.table("stats_table"), "summary statistics")
+    assert t is None
+
+
+def test_numbered_lines_over_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "a.txt"))
+        assert got.count() == 5000 and got.where("value <> concat('line ', nr)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
