@@ -195,16 +195,22 @@ def first_nodes(sketches: DataFrame) -> DataFrame:
 
 
 def deep_nodes(sets: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(node, member) of each member's nodes at ``depth`` of ``trees`` trees with hash functions of their own."""
+    """(node, member, before) of each member's nodes at ``depth`` of ``trees`` trees with hash functions of their own.
+
+    ``before``: the member's nodes in the trees before, so that two members are compared in the first tree in which they meet.
+    """
+    arrow = pa.schema([*_NODES, ("before", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minwise = Minwise(trees * depth, SEED + 5)
         for batch in batches:
             if batch.num_rows:
                 tokens = np.stack([minwise(np.frombuffer(b, np.uint64)) for b in batch.column("hashes").to_pylist()])
-                yield pa.record_batch([_paths(tokens, trees, depth).ravel(), np.repeat(batch.column("member").to_numpy(), trees)], schema=_NODES)
+                nodes = _paths(tokens, trees, depth)
+                before = [row[:t].tobytes() for row in nodes for t in range(trees)]
+                yield pa.record_batch([nodes.ravel(), np.repeat(batch.column("member").to_numpy(), trees), before], schema=arrow)
 
-    return sets.select("member", "hashes").mapInArrow(run, "node long, member long")
+    return sets.select("member", "hashes").mapInArrow(run, "node long, member long, before binary")
 
 
 def wide_sketches(sets: DataFrame) -> DataFrame:
@@ -264,7 +270,10 @@ class _Compare:
 
 
 class _Against:
-    """Pairs of different components with ``least`` equal bytes: of each group (node, part) the few members that come first with all that follow."""
+    """Pairs of different components with ``least`` equal bytes: of each group (node, part) the few members that come first with all that follow.
+
+    Members with a node of an earlier tree in common have been compared there.
+    """
 
     def __init__(self, least: int):
         self.least = least
@@ -276,16 +285,19 @@ class _Against:
                 continue
             node, part, follows, member, component = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "part", "follows", "member", "component"))
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint8).reshape(len(node), -1)
+            before = batch.column("before").to_pylist()
             begin = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])]))
             for lo, hi in zip(begin, [*begin[1:], len(node)], strict=True):
                 if now != (node[lo], part[lo]):
-                    now, few = (node[lo], part[lo]), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, tokens.shape[1]), np.uint8)]
+                    now, few = (node[lo], part[lo]), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, tokens.shape[1]), np.uint8), np.empty((0, len(before[lo]) // 8), np.int64)]
                 mid = lo + int((~follows[lo:hi]).sum())
-                few = [np.concatenate([x, y[lo:mid]]) for x, y in zip(few, (member, component, tokens), strict=True)]
+                met = np.frombuffer(b"".join(before[lo:hi]), np.int64).reshape(hi - lo, -1) if before[lo] else np.empty((hi - lo, 0), np.int64)  # one tree a node
+                few = [np.concatenate([x, y]) for x, y in zip(few, (member[lo:mid], component[lo:mid], tokens[lo:mid], met[: mid - lo]), strict=True)]
                 a, b, n = [], [], []
                 for k in range(len(few[0])):
                     equal = (tokens[mid:hi] == few[2][k]).sum(1)
                     hit = np.flatnonzero((equal >= self.least) & (component[mid:hi] != few[1][k]))
+                    hit = hit[~(met[mid - lo :][hit] == few[3][k]).any(1)]
                     a.append(np.full(len(hit), few[0][k]))
                     b.append(member[mid:hi][hit])
                     n.append(equal[hit])
@@ -318,12 +330,12 @@ def _sides(rows: DataFrame) -> DataFrame:
 
 
 def _likely_links(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) between components within nodes: rows (node, member, component)."""
+    """Likely pairs (a, b) between components within nodes: rows (node, member, component, before)."""
     sided = _sides(rows)
     own = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
-    first = sided.where("component <> most").select("node", own.alias("part"), F.lit(False).alias("follows"), "member", "component")
-    then = sided.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("follows"), "member", "component")
-    together = first.union(then).join(sketches, "member").select("node", "part", "follows", "member", "component", "tokens")
+    first = sided.where("component <> most").select("node", own.alias("part"), F.lit(False).alias("follows"), "member", "component", "before")
+    then = sided.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("follows"), "member", "component", "before")
+    together = first.union(then).join(sketches, "member").select("node", "part", "follows", "member", "component", "before", "tokens")
     dealt = together.repartition("node", "part").sortWithinPartitions("node", "part", "follows")
     return dealt.mapInArrow(_Against(_least(WIDE, percent)), "a long, b long, agree int").select("a", "b").distinct()
 
@@ -433,7 +445,7 @@ def _components(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Da
     apart = compact(_sides(_with_component(small, classes)).select("node", "member", "component"))
     if not _empty(apart):
         some = sets.join(apart.select("member").distinct(), "member", "left_semi")
-        rest = compact(_likely_links(apart, wide_sketches(some), percent).join(first, ["a", "b"], "left_anti"))
+        rest = compact(_likely_links(apart.withColumn("before", F.lit(b"")), wide_sketches(some), percent).join(first, ["a", "b"], "left_anti"))
         classes = extend_components(classes, compact(_linked(rest, sets, percent)))
 
     # 3.: large nodes of several components

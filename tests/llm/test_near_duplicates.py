@@ -102,6 +102,6 @@ def test_node_comparison_over_batches():
     few = np.flatnonzero(np.arange(300) % 7 == 0)
     order = sorted([(nodes[i], 0, i) for i in few] + [(nodes[i], 1, i) for i in range(300)])
     at = [i for _, _, i in order]
-    rows = pa.record_batch([pa.array(nodes[at]), pa.array([0] * len(at)), pa.array([bool(f) for _, f, _ in order]), pa.array(at), pa.array(np.array(at) % 5), pa.array([tokens[i].astype(np.uint8).tobytes() for i in at])], names=["node", "part", "follows", "member", "component", "tokens"])
+    rows = pa.record_batch([pa.array(nodes[at]), pa.array([0] * len(at)), pa.array([bool(f) for _, f, _ in order]), pa.array(at), pa.array(np.array(at) % 5), pa.array([tokens[i].astype(np.uint8).tobytes() for i in at]), pa.array([np.int64(i % 3).tobytes() for i in at])], names=["node", "part", "follows", "member", "component", "tokens", "before"])
     got = {(a, b) for out in near_duplicates._Against(5)(slices(rows)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
-    assert got == {(min(i, j), max(i, j)) for i in few.tolist() for j in range(300) if nodes[i] == nodes[j] and i % 5 != j % 5 and (tokens[i] == tokens[j]).sum() >= 5}
+    assert got == {(min(i, j), max(i, j)) for i in few.tolist() for j in range(300) if nodes[i] == nodes[j] and i % 5 != j % 5 and i % 3 != j % 3 and (tokens[i] == tokens[j]).sum() >= 5}
