@@ -31,8 +31,10 @@ from blockweave.llm.common import map_slices
 PASSAGE, BLOCK = 64, 4096
 RANK, OVERSAMPLE, ITERATIONS = 160, 10, 2
 STRIDE = 8
-#: Windows by length in strides, with the longest passage that each is meant for.
-SCALES = ((1, 4), (2, 9), (3, 17), (4, 25), (6, 41), (9, 10**9))
+#: Windows by length and step in strides, with the longest passage that each is meant for: from 9 words on some window holds it whole.
+SCALES = ((1, 1, 4), (2, 1, 9), (4, 2, 17), (5, 2, 25), (7, 2, 41), (10, 2, 10**9))
+#: Slots in which a passage's terms are noted for a first look; more terms than slots share them.
+SLOTS = 1 << 13
 SHARE, COPY, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
 SEED = 11
 _EDGES = ".,;:!?\"'()[]{}«»„“”…*#$%&|-"
@@ -145,7 +147,7 @@ def latent_space(passages: DataFrame, rank: int = RANK) -> LatentSpace | None:
             coords[i] += basis[terms[w]]
     norms = np.linalg.norm(coords, axis=1, keepdims=True)
     lengths = np.array([len(r.words) for r in rows])
-    scale = np.array([next(i for i, (_, most) in enumerate(SCALES) if n <= most) for n in lengths])
+    scale = np.array([next(i for i, (_, _, most) in enumerate(SCALES) if n <= most) for n in lengths])
     return LatentSpace(terms, basis.astype(np.float32), [r.item_id for r in rows], [list(r.words) for r in rows], (coords / np.where(norms > 0, norms, 1)).astype(np.float32), norms[:, 0].astype(np.float32), idf, scale)
 
 
@@ -186,17 +188,18 @@ class Searcher:
     def __init__(self, space: LatentSpace):
         self.space, self.numbers = space, _Numbers(space.terms)
         self.table = np.concatenate([np.zeros((1, space.vectors.shape[1]), np.float32), space.vectors])
-        self.by_scale = [(n, np.flatnonzero(space.scale == i)) for i, (n, _) in enumerate(SCALES)]
-        self.targets = [np.ascontiguousarray(space.coordinates[p].T) for _, p in self.by_scale]
+        self.by_scale = [(n, step, np.flatnonzero(space.scale == i)) for i, (n, step, _) in enumerate(SCALES)]
+        self.targets = [np.ascontiguousarray(space.coordinates[p].T) for _, _, p in self.by_scale]
         self.passages, self.repeats, self.least = [], [], []
         self.sizes = np.array([len(words) for words in space.words])
-        self.inside = np.zeros((len(space.words), len(self.table)), bool)
+        self.slots = min(SLOTS, len(self.table))
+        self.inside = np.zeros((len(space.words), self.slots), bool)
         for inside, words in zip(self.inside, space.words, strict=True):
             mine = [space.terms[w] + 1 for w in words]
             u, n = np.unique(mine, return_counts=True)
             weight = n * space.idf[u - 1]
-            inside[mine] = True
-            self.passages.append((mine, inside, u, weight, PARAPHRASE * weight.sum()))
+            inside[u % self.slots] = True
+            self.passages.append((mine, u, weight, PARAPHRASE * weight.sum()))
             self.repeats.append(((n - 1) * space.idf[u - 1]).sum() + 1e-6)
             self.least.append(PARAPHRASE * weight.sum())
         self.repeats, self.least, self.idf = np.array(self.repeats), np.array(self.least), np.concatenate([[0.0], space.idf])
@@ -230,18 +233,21 @@ class Searcher:
         owner_of = np.searchsorted(begins, starts, "right") - 1
         inside = starts < (begins + lengths)[owner_of]  # windows that start in a gap reach into the next text only
         found: dict[tuple[int, int], tuple[float, int, bool]] = {}
+        weights = self.idf[ids]
         window, have = blocks, 1
         windows = {1: blocks}
-        for (n, passages), target in zip(self.by_scale, self.targets, strict=True):
+        nth = (starts - begins[owner_of]) // STRIDE  # within the text, so that its windows don't depend on its neighbours
+        slots = ids % self.slots if self.slots < len(self.table) else ids
+        for (n, step, passages), target in zip(self.by_scale, self.targets, strict=True):
             while have < n:  # the window and one right behind it
-                more = min(have, n - have)
+                more = max(k for k in windows if k <= n - have)
                 window, have = window[:-more] + windows[more][have:], have + more
                 windows[have] = window
             if not len(passages):
                 continue
             norms = np.sqrt(np.einsum("ij,ij->i", window, window))
             least = SHARE * self.space.norms[passages][None]
-            rows = np.flatnonzero((norms >= least.min()) & inside[: len(norms)])  # a shorter vector has no long projection
+            rows = np.flatnonzero((norms >= least.min()) & inside[: len(norms)] & (nth[: len(norms)] % step == 0))  # a shorter vector has no long projection
             for lo in range(0, len(rows), 1024):
                 at = rows[lo : lo + 1024]
                 along = window[at] @ target
@@ -255,20 +261,27 @@ class Searcher:
                     low = np.maximum(begins[k], starts[near] - self.sizes[which])
                     high = np.minimum(begins[k] + lengths[k], starts[near] + n * STRIDE + self.sizes[which])
                     places = low[:, None] + np.arange((high - low).max())
-                    there = self.inside[which[:, None], ids[np.minimum(places, len(ids) - 1)]] & (places < high[:, None])
+                    at_ = np.minimum(places, len(ids) - 1)
+                    there = self.inside[which[:, None], slots[at_]] & (places < high[:, None])
                     # bounds of what _check asks for
-                    weight = (there * self.idf[ids[np.minimum(places, len(ids) - 1)]]).sum(1) + self.repeats[which]
-                    for i in np.flatnonzero((there.sum(1) >= PARAPHRASE * self.sizes[which]) & (weight >= self.least[which])):
+                    weight = np.einsum("ij,ij->i", there, weights[at_]) + self.repeats[which]
+                    some_ = np.flatnonzero((there.sum(1) >= PARAPHRASE * self.sizes[which]) & (weight >= self.least[which]))
+                    # the same with each word once
+                    terms = np.sort(np.where(there[some_], ids[at_[some_]], 0), axis=1)
+                    once = self.idf[terms[:, 1:]] * (terms[:, 1:] != terms[:, :-1])
+                    for i in some_[once.sum(1) + self.idf[terms[:, 0]] + self.repeats[which[some_]] >= self.least[which[some_]]]:
                         begin, owner, length = owners[int(k[i])]
                         self._check(ids[begin : begin + length], int(which[i]), int(starts[near[i]]) - begin, n * STRIDE, owner, found)
         for (owner, p), (ratio, start, copy) in sorted(found.items()):
             out[owner].append({"item_id": self.space.items[p], "start_word": start, "lcs": ratio, "copy": copy})
 
     def _check(self, ids: np.ndarray, p: int, start: int, length: int, owner: int, found: dict) -> None:
-        mine, inside, terms, weight, least = self.passages[p]
+        mine, terms, weight, least = self.passages[p]
         lo = max(0, start - len(mine))
         near = ids[lo : start + length + len(mine)]
-        near = near[inside[near]]  # other words are in no common subsequence
+        self.mark[terms] = True
+        near = near[self.mark[near]]  # other words are in no common subsequence
+        self.mark[terms] = False
         if len(near) < PARAPHRASE * len(mine):
             return
         self.mark[near] = True
