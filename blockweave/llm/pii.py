@@ -6,8 +6,9 @@ with cycle walking, and written back, so that lengths, separators, letter case a
 still hold. The permutation depends only on key, kind and value: equal values get equal
 pseudonyms in every document, different values different ones, and ``reveal`` inverts it.
 
-Cases: null texts stay null, texts without a hit are returned unchanged; of overlapping forms the
-first of KINDS wins; repeated rows give repeated results.
+Cases: null texts stay null, texts without a hit are returned unchanged, and so are values that fail
+their check; of overlapping forms the first of KINDS wins; repeated rows give repeated results; an empty
+table gives no rows; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -15,15 +16,23 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from blockweave.llm.common import map_slices
 
 ROUNDS = 8
-DEFAULT_KEY = "change-me"
+#: Setting of the session that holds the key. Without it a random one is drawn for the application, so that
+#: nobody can reverse the pseudonyms of a run for which no key was kept.
+KEY_SETTING = "blockweave.pii.key"
+_drawn: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def feistel(n: int, size: int, key: bytes, kind: str, inverse: bool = False, valid: Callable[[int], bool] | None = None) -> int:
@@ -98,11 +107,10 @@ def _card(value: str, key: bytes, inverse: bool) -> str | None:
     d = _digits(value)
     if d[0] == "0" or len(set(d)) == 1:
         return None
-    if luhn_digit(d[:-1]) == d[-1]:
-        body = d[0] + _permute_chars(d[1:-1], key, "card", inverse)
-        return _refill(value, body + luhn_digit(body))
-    # an account number that fails the check stays one that fails it
-    return _refill(value, d[0] + _permute_chars(d[1:], key, "account" + d[0], inverse, valid=lambda x: luhn_digit(d[0] + x[:-1]) != x[-1]))
+    if luhn_digit(d[:-1]) != d[-1]:  # no account number
+        return None
+    body = d[0] + _permute_chars(d[1:-1], key, "card", inverse)
+    return _refill(value, body + luhn_digit(body))
 
 
 def _ssn_ok(d: str) -> bool:
@@ -235,7 +243,7 @@ def reveal(text: str, key: bytes) -> str:
 
 class _Apply:
     def __init__(self, key: str, keep: list[str]):
-        self.key, self.keep = key.encode(), keep
+        self.key, self.keep = hashlib.blake2b(key.encode()).digest(), keep
 
     def start(self):
         def run(cols):
@@ -245,18 +253,18 @@ class _Apply:
         return run
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, n_values and spans of every row. Narrow: one pass, no shuffle."""
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_values", pa.int64()), ("spans", spans)])
-    return map_slices(docs.select(docs["doc_id"].cast("long"), "text"), _Apply(key, ["doc_id"]), "doc_id long, text string, n_values long, spans array<struct<kind:string,start:long,length:long>>", arrow)
+    return map_slices(docs.select(docs["doc_id"].cast("long"), "text"), _Apply(key or key_of(docs.sparkSession), ["doc_id"]), "doc_id long, text string, n_values long, spans array<struct<kind:string,start:long,length:long>>", arrow)
 
 
-def pseudonymise_rows(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The columns of documents with the text replaced and n_chars recounted."""
     from pyspark.sql import functions as F
 
     arrow = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.string()), ("n_values", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))])
     rows = docs.select(docs["doc_id"].cast("long"), "lang", "source", "text")
-    out = map_slices(rows, _Apply(key, ["doc_id", "lang", "source"]), "doc_id long, lang string, source string, text string, n_values long, spans array<struct<kind:string,start:long,length:long>>", arrow)
+    out = map_slices(rows, _Apply(key or key_of(docs.sparkSession), ["doc_id", "lang", "source"]), "doc_id long, lang string, source string, text string, n_values long, spans array<struct<kind:string,start:long,length:long>>", arrow)
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
