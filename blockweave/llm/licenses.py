@@ -7,14 +7,17 @@ of priority, and one whose byte interval lies within an accepted interval is sup
 "bsd 3 clause" wins over the bare "bsd" inside it. Base rules are never suppressed.
 
 Cases: a null or empty text has no words, no detections and score 0; rows are independent, so
-repeated rows give repeated results; a null doc_id is passed through.
+repeated rows give repeated results; a null doc_id is passed through; an empty table gives no rows; of rules
+that tie in priority and length the one listed first goes first; very long texts are read whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -209,25 +212,53 @@ class Scanner:
                 found += [(i, *m.span()) for m in pattern.finditer(raw)]
         found.sort(key=lambda d: (self.rules[d[0]].priority, d[1] - d[2], d[0]))
         kept: list[tuple[int, int, Rule]] = []
+        reach = _Reach([a for _, a, _ in found])
         for i, a, b in found:
             rule = self.rules[i]
-            if rule.base or not any(s <= a and b <= e for s, e, _ in kept):
+            if rule.base or reach.of(a) < b:
                 kept.append((a, b, rule))
+                reach.add(a, b)
         return kept
 
 
+class _Reach:
+    """How far intervals that begin at or before a place reach: prefix maxima in a tree over the sorted starts."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.most = [0] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start) + 1
+        while k < len(self.most):
+            self.most[k] = max(self.most[k], end)
+            k += k & -k
+
+    def of(self, start: int) -> int:
+        k, out = bisect_left(self.starts, start) + 1, 0
+        while k:
+            out = max(out, self.most[k])
+            k -= k & -k
+        return out
+
+
 def scan_text(scanner: Scanner, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, list[dict]]:
     raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: only A-Z change
-    n_words = len(raw.translate(_WORDS).split())
     kept = scanner.detections(raw)
-    word_of = {a: len(raw[:a].translate(_WORDS).split()) for a, _, r in kept}
-    starts = [word_of[a] for a, _, r in kept if r.base]
+    if not kept:
+        return len(raw.translate(_WORDS).split()), 0, None, None, "", "", 0.0, []
+    # starts of words; a place's word is the number of starts before it
+    word = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
+    begins = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    order = sorted(kept, key=lambda k: k[:2])
+    first, after = (np.searchsorted(begins, [k[j] for k in order]).tolist() for j in (0, 1))
+    starts = [w for (_, _, r), w in zip(order, first, strict=True) if r.base]
     miss = 1.0
-    for a, b, r in kept:
+    for _, _, r in kept:
         miss *= 1 - r.relevance
-    spans = [{"label": r.label, "start_word": word_of[a], "n_words": len(raw[a:b].translate(_WORDS).split()), "relevance": r.relevance} for a, b, r in sorted(kept, key=lambda k: k[:2])]
+    spans = [{"label": r.label, "start_word": w, "n_words": e - w, "relevance": r.relevance} for (_, _, r), w, e in zip(order, first, after, strict=True)]
     base = ",".join(sorted({r.label for _, _, r in kept if r.base}))
-    return n_words, len(starts), min(starts, default=None), max(starts, default=None), base, ",".join(sorted({r.label for _, _, r in kept})), 1 - miss, spans
+    return len(begins), len(starts), min(starts, default=None), max(starts, default=None), base, ",".join(sorted({r.label for _, _, r in kept})), 1 - miss, spans
 
 
 class _Scan:
