@@ -1,15 +1,15 @@
 """Merkle fingerprints of texts. DataFrame functions only.
 
-Leaves are paragraphs (lines). Sections are runs of paragraphs that end where a paragraph's
-digest ends in 0 to 3, so an insertion moves no other border. A section's digest is over its
-paragraphs' digests, the root over the sections'. Equal roots mean equal texts; sections and then
-paragraphs that differ locate edits (``differing_sections``). Below the leaves, stretches of
-PIECE characters make likeness finer than a paragraph: it is the Dice measure of the distinct
-piece digests.
+The tree's leaves are pieces of a paragraph (line): they end after a word whose last letter is one of
+BORDERS, or at LONGEST characters, so an edit moves no border beyond the next one. A paragraph's digest is over those of
+its pieces, a section's over those of its paragraphs: sections end where a paragraph's digest ends in 0 to 3. The root is over the
+sections. All digests are whole, so equal roots mean equal texts. Sections, paragraphs and pieces that
+differ locate edits (``differing_sections``); likeness of two fingerprints is the Dice measure of their trees' distinct leaves.
 
 Cases: a null text counts as empty and has one empty paragraph; two texts without pieces
 have likeness 1, one without and one with 0; null ids sort after all others and repeated ids by
-text; with a single row the next document is itself; an empty table gives no rows.
+text; with a single row the next document is itself; an empty table gives no rows; very long texts are read
+whole, and a paragraph's pieces are found in one pass over it.
 """
 
 from __future__ import annotations
@@ -17,14 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 32
-#: Rows that a bucket of neighbours aims at, and buckets at most (their borders are broadcast).
+BORDERS, LONGEST = "dgklmrw", 80
+_PIECE = r"[^\n]{1,%d}?(?:[%s] |\z)|[^\n]{1,%d}" % (LONGEST, BORDERS, LONGEST)
+#: Rows that a bucket of neighbours aims at, and buckets at most (their borders are broadcast). Beyond 1.3 million
+#: rows buckets grow; their rows are sorted on disk where memory is short.
 BUCKET_ROWS, MAX_BUCKETS = 64, 20_000
 _LOWEST = -(2**63)
 
 
-def paragraph_digests(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda p: F.substring(F.sha2(p, 256), 1, 16))
+def piece_digests(text: Column) -> Column:
+    """Digests of the pieces of each paragraph, in order."""
+    return F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(_PIECE), F.lit(0)), lambda x: F.sha2(x, 256)))
+
+
+def paragraph_digests(pieces: Column) -> Column:
+    return F.transform(pieces, lambda p: F.sha2(F.array_join(p, ""), 256))
 
 
 def section_digests(paragraphs: Column) -> Column:
@@ -32,28 +39,28 @@ def section_digests(paragraphs: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(joined, "([0-3]);", "$1;|"), "\\|", -1), lambda s: F.sha2(s, 256))
 
 
-def root_digest(text: Column) -> Column:
-    return F.sha2(F.array_join(section_digests(paragraph_digests(text)), ""), 256)
-
-
-def piece_digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[^\n]{1,%d}\n?|\n" % PIECE), F.lit(0)), lambda p: F.substring(F.md5(p), 1, 16)))
+def root_digest(sections: Column) -> Column:
+    return F.sha2(F.array_join(sections, ""), 256)
 
 
 def likeness(a: Column, b: Column) -> Column:
+    """Dice measure of the distinct leaves of two trees, given as piece digests by paragraph."""
+    a, b = F.array_distinct(F.flatten(a)), F.array_distinct(F.flatten(b))
     both = F.size(a) + F.size(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(F.round(2.0 * F.size(F.array_intersect(a, b)) / both, 9))
 
 
 def merkle_tree(docs: DataFrame) -> DataFrame:
-    """doc_id, root, sections and paragraphs (digests in order) of every row. Narrow."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), paragraph_digests(text).alias("paragraphs")).select("doc_id", F.sha2(F.array_join(section_digests(F.col("paragraphs")), ""), 256).alias("root"), section_digests(F.col("paragraphs")).alias("sections"), "paragraphs")
+    """doc_id, root, and the digests of sections, paragraphs and pieces, in order, of every row. Narrow."""
+    leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), piece_digests(F.coalesce(F.col("text"), F.lit(""))).alias("pieces"))
+    tree = leaves.withColumn("paragraphs", paragraph_digests(F.col("pieces"))).withColumn("sections", section_digests(F.col("paragraphs")))
+    return tree.select("doc_id", root_digest(F.col("sections")).alias("root"), "sections", "paragraphs", "pieces")
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Positions from 0 of the sections of ``a`` that ``b`` has nowhere."""
-    return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: ~F.array_contains(b, F.element_at(a, (i + 1).cast("int"))))
+    """Positions from 0 of the sections of ``a`` that ``b`` has nowhere. Only those that differ are looked up."""
+    apart = F.array_except(a, b)
+    return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.array_contains(apart, F.element_at(a, (i + 1).cast("int"))))
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -108,14 +115,18 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    pieces = with_next_text(docs).withColumn("edited", edited)
-    return pieces.select(
+    leaves = with_next_text(docs).select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), piece_digests(F.col("text")).alias("own"), piece_digests(edited).alias("other"), piece_digests(F.col("next_text")).alias("next")
+    )
+    sections = leaves.withColumn("mine", section_digests(paragraph_digests(F.col("own")))).withColumn("theirs", section_digests(paragraph_digests(F.col("other"))))
+    return sections.select(
         "doc_id",
-        n.cast("long").alias("n_chars"),
+        "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        root_digest(F.col("text")).alias("fingerprint"),
-        root_digest(F.col("edited")).alias("edited_fingerprint"),
-        piece_digests(F.col("text")).alias("own"),
-        piece_digests(F.col("edited")).alias("other"),
-        piece_digests(F.col("next_text")).alias("next"),
-    ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+        root_digest(F.col("mine")).alias("fingerprint"),
+        root_digest(F.col("theirs")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        F.size("mine").cast("long").alias("n_sections"),
+        F.size(F.array_except("mine", "theirs")).cast("long").alias("n_differing"),
+    )

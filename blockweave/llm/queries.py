@@ -69,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the others have brute-force tests."""
-    return {"op5_merkle_fingerprints": OP5_SQL}
+    return {"op5_merkle_fingerprints": OP5_SQL, "op10_chosen_path_near_duplicates": OP10_SQL}
 
 
 OP5_SQL = r"""
@@ -80,19 +80,40 @@ n AS (
   FROM d
 ),
 e AS (SELECT *, left(text, n - n // 2) || left(nxt, n // 2) AS edited FROM n),
-t AS (
-  SELECT doc_id, n, edited, text,
-    list_distinct(list_transform(regexp_extract_all(text, '[^\n]{1,32}\n?|\n'), lambda p: left(md5(p), 16))) AS own,
-    list_distinct(list_transform(regexp_extract_all(edited, '[^\n]{1,32}\n?|\n'), lambda p: left(md5(p), 16))) AS other,
-    list_distinct(list_transform(regexp_extract_all(nxt, '[^\n]{1,32}\n?|\n'), lambda p: left(md5(p), 16))) AS nx,
-    regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda p: left(sha256(p), 16)), ';') || ';', '([0-3]);', '\1;|', 'g') AS j1,
-    regexp_replace(array_to_string(list_transform(string_split(edited, chr(10)), lambda p: left(sha256(p), 16)), ';') || ';', '([0-3]);', '\1;|', 'g') AS j2
+l AS (
+  SELECT doc_id, n, edited,
+    list_transform(string_split(text, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\n]{1,80}?(?:[dgklmrw] |\z)|[^\n]{1,80}'), lambda x: sha256(x))) AS own,
+    list_transform(string_split(edited, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\n]{1,80}?(?:[dgklmrw] |\z)|[^\n]{1,80}'), lambda x: sha256(x))) AS other,
+    list_transform(string_split(nxt, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\n]{1,80}?(?:[dgklmrw] |\z)|[^\n]{1,80}'), lambda x: sha256(x))) AS nx
   FROM e
+),
+s AS (
+  SELECT doc_id, n, edited, list_distinct(flatten(own)) AS a, list_distinct(flatten(other)) AS b, list_distinct(flatten(nx)) AS c,
+    list_transform(string_split(regexp_replace(array_to_string(list_transform(own, lambda p: sha256(array_to_string(p, ''))), ';') || ';', '([0-3]);', '\1;|', 'g'), '|'), lambda x: sha256(x)) AS mine,
+    list_transform(string_split(regexp_replace(array_to_string(list_transform(other, lambda p: sha256(array_to_string(p, ''))), ';') || ';', '([0-3]);', '\1;|', 'g'), '|'), lambda x: sha256(x)) AS theirs
+  FROM l
 )
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
-  sha256(array_to_string(list_transform(string_split(j1, '|'), lambda s: sha256(s)), '')) AS fingerprint,
-  sha256(array_to_string(list_transform(string_split(j2, '|'), lambda s: sha256(s)), '')) AS edited_fingerprint,
-  CASE WHEN len(own) + len(other) = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(own, other)) / (len(own) + len(other)), 9) END AS near_edited,
-  CASE WHEN len(own) + len(nx) = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(own, nx)) / (len(own) + len(nx)), 9) END AS near_next
-FROM t
+  sha256(array_to_string(mine, '')) AS fingerprint, sha256(array_to_string(theirs, '')) AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)), 9) END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)), 9) END AS near_next,
+  len(mine)::BIGINT AS n_sections, len(list_filter(list_distinct(mine), lambda x: NOT list_contains(theirs, x)))::BIGINT AS n_differing
+FROM s
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w
+),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s.s
 """
