@@ -134,6 +134,7 @@ def test_fingerprints(docs, none):
     assert got[6].n_chars == len(TEXTS[6]) and got[4].near_next == 1.0
     assert fingerprints.fingerprint_documents(none).count() == 0
     tree = by_id(fingerprints.merkle_tree(docs))
+    assert [len(p) for p in tree[5].pieces][1] == 0 and got[6].near_edited <= 1 and got[0].n_sections == 1
     assert len(tree[5].paragraphs) == 3 and tree[3].root == got[3].fingerprint
 
 
@@ -267,3 +268,86 @@ def test_pipeline_keeps_clean_documents(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() >= 0.8 * docs.count()
     assert corpus_pipeline.pseudonymise(spark, docs, sf).where(F.col("text").rlike("AKIA")).count() == docs.where(F.col("text").rlike("AKIA")).count()
+
+
+def test_differing_sections_locate_an_edit(spark):
+    lines = [f"line {i} of some words and more to read" for i in range(200)]
+    edited = list(lines)
+    edited[77] = "something else"
+    df = spark.createDataFrame([(0, "\n".join(lines)), (1, "\n".join(edited)), (2, "\n".join(["new first", *lines]))], "doc_id long, text string")
+    t = by_id(fingerprints.merkle_tree(df))
+    both = spark.createDataFrame([(t[0].sections, t[1].sections, t[2].sections)], "a array<string>, b array<string>, c array<string>")
+    at, begin = both.select(fingerprints.differing_sections(F.col("a"), F.col("b")).alias("x"), fingerprints.differing_sections(F.col("a"), F.col("c")).alias("y")).first()
+    ends = [k for k, p in enumerate(t[0].paragraphs) if p[-1] in "0123"]
+    assert at == [sum(e < 77 for e in ends)] and begin == [0]
+    assert t[0].root != t[1].root
+
+
+def test_cards_that_fail_their_check_stay(spark, docs, none):
+    text = "20240101123456 and 1234567890123 and 9807915762804490"
+    assert pii.pseudonymise(text, b"k") == (text, [])
+    got = by_id(pii.pseudonymise_documents(docs, "k"))
+    assert [got[i].text for i in range(len(TEXTS))] == TEXTS and pii.pseudonymise_documents(none, "k").count() == 0
+    same = spark.createDataFrame([(i, "card 4111 1111 1111 1111 of 2021-03-04", "x") for i in range(3)], "doc_id long, text string, spans string")
+    new = {r.text for r in pii.pseudonymise_documents(same).collect()}  # without a key one is drawn for the application
+    assert len(new) == 1 and "4111 1111" not in new.pop()
+    other = {r.text for r in pii.pseudonymise_documents(same, "another").collect()}
+    assert other != {r.text for r in pii.pseudonymise_documents(same, "key").collect()}
+
+
+def test_pseudonyms_of_a_whole_small_format():
+    ids = {f"{a:03d}-{b:02d}-0001": None for a in range(1, 40) for b in range(1, 30)}
+    images = {pii.pseudonymise(v, b"k")[0] for v in ids}
+    assert len(images) == len(ids) and all(pii._ssn_ok(pii._digits(v)) for v in images)
+    days = [(datetime.date(2020, 1, 1) + datetime.timedelta(k)).isoformat() for k in range(800)]
+    assert len({pii.pseudonymise(v, b"k")[0] for v in days}) == 800
+
+
+def test_license_intervals_and_time():
+    import time
+
+    s = licenses.Scanner()
+    rng = np.random.default_rng(0)
+    pairs = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 300, 400), rng.integers(1, 60, 400), strict=True)]
+    reach, kept = licenses._Reach([a for a, _ in pairs]), []
+    for a, b in pairs:
+        assert (reach.of(a) >= b) == any(x <= a and b <= y for x, y in kept)
+        reach.add(a, b)
+        kept.append((a, b))
+    took = []
+    for n in (1_000, 4_000):
+        began = time.time()
+        got = licenses.scan_text(s, "Licensed under the MIT License and BSD-3.\n" * n)
+        took.append(time.time() - began)
+        assert got[1] == 0 or got[1] == n
+    assert took[1] < 12 * took[0]
+
+
+def test_language_prototypes_against_plain_loops(spark):
+    df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the thing and the other", "en"), ("das ding und die anderen", "de"), ("the end of the day", "en"), ("der tag ist zu ende", "de")] * 3)], "doc_id long, text string, lang string")
+    got = by_id(language.identify_language(df, language.learnable(df)))
+    assert all(got[i].lang_pred == ("en" if i % 2 == 0 else "de") and 0 <= got[i].score <= 1 for i in range(12))
+
+
+def test_paraphrases_need_their_answer(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    items = [[word() for _ in range(40)] for _ in range(20)]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        kept = set(range(30, 40)) | set(rng.choice(30, 13, replace=False).tolist())  # 23 of 40 words, the answer among them
+        if i % 2:
+            kept = set(rng.choice(30, 23, replace=False).tolist())  # as many words, without the answer
+        else:
+            want.add((i, i))
+        texts.append(" ".join([word() for _ in range(30)] + [w if k in kept else word() for k, w in enumerate(item)] + [word() for _ in range(30)]))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = decontamination.find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and not any(r.copy for r in got)
+
+
+def test_packing_is_close_to_the_bound(spark):
+    df = spark.createDataFrame([(i, "word " * int(n)) for i, n in enumerate(np.random.default_rng(5).integers(1, 3000, 400))], "doc_id long, text string")
+    got = packing.pack_documents(df)
+    total, n = got.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert n <= total / 4096 * 1.02 + 2
