@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions.scalars import odds, rule_one, rule_two
 from blockweave.operators.joins import mutations_to_bricks
+from blockweave.operators.lineage import cut
 
 
 def round_weights(edges: DataFrame, digits: int = 4) -> DataFrame:
@@ -135,23 +136,18 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float, may_pass:
     minima, so work is spread by vertex and no graph has to fit into a task. Weights must not be negative.
     """
     checked = F.assert_true(F.col("weight") >= 0, F.lit("edge weights must not be negative"))
-    out = edges.withColumn("_ok", checked).where("_ok is null").select(F.col("from").alias("vertex"), F.col("to").alias("next"), F.col("weight").alias("step")).persist()
+    out = edges.withColumn("_ok", checked).where("_ok is null").select(F.col("from").alias("vertex"), F.col("to").alias("next"), F.col("weight").alias("step"))
+    out = cut(out)
     best = sources.select("source", F.col("source").alias("vertex"), F.lit(0.0).alias("distance"))
-    front, kept = best, [out]
-    try:
-        for k in range(max_rounds):
-            moving = front if k == 0 else front.where(may_pass(F.col("vertex")))
-            tried = moving.join(out, "vertex").select("source", F.col("next").alias("vertex"), (F.col("distance") + F.col("step")).alias("distance"))
-            tried = tried.where((F.col("distance") <= cutoff) & (F.col("vertex") != F.col("source")) & may_reach(F.col("source"), F.col("vertex"))).groupBy("source", "vertex").agg(F.min("distance").alias("new"))
-            both = best.join(tried, ["source", "vertex"], "full").select("source", "vertex", F.least("distance", "new").alias("distance"), F.coalesce(F.col("new") < F.col("distance"), F.col("distance").isNull()).alias("moved"))
-            both = both.checkpoint() if both.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else both.persist()
-            kept.append(both)
-            best, front = both.drop("moved"), both.where("moved").drop("moved")
-            if not front.take(1):
-                return best
-    finally:
-        for df in kept[:-1]:
-            df.unpersist()
+    front = best
+    for k in range(max_rounds):
+        moving = front if k == 0 else front.where(may_pass(F.col("vertex")))
+        tried = moving.join(out, "vertex").select("source", F.col("next").alias("vertex"), (F.col("distance") + F.col("step")).alias("distance"))
+        tried = tried.where((F.col("distance") <= cutoff) & (F.col("vertex") != F.col("source")) & may_reach(F.col("source"), F.col("vertex"))).groupBy("source", "vertex").agg(F.min("distance").alias("new"))
+        both = cut(best.join(tried, ["source", "vertex"], "full").select("source", "vertex", F.least("distance", "new").alias("distance"), F.coalesce(F.col("new") < F.col("distance"), F.col("distance").isNull()).alias("moved")))
+        best, front = both.drop("moved"), both.where("moved").drop("moved")
+        if not front.take(1):
+            return best
     raise RuntimeError(f"paths have not settled after {max_rounds} rounds")
 
 
@@ -193,7 +189,7 @@ def finalise_graph(first: DataFrame, second: DataFrame, groups: DataFrame, cutof
     haplotypes one by one gives, in any order. groups: group, mutation (its first).
     """
     both = last_edge_wins(first, first.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight"), second)
-    both = both.persist()
+    both = cut(both)
     direct = both.where("`from` >= 0 and `to` >= 0")
     ends = both.where("`from` >= 0 and `to` < 0").select(F.col("from").alias("source")).distinct()
     # the first step goes to a haplotype only: a direct edge is no path through haplotypes
@@ -335,15 +331,15 @@ def brick_events(edges: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataF
     interval: its parent brick (none at the root), its children's and its siblings' bricks, those longest there first. Samples below a
     node are found by going up from all samples of all intervals at once, one level a round.
     """
-    tree = brick_intervals(edges).persist()
+    tree = cut(brick_intervals(edges))
     total = samples.groupBy("ts_id").agg(F.countDistinct("node").alias("total"))
     fresh = tree.where("fresh")
     wanted = fresh.select("ts_id", "interval").distinct()
-    up = tree.join(wanted, ["ts_id", "interval"], "left_semi").select("ts_id", "interval", F.col("child").alias("node"), "parent").persist()
+    up = tree.join(wanted, ["ts_id", "interval"], "left_semi").select("ts_id", "interval", F.col("child").alias("node"), "parent")
     at = samples.select("ts_id", "node").distinct().join(wanted, "ts_id").select("ts_id", "interval", "node", F.lit(1).alias("n"))
     counts = at
     while True:  # as often as the trees are high
-        at = at.join(up, ["ts_id", "interval", "node"]).groupBy("ts_id", "interval", F.col("parent").alias("node")).agg(F.sum("n").cast("int").alias("n")).persist()
+        at = cut(at.join(up, ["ts_id", "interval", "node"]).groupBy("ts_id", "interval", F.col("parent").alias("node")).agg(F.sum("n").cast("int").alias("n")))
         if not at.take(1):
             break
         counts = counts.union(at)
@@ -373,8 +369,41 @@ def thin_graph(edges: DataFrame, missing: DataFrame) -> DataFrame:
     both = both.union(both.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight"))
     for end in ("from", "to"):  # numbers of missing nodes become negative
         both = both.join(gone.withColumnRenamed("node", end), end, "left").withColumn(end, F.when(F.col("gone"), haplotype(F.col(end))).otherwise(F.col(end))).drop("gone")
-    lengths = both.select("from", "to", (1 / F.col("weight") - 1).alias("weight")).groupBy("from", "to").agg(F.min("weight").alias("weight")).persist()
+    lengths = both.select("from", "to", (1 / F.col("weight") - 1).alias("weight")).groupBy("from", "to").agg(F.min("weight").alias("weight"))
+    lengths = cut(lengths)
     ends = lengths.where("`from` >= 0 and `to` < 0").select(F.col("from").alias("source")).distinct()
     ways = bounded_paths(lengths.where("`from` < 0 or `to` < 0"), ends, float("inf"), lambda v: v < 0, lambda s, v: F.lit(True)).where("vertex >= 0 and vertex <> source")
     every = lengths.where("`from` >= 0 and `to` >= 0").unionByName(ways.select(F.col("source").alias("from"), F.col("vertex").alias("to"), F.col("distance").alias("weight")))
     return undirected_minimum(every).select("from", "to", (1 / (F.col("weight") + 1)).alias("weight"))
+
+
+def prune_sites(mutations: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
+    """Mutations (mutation, site) whose frequency (mutation, frequency) is at least ``threshold`` away from 0 and 1. A site with two mutations is an error."""
+    once = F.assert_true(F.count(F.lit(1)).over(Window.partitionBy("site")) == 1, F.concat(F.lit("several mutations at site "), F.col("site").cast("string")))
+    kept = frequency.where(F.col("frequency").between(threshold, 1 - threshold)).select("mutation")
+    return mutations.withColumn("_ok", once).where("_ok is null").drop("_ok").join(kept, "mutation", "left_semi")
+
+
+def brick_identities(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(brick, identity): neighbouring edges of one child with the same leaves below are one brick, named by its first edge.
+
+    leaves: brick, leaves (sorted array). Stretches are found along the positions of each child.
+    """
+    along = Window.partitionBy("child").orderBy("left")
+    same = (F.lag("leaves").over(along) == F.col("leaves")) & (F.lag("right").over(along) == F.col("left"))
+    marked = edges.join(leaves, "brick").withColumn("run", F.sum(F.coalesce((~same).cast("int"), F.lit(1))).over(along))
+    return marked.select("brick", F.first("brick").over(Window.partitionBy("child", "run").orderBy("left")).alias("identity"))
+
+
+def graph_from_trees(trees: DataFrame, samples: DataFrame, mutations: DataFrame, path_threshold: float, edge_threshold: float | None = None, recombination_threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Edges of mutation groups, and the mutations with their group's index, of one tree sequence (rows of TREE_TABLES).
+
+    samples: node; mutations: mutation, position, node.
+    """
+    edges = cut(brick_edges(trees, recombination_threshold))
+    named = samples.join(edges.select("ts_id").distinct(), how="cross")  # one tree sequence
+    bricks, events = brick_events(edges, named.select("ts_id", "node"))
+    groups = mutation_groups(mutations, edges)
+    inner = bricks.where("frequency > 0 and frequency < 1")
+    groups = cut(groups)
+    return make_graph(cut(inner), cut(events), groups, path_threshold, edge_threshold), snplist(groups, mutations)

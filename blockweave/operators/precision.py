@@ -204,3 +204,16 @@ def fit_summary(precision: DataFrame, correlations: DataFrame) -> DataFrame:
         return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "mse": [float(((r - v["value"].to_numpy()) ** 2).mean())], "degree": [float((p != 0).sum() / len(p) - 1)]})
 
     return per_block(precision, correlations, kernel, "block_id string, mse double, degree double")
+
+
+def partial_terms(matrix: DataFrame, rows: DataFrame, sample_size: float, intercept: float = 1.0) -> DataFrame:
+    """Likelihood of each block where nodes may lack a Z, with its gradients: rows (block_id, i, z nullable, sigma2), one a node."""
+
+    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("i", ignore_index=True)
+        seen = v.loc[v["z"].notna(), "i"].to_numpy()
+        pz = kernels.multiply(p, v["z"].dropna().to_numpy(), seen) / np.sqrt(sample_size)
+        ll, by_node, by_intercept = kernels.partial_likelihood(p, pz, v["sigma2"].to_numpy(), seen, sample_size, intercept)
+        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "ll": [ll], "gradient": [by_node.tolist()], "intercept_gradient": [by_intercept]})
+
+    return per_block(matrix, rows, kernel, "block_id string, ll double, gradient array<double>, intercept_gradient double")

@@ -5,14 +5,12 @@ Numbers are multiples of 1/8 or whole, so sums are exact in any order.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockweave.operators.lineage import shared_folder
+
 # name -> (table, expressions, filter)
 VIEWS: dict[str, tuple[str, list[str], str]] = {
     "variants": ("part", [
@@ -56,16 +54,5 @@ def cte(*names: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads again: where the cluster's shared folder or warehouse is, on a local master a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        shared = _own_folder() if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@lru_cache(1)
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="blockweave-scratch-")
-    atexit.register(shutil.rmtree, folder, True)
-    return folder
+    """A new folder for files that a query writes and reads again, where all executors see it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

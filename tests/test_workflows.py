@@ -193,3 +193,55 @@ def test_brick_examples(spark):
     assert [(r.group, r.brick, r.mutations) for r in graphs.mutation_groups(mutations, two).orderBy("group").collect()] == [(0, 0, [0]), (1, 1, [1])]
     with pytest.raises(Exception, match="not valid"):
         graphs.tree_rows("z", spark, initial.withColumn("right", F.lit(0.0)), at, out, come, state, 2).collect()
+
+
+def test_graph_from_trees_and_command_line(spark, tmp_path):
+    from blockweave.__main__ import main
+
+    # samples 0, 1, 2 under 3 = (0, 1) and the root 4 = (3, 2)
+    initial = spark.createDataFrame([(0.0, 1.0, 3, 0), (0.0, 1.0, 3, 1), (0.0, 1.0, 4, 2), (0.0, 1.0, 4, 3)], "left double, right double, parent int, child int")
+    empty = {
+        "transitions": "transition int, left double", "edges_out": "transition int, child int", "edges_in": "transition int, left double, right double, parent int, child int",
+        "node_state": "transition int, node int, prev_parent int, curr_parent int, time double, curr_num_samples int",
+    }
+    tables = {"initial_edges": initial} | {n: spark.createDataFrame([], t) for n, t in empty.items()}
+    tables["sample_nodes"] = spark.createDataFrame([(0,), (1,), (2,)], "node int")
+    tables["mutations"] = spark.createDataFrame([(0, 0.1, 0), (1, 0.2, 3), (2, 0.3, 1)], "mutation int, position double, node int")
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/tables/{name}")
+    main(["reduce", f"{tmp_path}/tables", "100", f"{tmp_path}/out"])
+    got = sorted(tuple(r) for r in spark.read.csv(f"{tmp_path}/out", schema="a int, b int, w double").collect())
+    assert [(a, b) for a, b, _ in got] == [(0, 1), (0, 2), (1, 2)] or [(a, b) for a, b, _ in got] == [(0, 1), (1, 2)]
+    assert all(w >= 0 for _, _, w in got)
+    # the child is tied to its parent by the ratio of their odds: (1/3) and (2/3)
+    assert dict(((a, b), w) for a, b, w in got)[0, 1] == pytest.approx(np.log(4), abs=1e-4)
+
+
+def test_sites_and_brick_identities(spark):
+    m = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "mutation int, site int")
+    f = spark.createDataFrame([(0, 0.05), (1, 0.5), (2, 0.96)], "mutation int, frequency double")
+    assert [r.mutation for r in graphs.prune_sites(m, f, 0.1).collect()] == [1]
+    with pytest.raises(Exception, match="several mutations"):
+        graphs.prune_sites(m.withColumn("site", F.lit(1)), f, 0.1).collect()
+    e = spark.createDataFrame([(0, 1, 0.0, 1.0), (1, 1, 1.0, 2.0), (2, 1, 3.0, 4.0), (3, 1, 4.0, 5.0)], "brick int, child int, left double, right double")
+    leaves = spark.createDataFrame([(0, [1, 2]), (1, [1, 2]), (2, [1, 2]), (3, [1])], "brick int, leaves array<int>")
+    assert sorted(tuple(r) for r in graphs.brick_identities(e, leaves).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def test_partial_terms_through_spark(blocks):
+    m, rows = blocks
+    some = rows.select("block_id", "i", F.when(F.col("i") != 3, F.col("z")).alias("z"), F.lit(0.01).alias("sigma2"))
+    got = precision.partial_terms(m, some, 1000.0).collect()
+    assert len(got) == 6 and all(np.isfinite(r.ll) and len(r.gradient) == 8 for r in got)
+
+
+def test_stream_of_statistics_meets_blocks(spark, tmp_path):
+    from blockweave.streaming.partition import stream_blocks
+
+    stats = spark.createDataFrame([(0, 1, 50, "rs0"), (1, 1, 250, "rs1"), (2, 2, 50, "rs2")], "row_nr long, CHR int, POS long, SNP string")
+    stats.write.parquet(f"{tmp_path}/in")
+    blocks_ = spark.createDataFrame([("a", 1, 0, 100), ("b", 1, 100, 300)], "block_id string, chrom int, chromStart long, chromEnd long")
+    out = stream_blocks(spark, f"{tmp_path}/in", "row_nr long, CHR int, POS long, SNP string", blocks_)
+    query = out.writeStream.format("memory").queryName("placed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.SNP, r.block_id) for r in spark.table("placed").collect()) == [("rs0", "a"), ("rs1", "b")]
