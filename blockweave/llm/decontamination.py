@@ -14,7 +14,8 @@ A large benchmark is searched in blocks of BLOCK passages, so a model has a boun
 document is scanned whole, once a block.
 
 Cases: null and empty documents or items match nothing; equal items match alike; items shorter
-than three words are compared as any other, by all their words; repeated documents give repeated rows; an empty benchmark gives no rows.
+than three words are compared as any other, by all their words; repeated documents give repeated rows; an empty benchmark
+gives no rows; of equal matches of an item the first in the text is told; very long texts are searched whole, in batches.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Letters: the text in lower case; code points that are not letters become one gap
 it collapse. Letters outside the fixed alphabet fall into a few shared symbols.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language
-that sorts first; without a labelled row everything is ``und``; repeated rows count repeatedly.
+that sorts first; without a labelled row everything is ``und``; repeated rows count repeatedly; an empty table gives no rows; very long texts are read whole.
 """
 
 from __future__ import annotations

@@ -323,10 +323,36 @@ def test_license_intervals_and_time():
     assert took[1] < 12 * took[0]
 
 
-def test_language_prototypes_against_plain_loops(spark):
-    df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the thing and the other", "en"), ("das ding und die anderen", "de"), ("the end of the day", "en"), ("der tag ist zu ende", "de")] * 3)], "doc_id long, text string, lang string")
-    got = by_id(language.identify_language(df, language.learnable(df)))
-    assert all(got[i].lang_pred == ("en" if i % 2 == 0 else "de") and 0 <= got[i].score <= 1 for i in range(12))
+def test_language_prototypes_and_cosines_against_plain_loops(spark):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("The thing, and 2 other's", "en"), ("das Ding und größere", "de"), ("the end of  the day", "en"), ("der Tag ist zu Ende", "de"), ("??", "de"), ("le jour", "fr")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, protos, centre = language.train_prototypes(df, 64)
+    letters = np.random.default_rng(language.SEED).choice(np.array([-1, 1], np.int8), (language.SYMBOLS, 64)).astype(int)
+    turn = lambda v, k: np.array([v[(i - k) % 64] for i in range(64)])
+
+    def mean_vector(texts):
+        total, n = np.zeros(64), 0
+        for t in texts:
+            spelled = re.sub(r"[^a-zß-öø-ÿ]+", " ", f" {t.lower()} ")
+            sym = [0 if c == " " else language.ALPHABET.index(c) + 1 for c in spelled]
+            if len(sym) < 3:
+                continue
+            for a, b, c in zip(sym, sym[1:], sym[2:], strict=False):
+                total += turn(letters[a], 2) * turn(letters[b], 1) * letters[c]
+                n += 1
+        return total / max(1, n)
+
+    plain = np.array([mean_vector([t for _, t, m in rows if m == lang]) for lang in ("de", "en", "fr")])
+    mid = plain.mean(0)
+    unit = np.array([(v - mid) / np.linalg.norm(v - mid) for v in plain])
+    assert langs == ["de", "en", "fr"] and np.allclose(protos, unit, atol=1e-6) and np.allclose(centre, mid, atol=1e-6)
+    got = by_id(language.identify_language(df, df, 64))
+    for i, t, _ in rows:
+        if i != 4:
+            v = mean_vector([t]) - mid
+            cosines = unit @ v / np.linalg.norm(v)
+            assert got[i].lang_pred == langs[int(cosines.argmax())] and got[i].score == pytest.approx((1 + cosines.max()) / 2, abs=1e-6)
+    assert (got[4].lang_pred, got[4].score) == ("und", 0.0)
 
 
 def test_paraphrases_need_their_answer(spark):
