@@ -289,10 +289,10 @@ def _(spark, d):
     return workflows.impute_z(m, rows.withColumn("z", F.when(F.col("i") == 0, F.col("z")))).withColumn("z", F.round("z", 9) + 0.0)
 
 
-@query("q2_outlier_chi2", _PAIR + "SELECT n.block_id, n.row_nr, round(power(s.Z - CASE n.i WHEN 0 THEN -o / d0 ELSE -o / d1 END * t.Z, 2) / CASE n.i WHEN 0 THEN 1 / d0 ELSE 1 / d1 END, 6) AS chi2 FROM nodes n JOIN w USING (block_id) JOIN pair_stats s ON s.row_nr = n.row_nr JOIN pair_stats t ON t.row_nr = n.row_nr + CASE n.i WHEN 0 THEN 1 ELSE -1 END")
+@query("q2_outlier_chi2", _PAIR + "SELECT n.block_id, n.row_nr, round(power(s.Z - CASE n.i WHEN 0 THEN -o / d0 ELSE -o / d1 END * t.Z, 2) / CASE n.i WHEN 0 THEN 1 / d0 ELSE 1 / d1 END, 9) AS chi2 FROM nodes n JOIN w USING (block_id) JOIN pair_stats s ON s.row_nr = n.row_nr JOIN pair_stats t ON t.row_nr = n.row_nr + CASE n.i WHEN 0 THEN 1 ELSE -1 END")
 def _(spark, d):
     m, rows = _seen(spark, d)
-    return workflows.outlier_chi2(m, rows.withColumn("half", F.col("i") == 0)).withColumn("chi2", F.round("chi2", 6))
+    return workflows.outlier_chi2(m, rows.withColumn("half", F.col("i") == 0)).withColumn("chi2", F.round("chi2", 9))
 
 
 @query("q3_regularise", _PAIR + ", r AS (SELECT *, d1 / det AS r0, -o / det AS ro, d0 / det AS r1 FROM w), s AS (SELECT *, 0.75 * r0 + 0.25 AS s0, 0.75 * ro AS so, 0.75 * r1 + 0.25 AS s1 FROM r), t AS (SELECT *, s0 * s1 - so * so AS e FROM s), u AS (SELECT t.*, a.Z AS ya, b.Z AS yb FROM t JOIN nodes p ON p.block_id = t.block_id AND p.i = 0 JOIN pair_stats a ON a.row_nr = p.row_nr JOIN pair_stats b ON b.row_nr = p.row_nr + 1) SELECT n.block_id, n.row_nr, round(CASE n.i WHEN 0 THEN r0 * (s1 * ya - so * yb) / e + ro * (s0 * yb - so * ya) / e ELSE ro * (s1 * ya - so * yb) / e + r1 * (s0 * yb - so * ya) / e END + 0.0, 7) AS z FROM nodes n JOIN u USING (block_id)")
