@@ -262,15 +262,15 @@ class Searcher:
                     low = np.maximum(begins[k], starts[near] - self.sizes[which])
                     high = np.minimum(begins[k] + lengths[k], starts[near] + n * STRIDE + self.sizes[which])
                     places = low[:, None] + np.arange((high - low).max())
-                    at_ = np.minimum(places, len(ids) - 1)
-                    there = self.inside[which[:, None], slots[at_]] & (places < high[:, None])
+                    cells = np.minimum(places, len(ids) - 1)
+                    there = self.inside[which[:, None], slots[cells]] & (places < high[:, None])
                     # bounds of what _check asks for
-                    weight = np.einsum("ij,ij->i", there, weights[at_]) + self.repeats[which]
-                    some_ = np.flatnonzero((there.sum(1) >= PARAPHRASE * self.sizes[which]) & (weight >= self.least[which]))
+                    weight = np.einsum("ij,ij->i", there, weights[cells]) + self.repeats[which]
+                    left = np.flatnonzero((there.sum(1) >= PARAPHRASE * self.sizes[which]) & (weight >= self.least[which]))
                     # the same with each word once
-                    terms = np.sort(np.where(there[some_], ids[at_[some_]], 0), axis=1)
+                    terms = np.sort(np.where(there[left], ids[cells[left]], 0), axis=1)
                     once = self.idf[terms[:, 1:]] * (terms[:, 1:] != terms[:, :-1])
-                    for i in some_[once.sum(1) + self.idf[terms[:, 0]] + self.repeats[which[some_]] >= self.least[which[some_]]]:
+                    for i in left[once.sum(1) + self.idf[terms[:, 0]] + self.repeats[which[left]] >= self.least[which[left]]]:
                         begin, owner, length = owners[int(k[i])]
                         self._check(ids[begin : begin + length], int(which[i]), int(starts[near[i]]) - begin, n * STRIDE, owner, found)
         for (owner, p), (ratio, start, copy) in sorted(found.items()):
