@@ -19,5 +19,5 @@ def test_query_equals_its_oracle(spark, name):
     want, got = con.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, SF).toPandas()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    as_rows = lambda df: sorted(map(tuple, df[cols].astype(str).to_numpy()))
+    as_rows = lambda df: sorted(map(tuple, df[cols].convert_dtypes().astype(str).to_numpy()))
     assert as_rows(got) == as_rows(want)
