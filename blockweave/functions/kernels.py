@@ -1,4 +1,4 @@
-"""Numpy kernels for one block: selections, solves, estimators, likelihood. No Spark here.
+"""Kernels for one block: views, estimators, likelihood. No Spark here.
 
 P is a block's precision matrix, the inverse of the correlation matrix R; "solve" multiplies by R.
 ``active`` are the node numbers of a view, in its order; a view's matrix is the Schur complement.
@@ -7,9 +7,12 @@ P is a block's precision matrix, the inverse of the correlation matrix R; "solve
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+
+from blockweave.functions.sparse import Sparse
 
 
 def log_normal_tail(z: np.ndarray) -> np.ndarray:
@@ -21,41 +24,71 @@ def log_normal_tail(z: np.ndarray) -> np.ndarray:
     return np.where(z < 30, np.log(near), -far * far / 2 - np.log(far) - 0.5 * math.log(2 * math.pi) + np.log(np.where(z < 30, 1.0, series)))
 
 
-def dense(n: int, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Matrix from entries, duplicates added; both triangles are expected."""
-    out = np.zeros((n, n))
-    np.add.at(out, (i, j), value)
-    return out
+class View:
+    """Some nodes of a matrix: its Schur complement, never formed. A solve needs the whole's factor, a product that of the other nodes."""
+
+    def __init__(self, p: Sparse | np.ndarray, active: np.ndarray | None = None):
+        self.p = Sparse.of(p)
+        self.active = np.arange(self.p.n) if active is None else np.asarray(active)
+        self.rest = np.setdiff1d(np.arange(self.p.n), self.active)
+
+    def __len__(self) -> int:
+        return len(self.active)
+
+    @cached_property
+    def others(self) -> Sparse:
+        return self.p.take(self.rest)
+
+    def padded(self, x: np.ndarray) -> np.ndarray:
+        full = np.zeros((self.p.n, *x.shape[1:]))
+        full[self.active] = x
+        return full
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        """b is padded with zeros, the whole system solved and the view read off."""
+        return self.p.factor.solve_at(b, self.active)
+
+    def multiply(self, x: np.ndarray) -> np.ndarray:
+        """(P_aa - P_ar P_rr^-1 P_ra) x."""
+        y = self.p.multiply(self.padded(x))
+        if not len(self.rest):
+            return y[self.active]
+        full = np.zeros_like(y)
+        full[self.rest] = self.others.factor.solve(y[self.rest])
+        return y[self.active] - self.p.multiply(full)[self.active]
+
+    @property
+    def logdet(self) -> float:
+        """log |det| of the whole less that of the other nodes."""
+        return self.p.factor.logdet - (self.others.factor.logdet if len(self.rest) else 0.0)
+
+    @property
+    def inverse_diagonal(self) -> np.ndarray:
+        return self.p.factor.inverse_diagonal[self.active]
+
+    def columns(self, size: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+        """The view's matrix, some columns at a time, each with the number of its first."""
+        for at in range(0, len(self), size):
+            unit = np.zeros((len(self), min(size, len(self) - at)))
+            unit[np.arange(at, at + unit.shape[1]), np.arange(unit.shape[1])] = 1.0
+            yield at, self.multiply(unit)
 
 
-def solve(p: np.ndarray, b: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
-    """P_view^-1 b: b is padded with zeros, the whole system solved and the view read off."""
-    if active is None:
-        return np.linalg.solve(p, b)
-    full = np.zeros((len(p), *b.shape[1:]))
-    full[active] = b
-    return np.linalg.solve(p, full)[active]
+def solve(p: Sparse | np.ndarray, b: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
+    return View(p, active).solve(b)
 
 
-def multiply(p: np.ndarray, x: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
-    """P_view x = (P_aa - P_ar P_rr^-1 P_ra) x."""
-    if active is None or len(active) == len(p):
-        return p @ x if active is None else p[np.ix_(active, active)] @ x
-    rest = np.setdiff1d(np.arange(len(p)), active)
-    return p[np.ix_(active, active)] @ x - p[np.ix_(active, rest)] @ np.linalg.solve(p[np.ix_(rest, rest)], p[np.ix_(rest, active)] @ x)
+def multiply(p: Sparse | np.ndarray, x: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
+    return View(p, active).multiply(x)
 
 
-def schur(p: np.ndarray, active: np.ndarray) -> np.ndarray:
-    return multiply(p, np.eye(len(active)), active)
+def schur(p: Sparse | np.ndarray, active: np.ndarray) -> np.ndarray:
+    """A small view's matrix."""
+    return np.concatenate([c for _, c in View(p, active).columns()], 1) if len(active) else np.zeros((0, 0))
 
 
-def logdet(p: np.ndarray, active: np.ndarray | None = None) -> float:
-    """log |det| of a view: of the whole less that of the rest."""
-    whole = np.linalg.slogdet(p)[1]
-    if active is None:
-        return float(whole)
-    rest = np.setdiff1d(np.arange(len(p)), active)
-    return float(whole - (np.linalg.slogdet(p[np.ix_(rest, rest)])[1] if len(rest) else 0.0))
+def logdet(p: Sparse | np.ndarray, active: np.ndarray | None = None) -> float:
+    return View(p, active).logdet
 
 
 def probes(n: int, m: int, seed: int) -> np.ndarray:
@@ -63,13 +96,14 @@ def probes(n: int, m: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice([-1.0, 1.0], (n, min(n, m)))
 
 
-def inverse_diagonal(p: np.ndarray, method: str = "exact", z: np.ndarray | None = None, n_samples: int = 100, seed: int = 0) -> np.ndarray:
-    """Diagonal of P^-1: exact, or estimated by hutchinson, xdiag or xnys from probes ``z``."""
-    n = len(p)
+def inverse_diagonal(p: View | Sparse | np.ndarray, method: str = "exact", z: np.ndarray | None = None, n_samples: int = 100, seed: int = 0) -> np.ndarray:
+    """Diagonal of the inverse: exact, from the factor's own pattern, or estimated by hutchinson, xdiag or xnys from probes ``z``, by solves alone."""
+    view = p if isinstance(p, View) else View(p)
+    n = len(view)
     if method == "exact":
-        return np.diag(np.linalg.inv(p)).copy()
+        return view.inverse_diagonal.copy()
     z = probes(n, n_samples, seed) if z is None else z
-    y = np.linalg.solve(p, z)
+    y = view.solve(z)
     if method == "hutchinson":
         return (z * y).mean(1)
     if method == "xdiag":
@@ -80,7 +114,7 @@ def inverse_diagonal(p: np.ndarray, method: str = "exact", z: np.ndarray | None
         m = z.shape[1]
         s = np.linalg.inv(r).T
         s /= np.linalg.norm(s, axis=0)
-        image = np.linalg.solve(p, q).T
+        image = view.solve(q).T
         low = (q * image.T).sum(1)
         proj = q @ s
         first = low - (proj * (image.T @ s)).sum(1) / m
@@ -97,25 +131,21 @@ def inverse_diagonal(p: np.ndarray, method: str = "exact", z: np.ndarray | None
     raise ValueError(f"unknown method {method}")
 
 
-def blup(p: np.ndarray, z: np.ndarray, n: float, sigma2: float, active: np.ndarray | None = None) -> np.ndarray:
+def blup(p: Sparse | np.ndarray, z: np.ndarray, n: float, sigma2: float, active: np.ndarray | None = None) -> np.ndarray:
     """sqrt(N) s2 (P + N s2 I)^-1 P z, with the diagonal added at the active nodes."""
-    active = np.arange(len(p)) if active is None else active
-    raised = p.copy()
-    raised[active, active] += n * sigma2
-    return np.sqrt(n) * sigma2 * solve(raised, multiply(p, z, active), active)
+    view = View(p, active)
+    raised = View(view.p.with_diagonal(view.active, n * sigma2), view.active)
+    return np.sqrt(n) * sigma2 * raised.solve(view.multiply(z))
 
 
-def clump(p: np.ndarray, z: np.ndarray, active: np.ndarray, rsq: float = 0.1, chi2: float = 30.0) -> np.ndarray:
-    """Lead flags: by falling chi-square, each unpruned variant prunes those correlated with it. One factorisation for all leads."""
+def clump(p: Sparse | np.ndarray, z: np.ndarray, active: np.ndarray, rsq: float = 0.1, chi2: float = 30.0) -> np.ndarray:
+    """Lead flags: by falling chi-square, each unpruned variant prunes those correlated with it. One factor, and one solve a lead."""
     lead, pruned = np.zeros(len(z), bool), np.zeros(len(z), bool)
-    order = [k for k in np.argsort(-(z**2), kind="stable") if z[k] ** 2 >= chi2]
-    if not order:
-        return lead
-    r = np.linalg.inv(p)[np.ix_(active, active)]
-    for k in order:
-        if pruned[k]:
+    factor = Sparse.of(p).factor
+    for k in np.argsort(-(z**2), kind="stable"):
+        if pruned[k] or z[k] ** 2 < chi2:
             continue
-        hit = r[:, k] ** 2 >= rsq
+        hit = factor.column(active[k])[active] ** 2 >= rsq
         if not hit[k]:
             raise ValueError("a lead variant is not in LD with itself")
         pruned |= hit
@@ -124,28 +154,32 @@ def clump(p: np.ndarray, z: np.ndarray, active: np.ndarray, rsq: float = 0.1, ch
 
 
 class Gaussian:
-    """Likelihood of Pz with covariance M and its derivatives, from one Cholesky factor."""
+    """Likelihood of Pz of some nodes, whose covariance is a view of ``m``, and its derivatives, from one factor."""
 
-    def __init__(self, m: np.ndarray, pz: np.ndarray):
-        factor = np.linalg.cholesky(m)
-        half = np.linalg.inv(factor)
-        self.inverse, self.logdet = half.T @ half, 2 * float(np.log(np.diag(factor)).sum())
-        self.pz, self.b = pz, self.inverse @ pz
+    def __init__(self, m: Sparse | np.ndarray, pz: np.ndarray, seen: np.ndarray | None = None, rest_logdet: float | None = None):
+        self.view, self.pz = View(m, seen), pz
+        self.logdet = self.view.logdet if rest_logdet is None else self.view.p.factor.logdet - rest_logdet
+        self.full = self.view.p.factor.solve(self.view.padded(pz))
+        self.b = self.full[self.view.active]
 
     def likelihood(self) -> float:
         return float(-0.5 * (len(self.pz) * np.log(2 * np.pi) + self.logdet + self.pz @ self.b))
 
-    def node_gradient(self) -> np.ndarray:
-        return -0.5 * (np.diag(self.inverse) - self.b**2)
+    def node_gradient(self, method: str = "exact", **probes: int) -> np.ndarray:
+        return -0.5 * (inverse_diagonal(self.view, method, **probes) - self.b**2)
 
-    def gradient(self, dm: np.ndarray) -> np.ndarray:
+    def node_hessian(self, method: str = "exact", **probes: int) -> np.ndarray:
+        """Average information of each node alone."""
+        return -0.5 * inverse_diagonal(self.view, method, **probes) * self.b**2
+
+    def gradient(self, dm: np.ndarray, method: str = "exact", **probes: int) -> np.ndarray:
         """For parameters whose change of M's diagonal are the columns of ``dm``."""
-        return self.node_gradient() @ dm
+        return self.node_gradient(method, **probes) @ dm
 
     def hessian(self, dm: np.ndarray) -> np.ndarray:
         """Average information: -1/2 (dM b)' M^-1 (dM b)."""
         x = dm * self.b[:, None]
-        return -0.5 * x.T @ self.inverse @ x
+        return -0.5 * x.T @ self.view.solve(x)
 
 
 def likelihood(m: np.ndarray, pz: np.ndarray) -> float:
@@ -160,58 +194,69 @@ def likelihood_hessian(m: np.ndarray, pz: np.ndarray, dm: np.ndarray) -> np.ndar
     return Gaussian(m, pz).hessian(dm)
 
 
-def partial_likelihood(p: np.ndarray, pz: np.ndarray, sigma2: np.ndarray, seen: np.ndarray, n: float, intercept: float = 1.0) -> tuple[float, np.ndarray, float]:
+def partial_likelihood(p: Sparse | np.ndarray, pz: np.ndarray, sigma2: np.ndarray, seen: np.ndarray, n: float, intercept: float = 1.0) -> tuple[float, np.ndarray, float]:
     """Likelihood of the seen nodes' Pz / sqrt(N), with its gradients for each sigma2 and for the intercept.
 
-    ``sigma2`` has a value for every node. M = intercept / N P + diag(sigma2) loses the unseen nodes as P does: by its Schur complement. An
-    intercept below zero has likelihood -inf.
+    ``sigma2`` has a value for every node. M = intercept / N P + diag(sigma2) loses the unseen nodes as P does: by its Schur complement, whose
+    determinant is that of the whole by that of the unseen part, and whose inverse is a part of the whole's. An intercept below zero has likelihood -inf.
     """
     if intercept < 0:
         return -np.inf, np.zeros(len(sigma2)), 0.0
-    whole = p * intercept / n + np.diag(sigma2)
-    m = schur(whole, seen)
-    g = Gaussian(m, pz)
-    rest = np.setdiff1d(np.arange(len(p)), seen)
-    # change of the Schur complement with an entry d of the whole: (J d J'), J = [I, -M_sr M_rr^-1]
-    j = np.zeros((len(seen), len(p)))
-    j[:, seen] = np.eye(len(seen))
-    if len(rest):
-        j[:, rest] = -np.linalg.solve(whole[np.ix_(rest, rest)], whole[np.ix_(rest, seen)]).T
-    outer = -0.5 * (g.inverse - np.outer(g.b, g.b))
-    by_node = np.einsum("ai,ab,bi->i", j, outer, j)
-    return g.likelihood(), by_node, float((outer * (j @ (p / n) @ j.T)).sum())
-
-
-def reml_state(p: np.ndarray, v: pd.DataFrame, annotations: list[str], theta: np.ndarray, n: float, denominator: float, intercept: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of a block's rows, each row's place among them, Pz / sqrt(N) and the covariance M."""
-    u, inverse = np.unique(v["i"].to_numpy(), return_inverse=True)
-    eta = v[annotations].to_numpy(float) @ np.asarray(theta)
-    z = np.zeros(len(u))
-    z[inverse[::-1]] = v["z"].to_numpy()[::-1]  # the first row of a node stands for it
-    view = schur(p, u)
-    return u, inverse, view @ z / np.sqrt(n), view * intercept / n + np.diag(np.bincount(inverse, np.logaddexp(0, eta) / denominator))
-
-
-def impute(r: np.ndarray, z: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Z of the unseen variants: R_01 R_11^-1 z_1; seen ones stay."""
-    out = z.copy()
-    out[~seen] = r[np.ix_(~seen, seen)] @ np.linalg.solve(r[np.ix_(seen, seen)], z[seen])
-    return out
+    p = Sparse.of(p)
+    whole = p.scaled(intercept / n).with_diagonal(np.arange(p.n), sigma2)
+    g = Gaussian(whole, pz, seen)
+    by_node = whole.factor.inverse_diagonal - g.full**2
+    change = (_trace(whole, p) - g.full @ p.multiply(g.full)) / n
+    if len(g.view.rest):
+        rest = g.view.others
+        by_node[g.view.rest] -= rest.factor.inverse_diagonal
+        change -= _trace(rest, p.take(g.view.rest)) / n
+    return g.likelihood(), -0.5 * by_node, float(-0.5 * change)
+
+
+def _trace(m: Sparse, p: Sparse) -> float:
+    """Trace of M^-1 P, where P has no entry that M lacks."""
+    at = np.searchsorted(m.i * m.n + m.j, p.i * p.n + p.j)
+    return float(m.factor.inverse_entries[at] @ p.value)
+
+
+def softplus(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, x)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -x))
+
+
+def impute(p: Sparse | np.ndarray, nodes: np.ndarray, z: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Z of nodes that lack one, expected from those that have it: -P_uu^-1 P_us z_s, all other nodes of the block among u; seen ones stay."""
+    p = Sparse.of(p)
+    known = np.zeros(p.n)
+    known[nodes[seen]] = z[seen]
+    rest = np.setdiff1d(np.arange(p.n), nodes[seen])
+    out = known.copy()
+    out[rest] = -p.take(rest).factor.solve(p.multiply(known)[rest])
+    return np.where(seen, z, out[nodes])
 
 
-def halves_chi2(r: np.ndarray, z: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Chi-square of each variant against its prediction from the other half."""
-    out = np.zeros(len(z))
+def halves_chi2(p: Sparse | np.ndarray, nodes: np.ndarray, z: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Chi-square of each variant against its prediction from the other half: given that half, the others' covariance is P_uu^-1."""
+    p, out = Sparse.of(p), np.zeros(len(z))
     for own in (first, ~first):
-        a, b = np.flatnonzero(own), np.flatnonzero(~own)
-        w = np.linalg.solve(r[np.ix_(b, b)], r[np.ix_(b, a)])
-        variance = np.maximum(1e-12, np.diag(r)[a] - (w * r[np.ix_(b, a)]).sum(0))
-        out[a] = (z[a] - w.T @ z[b]) ** 2 / variance
+        known = np.zeros(p.n)
+        known[nodes[~own]] = z[~own]
+        rest = np.setdiff1d(np.arange(p.n), nodes[~own])
+        factor, place = p.take(rest).factor, np.searchsorted(rest, nodes[own])
+        expected = -factor.solve(p.multiply(known)[rest])[place]
+        out[own] = (z[own] - expected) ** 2 / np.maximum(1e-12, factor.inverse_diagonal[place])
     return out
 
 
-def regularise(r: np.ndarray, z: np.ndarray, strength: float) -> np.ndarray:
-    return r @ np.linalg.solve((1 - strength) * r + strength * np.eye(len(r)), z)
+def regularise(p: Sparse | np.ndarray, nodes: np.ndarray, z: np.ndarray, strength: float) -> np.ndarray:
+    """R ((1 - s) R + s I)^-1 z = (s P + (1 - s) I)^-1 z for a view of P."""
+    if not strength:
+        return z
+    return solve(Sparse.of(p).scaled(strength).with_diagonal(nodes, 1 - strength), z, nodes)
 
 
 def lasso_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.0, sweeps: int = 25, tolerance: float = 1e-10) -> np.ndarray:

@@ -1,20 +1,27 @@
 """Block-wise linear algebra: matrices as rows (block_id, i, j, value), vectors as (block_id, i, x).
 
-Sums and full products are joins and aggregates. What needs a factorisation is grouped by block:
-the two sides meet in ``cogroup`` and numpy works on one block, whose size the block catalog bounds.
+Sums and full products are joins and aggregates. What needs a factorisation gets a block's entries and rows in one row of arrays
+(``packed``), many such rows a task, and works on the block's sparse factor; the block catalog bounds a block's size.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from blockweave.functions import kernels
+from blockweave.functions.sparse import Sparse
+
+Kernel = Callable[[Sparse, pd.DataFrame], pd.DataFrame]
 
 
 def sparse_precision(edges: DataFrame, symmetric: bool = True) -> DataFrame:
@@ -48,25 +55,57 @@ def node_sums(values: DataFrame) -> DataFrame:
     return values.groupBy("block_id", "i").agg(F.sum("x").alias("x"))
 
 
-def per_block(matrix: DataFrame, rows: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run ``kernel(P, rows)`` on every block that has rows; a block without entries has an empty P."""
+def packed(matrix: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row a block that has rows: block_id, ``entries`` of its matrix (null without any) and its ``rows``, as arrays of structs.
+
+    Both sides are grouped by block_id before they are joined, so a table that is kept packed is not shuffled again.
+    """
+    entries = matrix.groupBy("block_id").agg(F.collect_list(F.struct("i", "j", "value")).alias("entries"))
+    own = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # both sides may stem from one table
+    return own.groupBy("block_id").agg(F.collect_list(F.struct(*own.columns)).alias("rows")).join(entries, "block_id", "left")
+
+
+def arrays_of(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets and flat fields of an array of structs."""
+    flat = column.flatten()
+    offsets = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+    return offsets, {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(flat.type, flat.flatten(), strict=True)}
+
+
+def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[Sparse, pd.DataFrame]]:
+    """The matrix and the rows of each block of a packed batch."""
+    entry_at, entry = arrays_of(batch.column("entries"))
+    row_at, row = arrays_of(batch.column("rows"))
+    for k in range(batch.num_rows):
+        e, r = slice(entry_at[k], entry_at[k + 1]), slice(row_at[k], row_at[k + 1])
+        i, j = entry["i"][e], entry["j"][e]
+        n = int(max(i.max(), j.max())) + 1 if len(i) else 0
+        yield Sparse(n, i, j, entry["value"][e]), pd.DataFrame({c: v[r] for c, v in row.items()})
+
+
+def map_blocks(blocks: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """Run ``kernel(P, rows)`` on every row of a packed table."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, rows in blocks_of(batch):
+                out = kernel(p, rows)
+                if len(out):
+                    yield from pa.Table.from_pandas(out, schema=arrow, preserve_index=False).to_batches()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [f.split()[0] for f in schema.split(",")]
-        if right.empty:
-            return pd.DataFrame(columns=names)
-        n = int(left[["i", "j"]].to_numpy().max()) + 1 if len(left) else 0
-        p = kernels.dense(n, left["i"].to_numpy(), left["j"].to_numpy(), left["value"].to_numpy()) if n else np.zeros((0, 0))
-        return kernel(p, right)
+    return blocks.mapInArrow(run, schema)
 
-    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # both sides may stem from one table
-    return matrix.groupBy("block_id").cogroup(rows.groupBy("block_id")).applyInPandas(run, schema)
+
+def per_block(matrix: DataFrame, rows: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """Run ``kernel(P, rows)`` on every block that has rows; a block without entries has an empty P."""
+    return map_blocks(packed(matrix, rows), kernel, schema)
 
 
 def solve(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """R b of every block; nodes without a row have b = 0 and no result."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         v = v.sort_values("i", ignore_index=True)
         v["y"] = kernels.solve(p, v["x"].to_numpy(), v["i"].to_numpy())
         return v[["block_id", "i", "y"]]
@@ -94,17 +133,19 @@ def select_where(selection: DataFrame, condition: Column | str) -> DataFrame:
     return selection.where(condition).withColumn("ord", (F.row_number().over(Window.partitionBy("block_id").orderBy("ord")) - 1).cast("int"))
 
 
-def _view(matrix: DataFrame, selection: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _view(matrix: DataFrame, selection: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     return per_block(matrix, selection, lambda p, v: kernel(p, v.sort_values("ord", ignore_index=True)), schema)
 
 
 def selected_matrix(matrix: DataFrame, selection: DataFrame) -> DataFrame:
     """Entries (block_id, i, j, value) of a view's matrix, by place in the view."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
-        m = kernels.schur(p, v["i"].to_numpy())
-        i, j = np.nonzero(m)
-        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j, "value": m[i, j]})
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for first, m in kernels.View(p, v["i"].to_numpy()).columns():
+            i, j = np.nonzero(m)
+            found.append(pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j + first, "value": m[i, j]}))
+        return pd.concat(found)
 
     return _view(matrix, selection, kernel, "block_id string, i int, j int, value double")
 
@@ -129,15 +170,15 @@ def normalise(matrix: DataFrame) -> DataFrame:
 def inverse_diagonal(matrix: DataFrame, method: str = "exact", n_samples: int = 100, seed: int = 0) -> DataFrame:
     """Diagonal of R, exact or estimated; probes are a function of the seed and the block."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         block = v["block_id"].iloc[0]
-        return pd.DataFrame({"block_id": block, "i": np.arange(len(p)), "y": kernels.inverse_diagonal(p, method, n_samples=n_samples, seed=seed + zlib.crc32(str(block).encode()))})
+        return pd.DataFrame({"block_id": block, "i": np.arange(len(p)), "y": kernels.inverse_diagonal(p, method, n_samples=n_samples, seed=block_seed(seed, block))})
 
     return per_block(matrix, matrix.select("block_id").distinct(), kernel, "block_id string, i int, y double")
 
 
 def log_determinant(matrix: DataFrame) -> DataFrame:
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "logdet": [kernels.logdet(p)]})
 
     return per_block(matrix, matrix.select("block_id").distinct(), kernel, "block_id string, logdet double")
@@ -146,7 +187,7 @@ def log_determinant(matrix: DataFrame) -> DataFrame:
 def blup(matrix: DataFrame, rows: DataFrame, sigma2: float) -> DataFrame:
     """Weights of merged rows (block_id, i, z, n, is_representative); rows that represent no node have 0."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         out = v[["block_id", "row_nr"]].assign(weight=0.0)
         rep = v["is_representative"].to_numpy(bool) & v["z"].notna().to_numpy()
         if rep.any() and len(p):
@@ -160,7 +201,7 @@ def blup(matrix: DataFrame, rows: DataFrame, sigma2: float) -> DataFrame:
 def clump(matrix: DataFrame, rows: DataFrame, rsq: float = 0.1, chi2: float = 30.0) -> DataFrame:
     """Lead flags of merged rows; rows that represent no node are no leads."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         v = v.sort_values(["i", "row_nr"], ignore_index=True)  # ties in chi-square go to the smaller node
         out = v[["block_id", "row_nr"]].assign(is_index=False)
         rep = v["is_representative"].to_numpy(bool) & v["z"].notna().to_numpy()
@@ -171,24 +212,115 @@ def clump(matrix: DataFrame, rows: DataFrame, rsq: float = 0.1, chi2: float = 30
     return per_block(matrix, rows, kernel, "block_id string, row_nr long, is_index boolean")
 
 
-def reml_terms(matrix: DataFrame, rows: DataFrame, annotations: list[str], theta: list[float], denominator: float = 6e6, intercept: float = 1.0) -> DataFrame:
-    """Log likelihood, gradient and Hessian of each block as arrays, from rows (block_id, i, z, n, annotations); n is the same in all rows."""
+REML_STATE = "block_id string, block_nr long, entries array<struct<i: int, j: int, value: double>>, nodes array<int>, pz array<double>, rest_logdet double, place array<int>, row_nr array<long>, annotations array<double>"
+
+
+def reml_state(matrix: DataFrame, rows: DataFrame, annotations: list[str], sample_size: float, blocks: DataFrame | None = None) -> DataFrame:
+    """What the evaluations of a likelihood need of each block and what no parameter changes: one row a block, the columns of REML_STATE.
+
+    rows: block_id, row_nr, i, z, annotations. ``blocks`` (block_id, block_nr) is the catalog's order, in which blocks without rows stay;
+    without it blocks are numbered by the first row_nr in them. ``pz`` is the product of the view of nodes with rows and their Z, by the root
+    of the sample size; ``rest_logdet`` the log determinant of the other nodes' part of P.
+    """
+    def kernel(p: Sparse, v: pd.DataFrame) -> dict:
+        v = v.sort_values("row_nr", kind="stable", ignore_index=True)
+        u, place = np.unique(v["i"].to_numpy(), return_inverse=True)
+        z = np.zeros(len(u))
+        z[place[::-1]] = v["z"].to_numpy()[::-1]  # the first row of a node stands for it
+        view = kernels.View(p, u)
+        return {
+            "nodes": u, "pz": view.multiply(z) / np.sqrt(sample_size), "rest_logdet": view.others.factor.logdet if len(view.rest) else 0.0,
+            "place": place, "row_nr": v["row_nr"].to_numpy(), "annotations": v[annotations].to_numpy(float).ravel(),
+        }
+
+    arrow = to_arrow_schema(StructType.fromDDL(REML_STATE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [kernel(p, v) for p, v in blocks_of(batch)]
+            columns = {"block_id": batch.column("block_id"), "block_nr": batch.column("block_nr"), "entries": batch.column("entries")}
+            columns |= {name: pa.array([x[name] for x in found], arrow.field(name).type) for name in arrow.names if name not in columns}
+            yield pa.RecordBatch.from_arrays([columns[n].cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
+
+    own = rows.select("block_id", "row_nr", "i", "z", *annotations)
+    table = packed(matrix, own)
+    order = blocks.select("block_id", F.col("block_nr").cast("long").alias("block_nr")) if blocks is not None else table.select("block_id", F.array_min("rows.row_nr").cast("long").alias("block_nr"))
+    state = table.join(order, "block_id").mapInArrow(run, REML_STATE)
+    if blocks is None:
+        return state
+    return order.join(state.drop("block_nr"), "block_id", "left").select(*arrow.names)
+
+
+@dataclass
+class RemlBlock:
+    """One block under given parameters: the likelihood of its Pz, and how variants' variances change it."""
+
+    gaussian: kernels.Gaussian
+    place: np.ndarray
+    row_nr: np.ndarray
+    annotations: np.ndarray
+    eta: np.ndarray
+
+
+def reml_blocks(batch: pa.RecordBatch, theta: np.ndarray, sample_size: float, denominator: float, intercept: float) -> Iterator[RemlBlock | None]:
+    """The blocks of a batch of states; None for one without variants."""
+    entry_at, entry = arrays_of(batch.column("entries"))
+    at = {c: batch.column(c) for c in ("nodes", "pz", "place", "row_nr", "annotations", "rest_logdet")}
+    for k in range(batch.num_rows):
+        if not at["nodes"][k].is_valid or not len(at["nodes"][k]):
+            yield None
+            continue
+        nodes, pz, place, row_nr, flat = (np.asarray(at[c][k].values) for c in ("nodes", "pz", "place", "row_nr", "annotations"))
+        e = slice(entry_at[k], entry_at[k + 1])
+        i, j = entry["i"][e], entry["j"][e]
+        p = Sparse(int(max(i.max(), j.max())) + 1, i, j, entry["value"][e])
+        a = flat.reshape(len(place), -1)
+        eta = a @ theta
+        whole = p.scaled(intercept / sample_size).with_diagonal(nodes, np.bincount(place, kernels.softplus(eta) / denominator, len(nodes)))
+        rest = len(p) - len(nodes)
+        yield RemlBlock(kernels.Gaussian(whole, pz, nodes, at["rest_logdet"][k].as_py() + rest * np.log(intercept / sample_size)), place, row_nr, a, eta)
+
+
+def reml_sums(state: DataFrame, theta: np.ndarray, sample_size: float, denominator: float, intercept: float, method: str = "exact", n_samples: int = 100, seed: int = 0) -> DataFrame:
+    """block_id, block_nr, ll, gradient and Hessian (as arrays) of each block; zeros for a block without variants. No shuffle.
+
+    With an estimated diagonal a block's probes depend on the seed and the block alone, so that they are the same in every evaluation.
+    """
+    theta, k = np.asarray(theta, float), len(theta)
+    schema = "block_id string, block_nr long, ll double, gradient array<double>, hessian array<double>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[float, np.ndarray, np.ndarray]] = []
+            names = batch.column("block_id").to_pylist()
+            for name, b in zip(names, reml_blocks(batch, theta, sample_size, denominator, intercept), strict=True):
+                if b is None:
+                    found.append((0.0, np.zeros(k), np.zeros(k * k)))
+                    continue
+                slope = np.zeros((len(b.gaussian.b), k))
+                np.add.at(slope, b.place, b.annotations * (kernels.sigmoid(b.eta) / denominator)[:, None])
+                found.append((b.gaussian.likelihood(), b.gaussian.gradient(slope, method, n_samples=n_samples, seed=block_seed(seed, name)), b.gaussian.hessian(slope).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("block_id"), batch.column("block_nr"), *(pa.array([x[c] for x in found], arrow.field(2 + c).type) for c in range(3))], schema=arrow)
+
+    return state.mapInArrow(run, schema)
+
+
+def block_seed(seed: int, block_id: str) -> int:
+    return seed + zlib.crc32(str(block_id).encode())
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
-        a, t = v[annotations].to_numpy(float), np.asarray(theta)
-        u, inverse, pz, m = kernels.reml_state(p, v, annotations, t, float(v["n"].mean()), denominator, intercept)
-        slope = np.zeros((len(u), len(annotations)))
-        np.add.at(slope, inverse, a / (1 + np.exp(-(a @ t)))[:, None] / denominator)
-        g = kernels.Gaussian(m, pz)
-        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "ll": [g.likelihood()], "gradient": [g.gradient(slope).tolist()], "hessian": [g.hessian(slope).ravel().tolist()]})
 
-    return per_block(matrix, rows, kernel, "block_id string, ll double, gradient array<double>, hessian array<double>")
+def reml_terms(matrix: DataFrame, rows: DataFrame, annotations: list[str], theta: list[float], denominator: float = 6e6, intercept: float = 1.0, method: str = "exact", n_samples: int = 100, seed: int = 0) -> DataFrame:
+    """Log likelihood, gradient and Hessian of each block as arrays, from rows (block_id, row_nr, i, z, n, annotations); the sample size is the mean n."""
+    n = rows.agg(F.avg("n")).first()[0]
+    return reml_sums(reml_state(matrix, rows, annotations, n), theta, n, denominator, intercept, method, n_samples, seed).drop("block_nr")
 
 
 def estimate_precision(correlations: DataFrame, penalty: float = 0.0, sweeps: int = 25) -> DataFrame:
     """Precision entries (block_id, i, j, value) from correlations (block_id, i, j, value), whose entries are the support too."""
 
-    def kernel(c: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(sparse: Sparse, v: pd.DataFrame) -> pd.DataFrame:
+        c = sparse.dense()
         p = kernels.lasso_precision(c, c != 0, penalty, sweeps)
         i, j = np.nonzero(p)
         return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j, "value": p[i, j]})
@@ -199,9 +331,12 @@ def estimate_precision(correlations: DataFrame, penalty: float = 0.0, sweeps: in
 def fit_summary(precision: DataFrame, correlations: DataFrame) -> DataFrame:
     """Mean squared difference of R and the correlations on their support, and the mean degree, by block."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
-        r = np.linalg.inv(p)[v["i"].to_numpy(), v["j"].to_numpy()]
-        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "mse": [float(((r - v["value"].to_numpy()) ** 2).mean())], "degree": [float((p != 0).sum() / len(p) - 1)]})
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
+        i, j = v["i"].to_numpy(), v["j"].to_numpy()
+        r = np.empty(len(v))
+        for node in np.unique(i):
+            r[i == node] = p.factor.column(node)[j[i == node]]
+        return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "mse": [float(((r - v["value"].to_numpy()) ** 2).mean())], "degree": [float((p.value != 0).sum() / len(p) - 1)]})
 
     return per_block(precision, correlations, kernel, "block_id string, mse double, degree double")
 
@@ -209,7 +344,7 @@ def fit_summary(precision: DataFrame, correlations: DataFrame) -> DataFrame:
 def partial_terms(matrix: DataFrame, rows: DataFrame, sample_size: float, intercept: float = 1.0) -> DataFrame:
     """Likelihood of each block where nodes may lack a Z, with its gradients: rows (block_id, i, z nullable, sigma2), one a node."""
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         v = v.sort_values("i", ignore_index=True)
         seen = v.loc[v["z"].notna(), "i"].to_numpy()
         pz = kernels.multiply(p, v["z"].dropna().to_numpy(), seen) / np.sqrt(sample_size)

@@ -6,18 +6,24 @@ what blocks yield is added up or put back on the rows by joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from blockweave.functions import kernels
-from blockweave.functions.scalars import heterozygosity, softplus
+from blockweave.functions.scalars import chromosome, heterozygosity
+from blockweave.functions.sparse import Sparse
 from blockweave.operators.joins import merge_snplists, partition_variants, reml_join
-from blockweave.operators.precision import blup, clump, per_block, reml_terms
+from blockweave.operators.lineage import cut
+from blockweave.operators.precision import block_seed, blup, clump, per_block, reml_blocks, reml_state, reml_sums
 from blockweave.operators.statistics import exclude_large_chi2
 
 
@@ -76,17 +82,15 @@ def surrogate_markers(matrix: DataFrame, variants: DataFrame, surrogates: DataFr
     tried = variants.join(on("i"), ["block_id", "i"], "left").join(mapped, ["block_id", "i"], "left").join(on("mapped"), ["block_id", "mapped"], "left")
     open_nodes = tried.where("z is null and z_i is null and z_mapped is null").select("block_id", "i").distinct()
 
-    def nearest(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def nearest(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         have = np.sort(v.loc[v["seen"], "i"].to_numpy())
         lack = v.loc[~v["seen"], "i"].to_numpy()
         if not len(lack):
             return pd.DataFrame(columns=["block_id", "i", "best"])
         if not len(have):
             raise ValueError("a block has no variant with a Z")
-        rhs = np.zeros((len(p), len(lack)))
-        rhs[lack, np.arange(len(lack))] = 1.0
-        r = kernels.solve(p, rhs)[have] ** 2
-        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": lack, "best": have[r.argmax(0)]})
+        best = [have[(p.factor.column(node)[have] ** 2).argmax()] for node in lack]
+        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": lack, "best": best})
 
     nodes = seen.select("block_id", F.col("surrogate").alias("i"), F.lit(True).alias("seen")).union(open_nodes.select("block_id", "i", F.lit(False)))
     best = per_block(matrix, nodes, nearest, "block_id string, i int, best int").join(on("best"), ["block_id", "best"])
@@ -96,10 +100,17 @@ def surrogate_markers(matrix: DataFrame, variants: DataFrame, surrogates: DataFr
     return out.select(*[c for c in variants.columns if c != "z"], node.cast("int").alias("surrogate"), F.coalesce("z", "z_i", "z_mapped", "z_best").alias("z"), method.alias("method"))
 
 
+def block_order(catalog: DataFrame) -> DataFrame:
+    """block_id and block_nr of a catalog, in the order of the genome; one row a block, so one task numbers them."""
+    place = Window.orderBy(chromosome(F.col("chrom")), "chromStart", "chromEnd", "block_id")
+    return catalog.select("block_id", (F.row_number().over(place) - 1).cast("long").alias("block_nr"))
+
+
 def prepare_reml_inputs(matrix: DataFrame, info: DataFrame, sumstats: DataFrame, annotations: DataFrame, names: list[str], catalog: DataFrame, by: str = "SNP", surrogates: bool = False, surrogate_map: DataFrame | None = None) -> DataFrame:
     """Rows (block_id, row_nr, i, z, n, annotations) for ``reml_fit``; row_nr is that of the annotations.
 
-    Statistics need N. With ``surrogates`` annotated variants without a statistic stay and get the Z of a surrogate.
+    Statistics need N. With ``surrogates`` annotated variants without a statistic stay and get the Z of a surrogate. Blocks of the catalog that
+    get no row are kept by giving ``block_order(catalog)`` to the fit.
     """
     if "N" not in sumstats.columns:
         raise ValueError("the statistics have no column N")
@@ -115,7 +126,7 @@ def prepare_reml_inputs(matrix: DataFrame, info: DataFrame, sumstats: DataFrame,
 
 @dataclass
 class RemlFit:
-    """Result of ``reml_fit``: small arrays only, by annotation."""
+    """Result of ``reml_fit``: small arrays only, by annotation; ``groups`` is the number of jackknife groups of blocks."""
 
     annotations: list[str]
     parameters: np.ndarray
@@ -125,6 +136,7 @@ class RemlFit:
     heritability: np.ndarray | None = None
     enrichment: np.ndarray | None = None
     jackknife: dict[str, np.ndarray] = field(default_factory=dict)
+    groups: int = 0
 
     def table(self) -> list[tuple]:
         """Rows of ``reml_results``."""
@@ -155,41 +167,59 @@ def wald_log10_p(estimates: np.ndarray) -> float:
 
 
 def trust_region_step(g: np.ndarray, h: np.ndarray, weight: float) -> tuple[np.ndarray, float]:
-    """Step of a Newton iteration whose Hessian's diagonal is raised, and the increase that it promises."""
+    """Step of a Newton iteration whose Hessian's diagonal is raised, and the increase that it promises, which must not be below -1e-6."""
     step = np.linalg.solve(h + weight * np.diag(np.diag(h) - np.finfo(float).eps), -g)
-    return step, float(step @ g + 0.5 * step @ h @ step)
+    promised = float(step @ g + 0.5 * step @ h @ step)
+    if np.isfinite(step).all() and not promised >= -1e-6:
+        raise ValueError("the increase that a step promises is below -1e-6")
+    return step, promised
 
 
 def leave_one_out_parameters(gradients: np.ndarray, hessians: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """theta + H_loo^-1 g_loo for each group of blocks; the sign is that of the published method, opposite to a step's."""
+    """theta + H_loo^-1 g_loo for each group of blocks, nan where that is singular; the sign is that of the published method, opposite to a step's."""
     g, h = gradients.sum(0), hessians.sum(0)
-    return np.stack([theta + np.linalg.solve(h - hb + 1e-12 * np.eye(len(theta)), g - gb) for gb, hb in zip(gradients, hessians, strict=True)])
+    out = np.full((len(gradients), len(theta)), np.nan)
+    for k, (gb, hb) in enumerate(zip(gradients, hessians, strict=True)):
+        with contextlib.suppress(np.linalg.LinAlgError):
+            out[k] = theta + np.linalg.solve(h - hb + 1e-12 * np.eye(len(theta)), g - gb)
+    return out
+
+
+def summed_arrays(df: DataFrame, column: str) -> np.ndarray:
+    """Sums by place of arrays of one length, in Spark; as many numbers as an array has reach the driver."""
+    rows = df.select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(max((r["at"] for r in rows), default=-1) + 1)
+    for r in rows:
+        out[r["at"]] = r["x"]
+    return out
 
 
 def reml_fit(
     matrix: DataFrame, rows: DataFrame, annotations: list[str], start: list[float] | None = None, iterations: int = 50, denominator: float = 6e6, intercept: float = 1.0, tolerance: float = 0.01, window: int = 3,
     radius: float = 1e-3, grow: float = 5.0, low: float = 1e-4, high: float = 0.99, tries: int = 100, least_gain: float = 1e-6, groups: int = 100, max_chi2: float | None = None,
+    blocks: DataFrame | None = None, method: str = "exact", n_samples: int = 100, seed: int = 0,
 ) -> RemlFit:
     """Trust-region Newton over all blocks: one job an evaluation, sums of p + p * p numbers on the driver.
 
-    Converged when the likelihood has changed by less than window * tolerance over the last ``window`` accepted steps. Jackknife groups are
-    stretches of blocks; their parameters come from the state before the last step.
+    The state of the blocks (``precision.reml_state``) is shuffled once and kept; an evaluation maps over it. Converged when the likelihood has
+    changed by less than window * tolerance over the last ``window`` accepted steps; a step to a likelihood that is no number is refused.
+    Jackknife groups are stretches of the catalog (``blocks``, see ``block_order``), the first ones longer by one block where they don't divide it;
+    their parameters come from the state before the last step. ``method`` says how inverse diagonals are got (exact, xdiag, xnys, hutchinson).
     """
     k = len(annotations)
     if max_chi2 is not None:
         rows = exclude_large_chi2(rows.withColumn("Z", F.col("z")), max_chi2)[0].drop("Z")
-    matrix, rows = matrix.persist(), rows.persist()
     n = rows.agg(F.avg("n")).first()[0]
     if n is None:
         raise ValueError("no variants are left")
-    rows_n = rows.withColumn("n", F.lit(float(n)))
+    state = reml_state(matrix, rows, annotations, float(n), blocks).persist()
 
     def terms(theta: np.ndarray) -> DataFrame:
-        return reml_terms(matrix, rows_n, annotations, theta.tolist(), denominator, intercept)
+        return reml_sums(state, theta, float(n), denominator, intercept, method, n_samples, seed)
 
     def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        sums = terms(theta).agg(F.sum("ll"), *[F.sum(F.col("gradient")[i]) for i in range(k)], *[F.sum(F.col("hessian")[i]) for i in range(k * k)]).first()
-        return sums[0], np.array(sums[1 : k + 1]), np.array(sums[k + 1 :]).reshape(k, k)
+        sums = summed_arrays(terms(theta).select(F.concat(F.array("ll"), "gradient", "hessian").alias("x")), "x")
+        return float(sums[0]), sums[1 : k + 1], sums[k + 1 :].reshape(k, k)
 
     try:
         theta, weight, bad, log, converged = np.array(start or [0.0] * k), radius, True, [], False
@@ -203,8 +233,12 @@ def reml_fit(
                     step, promised = trust_region_step(now[1], now[2], weight)
                 except np.linalg.LinAlgError:
                     break
+                if not np.isfinite(step).any():
+                    break
                 new = evaluate(theta + step)
-                rho = (new[0] - now[0]) / promised if promised else np.inf
+                rho = (new[0] - now[0]) / promised if promised else np.nan
+                if not np.isfinite(rho):
+                    rho = np.inf if promised == 0 else -np.inf
                 if rho < low and not (promised < least_gain and rho >= 0):
                     weight = max(radius, weight * grow)
                     continue
@@ -220,45 +254,54 @@ def reml_fit(
                 converged = True
                 break
         fit = RemlFit(annotations, theta, now[0], converged, log)
-        fit.heritability, fit.enrichment = _heritability(rows, annotations, theta, denominator)
-        _jackknife(fit, rows, terms(at), groups, denominator)
+        sums = annotation_sums(state, theta[None], denominator)
+        fit.heritability, size = sums[0, 0], sums[1, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fit.enrichment = size[0] * fit.heritability / (fit.heritability[0] * size) if fit.heritability[0] and size[0] else np.full(k, np.nan)
+        _jackknife(fit, state, terms(at), groups, denominator)
         return fit
     finally:
-        matrix.unpersist()
-        rows.unpersist()
+        state.unpersist()
 
 
-def _h2(annotations: list[str], theta: np.ndarray, denominator: float) -> Column:
-    eta = F.lit(0.0)
-    for a, t in zip(annotations, theta, strict=True):
-        eta = eta + F.col(a) * F.lit(float(t))
-    return softplus(eta) / F.lit(float(denominator))
+def annotation_sums(state: DataFrame, thetas: np.ndarray, denominator: float) -> np.ndarray:
+    """Sums of annotation * heritability, and of the annotations, over all variants under each row of parameters: (2, rows, annotations)."""
+    g, k = thetas.shape
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, g, k))
+        for batch in batches:
+            column = batch.column("annotations")
+            a = np.asarray(column.flatten()).reshape(-1, k)
+            for at in range(0, len(a), 10_000):
+                part = a[at : at + 10_000]
+                total[0] += kernels.softplus(thetas @ part.T) / denominator @ part
+                total[1] += part.sum(0)
+        yield pa.RecordBatch.from_pydict({"x": [total.ravel()]}, schema=pa.schema([("x", pa.list_(pa.float64()))]))
 
-def _heritability(rows: DataFrame, annotations: list[str], theta: np.ndarray, denominator: float) -> tuple[np.ndarray, np.ndarray]:
-    """sum(a * h2) by annotation, and enrichment relative to the first one; nan where its sums are 0."""
-    h2 = _h2(annotations, theta, denominator)
-    got = rows.agg(*[F.sum(F.col(a) * h2) for a in annotations], *[F.sum(a) for a in annotations]).first()
-    k = len(annotations)
-    h, size = np.array(got[:k], float), np.array(got[k:], float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return h, size[0] * h / (h[0] * size) if h[0] and size[0] else np.full(k, np.nan)
+    return summed_arrays(state.select("annotations").mapInArrow(run, "x array<double>"), "x").reshape(2, g, k)
+
+
+def jackknife_groups_of(blocks: DataFrame, groups: int) -> DataFrame:
+    """block_id and jackknife_group (from 0) of blocks by their block_nr; no more groups than blocks. One row a block."""
+    n = max(1, min(groups, blocks.count()))
+    return blocks.select("block_id", (F.ntile(n).over(Window.orderBy("block_nr")) - 1).alias("jackknife_group"))
 
 
-def _jackknife(fit: RemlFit, rows: DataFrame, terms: DataFrame, groups: int, denominator: float) -> None:
+def _jackknife(fit: RemlFit, state: DataFrame, terms: DataFrame, groups: int, denominator: float) -> None:
     """Leave-one-out parameters by groups of blocks, and heritabilities and enrichments under each of them."""
     k = len(fit.annotations)
-    count = terms.select("block_id").count()
-    n = max(1, min(groups, count))
-    numbered = terms.withColumn("group", F.ntile(n).over(Window.orderBy("block_id")))  # one row a block
-    sums = numbered.groupBy("group").agg(F.array(*[F.sum(F.col("gradient")[i]) for i in range(k)]).alias("g"), F.array(*[F.sum(F.col("hessian")[i]) for i in range(k * k)]).alias("h")).orderBy("group").collect()  # ``groups`` rows
-    theta = leave_one_out_parameters(np.array([r.g for r in sums]), np.array([r.h for r in sums]).reshape(-1, k, k), fit.parameters)
-    totals = rows.agg(*[F.sum(F.col(a) * _h2(fit.annotations, t, denominator)) for t in theta for a in fit.annotations], *[F.sum(a) for a in fit.annotations]).first()
-    h = np.array(totals[: len(theta) * k], float).reshape(-1, k)
-    size = np.array(totals[len(theta) * k :], float)
+    grouped = terms.join(jackknife_groups_of(state.select("block_id", "block_nr"), groups), "block_id")
+    cells = grouped.select("jackknife_group", F.posexplode(F.concat("gradient", "hessian")).alias("at", "x")).groupBy("jackknife_group", "at").agg(F.sum("x").alias("x")).collect()  # groups * (k + k * k) numbers
+    sums = np.zeros((max(c["jackknife_group"] for c in cells) + 1, k + k * k))
+    for c in cells:
+        sums[c["jackknife_group"], c["at"]] = c["x"]
+    theta = leave_one_out_parameters(sums[:, :k], sums[:, k:].reshape(-1, k, k), fit.parameters)
+    h, size = annotation_sums(state, theta, denominator)
     with np.errstate(divide="ignore", invalid="ignore"):
         share = h / size
         fit.jackknife = {"parameters": theta, "heritability": h, "enrichment": share / share[:, :1], "difference": share - share[:, :1]}
+    fit.groups = len(theta)
 
 
 RESULTS = "name string, enrichment double, enrichment_SE double, enrichment_log10pval double, heritability double, heritability_SE double, heritability_log10pval double, parameter double, parameter_SE double, parameter_log10pval double"
@@ -282,25 +325,48 @@ def convergence_results(spark: SparkSession, fit: RemlFit) -> tuple[DataFrame, D
     return summary, spark.createDataFrame(rows, "iteration int, likelihood_change double, trust_region_lambda double")
 
 
-def variant_scores(matrix: DataFrame, rows: DataFrame, fit: RemlFit, variants: DataFrame, denominator: float = 6e6, intercept: float = 1.0) -> DataFrame:
-    """(row_nr, gradient) of the likelihood for each variant's linear predictor; variants without a node have 0."""
-    n = rows.agg(F.avg("n")).first()[0]
+def variant_scores(matrix: DataFrame, rows: DataFrame, fit: RemlFit, variants: DataFrame, denominator: float = 6e6, intercept: float = 1.0, blocks: DataFrame | None = None, method: str = "exact", n_samples: int = 100, seed: int = 0) -> DataFrame:
+    """row_nr, gradient and Hessian of the likelihood for each variant's linear predictor, its heritability h2 and its jackknife_group.
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
-        u, inverse, pz, m = kernels.reml_state(p, v, fit.annotations, fit.parameters, n, denominator, intercept)
-        node = kernels.Gaussian(m, pz).node_gradient()
-        eta = v[fit.annotations].to_numpy(float) @ fit.parameters
-        return pd.DataFrame({"row_nr": v["row_nr"], "gradient": node[inverse] / (1 + np.exp(-eta)) / denominator})
+    Variants without a node have gradient, Hessian and h2 of 0 and no group. The Hessian is the node's average information by the square of the
+    slope of h2, and the node's gradient by its curvature.
+    """
+    n = float(rows.agg(F.avg("n")).first()[0])
+    state = reml_state(matrix, rows, fit.annotations, n, blocks)
+    schema = "row_nr long, block_id string, gradient double, hessian double, h2 double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("block_id").to_pylist()
+            for name, b in zip(names, reml_blocks(batch, fit.parameters, n, denominator, intercept), strict=True):
+                if b is None:
+                    continue
+                own = {"n_samples": n_samples, "seed": block_seed(seed, name)}
+                gradient, hessian = b.gaussian.node_gradient(method, **own)[b.place], b.gaussian.node_hessian(method, **own)[b.place]
+                slope = kernels.sigmoid(b.eta)
+                out = {"row_nr": b.row_nr, "block_id": [name] * len(b.eta), "gradient": gradient * slope / denominator, "hessian": hessian * (slope / denominator) ** 2 + gradient * slope * (1 - slope) / denominator, "h2": kernels.softplus(b.eta) / denominator}
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    got = per_block(matrix, rows, kernel, "row_nr long, gradient double")
-    return variants.select("row_nr").join(got, "row_nr", "left").withColumn("gradient", F.coalesce("gradient", F.lit(0.0)))
+    scores = state.mapInArrow(run, schema).join(jackknife_groups_of(state.select("block_id", "block_nr"), fit.groups or 1), "block_id")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("gradient", "hessian", "h2")]
+    return variants.select("row_nr").join(scores, "row_nr", "left").select("row_nr", *zero, "jackknife_group")
 
 
 def project_out(rows: DataFrame, value: str, annotations: list[str]) -> DataFrame:
-    """``value`` without its least-squares fit on the annotations, over all rows; p * p + p sums reach the driver."""
+    """``value`` without its least-squares fit on the annotations, over all rows; p * p + p sums reach the driver, added up in each task."""
     k = len(annotations)
-    sums = rows.agg(*[F.sum(F.col(a) * F.col(b)) for a in annotations for b in annotations], *[F.sum(F.col(a) * F.col(value)) for a in annotations]).first()
-    beta = np.linalg.lstsq(np.array(sums[: k * k], float).reshape(k, k), np.array(sums[k * k :], float), rcond=None)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k + 1))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            total += x[:, :k].T @ x
+        yield pa.RecordBatch.from_pydict({"x": [total.ravel()]}, schema=pa.schema([("x", pa.list_(pa.float64()))]))
+
+    columns = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*annotations, value])]
+    sums = summed_arrays(rows.select(*columns).na.drop().mapInArrow(run, "x array<double>"), "x").reshape(k, k + 1)
+    beta = np.linalg.lstsq(sums[:, :k], sums[:, k], rcond=None)[0]
     fitted = F.lit(0.0)
     for a, b in zip(annotations, beta, strict=True):
         fitted = fitted + F.col(a) * F.lit(float(b))
@@ -328,15 +394,15 @@ def simulate(matrix: DataFrame, variants: DataFrame, sample_size: float, heritab
     scale = (link(variants) if link else F.lit(1.0)) * (F.pow(heterozygosity(F.col("af")), F.lit(alpha)) if alpha else F.lit(1.0))
     drawn = variants.withColumn("_u", uniform(1)).withColumn("beta", F.sqrt(chosen * scale) * normal(3)).drop("_u")
 
-    def kernel(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         nodes = v["i"].to_numpy()
         sums = np.bincount(nodes, v["beta"].to_numpy(), len(p))
-        r = np.linalg.inv(p)
         rng = np.random.default_rng([seed, *v["block_id"].iloc[0].encode()])
-        noise = np.linalg.cholesky((r + r.T) / 2) @ rng.standard_normal(len(p))
-        return pd.DataFrame({"block_id": v["block_id"], "row_nr": v["row_nr"], "alpha": (r @ sums)[nodes], "noise": noise[nodes]})
+        noise = p.factor.noise(rng.standard_normal(len(p)))
+        return pd.DataFrame({"block_id": v["block_id"], "row_nr": v["row_nr"], "alpha": p.factor.solve(sums)[nodes], "noise": noise[nodes]})
 
-    effects = drawn.join(per_block(matrix, drawn.select("block_id", "row_nr", "i", "beta"), kernel, "block_id string, row_nr long, alpha double, noise double"), ["block_id", "row_nr"])
+    # written once: the sum and the rows both need it
+    effects = cut(drawn.join(per_block(matrix, drawn.select("block_id", "row_nr", "i", "beta"), kernel, "block_id string, row_nr long, alpha double, noise double"), ["block_id", "row_nr"]))
     total = effects.agg(F.sum(F.col("beta") * F.col("alpha")).alias("_s"))  # one row
     factor = F.when(F.col("_s") > 0, F.sqrt(F.lit(float(heritability)) / F.col("_s"))).otherwise(0.0)
     scaled = effects.join(F.broadcast(total)).withColumn("beta", F.col("beta") * factor).withColumn("alpha", F.col("alpha") * factor)
@@ -346,40 +412,37 @@ def simulate(matrix: DataFrame, variants: DataFrame, sample_size: float, heritab
 # ---- imputation, quality control, prediction
 
 
-def _by_correlation(matrix: DataFrame, rows: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], pd.Series], name: str) -> DataFrame:
-    """A value for each row (block_id, row_nr, i, z, ...) from the correlations of its block's rows."""
+def _for_rows(matrix: DataFrame, rows: DataFrame, kernel: Callable[[Sparse, np.ndarray, pd.DataFrame], np.ndarray], name: str) -> DataFrame:
+    """A value for each row (block_id, row_nr, i, z, ...), one a node, from its block."""
 
-    def run(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
-        nodes = v["i"].to_numpy()
-        r = np.linalg.inv(p)[np.ix_(nodes, nodes)]
-        return pd.DataFrame({"block_id": v["block_id"], "row_nr": v["row_nr"], name: kernel(r, v)})
+    def run(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block_id": v["block_id"], "row_nr": v["row_nr"], name: kernel(p, v["i"].to_numpy(), v)})
 
     return per_block(matrix, rows, run, f"block_id string, row_nr long, {name} double")
 
 
 def impute_z(matrix: DataFrame, rows: DataFrame) -> DataFrame:
     """Z of rows without one, from those of their block; rows (one a node) that have a Z keep it."""
-    return _by_correlation(matrix, rows, lambda r, v: kernels.impute(r, v["z"].fillna(0.0).to_numpy(), v["z"].notna().to_numpy()), "z")
+    return _for_rows(matrix, rows, lambda p, i, v: kernels.impute(p, i, v["z"].fillna(0.0).to_numpy(), v["z"].notna().to_numpy()), "z")
 
 
 def outlier_chi2(matrix: DataFrame, rows: DataFrame) -> DataFrame:
     """Chi-square of each Z against its prediction from the other half of its block; ``half`` (boolean) says which half."""
-    return _by_correlation(matrix, rows, lambda r, v: kernels.halves_chi2(r, v["z"].to_numpy(), v["half"].to_numpy(bool)), "chi2")
+    return _for_rows(matrix, rows, lambda p, i, v: kernels.halves_chi2(p, i, v["z"].to_numpy(), v["half"].to_numpy(bool)), "chi2")
 
 
 def regularise_z(matrix: DataFrame, rows: DataFrame, strength: float) -> DataFrame:
     """Z shrunk towards what its block's correlations support."""
-    return _by_correlation(matrix, rows, lambda r, v: kernels.regularise(r, v["z"].to_numpy(), strength), "z")
+    return _for_rows(matrix, rows, lambda p, i, v: kernels.regularise(p, i, v["z"].to_numpy(), strength), "z")
 
 
 def project_weights(matrix: DataFrame, weights: DataFrame, targets: DataFrame) -> DataFrame:
     """Weights (block_id, row_nr, i, weight) carried to other nodes (block_id, i): those that predict the same score best."""
 
-    def run(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def run(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         to, nodes = v.loc[v["target"], "i"].to_numpy(), v.loc[~v["target"], "i"].to_numpy()
-        r = np.linalg.inv(p)
         full = np.bincount(nodes, v.loc[~v["target"], "weight"].to_numpy(), len(p))
-        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": to, "weight": np.linalg.solve(r[np.ix_(to, to)], (r @ full)[to])})
+        return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": to, "weight": kernels.multiply(p, p.factor.solve(full)[to], to)})
 
     rows = weights.select("block_id", "i", "weight", F.lit(False).alias("target")).union(targets.select("block_id", "i", F.lit(0.0), F.lit(True)))
     return per_block(matrix, rows, run, "block_id string, i int, weight double")
@@ -388,7 +451,7 @@ def project_weights(matrix: DataFrame, weights: DataFrame, targets: DataFrame) -
 def score_accuracy(matrix: DataFrame, rows: DataFrame) -> DataFrame:
     """Squared correlation of two scores (weight, truth by block_id, i): (w'Rt)^2 / (w'Rw * t'Rt), sums over blocks."""
 
-    def run(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def run(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         w, t = (np.bincount(v["i"], v[c], len(p)) for c in ("weight", "truth"))
         rw, rt = kernels.solve(p, w), kernels.solve(p, t)
         return pd.DataFrame({"wt": [w @ rt], "ww": [w @ rw], "tt": [t @ rt]})
@@ -401,7 +464,7 @@ def score_accuracy_from_z(matrix: DataFrame, rows: DataFrame, sample_size: float
     """Squared correlation of a score (weight) with a trait, from the trait's Z: (w'z)^2 / (N w'Rw), with its z value."""
     ww = rows.select("block_id", "i", F.col("weight").alias("x"))
 
-    def run(p: np.ndarray, v: pd.DataFrame) -> pd.DataFrame:
+    def run(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         w = np.bincount(v["i"], v["x"], len(p))
         return pd.DataFrame({"ww": [w @ kernels.solve(p, w)]})
 
@@ -411,35 +474,43 @@ def score_accuracy_from_z(matrix: DataFrame, rows: DataFrame, sample_size: float
     return both.select(F.try_divide(F.col("wz") * F.col("wz"), F.col("ww") * F.lit(float(sample_size))).alias("r2"), F.try_divide("wz", F.sqrt("ww")).alias("z"))
 
 
-def multi_population_blup(matrices: DataFrame, rows: DataFrame, covariance: np.ndarray, sample_sizes: list[float]) -> DataFrame:
+def multi_population_blup(matrices: DataFrame, rows: DataFrame, covariance: np.ndarray, sample_sizes: list[float], alpha: float | None = None) -> DataFrame:
     """Weights of several populations at once: rows (block_id, population, i, z), matrices (block_id, population, i, j, value).
 
-    Effects of the populations at a node have the covariance (per standard deviation). With P_k / N_k on the diagonal of a block matrix and the
-    covariance at each node common to all, the posterior mean is S (S + D)^-1 D' y, D the block diagonal. A population's block holds all its nodes.
+    Effects of the populations at a node have the covariance (per standard deviation). D is the block diagonal of the P_k / N_k and S the
+    covariance at each node common to all; the posterior mean is S (S + D)^-1 y, one sparse system over all populations, in which
+    node i of population k has the number i * m + k. A population's block holds all its nodes.
+
+    With ``alpha`` rows carry af, the prior of population k at a node is scaled by (2 af (1 - af))^(1 + alpha) (the variance of an effect per
+    allele is then proportional to heterozygosity to the power alpha), and ``per_allele`` has the weights by allele.
     """
     m = len(sample_sizes)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["block_id", "population", "i", "weight"]
-        if right.empty:
-            return pd.DataFrame(columns=names)
-        common = sorted(set.intersection(*(set(right.loc[right["population"] == k, "i"]) for k in range(m))))
-        if not common:
-            return pd.DataFrame(columns=names)
-        n = len(common)
-        noise, y = np.zeros((m * n, m * n)), np.zeros(m * n)
-        for k in range(m):
-            e = left[left["population"] == k]
-            p = kernels.dense(int(e[["i", "j"]].to_numpy().max()) + 1, e["i"].to_numpy(), e["j"].to_numpy(), e["value"].to_numpy())
-            view = kernels.schur(p, np.array(common))
-            z = right[right["population"] == k].drop_duplicates("i").set_index("i").loc[common, "z"].to_numpy()
-            noise[k * n : (k + 1) * n, k * n : (k + 1) * n] = view / sample_sizes[k]
-            y[k * n : (k + 1) * n] = view @ z / np.sqrt(sample_sizes[k])
-        prior = np.kron(covariance, np.eye(n))
-        weight = prior @ np.linalg.solve(prior + noise, y)
-        return pd.DataFrame({"block_id": right["block_id"].iloc[0], "population": np.repeat(range(m), n), "i": common * m, "weight": weight})
-
-    return matrices.groupBy("block_id").cogroup(rows.groupBy("block_id")).applyInPandas(run, "block_id string, population int, i int, weight double")
+    size = F.element_at(F.array(*[F.lit(float(n)) for n in sample_sizes]), F.col("population") + 1)
+    number = lambda c: (F.col(c) * m + F.col("population")).cast("int").alias(c)
+    whole = matrices.select("block_id", number("i"), number("j"), (F.col("value") / size).alias("value"))
+    spread = F.sqrt(heterozygosity(F.col("af"))) if alpha is not None else F.lit(1.0)
+    scaled = F.pow(spread, F.lit(1.0 + alpha)) if alpha is not None else F.lit(1.0)
+    seen = rows.select("block_id", number("i"), (F.col("z") * F.sqrt(size)).alias("z"), spread.cast("double").alias("spread"), scaled.cast("double").alias("scale"))
+    schema = "block_id string, population int, i int, weight double" + (", per_allele double" if alpha is not None else "")
+
+    def run(d: Sparse, v: pd.DataFrame) -> pd.DataFrame:
+        v = v.drop_duplicates("i").sort_values("i", ignore_index=True)
+        node = v["i"].to_numpy() // m
+        common, count = np.unique(node, return_counts=True)
+        v = v[np.isin(node, common[count == m])]
+        if v.empty:
+            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
+        active, scale = v["i"].to_numpy(), v["scale"].to_numpy().reshape(-1, m)
+        prior = covariance[None] * scale[:, :, None] * scale[:, None, :]
+        k, l = np.divmod(np.arange(m * m), m)
+        first = active[::m]
+        both = Sparse(d.n, np.concatenate([d.i, (first[:, None] + k).ravel()]), np.concatenate([d.j, (first[:, None] + l).ravel()]), np.concatenate([d.value, prior.reshape(-1)]))
+        x = kernels.solve(both, kernels.multiply(d, v["z"].to_numpy(), active), active).reshape(-1, m)
+        weight = np.einsum("nkl,nl->nk", prior, x).ravel()
+        out = pd.DataFrame({"block_id": v["block_id"].iloc[0], "population": active % m, "i": active // m, "weight": weight})
+        return out if alpha is None else out.assign(per_allele=weight / v["spread"].to_numpy())
+
+    return per_block(whole, seen, run, schema)
 
 
 def correlation_edges(support: DataFrame, genotypes: DataFrame) -> DataFrame:
