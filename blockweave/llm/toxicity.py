@@ -150,8 +150,10 @@ def disguised_spans(raw: bytes) -> list[tuple[int, int]]:
             if end - at >= 5:
                 spaced.append((int(at), end))
     at = np.unique(np.concatenate(hits).astype(np.int64))
-    for lo, hi in spaced:
-        at = at[(at < lo) | (at >= hi)]
+    if spaced:  # in order and apart: a hit is covered if the last one to begin at or before it has not ended
+        begins, ends = np.array(spaced).T
+        nth = np.searchsorted(begins, at, "right") - 1
+        at = at[(nth < 0) | (at >= ends[nth])]
     if not len(at):
         return sorted({*spaced, *wide})
     # the runs of letters and signs around the hits, and in them the end of the last letter
