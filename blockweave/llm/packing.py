@@ -5,8 +5,9 @@ rest. The rests are packed in independent groups, each by the sum-of-squares rul
 N(g) open sequences of residual gap g, a piece goes where the sum over g of N(g)^2 becomes smallest
 (a new sequence included; of equals the smallest gap). Within a group larger pieces go first.
 
-Cases: a null or empty text is the end id alone; equal rows are packed as separate documents; a
-document of exactly the length fills a sequence; an empty table gives no rows.
+Cases: a null or empty text is the end id alone; null ids are packed as any other; equal rows are packed as separate documents, and
+however many there are they are dealt to all groups; a document of exactly the length fills a sequence; very long texts are tokenized
+whole and cut; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import re
 import struct
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +122,22 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class _Pieces:
-    def __init__(self, path: str, length: int, end_id: int):
-        self.path, self.length, self.end = path, length, np.array([end_id], "<u4").tobytes()
+    """Pieces of documents with their packing group. Rows equal in id and text, which a hash can't part, are dealt on from the second of a task."""
+
+    def __init__(self, path: str, length: int, end_id: int, groups: int):
+        self.path, self.length, self.end, self.groups = path, length, np.array([end_id], "<u4").tobytes(), groups
 
     def start(self):
         encode, width, end = word_encoder(self.path), 4 * self.length, self.end
+        task = TaskContext.get()
+        seen, partition = Counter(), task.partitionId() if task else 0
 
         def run(cols):
             out = {n: [] for n in ("doc_id", "pack_group", "piece", "start", "length", "ids_crc32")}
-            for doc_id, group, text in zip(cols["doc_id"], cols["pack_group"], cols["text"], strict=True):
+            for doc_id, mark, group, text in zip(cols["doc_id"], cols["mark"], cols["pack_group"], cols["text"], strict=True):
+                if seen[mark]:
+                    group = zlib.crc32(f"{mark} {seen[mark]} {partition}".encode()) % self.groups
+                seen[mark] += 1
                 ids = encode(text or "") + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
@@ -187,7 +197,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     the id into groups whose number grows with the documents.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(groups)).cast("long").alias("pack_group"), "text")
+    mark = F.xxhash64("doc_id", F.crc32("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.pmod(mark, F.lit(groups)).cast("long").alias("pack_group"), "text")
     arrow = pa.schema([("doc_id", pa.int64()), ("pack_group", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    pieces = map_slices(rows, _Pieces(path or tokenizer_path(), length, end_id), "doc_id long, pack_group long, piece int, start long, length long, ids_crc32 long", arrow)
+    pieces = map_slices(rows, _Pieces(path or tokenizer_path(), length, end_id, groups), "doc_id long, pack_group long, piece int, start long, length long, ids_crc32 long", arrow)
     return pieces.groupBy("pack_group").applyInPandas(_pack_group(length), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
