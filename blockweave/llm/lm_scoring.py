@@ -13,6 +13,10 @@ the tables of counts grow with the corpus and stay in Spark:
 2. A bucket adds up what all chunks have sent, and sends each chunk the totals of its own entries.
 3. Each chunk scores its texts with these totals. Its texts come from the same shuffle as in 1.
 
+Beyond FAN chunks counts are added up in several levels: a sender has at most FAN receivers and a receiver at most FAN senders. A receiver
+of one level adds up a stretch of hashes over some senders and sends it on, in smaller stretches, to the next; the last level has the
+totals, which go back the same way. So packets are chunks * FAN a level, and what a task holds is about a chunk's entries on any level.
+
 A frequent word is one entry a chunk, so nothing is hot. Marks of target documents are dealt to the chunks
 as ids; no text is joined.
 
@@ -24,8 +28,10 @@ no rows; very long texts are read whole and make their chunk as long.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -33,17 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import map_slices
+from blockweave.llm.common import map_slices, materialised
 
 #: Bytes of text in a chunk, and of text behind a bucket: what one task holds at a time.
 CHUNK_BYTES = 8_000_000
+#: Receivers of a sender, and senders of a receiver, at most.
+FAN = 256
 #: Weights of the bigram and the unigram estimate; what is left is uniform.
 BIGRAM, UNIGRAM = 0.6, 0.35
 _EDGES = ".,;:!?\"'()[]"
 _FLUSH = 300_000
 
-_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
-_COUNTS = "bucket long, chunk long, keys binary, n binary, t binary"
+_ARROW = pa.schema([("bucket", pa.int64()), ("stretch", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+_COUNTS = "bucket long, stretch long, chunk long, keys binary, n binary, t binary"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
@@ -98,6 +106,34 @@ class _DistinctWords:
             yield self._rows()
 
 
+class Levels:
+    """Who sends to whom. Senders of level 0 are the chunks; those of level k + 1 the receivers of level k.
+
+    Hashes are cut into fan^(k + 1) stretches on level k. A receiver is a stretch over fan^(k + 1) neighbouring chunks; its number is
+    the group of chunks by the number of stretches, and the stretch.
+    """
+
+    def __init__(self, chunks: int, fan: int = FAN):
+        self.count = 1
+        while fan**self.count < chunks:
+            self.count += 1
+        self.fan = max(1, math.ceil(round(chunks ** (1 / self.count), 9)))
+
+    def send(self, level: int, sender: int, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.Table:
+        """Sorted entries of a sender of a level, packed by receiver."""
+        stretches = self.fan ** (level + 1)
+        chunk = sender // self.fan**level  # the group of chunks that the sender stands for
+        at = ((keys >> np.uint64(32)) * np.uint64(stretches)) >> np.uint64(32)
+        own, begin = np.unique(at, return_index=True)
+        out = {name: [] for name in _ARROW.names}
+        for stretch, lo, hi in zip(own.tolist(), begin, [*begin[1:], len(at)], strict=True):
+            bucket = chunk // self.fan * stretches + stretch
+            values = (bucket, stretch, sender, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(n[lo:hi]), _pack(t[lo:hi]))
+            for name, v in zip(out, values, strict=True):
+                out[name].append(v)
+        return pa.table(out, schema=_ARROW)
+
+
 class _Chunk:
     """The tokens of a chunk's texts as numbers, and its entries (all tokens, words, pairs) in order of their keys."""
 
@@ -134,17 +170,6 @@ class _Chunk:
         both = np.bincount(self.pair[of[self.later]], minlength=pairs)
         return np.concatenate([[of.sum()], words, both])[self.order]
 
-    def packed(self, chunk: int, buckets: int) -> pa.Table:
-        at = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        own, begin = np.unique(at, return_index=True)
-        out = {n: [] for n in _ARROW.names}
-        for bucket, lo, hi in zip(own.tolist(), begin, [*begin[1:], len(at)], strict=True):
-            keys = self.keys[lo:hi]
-            values = (bucket, chunk, _pack(np.diff(keys, prepend=np.uint64(0))), _pack(self.n[lo:hi]), _pack(self.t[lo:hi]))
-            for n, v in zip(out, values, strict=True):
-                out[n].append(v)
-        return pa.table(out, schema=_ARROW)
-
     def scores(self, n: np.ndarray, t: np.ndarray, size: int) -> pa.Table:
         """``n`` and ``t``: totals of all documents and of target documents, in order of the keys."""
         background = self._loss(n, size)
@@ -163,20 +188,68 @@ class _Chunk:
         return -np.log(BIGRAM * given + UNIGRAM * u + (1 - BIGRAM - UNIGRAM) / size)
 
 
-def _add_up(sent: pa.Table) -> pa.Table:
-    """Totals of a bucket's entries, for each chunk in the order in which it has sent them."""
-    keys = [np.cumsum(_unpack(x), dtype=np.uint64) for x in sent.column("keys").to_pylist()]
-    ends = np.cumsum([len(k) for k in keys])
-    place = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    totals = []
-    for name in ("n", "t"):
+class _Received:
+    """A receiver's packets, their distinct keys in order, and the place of every entry among them."""
+
+    def __init__(self, sent: pa.Table):
+        self.sent = sent
+        keys = [np.cumsum(_unpack(x), dtype=np.uint64) for x in sent.column("keys").to_pylist()]
+        self.ends = np.cumsum([len(k) for k in keys])
+        self.keys, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+
+    def sums(self) -> list[np.ndarray]:
         # bincount adds in doubles: exact below 2**53
-        all_of = np.bincount(place, np.concatenate([_unpack(x) for x in sent.column(name).to_pylist()]))
-        totals.append([_pack(x) for x in np.split(all_of[place], ends[:-1])])
-    return pa.table([sent.column("bucket"), sent.column("chunk"), [None] * len(keys), *totals], schema=_ARROW)
+        return [np.bincount(self.place, np.concatenate([_unpack(x) for x in self.sent.column(name).to_pylist()])) for name in ("n", "t")]
 
+    def answers(self, totals: list[np.ndarray]) -> pa.Table:
+        """Totals for each sender, in the order in which it has sent its entries."""
+        back = [[_pack(x) for x in np.split(of[self.place], self.ends[:-1])] for of in totals]
+        names = ("bucket", "stretch", "chunk")
+        return pa.table([*(self.sent.column(c) for c in names), pa.array([None] * len(self.ends), pa.binary()), *back], schema=_ARROW)
 
-def score_documents(docs: DataFrame, good: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+
+def _add_up(sent: pa.Table) -> pa.Table:
+    """Totals of a bucket of the last level."""
+    got = _Received(sent)
+    return got.answers(got.sums())
+
+
+def _totals_of(totals: pa.Table) -> list[np.ndarray]:
+    """What a sender gets back, in the order of its keys."""
+    totals = totals.sort_by("stretch")
+    return [np.concatenate([_unpack(x) for x in totals.column(name).to_pylist()]) for name in ("n", "t")]
+
+
+def _onward(levels: Levels, level: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """What a receiver of a level sends on to the next."""
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        got = _Received(table)
+        n, t = (x.astype(np.int64) for x in got.sums())
+        return levels.send(level + 1, key[0].as_py(), got.keys, n, t)
+
+    return send
+
+
+def _back(sent: pa.Table, totals: pa.Table) -> pa.Table:
+    """What a receiver answers once it has its totals from the next level."""
+    return _Received(sent).answers(_totals_of(totals))
+
+
+def corpus_totals(sent: DataFrame, levels: Levels) -> DataFrame:
+    """Packets of the chunks (level 0) -> their totals, addressed to the chunks."""
+    down = []
+    for level in range(levels.count - 1):
+        sent = materialised(sent)  # read again on the way back
+        down.append(sent)
+        sent = sent.groupBy("bucket").applyInArrow(_onward(levels, level), _COUNTS)
+    totals = sent.groupBy("bucket").applyInArrow(_add_up, _COUNTS)
+    for sent in reversed(down):
+        totals = sent.groupBy("bucket").cogroup(totals.groupBy("chunk")).applyInArrow(_back, _COUNTS)
+    return totals
+
+
+def score_documents(docs: DataFrame, good: DataFrame, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and score of every row.
 
     ``good``: the doc_ids of target documents, distinct. Texts are shuffled once and read three times.
@@ -190,16 +263,16 @@ def score_documents(docs: DataFrame, good: DataFrame, chunk_bytes: int = CHUNK_B
     marks = dealt.select("chunk", "doc_id").join(good.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").distinct()
     both = dealt.select("chunk", "doc_id", "text", F.lit(False).alias("mark")).union(marks.select("chunk", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark")))
 
+    levels = Levels(chunks, fan)
+
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        return _Chunk(table).packed(key[0].as_py(), chunks)
+        chunk = _Chunk(table)
+        return levels.send(0, key[0].as_py(), chunk.keys, chunk.n, chunk.t)
 
     def score(table: pa.Table, totals: pa.Table) -> pa.Table:
-        totals = totals.sort_by("bucket")
-        n, t = (np.concatenate([_unpack(x) for x in totals.column(name).to_pylist()]) for name in ("n", "t"))
-        return _Chunk(table).scores(n, t, size)
+        return _Chunk(table).scores(*_totals_of(totals), size)
 
-    sent = both.groupBy("chunk").applyInArrow(count, _COUNTS)
-    totals = sent.groupBy("bucket").applyInArrow(_add_up, _COUNTS)
+    totals = corpus_totals(both.groupBy("chunk").applyInArrow(count, _COUNTS), levels)
     return both.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, _SCORES)
 
 
