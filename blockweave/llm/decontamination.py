@@ -5,12 +5,13 @@
    of A'(AQ), the driver only orthonormalises terms x RANK numbers.
 2. Every window of a document is folded into the latent space. Windows come in six lengths, so
    that a passage is compared with windows that hold it whole; they start every STRIDE words.
-   Windows whose projection on a passage reaches SHARE of its length, well below what 3. asks for, are candidates.
+   The gate is the window's length along the passage, its cosine by its own length: a window is a candidate where this projection reaches
+   SHARE of the passage's length, well below what 3. asks for. A bound on the cosine alone would lose passages among other words of the benchmark.
 3. A candidate is checked on its words: by idf weight PARAPHRASE of the passage must be there, then the
    longest common subsequence of passage and surroundings counts. From COPY of the passage's words on it is a copy; from PARAPHRASE on it is one
    if the answer, the last quarter of the passage, is there too.
 
-A large benchmark is searched in blocks of BLOCK passages, so a model has a bounded size. Each
+A large benchmark is searched in blocks of BLOCK passages, one after another, so the driver holds one model of a bounded size. Each
 document is scanned whole, once a block.
 
 Cases: null and empty documents or items match nothing; equal items match alike; items shorter
@@ -20,6 +21,7 @@ gives no rows; of equal matches of an item the first in the text is told; very l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import map_slices
+from blockweave.llm.common import map_slices, materialised
 
 PASSAGE, BLOCK = 64, 4096
 RANK, OVERSAMPLE, ITERATIONS = 160, 10, 2
@@ -335,40 +337,73 @@ class _Clean:
         return run
 
 
-def _spaces(benchmark: DataFrame) -> list[LatentSpace]:
+class _Dirty:
+    """Hashes of the rows whose text holds an item."""
+
+    def __init__(self, space: LatentSpace):
+        self.space = space
+
+    def start(self):
+        search = Searcher(self.space)
+
+        def run(cols):
+            hit = [i for i, got in enumerate(search.matches(cols["text"])) if got]
+            return {n: [cols[n][i] for i in hit] for n in ("_a", "_b")}
+
+        return run
+
+
+def _spaces(benchmark: DataFrame) -> Iterator[tuple[LatentSpace, bool]]:
+    """The model of each block, one at a time, and whether it is the only one."""
     passages = passages_of(benchmark).persist()
     try:
         blocks = max(1, -(-passages.count() // BLOCK))
-        if blocks == 1:
-            spaces = [latent_space(passages)]
-        else:
-            # twice as many, so that a hashed block stays below BLOCK
-            spaces = [latent_space(passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(2 * blocks)) == b)) for b in range(2 * blocks)]
+        # twice as many, so that a hashed block stays below BLOCK
+        hashed = F.pmod(F.xxhash64("item_id", "passage"), F.lit(2 * blocks))
+        for b in range(2 * blocks if blocks > 1 else 1):
+            space = latent_space(passages.where(hashed == b) if blocks > 1 else passages)
+            if space is not None:
+                yield space, blocks == 1
     finally:
         passages.unpersist()
-    return [s for s in spaces if s is not None]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, lcs, copy) of every benchmark item found in a document. No shuffle of texts."""
+    """(doc_id, item_id, start_word, lcs, copy) of every benchmark item found in a document. No shuffle of texts.
+
+    With several blocks each is searched before the next model is built, so the driver holds one model at a time.
+    """
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("lcs", pa.float64()), ("copy", pa.bool_())])
     schema = "doc_id long, item_id long, start_word long, lcs double, copy boolean"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for space in _spaces(benchmark):
+    for space, alone in _spaces(benchmark):
         part = map_slices(rows, _Search(space), schema, arrow)
+        part = part if alone else materialised(part)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in which no benchmark item is found, with the columns of documents."""
+    """Rows of ``docs`` in which no benchmark item is found, with the columns of documents.
+
+    One block is searched in passing. With several, each leaves the hashes of the rows in which it finds an item, and
+    the rows go by these at the end, so texts are moved once however many blocks there are.
+    """
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    for space in _spaces(benchmark):
-        rows = map_slices(rows, _Clean(space), schema, arrow)
-    return rows
+    key = (F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", F.lit(1), "doc_id").alias("_b"))
+    hits = None
+    for space, alone in _spaces(benchmark):
+        if alone:
+            return map_slices(rows, _Clean(space), schema, arrow)
+        found = map_slices(rows.select("text", *key), _Dirty(space), "_a long, _b long", pa.schema([("_a", pa.int64()), ("_b", pa.int64())]))
+        found = materialised(found.distinct())
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        return rows
+    return rows.withColumns({"_a": key[0], "_b": key[1]}).join(hits.distinct(), ["_a", "_b"], "left_anti").drop("_a", "_b")
 
 
 def benchmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
