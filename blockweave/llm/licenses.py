@@ -129,7 +129,101 @@ BODIES: list[tuple[str, str]] = [
     ("cc-by-nc-nd", "creativecommons org licenses by nc nd"),
     ("cc0", "creativecommons org publicdomain zero"),
     ("wtfpl", "you just do what the fuck you want to"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "the fonts and derivatives however cannot be released under any other type of license"),
+    ("cc0", "has waived all copyright and related or neighboring rights to"),
+    ("cc", "this work is licensed under a creative commons"),
+    ("python-2", "psf is making python available to licensee on an as is basis"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify"),
+    ("elastic-2", "you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("bsl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "this software is the confidential and proprietary information of"),
+    ("public-domain", "this work has been identified as being free of known restrictions under copyright law"),
 ]
+# Identifiers by label, as they stand after "SPDX-License-Identifier:"; a blank stands for any run of non-word characters.
+IDENTIFIERS: dict[str, list[str]] = {
+    "mit": ["mit", "x11"],
+    "mit-0": ["mit 0"],
+    "apache-2": ["apache 2 0"],
+    "apache-1.1": ["apache 1 1"],
+    "gpl-2": ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"],
+    "gpl-3": ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"],
+    "lgpl-2.1": ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"],
+    "lgpl-3": ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"],
+    "agpl-3": ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"],
+    "gfdl-1.3": ["gfdl 1 3", "gfdl 1 3 only", "gfdl 1 3 or later"],
+    "bsd-2": ["bsd 2 clause"],
+    "bsd-3": ["bsd 3 clause"],
+    "bsd-4": ["bsd 4 clause"],
+    "0bsd": ["0bsd"],
+    "mpl-2": ["mpl 2 0"],
+    "mpl-1.1": ["mpl 1 1"],
+    "epl-2": ["epl 2 0"],
+    "epl-1": ["epl 1 0"],
+    "cddl": ["cddl 1 0", "cddl 1 1"],
+    "cpl-1": ["cpl 1 0"],
+    "eupl-1.2": ["eupl 1 2"],
+    "artistic-2": ["artistic 2 0"],
+    "artistic-1": ["artistic 1 0"],
+    "isc": ["isc"],
+    "zlib": ["zlib"],
+    "boost-1": ["bsl 1 0"],
+    "unlicense": ["unlicense"],
+    "wtfpl": ["wtfpl"],
+    "postgresql": ["postgresql"],
+    "python-2": ["psf 2 0", "python 2 0"],
+    "ruby": ["ruby"],
+    "php-3": ["php 3 0", "php 3 01"],
+    "openssl": ["openssl"],
+    "vim": ["vim"],
+    "beerware": ["beerware"],
+    "json": ["json"],
+    "ofl-1.1": ["ofl 1 1"],
+    "ms-pl": ["ms pl"],
+    "ms-rl": ["ms rl"],
+    "ncsa": ["ncsa"],
+    "upl-1": ["upl 1 0"],
+    "bsl-1.1": ["busl 1 1"],
+    "sspl-1": ["sspl 1 0"],
+    "elastic-2": ["elastic 2 0"],
+    "odbl": ["odbl 1 0"],
+    "odc-by": ["odc by 1 0"],
+    "pddl": ["pddl 1 0"],
+    "cc0": ["cc0 1 0"],
+    "cc-by": ["cc by 1 0", "cc by 2 0", "cc by 2 5", "cc by 3 0", "cc by 4 0"],
+    "cc-by-sa": ["cc by sa 1 0", "cc by sa 2 0", "cc by sa 2 5", "cc by sa 3 0", "cc by sa 4 0"],
+    "cc-by-nd": ["cc by nd 1 0", "cc by nd 2 0", "cc by nd 2 5", "cc by nd 3 0", "cc by nd 4 0"],
+    "cc-by-nc": ["cc by nc 1 0", "cc by nc 2 0", "cc by nc 2 5", "cc by nc 3 0", "cc by nc 4 0"],
+    "cc-by-nc-sa": ["cc by nc sa 1 0", "cc by nc sa 2 0", "cc by nc sa 2 5", "cc by nc sa 3 0", "cc by nc sa 4 0"],
+    "cc-by-nc-nd": ["cc by nc nd 1 0", "cc by nc nd 2 0", "cc by nc nd 2 5", "cc by nc nd 3 0", "cc by nc nd 4 0"],
+}
 
 
 @dataclass(frozen=True)
@@ -178,6 +272,12 @@ def rules() -> list[Rule]:
             for grant in GRANTS:
                 add(label, f"{grant} {name}", 1, 0.99)
             add(label, name, 3, 0.8)
+    for label, names in IDENTIFIERS.items():
+        for name in names:
+            add(label, f"spdx license identifier {name}", 1, 0.99)
+            # the second identifier of an expression, "MIT OR Apache-2.0", is a detection of its own: the group
+            body = b"spdx" + _SEP + b"license" + _SEP + rb"identifier[: \t(]+[0-9a-z.+-]+[ \t]+(?:or|and)[ \t]+(" + _SEP.join(name.encode().split()) + b")"
+            out.append(Rule(label, _LEFT + body + _RIGHT, tuple(dict.fromkeys([b"spdx", b"identifier", *(w.encode() for w in name.split() if len(w) > 1)])), 1, 0.99))
     for label, phrase in BODIES:
         add(label, phrase, 2, 0.95)
     return sorted(dict.fromkeys(out), key=lambda r: (r.priority, -len(r.pattern)))
@@ -209,7 +309,7 @@ class Scanner:
         for i in picked:
             if all(k in hit or k in raw for k in self.rules[i].keywords):
                 pattern = self.compiled.get(i) or self.compiled.setdefault(i, re.compile(self.rules[i].pattern))
-                found += [(i, *m.span()) for m in pattern.finditer(raw)]
+                found += [(i, *m.span(m.lastindex or 0)) for m in pattern.finditer(raw)]
         found.sort(key=lambda d: (self.rules[d[0]].priority, d[1] - d[2], d[0]))
         kept: list[tuple[int, int, Rule]] = []
         reach = _Reach([a for _, a, _ in found])
