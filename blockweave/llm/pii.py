@@ -149,19 +149,25 @@ _EPOCH, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2099, 12, 31) - dateti
 
 
 def _date(value: str, key: bytes, inverse: bool) -> str | None:
-    """Calendar dates of 1900 to 2099 in the order and with the separators that they have."""
+    """Calendar dates of 1900 to 2099 in the order and with the separators that they have.
+
+    Days come first, with slashes months. A number above 12 in the month's place turns the order; such a date stays one whose day is above 12.
+    """
     a, sep, b, _, c = re.match(r"(\d+)([-/.])(\d+)([-/.])(\d+)", value).groups()
+    orders = ["ymd"] if len(a) == 4 else ["mdy", "dmy"] if sep == "/" else ["dmy", "mdy"]
+    parts = [dict(zip(o, map(int, (a, b, c)), strict=True)) for o in orders]
+    turned = len(orders) == 2 and parts[0]["m"] > 12
+    at = parts[turned]
     try:
-        order = "ymd" if len(a) == 4 else "mdy" if sep == "/" else "dmy"
-        parts = dict(zip(order, map(int, (a, b, c)), strict=True))
-        day = (datetime.date(parts["y"], parts["m"], parts["d"]) - _EPOCH).days
+        day = (datetime.date(at["y"], at["m"], at["d"]) - _EPOCH).days
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
-    new = _EPOCH + datetime.timedelta(feistel(day, _DAYS, key, "date", inverse))
+    late = (lambda n: (_EPOCH + datetime.timedelta(n)).day > 12) if turned else None
+    new = _EPOCH + datetime.timedelta(feistel(day, _DAYS, key, "late date" if turned else "date", inverse, late))
     spelled = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-    return sep.join(spelled[k] for k in order)
+    return sep.join(spelled[k] for k in orders[turned])
 
 
 def _mod97(text: str) -> int:
@@ -169,14 +175,15 @@ def _mod97(text: str) -> int:
 
 
 def _iban(value: str, key: bytes, inverse: bool) -> str | None:
-    """Country and format stay, the account is permuted, the two check digits follow."""
-    flat = value.replace(" ", "")
+    """Country and format stay, the account is permuted, the two check digits follow. In small letters it is that of the capitals, in small letters."""
+    flat = value.replace(" ", "").upper()
     if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1:
         return None
     account = _permute_chars(flat[4:], key, f"iban{flat[:2]}", inverse)
     check = f"{98 - _mod97(account + flat[:2] + '00'):02d}"
     it = iter(flat[:2] + check + account)
-    return "".join(c if c == " " else next(it) for c in value)
+    new = "".join(c if c == " " else next(it) for c in value)
+    return new.lower() if value[:2].islower() else new
 
 
 def _email(value: str, key: bytes, inverse: bool) -> str | None:
@@ -207,7 +214,7 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     "access_key": (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", _access_key),
     "secret": (r"\b(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*['\"]?[A-Za-z0-9_\-/+]{6,}", _secret),
-    "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b|\b[a-z]{2}[0-9]{2}[a-z0-9]{11,30}\b", _iban),
     "hex": (r"(?<![0-9a-zA-Z])(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![0-9a-zA-Z])", _hex),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)", _ip),
     "date": (r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-])", _date),

@@ -37,7 +37,8 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise_documents(documents(spark, sf_dir))
+    # a stated key, so that runs can be compared, unless the session sets its own
+    out = pii.pseudonymise_documents(documents(spark, sf_dir), spark.conf.get(pii.KEY_SETTING, "op7_feistel_pseudonyms"))
     return out.select("doc_id", "text", "n_values", F.array_join(F.array_sort(F.array_distinct(F.col("spans.kind"))), ",").alias("kinds"))
 
 
