@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from blockweave.functions.scalars import odds, rule_one, rule_two
 from blockweave.operators.joins import mutations_to_bricks
 from blockweave.operators.lineage import cut
+from blockweave.operators.ordering import numbered
 
 
 def round_weights(edges: DataFrame, digits: int = 4) -> DataFrame:
@@ -35,17 +36,24 @@ def last_edge_wins(*graphs: DataFrame) -> DataFrame:
     return out.groupBy("from", "to").agg(F.max_by("weight", "_rank").alias("weight"))
 
 
+#: Tasks over which the ways through a removed node are dealt.
+WAYS = 64
+
+
 def remove_node(edges: DataFrame, node: int, path_threshold: float) -> DataFrame:
-    """Edges without a node: each way through it becomes an edge unless a shorter one exists; only up to the threshold."""
-    into = edges.where((F.col("to") == node) & (F.col("from") != node)).select(F.col("from").alias("a"), F.col("weight").alias("wa"))
-    out = edges.where((F.col("from") == node) & (F.col("to") != node)).select(F.col("to").alias("b"), F.col("weight").alias("wb"))
-    through = into.join(out, F.col("a") != F.col("b")).select(F.col("a").alias("from"), F.col("b").alias("to"), (F.col("wa") + F.col("wb")).alias("weight"))
-    kept = edges.where((F.col("from") != node) & (F.col("to") != node)).select("from", "to", "weight")
-    # only pairs that were joined through the node are held against the threshold
-    made = through.groupBy("from", "to").agg(F.min("weight").alias("new"))
-    both = kept.join(made, ["from", "to"], "full")
-    weight = F.when(F.col("new").isNull(), F.col("weight")).when(F.col("weight") < F.col("new"), F.col("weight")).otherwise(F.col("new"))
-    return both.select("from", "to", weight.alias("weight"), F.col("new").isNotNull().alias("_made")).where((~F.col("_made")) | (F.col("weight") <= path_threshold)).drop("_made")
+    """Edges without a node. A way through it that is at most the threshold becomes an edge, or shortens one; every other edge stays as it is.
+
+    Of repeated edges the last counts, by ``row_nr`` if there is one, else in the order in which they are read.
+    """
+    at = edges if "row_nr" in edges.columns else edges.withColumn("row_nr", F.monotonically_increasing_id())
+    one = cut(at.groupBy("from", "to").agg(F.max_by("weight", "row_nr").alias("weight")))
+    into = one.where((F.col("to") == node) & (F.col("from") != node)).select(F.col("from").alias("a"), F.col("weight").alias("wa"), F.pmod(F.xxhash64("from"), F.lit(WAYS)).cast("long").alias("way"))
+    out = one.where((F.col("from") == node) & (F.col("to") != node)).select(F.col("to").alias("b"), F.col("weight").alias("wb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))).alias("way"))
+    made = into.join(out, "way").where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to"), (F.col("wa") + F.col("wb")).alias("new"))
+    kept = one.where((F.col("from") != node) & (F.col("to") != node))
+    shorter = F.least("weight", "new")
+    weight = F.when(F.col("new").isNotNull() & (shorter <= path_threshold), shorter).otherwise(F.col("weight"))
+    return kept.join(made, ["from", "to"], "full").select("from", "to", weight.alias("weight")).where("weight is not null")
 
 
 #: Places of a brick's vertices: 8 * id + place.
@@ -223,10 +231,12 @@ def snplist(groups: DataFrame, mutations: DataFrame) -> DataFrame:
 
 def mutation_groups(mutations: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, brick, mutation, mutations) of the bricks that carry mutations, in order of their first mutation by position and number."""
-    placed = mutations_to_bricks(mutations, edges)
+    placed = cut(mutations_to_bricks(mutations, edges))
+    # bricks are numbered without their lists
+    firsts = placed.groupBy("brick").agg(F.min(F.struct("position", "mutation")).alias("first")).select("brick", "first.*")
+    order = numbered(firsts, ["position", "mutation"], "group").select(F.col("group").cast("int").alias("group"), "brick", "mutation")
     lists = placed.groupBy("brick").agg(F.array_sort(F.collect_list(F.struct("position", "mutation"))).alias("m"))
-    # one row a brick with mutations
-    return lists.select((F.row_number().over(Window.orderBy(F.element_at("m", 1))) - 1).cast("int").alias("group"), "brick", F.element_at("m", 1)["mutation"].alias("mutation"), F.transform("m", lambda x: x["mutation"]).alias("mutations"))
+    return order.join(lists, "brick").select("group", "brick", "mutation", F.transform("m", lambda x: x["mutation"]).alias("mutations"))
 
 
 # ---- bricks from tree sequences

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions.scalars import allele_phase, chromosome, phased_frequency
+from blockweave.operators.lineage import cut
+from blockweave.operators.ordering import last_before, numbered
 
 #: A range table is broadcast up to this many rows.
 BROADCAST_ROWS = 50_000
 #: Bits by which the bin widths of range lengths differ: a range covers two bins of its width at most.
 LEVEL_BITS = 4
-#: Bins of the genome line for nearest genes; their summaries, two times k genes each, are the only thing ordered as a whole.
-LINE_BINS = 65_536
+#: Genes of a bin of the genome line: bins follow the genes, wherever these are.
+BIN_GENES = 64
 
 
 def first_present(df: DataFrame, *names: str) -> str:
@@ -28,17 +30,17 @@ def range_join(points: DataFrame, ranges: DataFrame, how: str = "inner") -> Data
 
     A range goes to the bins of its own width class that it touches, two at most; a point looks into its bin of
     each width class that occurs. So work follows matches, however long, short or dense ranges are,
-    and the join is an equi join that Spark broadcasts, sorts or splits.
+    and the join is an equi join that Spark broadcasts, sorts or splits. ``chrom`` may be any key; positions may be fractions.
     ``how``: inner, or left_semi for the points that lie in any range (each row once if points are distinct).
     """
     shift = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double")) / LEVEL_BITS).cast("int") * LEVEL_BITS
     sized = ranges.where("end > start").withColumn("_level", shift)
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("_level")).alias("levels")).first()  # 16 levels at most
     wide = lambda c: F.expr(f"shiftright({c}, _level)")
-    r = sized.withColumn("_bin", F.explode(F.expr("array_distinct(array(shiftright(cast(start as bigint), _level), shiftright(cast(end - 1 as bigint), _level)))"))).withColumnsRenamed({"chrom": "_chrom", "_level": "_rlevel", "_bin": "_rbin"})
+    r = sized.withColumn("_bin", F.explode(F.expr("array_distinct(array(shiftright(cast(floor(start) as bigint), _level), shiftright(cast(ceil(end) - 1 as bigint), _level)))"))).withColumnsRenamed({"chrom": "_chrom", "_level": "_rlevel", "_bin": "_rbin"})
     if stats.n <= BROADCAST_ROWS:
         r = F.broadcast(r)
-    p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in stats.levels or [0]]).cast("array<int>"))).withColumn("_bin", wide("cast(pos as bigint)"))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in stats.levels or [0]]).cast("array<int>"))).withColumn("_bin", wide("cast(floor(pos) as bigint)"))
     inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
     out = p.join(r, (F.col("chrom") == F.col("_chrom")) & (F.col("_level") == F.col("_rlevel")) & (F.col("_bin") == F.col("_rbin")) & inside, how).drop("_level", "_bin", "_rlevel", "_rbin", "_chrom")
     return out.distinct() if how == "left_semi" else out
@@ -63,11 +65,12 @@ def partition_by_block(variants: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def annotate_ranges(variants: DataFrame, ranges: DataFrame, name: str = "annotated") -> DataFrame:
-    """Variants with a flag: whether any range (chrom, start, end) covers them. Ranges must not be empty."""
+    """Variants with a flag: whether any range (chrom, start, end) covers them. Ranges must not be empty. Chromosomes may be written 7 or chr7 on either side."""
     checked = ranges.withColumn("_ok", F.assert_true(F.col("end") > F.col("start"), F.lit("a range must end after its start"))).where("_ok is null").drop("_ok")
-    points = variants.select(F.col("CHR").alias("chrom"), F.col("POS").alias("pos")).distinct()
-    hit = range_join(points, checked.select("chrom", "start", "end"), "left_semi").select(F.col("chrom").alias("CHR"), F.col("pos").alias("POS"), F.lit(True).alias(name))
-    return variants.join(hit, ["CHR", "POS"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    placed = variants.withColumn("_chrom", chromosome(F.col("CHR")))
+    points = placed.select(F.col("_chrom").alias("chrom"), F.col("POS").alias("pos")).distinct()
+    hit = range_join(points, checked.select(chromosome(F.col("chrom")).alias("chrom"), "start", "end"), "left_semi").select(F.col("chrom").alias("_chrom"), F.col("pos").alias("POS"), F.lit(True).alias(name))
+    return placed.join(hit, ["_chrom", "POS"], "left").select(*variants.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
 def merge_snplists(info: DataFrame, sumstats: DataFrame, by: str = "SNP", extra: tuple[str, ...] = (), signed: tuple[str, ...] = ("Z",)) -> DataFrame:
@@ -143,34 +146,24 @@ def _line(df: DataFrame) -> Column:
 def nearest_genes(variants: DataFrame, genes: DataFrame, weights: list[float]) -> DataFrame:
     """The len(weights) nearest genes of each variant with their weight, by global position.
 
-    Positions are chrom * 1e9 + pos; ties go to the earlier gene row. The line of positions is cut into at most
-    LINE_BINS bins. A variant is compared with the genes of its own bin and with the k nearest to that
-    bin on either side, which are carried over from bin to bin: no table is crossed and none is gathered.
+    Positions are chrom * 1e9 + pos; ties go to the earlier gene row. Genes are numbered along the line; a bin is BIN_GENES neighbours, so
+    bins are narrow where genes are dense. A variant looks into the bin whose first gene is the last at or before it, which holds that
+    bin's genes and 2 k to either side: work is BIN_GENES + 4 k genes a position, wherever genes and variants lie. Of genes at one
+    position only the first k can be among the nearest.
     """
     k = len(weights)
     w = F.array(*[F.lit(float(x)) for x in weights])
-    line = genes.select(_line(genes).alias("g"), "gene_id", "gene_row")
-    ends = line.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
-    if ends.lo is None:
-        return variants.select("*", F.lit(None).cast("string").alias("gene_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("weight")).where(F.lit(False))
-    width = (ends.hi - ends.lo) // LINE_BINS + 1
-    bin_of = F.least(F.greatest(F.floor((F.col("g") - ends.lo) / width), F.lit(-1)), F.lit(LINE_BINS + 1)).cast("long")
-    own = line.withColumn("bin", bin_of).groupBy("bin").agg(F.collect_list(F.struct("g", "gene_row", "gene_id")).alias("genes"))
-    points = variants.select(_line(variants).alias("g")).distinct().withColumn("bin", bin_of)
-
-    # k nearest to a border: to the right of it by (g, row), to the left by (-g, row)
-    right_order = lambda a: F.slice(F.array_sort(a), 1, k)
-    left_order = lambda a: F.transform(F.slice(F.array_sort(F.transform(a, lambda x: F.struct((-x["g"]).alias("m"), x["gene_row"].alias("gene_row"), x["gene_id"].alias("gene_id")))), 1, k), lambda x: F.struct((-x["m"]).alias("g"), x["gene_row"].alias("gene_row"), x["gene_id"].alias("gene_id")))
-    bins = own.select("bin", left_order(F.col("genes")).alias("last"), right_order(F.col("genes")).alias("first"))
-    ordered = Window.orderBy("bin")  # of at most LINE_BINS rows with k genes on either side
-    carried = bins.select("bin", left_order(F.flatten(F.collect_list("last").over(ordered.rowsBetween(-k, 0)))).alias("upto"), right_order(F.flatten(F.collect_list("first").over(ordered.rowsBetween(0, k)))).alias("onward"))
-    places = points.select("bin").distinct().join(carried, "bin", "full")
-    before = F.last("upto", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("onward", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
-    around = places.select("bin", before.alias("before"), after.alias("after")).join(own, "bin", "left")
-    none = F.array().cast(own.schema["genes"].dataType)
-    near = around.select("bin", F.explode(F.concat(*[F.coalesce(F.col(c), none) for c in ("before", "genes", "after")])).alias("x")).select("bin", "x.*").withColumnRenamed("g", "at")
-    ranked = points.join(near, "bin").withColumn("rank", (F.row_number().over(Window.partitionBy("g").orderBy(F.abs(F.col("at") - F.col("g")), "gene_row")) - 1).cast("int")).where(F.col("rank") < k)
+    same = Window.partitionBy("at").orderBy("gene_row")
+    line = genes.select(_line(genes).alias("at"), "gene_id", "gene_row").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
+    line = cut(numbered(line, ["at", "gene_row"], "nr"))
+    borders = line.where(F.col("nr") % BIN_GENES == 0).select(F.col("at").alias("g"), F.lit(0).alias("point"), (F.col("nr") / BIN_GENES).cast("long").alias("bin"))
+    points = variants.select(_line(variants).alias("g")).distinct().select("g", F.lit(1).alias("point"), F.lit(None).cast("long").alias("bin"))
+    # several bins may begin at one position: the last of them, whose neighbours the first k genes there are
+    firsts = borders.groupBy("g", "point").agg(F.max("bin").alias("bin"))
+    placed = last_before(firsts.unionByName(points), ["g", "point"], F.col("bin"), "own").where("point = 1").select("g", F.coalesce("own", F.lit(0)).alias("bin"))
+    low, high = F.floor((F.col("nr") - BIN_GENES - 2 * k) / BIN_GENES) + 1, F.floor((F.col("nr") + 2 * k) / BIN_GENES)
+    served = line.withColumn("bin", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+    ranked = placed.join(served, "bin").withColumn("rank", (F.row_number().over(Window.partitionBy("g").orderBy(F.abs(F.col("at") - F.col("g")), "gene_row")) - 1).cast("int")).where(F.col("rank") < k)
     found = ranked.select("g", "gene_id", "rank", F.element_at(w, F.col("rank") + 1).alias("weight"))
     return variants.withColumn("g", _line(variants)).join(found, "g").drop("g")
 
@@ -208,10 +201,13 @@ def match_annotations(rows: DataFrame, annotations: DataFrame, by: str | None =
 
 
 def mutations_to_bricks(mutations: DataFrame, edges: DataFrame) -> DataFrame:
-    """The first edge, in table order, that carries each mutation: child = node, left <= position < right."""
-    hit = mutations.join(edges, (mutations["node"] == edges["child"]) & (F.col("position") >= F.col("left")) & (F.col("position") < F.col("right")))
-    first = Window.partitionBy("mutation").orderBy("brick")
-    return hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("mutation", "position", "brick")
+    """The first edge, in table order, that carries each mutation: child = node, left <= position < right.
+
+    A range join in which the child takes the chromosome's place, so a node with many edges and mutations costs its matches only.
+    """
+    points = mutations.select("mutation", F.col("node").alias("chrom"), F.col("position").alias("pos"))
+    hit = range_join(points, edges.select(F.col("child").alias("chrom"), F.col("left").alias("start"), F.col("right").alias("end"), "brick"))
+    return hit.groupBy("mutation").agg(F.min(F.struct("brick", "pos")).alias("x")).select("mutation", F.col("x.pos").alias("position"), "x.brick")
 
 
 def reml_join(sumstats: DataFrame, annotations: DataFrame, keep_annotations: bool = False, by: tuple[str, ...] = ("SNP",)) -> DataFrame:

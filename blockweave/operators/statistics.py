@@ -1,9 +1,12 @@
-"""Score tests, jackknife, meta-analysis and filters; DataFrame functions only."""
+"""Score tests, jackknife, meta-analysis and filters: DataFrame functions, but for the products of column tiles."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +127,66 @@ def enrichment(rows: DataFrame, annotations: list[str]) -> DataFrame:
     return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("annotation"), F.col(f"h_{a}").alias("heritability"), F.col(f"n_{a}").cast("double").alias("size"), (F.try_divide(F.col(f"h_{a}"), F.col(f"h_{first}")) / F.try_divide(F.col(f"n_{a}"), F.col(f"n_{first}"))).alias("enrichment")) for a in annotations])).alias("x")).select("x.*")
 
 
-def genotype_correlation(rows: DataFrame, column: str) -> DataFrame:
-    """(i, j, r) for all pairs i < j of the numbers in an array column; the sums of products are k * k numbers a task."""
-    features = rows.select(array_to_vector(F.col(column).cast("array<double>")).alias("x"))
-    matrix = Correlation.corr(features, "x").first()[0].toArray()
-    k = len(matrix)
-    return rows.sparkSession.createDataFrame([(i, j, float(matrix[i, j])) for i in range(k) for j in range(i + 1, k)], "i int, j int, r double")
+#: Columns of a tile, and rows of a slab of it.
+TILE, SLAB = 512, 256
+
+
+def genotype_correlation(rows: DataFrame, column: str, tile: int = TILE, slab: int = SLAB) -> DataFrame:
+    """(i, j, r) for all pairs i < j of the numbers in an array column; nan where a column does not vary.
+
+    Columns are cut into tiles and rows into slabs. A pair of tiles meets in one task, slab after slab, which holds one product of tile * tile
+    numbers and yields rows; each slab is sent to the pairs of its tile, and nothing of the size of the whole matrix is held anywhere.
+    """
+    sizes = rows.where(F.col(column).isNotNull()).agg(F.min(F.size(column)).alias("least"), F.max(F.size(column)).alias("most")).first()
+    if sizes.least != sizes.most:
+        raise ValueError("the arrays differ in length")
+    width = sizes.most or 0
+    tiles = max(1, -(-width // tile))
+    cells = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("slab", pa.string()), ("side", pa.int32()), ("n", pa.int32()), ("x", pa.binary())])
+
+    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, slab):
+                x = np.array(batch.column(0).slice(at, slab).to_pylist(), float)
+                out: dict[str, list] = {n: [] for n in cells.names}
+                for own in range(tiles):
+                    raw = np.ascontiguousarray(x[:, own * tile : (own + 1) * tile]).tobytes()
+                    for other in range(tiles):
+                        for a, b, side in ([(own, other, 0)] if own <= other else []) + ([(other, own, 1)] if other <= own else []):
+                            for n, v in zip(out, (a, b, f"{part}-{nth}", side, len(x), raw), strict=True):
+                                out[n].append(v)
+                nth += 1
+                yield pa.RecordBatch.from_pydict(out, schema=cells)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, left = None, None, None
+        for batch in batches:
+            for a, b, _, side, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(raw).reshape(n, -1)
+                if (a, b) != now:
+                    if now:
+                        yield from _pairs(now, sums, tile)
+                    now, sums = (a, b), None
+                if side == 0:
+                    left = x
+                    continue
+                part = [len(x), left.sum(0), x.sum(0), (left * left).sum(0), (x * x).sum(0), left.T @ x]
+                sums = part if sums is None else [s + p for s, p in zip(sums, part, strict=True)]
+        if now:
+            yield from _pairs(now, sums, tile)
+
+    full = rows.select(F.col(column).cast("array<double>")).where(F.col(column).isNotNull())
+    dealt = full.mapInArrow(slabs, "a int, b int, slab string, side int, n int, x binary").repartition("a", "b").sortWithinPartitions("a", "b", "slab", "side")
+    return dealt.mapInArrow(products, "i int, j int, r double")
+
+
+def _pairs(at: tuple[int, int], sums: list, tile: int) -> Iterator[pa.RecordBatch]:
+    """Correlations of a pair of tiles from sums of values, squares and products."""
+    n, sx, sy, xx, yy, xy = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * xy - np.outer(sx, sy)) / np.sqrt(np.outer(n * xx - sx * sx, n * yy - sy * sy))
+    for k in range(len(sx)):
+        i = at[0] * tile + k
+        j = at[1] * tile + np.arange(len(sy))
+        yield pa.RecordBatch.from_pydict({"i": np.full((j > i).sum(), i, np.int32), "j": j[j > i].astype(np.int32), "r": r[k][j > i]})

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockweave.operators import graphs, joins, statistics
+from blockweave.operators import graphs, joins, ordering, statistics
 from blockweave.plans import registry
 from blockweave.sources import readers, stores
 
@@ -172,6 +172,81 @@ def test_numbered_lines_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_chromosomes_may_be_written_either_way(spark):
+    v = spark.createDataFrame([(0, "chr7", 5), (1, "7", 15), (2, "8", 5)], "row_nr long, CHR string, POS long")
+    r = spark.createDataFrame([(7, 0, 10)], "chrom int, start long, end long")
+    assert {x.row_nr: x.annotated for x in joins.annotate_ranges(v, r).collect()} == {0: True, 1: False, 2: False}
+
+
+def plain_removal(edges, node, threshold):
+    now = dict(((a, b), w) for a, b, w in edges)  # the last of repeated ones
+    into, out = [(a, w) for (a, b), w in now.items() if b == node], [(b, w) for (a, b), w in now.items() if a == node]
+    for a, wa in into:
+        for b, wb in out:
+            w = min(now.get((a, b), wa + wb), wa + wb)
+            if a != b and w <= threshold:
+                now[a, b] = w
+    return sorted((a, b, w) for (a, b), w in now.items() if node not in (a, b))
+
+
+# fixed: the stated examples, and edges above the threshold, which stay
+@pytest.mark.parametrize("edges,node,threshold", [
+    ([(1, 2, 0.4), (2, 3, 0.3), (2, 4, 0.2), (3, 4, 0.8)], 2, 1.0), ([(1, 2, 0.4), (2, 3, 0.3), (2, 4, 0.2), (3, 4, 0.8)], 2, 0.65), ([(1, 2, 0.4), (1, 3, 0.5), (2, 3, 0.3), (2, 4, 0.2)], 2, 1.0),
+    ([(1, 2, 0.4), (2, 1, 0.3)], 2, 1.0), ([(1, 2, 0.4), (2, 3, 0.9), (1, 3, 5.0)], 2, 1.0), ([(1, 2, 9.0), (1, 2, 0.5), (2, 3, 0.25), (2, 2, 0.1), (4, 5, 7.0)], 2, 1.0),
+])
+def test_removing_a_node(spark, edges, node, threshold):
+    df = spark.createDataFrame(edges, "`from` int, `to` int, weight double").coalesce(1)
+    assert sorted((r["from"], r["to"], r.weight) for r in graphs.remove_node(df, node, threshold).collect()) == plain_removal(edges, node, threshold)
+    assert "CartesianProduct" not in graphs.remove_node(df, node, threshold)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_over_partitions(spark):
+    rng = np.random.default_rng(0)
+    values = [(int(k), int(rng.integers(0, 50)), int(v) if (v := rng.integers(0, 9)) > 5 else None) for k in range(3000)]
+    df = spark.createDataFrame(values, "id long, x int, v int").repartition(7)
+    order = sorted((x, i) for i, x, _ in values)
+    assert {r.id: r.nr for r in ordering.numbered(df, ["x", "id"], "nr").collect()} == {i: k for k, (_, i) in enumerate(order)}
+    by_id, last, want = {i: v for i, _, v in values}, None, {}
+    for _, i in order:
+        last = by_id[i] if by_id[i] is not None else last
+        want[i] = last
+    assert {r.id: r.last for r in ordering.last_before(df, ["x", "id"], F.col("v"), "last").collect()} == want
+
+
+def test_dense_and_lonely_genes_and_a_hot_child(spark):
+    genes = spark.range(3000).select(F.col("id").alias("gene_row"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene_id"), F.lit(1).alias("CHR"), (F.col("id") * 7 % 1_000_000).alias("POS")).union(spark.createDataFrame([(9999, "far", 20, 5)], "a long, b string, c int, d long"))
+    variants = spark.range(3000).select(F.col("id").alias("row_nr"), F.lit(1).alias("CHR"), (F.col("id") * 7 + 3).alias("POS")).union(spark.createDataFrame([(5000, 22, 9), (5001, 1, 0)], "a long, b int, c long"))
+    got = {(r.row_nr, r["rank"]): r.gene_id for r in joins.nearest_genes(variants, genes, [1.0, 0.5]).collect()}
+    assert got[10, 0] == "g10" and got[10, 1] == "g11" and got[5000, 0] == "far" and got[5000, 1] == "g2999" and got[5001, 0] == "g0"
+    assert len(got) == 2 * 3002
+    edges = spark.range(20_000).select(F.col("id").cast("int").alias("brick"), F.lit(5).alias("child"), (F.col("id") * 2.5).alias("left"), (F.col("id") * 2.5 + 2.5).alias("right"))
+    mutations = spark.range(20_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 2.5 + 0.75).alias("position"), F.lit(5).alias("node"))
+    placed = joins.mutations_to_bricks(mutations, edges)
+    assert placed.where("mutation = brick").count() == 20_000
+
+
+def test_groups_of_a_million_mutations_are_numbered_in_parts(spark):
+    edges = spark.range(100_000).select(F.col("id").cast("int").alias("brick"), F.col("id").cast("int").alias("child"), F.lit(0.0).alias("left"), F.lit(1e6).alias("right"))
+    mutations = spark.range(200_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 31 % 200_000).cast("double").alias("position"), (F.col("id") % 100_000).cast("int").alias("node"))
+    groups = graphs.mutation_groups(mutations, edges)
+    assert groups.count() == 100_000 and groups.where("size(mutations) <> 2").count() == 0
+    assert groups.agg(F.count_distinct("group"), F.max("group")).first() == (100_000, 99_999)
+
+
+@pytest.mark.parametrize("tile,slab", [(512, 256), (7, 10)])
+def test_tiled_correlations(spark, tile, slab):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (120, 23)).astype(float)
+    x[:, 4] = 1.0
+    rows_ = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "g array<double>").repartition(3)
+    with np.errstate(invalid="ignore"):
+        want = np.corrcoef(x.T)
+    got = statistics.genotype_correlation(rows_, "g", tile, slab).collect()
+    assert len(got) == 23 * 22 // 2 and all(np.isclose(r.r, want[r.i, r.j], equal_nan=True) for r in got)
+    with pytest.raises(ValueError, match="length"):
+        statistics.genotype_correlation(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "g array<double>"), "g")
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_oracle(spark, name):
     con = duckdb.connect()
