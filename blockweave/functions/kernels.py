@@ -97,12 +97,19 @@ def probes(n: int, m: int, seed: int) -> np.ndarray:
 
 
 def inverse_diagonal(p: View | Sparse | np.ndarray, method: str = "exact", z: np.ndarray | None = None, n_samples: int = 100, seed: int = 0) -> np.ndarray:
-    """Diagonal of the inverse: exact, from the factor's own pattern, or estimated by hutchinson, xdiag or xnys from probes ``z``, by solves alone."""
+    """Diagonal of the inverse: exact, from the factor's own pattern, or estimated by hutchinson, xdiag or xnys from probes ``z``, by solves alone.
+
+    Without ``z`` probes are drawn, for xdiag anew (at most 20 times) while they are not independent; where they would be as many as nodes, the exact diagonal is given.
+    """
     view = p if isinstance(p, View) else View(p)
     n = len(view)
-    if method == "exact":
+    if method == "exact" or z is None and n <= n_samples:
         return view.inverse_diagonal.copy()
-    z = probes(n, n_samples, seed) if z is None else z
+    if z is None:
+        drawn = (probes(n, n_samples, seed + 7919 * k) for k in range(20))
+        z = next((x for x in drawn if method != "xdiag" or np.linalg.matrix_rank(x) == x.shape[1]), None)
+        if z is None:
+            raise np.linalg.LinAlgError("probes are rank deficient")
     y = view.solve(z)
     if method == "hutchinson":
         return (z * y).mean(1)

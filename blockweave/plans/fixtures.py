@@ -36,6 +36,16 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
     "pair_blocks": ("part", ["DISTINCT concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(1 AS INT) AS chrom", "CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) * 20 AS chromStart", "CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) * 20 + 20 AS chromEnd"], "true"),
     "pair_diagonal": ("part", ["concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey % 2 AS INT) AS i", "CAST(p_partkey % 2 AS INT) AS j", "CAST(2 + p_size % 4 AS DOUBLE) AS value"], "true"),
     "pair_corner": ("part", ["concat('p', CAST(CAST(floor(CAST(p_partkey AS DOUBLE) / 2) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(0 AS INT) AS i", "CAST(1 AS INT) AS j", "CAST(p_size % 5 - 2 AS DOUBLE) / 4 AS value"], "p_partkey % 2 = 0"),
+    # blocks of 1, 3, 5, ... nodes: block b has the numbers b * b to (b + 1) * (b + 1) - 1
+    "tri_nodes": ("part", [
+        "concat('t', CAST(CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey - CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) * CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS INT) AS i",
+        "CAST(p_partkey AS BIGINT) AS row_nr", "CAST((p_partkey * 37) % 97 - 48 AS DOUBLE) / 8 AS z", "CAST(4 + p_size % 3 AS DOUBLE) AS d"], "true"),
+    "tri_near": ("part", [
+        "concat('t', CAST(CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey - CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) * CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS INT) AS i",
+        "CAST(p_partkey - CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) * CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) + 1 + p_size % 3 AS INT) AS j", "CAST(p_size % 5 - 2 AS DOUBLE) / 16 AS value"], "true"),
+    "tri_far": ("part", [
+        "concat('t', CAST(CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS VARCHAR(20))) AS block_id", "CAST(p_partkey - CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) * CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS INT) AS i",
+        "CAST(p_partkey - CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) * CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) + 7 + p_size % 11 AS INT) AS j", "CAST(p_partkey % 7 - 3 AS DOUBLE) / 32 AS value"], "true"),
     "graph": ("lineitem", ["CAST(l_partkey % 60 AS INT) AS a", "CAST(l_suppkey % 60 AS INT) AS b", "l_quantity / 8 AS weight"], "l_partkey % 60 <> l_suppkey % 60"),
 }
 
