@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions.scalars import odds, rule_one, rule_two
+from blockweave.operators import bricks
 from blockweave.operators.joins import mutations_to_bricks
 from blockweave.operators.lineage import cut
 from blockweave.operators.ordering import numbered
@@ -242,50 +242,6 @@ def mutation_groups(mutations: DataFrame, edges: DataFrame) -> DataFrame:
 # ---- bricks from tree sequences
 
 
-def _replay(pdf: pd.DataFrame, threshold: float) -> list[tuple[float, float, int, int]]:
-    """Edges of one tree sequence, cut where the way from a child to its old and its new ancestors parts."""
-    part = {k: g for k, g in pdf.groupby("kind")}
-    rows = lambda k, *cols: part[k][list(cols)].itertuples(index=False) if k in part else ()
-    samples = int(next(rows("samples", "n"))[0])
-    now = {int(c): (float(a), float(b), int(p)) for a, b, p, c in rows("initial", "left", "right", "parent", "child")}
-    gone: dict[int, list[int]] = {}
-    for t, c in rows("out", "transition", "child"):
-        gone.setdefault(int(t), []).append(int(c))
-    come: dict[int, list[tuple]] = {}
-    for t, a, b, p, c in rows("in", "transition", "left", "right", "parent", "child"):
-        come.setdefault(int(t), []).append((float(a), float(b), int(p), int(c)))
-    state: dict[int, dict[int, tuple]] = {}
-    for t, node, old, new, time, n in rows("state", "transition", "child", "old_parent", "parent", "time", "n"):
-        state.setdefault(int(t), {})[int(node)] = (int(old), int(new), float(time), int(n))
-    done: list[tuple[float, float, int, int]] = []
-
-    def cut(child: int, at: float) -> None:
-        if child in now and now[child][0] < at < now[child][1]:
-            left, right, parent = now[child]
-            done.append((left, at, parent, child))
-            now[child] = (at, right, parent)
-
-    for t, at in sorted((int(t), float(x)) for t, x in rows("transition", "transition", "left")):
-        for c in gone.get(t, ()):
-            left, right, parent = now.pop(c)
-            done.append((left, right, parent, c))
-        nodes = state[t]
-        for left, right, parent, child in come.get(t, ()):
-            now[child] = (left, right, parent)
-            if nodes[child][3] / samples <= threshold:
-                continue
-            new, old = parent, nodes[child][0]
-            while new != old and -1 not in (new, old):
-                if nodes[old][2] < nodes[new][2]:  # the younger one goes up; at equal times the new one
-                    cut(old, at)
-                    old = nodes[old][0]
-                else:
-                    cut(new, at)
-                    new = nodes[new][1]
-    done += [(left, right, parent, child) for child, (left, right, parent) in now.items()]
-    return sorted(done)
-
-
 TREE_TABLES = "ts_id string, kind string, transition int, left double, right double, parent int, child int, old_parent int, time double, n int"
 
 
@@ -306,66 +262,33 @@ def tree_rows(ts_id: str, spark: SparkSession, initial: DataFrame, transitions:
     return out.withColumn("_ok", F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("a row of the tree tables is not valid"))).where("_ok is null").drop("_ok")
 
 
-def brick_edges(trees: DataFrame, threshold: float = 0.0) -> DataFrame:
+def brick_edges(trees: DataFrame, threshold: float = 0.0, window_edges: int = bricks.WINDOW_EDGES) -> DataFrame:
     """(ts_id, brick, left, right, parent, child) of tree sequences given as rows of TREE_TABLES.
 
-    The trees of one sequence have to be gone through in order, so a sequence is a group; sequences run in parallel.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_replay(pdf, threshold), columns=["left", "right", "parent", "child"])
-        out.insert(0, "brick", range(len(out)))
-        out.insert(0, "ts_id", pdf["ts_id"].iloc[0])
-        return out
-
-    return trees.groupBy("ts_id").applyInPandas(run, "ts_id string, brick int, left double, right double, parent int, child int")
-
-
-def brick_intervals(edges: DataFrame) -> DataFrame:
-    """Edges repeated for each interval between neighbouring breakpoints that they cover: (ts_id, interval, brick, parent, child, fresh).
-
-    ``fresh`` marks a brick's first interval. Breakpoints are ordered within their sequence.
+    An edge is cut where its child's way to the old and to the new ancestors of an edge that begins there parts, if more than ``threshold`` of
+    the samples lie below that edge. Windows of neighbouring trees run in parallel.
     """
-    points = edges.select("ts_id", F.explode(F.array("left", "right")).alias("at")).distinct()
-    numbered = points.withColumn("interval", F.row_number().over(Window.partitionBy("ts_id").orderBy("at")) - 1)
-    begin = numbered.select("ts_id", F.col("at").alias("left"), F.col("interval").alias("lo"))
-    end = numbered.select("ts_id", F.col("at").alias("right"), F.col("interval").alias("hi"))
-    spans = edges.join(begin, ["ts_id", "left"]).join(end, ["ts_id", "right"])
-    return spans.select("ts_id", "brick", "parent", "child", "lo", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("interval")).select("ts_id", "interval", "brick", "parent", "child", (F.col("interval") == F.col("lo")).alias("fresh"), F.col("lo").alias("since"))
+    state = trees.where("kind = 'state'")
+    counts = state.select("ts_id", "transition", "child", "n")
+    edges = trees.where("kind in ('initial', 'in')").select("ts_id", "transition", "left", "right", "parent", "child").join(counts, ["ts_id", "transition", "child"], "left").drop("transition")
+    nodes = state.groupBy("ts_id", F.col("child").alias("node")).agg(F.max("time").alias("time")).withColumn("is_sample", F.lit(False))
+    totals = trees.where("kind = 'samples'").select("ts_id", F.col("n").alias("total"))
+    return bricks.cut_edges(edges, bricks.window_places(edges, nodes, totals, threshold, window_edges))
 
 
-def brick_events(edges: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bricks (with the share of samples below them) and events of bricked edges.
+def brick_events(edges: DataFrame, samples: DataFrame, window_edges: int = bricks.WINDOW_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Bricks (with the share of samples below them where they begin) and events of bricked edges.
 
-    edges: ts_id, brick, left, right, parent, child; samples: ts_id, node. An event stands for each brick at its first
-    interval: its parent brick (none at the root), its children's and its siblings' bricks, those longest there first. Samples below a
-    node are found by going up from all samples of all intervals at once, one level a round.
+    edges: ts_id, brick, left, right, parent, child; samples: ts_id, node. An event stands for each brick where it begins: its parent brick (none at
+    the root), its children's and its siblings' bricks, those longest there first. Counts of samples are kept up to date from tree to tree: an edge that
+    comes or goes changes those above it.
     """
-    tree = cut(brick_intervals(edges))
+    marked = samples.select("ts_id", "node").distinct().select("ts_id", "node", F.lit(0.0).alias("time"), F.lit(True).alias("is_sample"))
     total = samples.groupBy("ts_id").agg(F.countDistinct("node").alias("total"))
-    fresh = tree.where("fresh")
-    wanted = fresh.select("ts_id", "interval").distinct()
-    up = tree.join(wanted, ["ts_id", "interval"], "left_semi").select("ts_id", "interval", F.col("child").alias("node"), "parent")
-    at = samples.select("ts_id", "node").distinct().join(wanted, "ts_id").select("ts_id", "interval", "node", F.lit(1).alias("n"))
-    counts = at
-    while True:  # as often as the trees are high
-        at = cut(at.join(up, ["ts_id", "interval", "node"]).groupBy("ts_id", "interval", F.col("parent").alias("node")).agg(F.sum("n").cast("int").alias("n")))
-        if not at.take(1):
-            break
-        counts = counts.union(at)
-    below = counts.groupBy("ts_id", "interval", "node").agg(F.sum("n").alias("n"))
-    rows = fresh.join(below.withColumnRenamed("node", "child"), ["ts_id", "interval", "child"], "left").join(total, "ts_id")
-    bricks = rows.select("ts_id", "brick", "parent", "child", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("frequency"))
-
-    kept = tree.select("ts_id", "interval", "since", F.col("brick").alias("other"), F.col("parent").alias("of"), F.col("child").alias("node"))
-    families = kept.groupBy("ts_id", "interval", "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "other"))), lambda x: x["other"]).alias("bricks"))
-    above = kept.select("ts_id", "interval", F.col("node").alias("parent"), F.col("other").alias("parent_brick"))
-    child = families.withColumnsRenamed({"of": "child", "bricks": "child_bricks"})
-    sibling = families.withColumnsRenamed({"of": "parent", "bricks": "sibling_bricks"})
-    none = F.array().cast("array<int>")
-    events = fresh.join(above, ["ts_id", "interval", "parent"], "left").join(child, ["ts_id", "interval", "child"], "left").join(sibling, ["ts_id", "interval", "parent"])
-    order = Window.partitionBy("ts_id").orderBy("interval", "brick")
-    return bricks, events.select("ts_id", (F.row_number().over(order) - 1).cast("int").alias("event"), F.col("brick").alias("focal_brick"), "parent_brick", F.coalesce("child_bricks", none).alias("child_bricks"), F.coalesce("sibling_bricks", none).alias("sibling_bricks"))
+    given = edges.select("ts_id", "left", "right", "parent", "child").withColumn("n", F.lit(None).cast("int"))
+    begun = bricks.window_places(given, marked, total, None, window_edges).select("ts_id", "child", F.col("at").alias("left"), "n")
+    rows = edges.join(begun, ["ts_id", "child", "left"]).join(F.broadcast(total), "ts_id")  # one row a sequence
+    return rows.select("ts_id", "brick", "parent", "child", (F.col("n") / F.col("total")).alias("frequency")), bricks.family_events(edges)
 
 
 def thin_graph(edges: DataFrame, missing: DataFrame) -> DataFrame:
@@ -410,10 +333,22 @@ def graph_from_trees(trees: DataFrame, samples: DataFrame, mutations: DataFrame,
 
     samples: node; mutations: mutation, position, node.
     """
-    edges = cut(brick_edges(trees, recombination_threshold))
+    return graph_from_bricks(cut(brick_edges(trees, recombination_threshold)), samples, mutations, path_threshold, edge_threshold)
+
+
+def graph_from_tree_sequence(edges: DataFrame, nodes: DataFrame, samples: DataFrame, mutations: DataFrame, path_threshold: float, edge_threshold: float | None = None, recombination_threshold: float = 0.0, window_edges: int = bricks.WINDOW_EDGES) -> tuple[DataFrame, DataFrame]:
+    """As ``graph_from_trees`` from the edges (left, right, parent, child) and nodes (node, time) themselves: counts of samples are found on the way."""
+    one = F.lit("all").alias("ts_id")
+    marked = nodes.join(samples.select("node").distinct().withColumn("is_sample", F.lit(True)), "node", "left").select(one, "node", "time", F.coalesce("is_sample", F.lit(False)).alias("is_sample"))
+    totals = samples.agg(F.countDistinct("node").alias("total")).select(one, "total")
+    given = edges.select(one, "left", "right", "parent", "child", F.lit(None).cast("int").alias("n"))
+    return graph_from_bricks(cut(bricks.cut_edges(given, bricks.window_places(given, marked, totals, recombination_threshold, window_edges))), samples, mutations, path_threshold, edge_threshold)
+
+
+def graph_from_bricks(edges: DataFrame, samples: DataFrame, mutations: DataFrame, path_threshold: float, edge_threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges of mutation groups, and the mutations with their group's index, of one sequence's bricked edges."""
     named = samples.join(edges.select("ts_id").distinct(), how="cross")  # one tree sequence
-    bricks, events = brick_events(edges, named.select("ts_id", "node"))
-    groups = mutation_groups(mutations, edges)
-    inner = bricks.where("frequency > 0 and frequency < 1")
-    groups = cut(groups)
+    shares, events = brick_events(edges, named.select("ts_id", "node"))
+    groups = cut(mutation_groups(mutations, edges))
+    inner = shares.where("frequency > 0 and frequency < 1")
     return make_graph(cut(inner), cut(events), groups, path_threshold, edge_threshold), snplist(groups, mutations)
