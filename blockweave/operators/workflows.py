@@ -409,6 +409,73 @@ def simulate(matrix: DataFrame, variants: DataFrame, sample_size: float, heritab
     return scaled.withColumn("z", F.col("noise") + np.sqrt(sample_size) * F.col("alpha")).drop("_s", "noise")
 
 
+def simulate_populations(
+    matrices: DataFrame, variants: DataFrame, sample_sizes: list[float], heritability: np.ndarray, weights: list[float] = (1.0,), covariances: list[np.ndarray] | None = None,
+    link: Callable[[DataFrame], Column] | None = None, dependent_polygenicity: bool = False, alpha: float = -1.0, missingness: float = 0.0, seed: int = 0,
+) -> DataFrame:
+    """Effects and statistics of several populations: block_id, population, row_nr, i, beta_per_allele, beta_per_sd, alpha, z, n, af.
+
+    matrices: block_id, population, i, j, value; variants: block_id, row_nr, i, af (array, one frequency a population), and what ``link`` reads.
+    A causal variant belongs to a component (by ``weights``, whose sum is the share of causal ones) and has normal effects by allele with that
+    component's covariance over populations (by default ``heritability``, whose diagonal is each population's and whose correlations are genetic ones).
+    ``link`` (not negative) and (p (1 - p))^alpha, p the mean frequency, scale variances; with ``dependent_polygenicity`` they scale the chance of
+    being causal instead, at most 1. Effects are then scaled so that the squares by standard deviation add up to each heritability. A node that a
+    population's matrix lacks gives no statistics there; of the others a share ``missingness`` is left out at random.
+    Draws are functions of the seed and the row.
+    """
+    m = len(sample_sizes)
+    heritability = np.asarray(heritability, float).reshape(m, m)
+    if min(weights) < 0 or sum(weights) > 1 + 1e-9:
+        raise ValueError("mixture weights must not be negative nor add up to more than 1")
+    halves = [np.linalg.cholesky(np.asarray(c, float).reshape(m, m) + 1e-12 * np.eye(m)) for c in (covariances or [heritability] * len(weights))]
+    uniform = lambda salt, *more: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "block_id", "row_nr", *more), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    normal = lambda salt: F.sqrt(-2 * F.log(uniform(salt))) * F.cos(2 * np.pi * uniform(salt + 1))
+
+    mean = F.aggregate("af", F.lit(0.0), lambda t, x: t + x) / m
+    known = variants.withColumn("_p", F.least(F.greatest(mean, F.lit(1e-9)), F.lit(1 - 1e-9))).withColumn("_spread", F.col("_p") * (1 - F.col("_p"))).withColumn("_link", link(variants).cast("double") if link else F.lit(1.0))
+    share = float(sum(weights))
+    if dependent_polygenicity:
+        known = known.withColumn("_rel", F.col("_link") * F.pow("_spread", F.lit(1.0 + alpha)))
+        whole = known.agg(F.sum("_rel").alias("_sum"), F.count(F.lit(1)).alias("_count"))  # one row
+        known = known.join(F.broadcast(whole)).withColumn("_causal", F.least(F.lit(1.0), F.lit(share) * F.col("_rel") * F.col("_count") / F.col("_sum")))
+        size = F.pow("_spread", F.lit(-0.5))
+    else:
+        known = known.withColumn("_causal", F.lit(share))
+        size = F.sqrt(F.pow("_spread", F.lit(float(alpha))) * F.col("_link"))
+    edges = (np.cumsum(weights) / share).tolist() if share else [1.0] * len(weights)
+    component = F.lit(len(weights) - 1)
+    for k in range(len(weights) - 2, -1, -1):
+        component = F.when(uniform(2) < edges[k], k).otherwise(component)
+    draws = F.array(*[normal(10 + 2 * k) for k in range(m)])
+    rows_of = F.array(*[F.array(*[F.lit(float(x)) for x in half.ravel()]) for half in halves])
+    mixed = known.withColumn("_half", F.get(rows_of, component)).withColumn("_draws", draws).withColumn("_on", uniform(1) < F.col("_causal"))
+    effect = [sum((F.get("_half", F.lit(k * m + q)) * F.get("_draws", F.lit(q)) for q in range(k + 1)), F.lit(0.0)) for k in range(m)]
+    beta = F.array(*[F.when(F.col("_on"), e * size).otherwise(0.0) for e in effect])
+    drawn = mixed.withColumn("_beta", beta).select("block_id", "row_nr", "i", F.posexplode(F.arrays_zip("_beta", "af")).alias("population", "x"))
+    drawn = drawn.select("block_id", "row_nr", "i", "population", F.col("x._beta").alias("beta_per_allele"), F.col("x.af").alias("af")).withColumn("beta_per_sd", F.col("beta_per_allele") * F.sqrt(heterozygosity(F.col("af"))))
+    drawn = cut(drawn)
+    sums = {r["population"]: r["s"] for r in drawn.groupBy("population").agg(F.sum(F.col("beta_per_sd") * F.col("beta_per_sd")).alias("s")).collect()}  # a row a population
+    scale = F.get(F.array(*[F.lit(float(np.sqrt(heritability[k, k] / sums[k])) if sums.get(k) else 0.0) for k in range(m)]), F.col("population"))
+    drawn = drawn.withColumn("beta_per_allele", F.col("beta_per_allele") * scale).withColumn("beta_per_sd", F.col("beta_per_sd") * scale)
+
+    def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
+        there = np.flatnonzero(p.diagonal)
+        nodes = v["i"].to_numpy()
+        v = v[np.isin(nodes, there)]
+        if v.empty:
+            return v
+        place = np.searchsorted(there, v["i"].to_numpy())
+        factor = p.take(there).factor
+        rng = np.random.default_rng([seed, *v["block_id"].iloc[0].encode()])
+        return pd.DataFrame({"block_id": v["block_id"], "row_nr": v["row_nr"], "alpha": factor.solve(np.bincount(place, v["beta_per_sd"].to_numpy(), len(there)))[place], "noise": factor.noise(rng.standard_normal(len(there)))[place]})
+
+    key = F.concat_ws("|", "population", "block_id").alias("block_id")
+    found = per_block(matrices.select(key, "i", "j", "value"), drawn.select(key, "row_nr", "i", "beta_per_sd"), kernel, "block_id string, row_nr long, alpha double, noise double").withColumnRenamed("block_id", "_key")
+    n = F.get(F.array(*[F.lit(float(x)) for x in sample_sizes]), F.col("population"))
+    out = drawn.withColumn("_key", F.concat_ws("|", "population", "block_id")).join(found, ["_key", "row_nr"]).where(uniform(3, "population") >= missingness)
+    return out.withColumn("n", n).select("block_id", "population", "row_nr", "i", "beta_per_allele", "beta_per_sd", "alpha", (F.sqrt("n") * F.col("alpha") + F.col("noise")).alias("z"), "n", "af")
+
+
 # ---- imputation, quality control, prediction
 
 

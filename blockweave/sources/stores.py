@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import csv
 import fnmatch
-from pathlib import Path
+import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,26 +243,50 @@ def gene_score_rows(rows: DataFrame, values: DataFrame, genes: DataFrame, weight
 # ---- results as CSV, written by the driver: a few rows a fit
 
 
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system that Spark knows; None if it is not there."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
 def write_reml_results(spark: SparkSession, path: str, fit: RemlFit, layout: str = "tall", name: str = "trait", metric: str = "parameters", append: bool = False, overwrite: bool = False) -> None:
-    """tall, wide or convergence (two tables with a blank line between). Only wide tables can be appended to, under the same header."""
-    out = Path(path)
+    """tall, wide or convergence (two tables with a blank line between), on any file system that Spark knows.
+
+    Only wide tables can be appended to, under the same header; the file, a line a trait, is then written anew.
+    """
     if append and (overwrite or layout != "wide"):
         raise ValueError("only a wide table that is not overwritten can be appended to")
-    if out.exists() and not (append or overwrite):
+    old = _read_text(spark, path)
+    if old is not None and not (append or overwrite):
         raise FileExistsError(path)
     parts = convergence_results(spark, fit) if layout == "convergence" else (reml_results(spark, fit, layout, name, metric),)
-    header_is_there = append and out.exists()
-    if header_is_there and out.read_text().split("\n", 1)[0].split(",") != parts[0].columns:
+    header_is_there = append and old is not None
+    if header_is_there and old.split("\n", 1)[0].split(",") != parts[0].columns:
         raise ValueError(f"{path} has another header")
-    out.parent.mkdir(parents=True, exist_ok=True)
-    with out.open("a" if append else "w", newline="") as f:
-        for k, df in enumerate(parts):
-            if k:
-                f.write("\n")
-            lines = csv.writer(f, lineterminator="\n")
-            if not header_is_there:
-                lines.writerow(df.columns)
-            lines.writerows([["NA" if v is None or v != v else v for v in r] for r in df.collect()])
+    text = io.StringIO()
+    for k, df in enumerate(parts):
+        if k:
+            text.write("\n")
+        lines = csv.writer(text, lineterminator="\n")
+        if not header_is_there:
+            lines.writerow(df.columns)
+        lines.writerows([["NA" if v is None or v != v else v for v in r] for r in df.collect()])
+    _write_text(spark, path, (old if header_is_there else "") + text.getvalue())
 
 
 def write_reml_outputs(spark: SparkSession, prefix: str, fits: dict[str, RemlFit], layout: str = "wide") -> None:

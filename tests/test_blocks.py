@@ -201,3 +201,81 @@ def test_weights_by_allele_of_one_population(spark):
     want = s @ np.linalg.solve(s + p / 1000, p @ v.z.to_numpy() / np.sqrt(1000))
     got = workflows.multi_population_blup(one, af, np.array([[0.02]]), [1000.0], alpha=0.0).where("block_id = 'a'").orderBy("i").collect()
     assert np.allclose([r.weight for r in got], want) and np.allclose([r.per_allele for r in got], want / np.sqrt(het))
+
+
+# ---- simulation of populations
+
+
+def population_tables(spark, blocks_=12, nodes=50):
+    entries, variants = [], []
+    for b in range(blocks_):
+        for i in range(nodes):
+            for k in (0, 1):
+                if not (k == 1 and i == 7):  # the second population lacks a node
+                    entries.append((f"b{b}", k, i, i, 1.2))
+                    j = i + 1
+                    if j < nodes and not (k == 1 and 7 in (i, j)):
+                        entries += [(f"b{b}", k, i, j, 0.3), (f"b{b}", k, j, i, 0.3)]
+            variants += [(f"b{b}", b * 1000 + 2 * i + c, i, [0.1 + 0.008 * i, 0.5], float(i % 2)) for c in (0, 1)]
+    return spark.createDataFrame(entries, "block_id string, population int, i int, j int, value double"), spark.createDataFrame(variants, "block_id string, row_nr long, i int, af array<double>, coding double")
+
+
+def test_several_populations_are_simulated(spark):
+    m, v = population_tables(spark)
+    h2 = np.array([[0.4, 0.21], [0.21, 0.3]])
+    out = workflows.simulate_populations(m, v, [1000.0, 4000.0], h2, [0.5], alpha=-1.0, seed=2)
+    rows = out.toPandas()
+    one, two = rows[rows.population == 0], rows[rows.population == 1]
+    assert len(one) == 1200 and len(two) == 1200 - 24 and set(rows.n) == {1000.0, 4000.0}
+    assert abs((one.beta_per_sd**2).sum() - 0.4) < 1e-9
+    both = one.merge(two, on="row_nr")
+    causal = both[both.beta_per_allele_x != 0]
+    assert 0.42 < len(causal) / len(both) < 0.58 and ((both.beta_per_allele_x != 0) == (both.beta_per_allele_y != 0)).all()
+    assert abs(np.corrcoef(causal.beta_per_allele_x, causal.beta_per_allele_y)[0, 1] - 0.21 / np.sqrt(0.12)) < 0.08
+    assert np.allclose(rows.beta_per_sd, rows.beta_per_allele * np.sqrt(2 * rows.af * (1 - rows.af)))
+    # marginal effects are R beta; noise has the covariance R
+    p = np.diag(np.full(50, 1.2)) + 0.3 * (np.eye(50, k=1) + np.eye(50, k=-1))
+    b0 = one[one.block_id == "b0"]
+    sums = np.bincount(b0.i, b0.beta_per_sd, 50)
+    assert np.allclose(b0.alpha, np.linalg.solve(p, sums)[b0.i])
+    noise = (one.z - np.sqrt(1000.0) * one.alpha).to_numpy()
+    assert abs(noise.var() - np.diag(np.linalg.inv(p)).mean()) < 0.12
+    again = workflows.simulate_populations(m, v.repartition(5), [1000.0, 4000.0], h2, [0.5], alpha=-1.0, seed=2).toPandas().sort_values(["population", "row_nr"])
+    assert np.allclose(again.z, rows.sort_values(["population", "row_nr"]).z)
+
+
+def test_polygenicity_by_annotation_and_missing_rows(spark):
+    m, v = population_tables(spark)
+    h2 = np.diag([0.4, 0.3])
+    link = lambda rows: 0.1 + F.col("coding") * 0.9
+    out = workflows.simulate_populations(m, v, [1000.0, 1000.0], h2, [0.1, 0.1], [h2, 4 * h2], link, True, -1.0, 0.25, 3).join(v.select("row_nr", "coding"), "row_nr").toPandas()
+    one = out[out.population == 0]
+    assert 0.7 < len(one) / 1200 < 0.8
+    rate = one.groupby("coding").beta_per_allele.apply(lambda b: (b != 0).mean())
+    assert rate[1.0] > 5 * rate[0.0] and 0.15 < (one.beta_per_allele != 0).mean() < 0.26
+    with pytest.raises(ValueError, match="weights"):
+        workflows.simulate_populations(m, v, [1.0, 1.0], h2, [0.9, 0.2])
+
+
+def test_layouts_of_simulated_statistics(spark, tmp_path):
+    from blockweave.sources import stores
+
+    rows = spark.createDataFrame([("rs1", 1, 5, "A", "C", 2.0, 100.0, 0.5), ("NA", 1, 6, "A", "C", 1.0, 100.0, 0.5), ("rs3", 2, 7, "G", "T", -1.0, 400.0, 0.2)], "SNP string, CHR int, POS int, REF string, ALT string, Z double, N double, AF double")
+    heads = {"ldgm": "SNP CHR POS REF ALT Z N", "prscs": "SNP A1 A2 BETA P", "ldsc": "SNP A1 A2 N Z", "ldpred": "CHR POS SNP_ID REF ALT REF_FRQ PVAL BETA SE N"}
+    for layout, head in heads.items():
+        stores.write_sumstats(rows, f"{tmp_path}/{layout}", layout)
+        got = spark.read.csv(f"{tmp_path}/{layout}", sep="\t", header=True, inferSchema=True)
+        assert got.columns == head.split() and got.count() == 2
+    got = {r.SNP_ID: r for r in spark.read.csv(f"{tmp_path}/ldpred", sep="\t", header=True, inferSchema=True).collect()}
+    assert np.isclose(got["rs1"].BETA, 0.2 / np.sqrt(0.5)) and np.isclose(got["rs1"].SE, 0.1 / np.sqrt(0.5)) and np.isclose(got["rs1"].PVAL, 0.0455, atol=1e-4)
+    assert {r.SNP: (r.A1, r.A2) for r in spark.read.csv(f"{tmp_path}/prscs", sep="\t", header=True).collect()}["rs3"] == ("T", "G")
+
+
+def test_fit_summaries(spark):
+    p = np.diag([2.0, 3.0, 2.5]) + np.array([[0, 0.4, 0], [0.4, 0, -0.3], [0, -0.3, 0]])
+    r = np.linalg.inv(p)
+    frame = lambda x, keep: spark.createDataFrame([("b", int(i), int(j), float(x[i, j])) for i, j in np.argwhere(keep)], "block_id string, i int, j int, value double")
+    exact = precision.fit_summary(frame(p, p != 0), frame(r, p != 0)).first()
+    assert exact.mse < 1e-20 and np.isclose(exact.degree, 4 / 3)
+    off = precision.fit_summary(frame(p, p != 0), frame(r + 0.1, p != 0)).first()
+    assert np.isclose(off.mse, 0.01)
