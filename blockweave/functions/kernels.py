@@ -266,17 +266,19 @@ def regularise(p: Sparse | np.ndarray, nodes: np.ndarray, z: np.ndarray, strengt
     return solve(Sparse.of(p).scaled(strength).with_diagonal(nodes, 1 - strength), z, nodes)
 
 
-def lasso_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.0, sweeps: int = 25, tolerance: float = 1e-10) -> np.ndarray:
-    """Precision matrix on a support from correlations ``c``: coordinate descent on the penalised likelihood.
+def lasso_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.0, sweeps: int = 25, tolerance: float = 1e-10, start: np.ndarray | None = None) -> np.ndarray:
+    """Precision matrix on a support from correlations ``c``: coordinate descent on the penalised likelihood, from the diagonal or from ``start``.
 
     An entry moves to the minimiser of its quadratic model, halved until the determinant stays positive and
-    the objective falls. The inverse is kept up to date by rank-two updates, so a step costs n * n.
+    the objective falls. The inverse is kept up to date by rank-two updates, so a step costs n * n. A start that is not positive definite is
+    mended first: its diagonal is raised until it is.
     """
     n = len(c)
-    p, w = np.diag(1 / np.diag(c)), np.diag(np.diag(c)).astype(float)
+    p = np.diag(1 / np.diag(c)) if start is None else mended(start)
+    w = np.linalg.inv(p)
     pairs = np.argwhere(np.triu(support | np.eye(n, dtype=bool)))
     for _ in range(sweeps):
-        moved = 0.0
+        moved, kept = 0.0, p.copy()
         for i, j in pairs:
             diagonal = i == j
             h = w[i, i] ** 2 if diagonal else w[i, j] ** 2 + w[i, i] * w[j, j]
@@ -300,7 +302,33 @@ def lasso_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.0, sw
                 a = w[:, [i, j]]
                 w -= a @ np.linalg.solve(np.array([[w[i, i], w[i, j] + 1 / step], [w[i, j] + 1 / step, w[j, j]]]), a[:, [0, 1]].T)
             moved = max(moved, abs(step))
+        if not positive_definite(p):  # rounding has carried the updates away
+            p = kept
+            break
         w = np.linalg.inv(p)
         if moved < tolerance:
             break
     return p
+
+
+def positive_definite(p: np.ndarray) -> bool:
+    try:
+        np.linalg.cholesky(p)
+    except np.linalg.LinAlgError:
+        return False
+    return True
+
+
+def mended(p: np.ndarray) -> np.ndarray:
+    """The matrix with its diagonal raised, by doubling shares of its mean, until it is positive definite."""
+    out, share = p.copy(), 1e-6
+    while not positive_definite(out):
+        out = p + share * np.mean(np.abs(np.diag(p))) * np.eye(len(p))
+        share *= 2
+    return out
+
+
+def two_phase_precision(c: np.ndarray, support: np.ndarray, penalty: float = 0.1, penalised: int = 5, free: int = 25) -> np.ndarray:
+    """Edges are chosen on the support by a few penalised sweeps and estimated without the penalty from there."""
+    chosen = lasso_precision(c, support, penalty, penalised)
+    return lasso_precision(c, chosen != 0, 0.0, free, start=chosen)

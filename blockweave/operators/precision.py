@@ -316,12 +316,16 @@ def reml_terms(matrix: DataFrame, rows: DataFrame, annotations: list[str], theta
     return reml_sums(reml_state(matrix, rows, annotations, n), theta, n, denominator, intercept, method, n_samples, seed).drop("block_nr")
 
 
-def estimate_precision(correlations: DataFrame, penalty: float = 0.0, sweeps: int = 25) -> DataFrame:
-    """Precision entries (block_id, i, j, value) from correlations (block_id, i, j, value), whose entries are the support too."""
+def estimate_precision(correlations: DataFrame, penalty: float = 0.0, sweeps: int = 25, penalised_sweeps: int = 0) -> DataFrame:
+    """Precision entries (block_id, i, j, value) from correlations (block_id, i, j, value), whose entries are the support too.
+
+    With ``penalised_sweeps`` in two phases: edges are chosen with the penalty, then estimated without it in ``sweeps``. A block's correlations
+    and their inverse are dense in its task.
+    """
 
     def kernel(sparse: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         c = sparse.dense()
-        p = kernels.lasso_precision(c, c != 0, penalty, sweeps)
+        p = kernels.two_phase_precision(c, c != 0, penalty, penalised_sweeps, sweeps) if penalised_sweeps else kernels.lasso_precision(c, c != 0, penalty, sweeps)
         i, j = np.nonzero(p)
         return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j, "value": p[i, j]})
 

@@ -590,3 +590,18 @@ def correlation_edges(support: DataFrame, genotypes: DataFrame) -> DataFrame:
     both = product.join(side("from", 1), "from").join(side("to", 2), "to")
     spread = lambda tag: F.col(f"n{tag}") * F.col(f"q{tag}") - F.col(f"s{tag}") * F.col(f"s{tag}")
     return both.select("from", "to", F.try_divide(F.col("n1") * F.col("xy") - F.col("s1") * F.col("s2"), F.sqrt(spread(1) * spread(2))).alias("r"))
+
+
+def correlation_edgelist(graph: DataFrame, genotypes: DataFrame, path_distance: float = 4.0, minimum_maf: float = 0.01) -> DataFrame:
+    """Correlations (from, to, r) of the variants that a graph's edges of a path distance below the threshold tie, from <= to, with their diagonal of ones.
+
+    graph: from, to, weight (a distance); genotypes: row, variant, value (0 or 1). Variants of a minor allele frequency not above the minimum
+    have no correlations: neither edges nor a diagonal.
+    """
+    mean = genotypes.groupBy("variant").agg(F.avg("value").alias("f"))
+    common = cut(mean.where(F.least("f", 1 - F.col("f")) > minimum_maf).select("variant"))
+    near = graph.where((F.col("weight") < path_distance) & (F.col("from") != F.col("to"))).select(F.least("from", "to").alias("from"), F.greatest("from", "to").alias("to")).distinct()
+    for end in ("from", "to"):
+        near = near.join(common.withColumnRenamed("variant", end), end, "left_semi")
+    own = common.select(F.col("variant").alias("from"), F.col("variant").alias("to"), F.lit(1.0).alias("r"))
+    return correlation_edges(near, genotypes).select("from", "to", "r").unionByName(own)

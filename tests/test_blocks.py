@@ -279,3 +279,106 @@ def test_fit_summaries(spark):
     assert exact.mse < 1e-20 and np.isclose(exact.degree, 4 / 3)
     off = precision.fit_summary(frame(p, p != 0), frame(r + 0.1, p != 0)).first()
     assert np.isclose(off.mse, 0.01)
+
+
+# ---- estimation and providers
+
+
+def objective(p, c):
+    return float(np.sum(p * c) - np.linalg.slogdet(p)[1])
+
+
+def plain_estimate(c, support, steps=4000):
+    """Gradient descent with backtracking on the unpenalised likelihood over the support."""
+    p, rate = np.diag(1 / np.diag(c)), 0.5
+    for _ in range(steps):
+        g = (c - np.linalg.inv(p)) * support
+        while True:
+            new = p - rate * g
+            if np.linalg.eigvalsh(new)[0] > 0 and objective(new, c) <= objective(p, c) - 1e-4 * rate * (g * g).sum():
+                break
+            rate /= 2
+            if rate < 1e-12:
+                return p
+        p, rate = new, min(1.0, rate * 1.5)
+        if np.abs(g).max() < 1e-7:
+            break
+    return p
+
+
+def test_two_phases_reach_the_optimum_on_the_chosen_edges(spark):
+    from blockweave.functions import kernels
+
+    rng = np.random.default_rng(6)
+    n = 60
+    p = np.diag(rng.uniform(2, 3, n))
+    for i in range(n - 1):
+        p[i, i + 1] = p[i + 1, i] = rng.uniform(-0.9, 0.9)
+    r = np.linalg.inv(p)
+    r /= np.sqrt(np.outer(np.diag(r), np.diag(r)))
+    support = np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= 3
+    c = r * support
+    frame = spark.createDataFrame([("b", int(i), int(j), float(c[i, j])) for i, j in np.argwhere(support)], "block_id string, i int, j int, value double")
+    got = np.zeros((n, n))
+    for row in precision.estimate_precision(frame, 0.05, 60, 5).collect():
+        got[row.i, row.j] = row.value
+    chosen = got != 0
+    assert chosen.sum() < support.sum() and np.linalg.eigvalsh(got)[0] > 0
+    want = plain_estimate(c, chosen)
+    assert abs(objective(got, c) - objective(want, c)) < 1e-6 and np.abs((np.linalg.inv(got) - c)[chosen]).max() < 1e-4
+    bad = np.array([[1.0, 2.0], [2.0, 1.0]])
+    assert np.linalg.eigvalsh(kernels.mended(bad))[0] > 0
+    assert np.allclose(kernels.lasso_precision(np.eye(2), np.ones((2, 2), bool), start=bad), np.eye(2), atol=1e-6)
+
+
+def test_correlations_by_path_distance(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (80, 6))
+    x[:, 4] = 0
+    x[0, 4] = 1  # rare
+    g = spark.createDataFrame([(r, v, float(x[r, v])) for r in range(80) for v in range(6)], "row int, variant int, value double")
+    graph = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.7), (1, 2, 3.9), (2, 3, 4.0), (3, 4, 0.1), (5, 5, 0.0), (5, 0, 1.0)], "`from` int, `to` int, weight double")
+    got = {(r["from"], r["to"]): r.r for r in workflows.correlation_edgelist(graph, g, 4.0, 0.05).collect()}
+    cor = np.corrcoef(x.T)
+    assert got.keys() == {(0, 1), (1, 2), (0, 5), *((k, k) for k in (0, 1, 2, 3, 5))} and all(np.isclose(r, cor[a, b]) for (a, b), r in got.items())
+
+
+def test_only_wanted_blocks_are_fetched(spark, tmp_path):
+    import pandas as pd
+
+    from blockweave.sources import providers
+
+    log = str(tmp_path)
+
+    def fetch(block, columns):
+        with open(f"{log}/{block['block_id']}", "a") as f:
+            f.write(",".join(columns) + "\n")
+        if block["block_id"] == "b3":
+            raise KeyError("gone")
+        n = 0 if block["block_id"] == "b1" else 2
+        return pd.DataFrame({"CHR": [1] * n, "POS": [block["chromStart"] + k for k in range(n)], "SNP": [f"rs{k}" for k in range(n)], "Z": [0.5] * n})[columns]
+
+    catalog = spark.createDataFrame([(f"b{k}", 1, 100 * k, 100 * k + 100) for k in range(5)], "block_id string, chrom int, chromStart long, chromEnd long")
+    own = providers.Provider({"CHR": "int", "POS": "long", "SNP": "string", "Z": "double"}, partition=fetch)
+    got = providers.provide(spark, own, catalog.where("chromStart < 300"), ["Z"])
+    assert got.columns == ["block_id", "CHR", "POS", "Z"] and {(r.block_id, r.POS) for r in got.collect()} == {("b0", 0), ("b0", 1), ("b2", 200), ("b2", 201)}
+    assert {f: open(f"{log}/{f}").read() for f in sorted(os.listdir(log))} == {f"b{k}": "CHR,POS,Z\n" for k in range(3)}
+    with pytest.raises(Exception, match="block b3"):
+        providers.provide(spark, own, catalog.where("block_id = 'b3'")).collect()
+    whole = providers.Provider(own.types, frame=lambda s, c: s.createDataFrame([(1, 250, "rs", 1.0), (1, 950, "rs", 1.0)], "CHR int, POS long, SNP string, Z double").select(*c))
+    assert [(r.block_id, r.POS) for r in providers.provide(spark, whole, catalog).collect()] == [("b2", 250)]
+    with pytest.raises(ValueError, match="neither"):
+        providers.provide(spark, providers.Provider(own.types), catalog)
+
+
+def test_all_populations_of_a_catalog(spark, tmp_path):
+    from blockweave.sources import readers
+
+    for name, w in (("x", 0.3), ("y", -0.2)):
+        (tmp_path / f"{name}.edgelist").write_text(f"0,0,2\n1,1,2\n2,2,1\n0,1,{w}\n")
+        (tmp_path / f"{name}.snplist").write_text("index,anc_alleles,deriv_alleles,EUR,site_ids,position,swap\n0,A,C,0.1,rs0,10,+\n0,A,C,0.4,rs1,11,+\n1,AT,C,0.2,rs2,20,+\n1,G,C,0.3,rs3,21,+\n2,A,G,0.5,rs4,30,+\n")
+    catalog = readers.block_catalog(spark.createDataFrame([(1, 0, 50, f"{n}.edgelist", f"{n}.snplist", "EUR") for n in ("x", "y")], "chrom int, chromStart long, chromEnd long, name string, snplistName string, population string"), "EUR")
+    matrix, variants = readers.load_populations(spark, catalog, str(tmp_path))
+    assert all(np.isclose(r.y, 1.0) for r in precision.inverse_diagonal(matrix).collect()) and matrix.select("block_id").distinct().count() == 2
+    got = {(r.site_ids, r.af) for r in variants.collect()}
+    assert "rs2" not in {s for s, _ in got} and ("rs1", 0.1) in got and ("rs3", 0.3) in got
