@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockweave.operators import precision, workflows
-from blockweave.plans import blocks, registry
+from blockweave.plans import blocks, registry, trees  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-OWN = ["l3_solve_blocks", "l9_inverse_diagonal_blocks", "b2_blup_blocks", "q4_accuracy_blocks", "q3_regularise_blocks", "r3_reml_terms_pairs", "r5_reml_first_step"]
+OWN = ["l3_solve_blocks", "l9_inverse_diagonal_blocks", "b2_blup_blocks", "q4_accuracy_blocks", "q3_regularise_blocks", "r3_reml_terms_pairs", "r5_reml_first_step", "g1_brick_edges", "a16_brick_shares", "g2_brick_events", "e2_correlation_edgelist"]
 
 
 @pytest.mark.parametrize("name", OWN)
