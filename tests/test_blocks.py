@@ -382,3 +382,16 @@ def test_all_populations_of_a_catalog(spark, tmp_path):
     assert all(np.isclose(r.y, 1.0) for r in precision.inverse_diagonal(matrix).collect()) and matrix.select("block_id").distinct().count() == 2
     got = {(r.site_ids, r.af) for r in variants.collect()}
     assert "rs2" not in {s for s, _ in got} and ("rs1", 0.1) in got and ("rs3", 0.3) in got
+
+
+def test_scores_of_genes_and_gene_sets(spark):
+    from blockweave.sources import stores
+
+    rows = spark.createDataFrame([(0, 1, 90), (1, 1, 220), (2, 1, 280)], "row_id long, CHR int, POS long")
+    genes = spark.createDataFrame([(0, "g0", "A", 1, 100), (1, "g1", "B", 1, 200), (2, "g2", "C", 1, 300)], "gene_row long, gene_id string, gene_name string, CHR int, POS long")
+    values = spark.createDataFrame([(0, 1.0, "x"), (1, 2.0, "y"), (2, 4.0, "z")], "row_id long, gradient double, note string")
+    got = {r.gene_id: r.gradient for r in stores.gene_score_rows(rows, values, genes.withColumnRenamed("CHR", "CHR"), [0.7, 0.3], ["gradient", "note"]).collect()}
+    assert np.isclose(got["g0"], 0.7) and np.isclose(got["g1"], 0.3 + 0.7 * 2 + 0.3 * 4) and np.isclose(got["g2"], 0.3 * 2 + 0.7 * 4)
+    sets = spark.createDataFrame([(0, "setA", "A"), (0, "setA", "C"), (1, "setB", "B")], "set_row long, set_name string, gene string")
+    table = {r.row_id: (r.setA, r.setB) for r in stores.gene_set_values(rows, genes, sets, [0.7, 0.3]).collect()}
+    assert {k: tuple(np.round(v, 9)) for k, v in table.items()} == {0: (0.7, 0.3), 1: (0.3, 0.7), 2: (0.7, 0.3)}
