@@ -98,49 +98,57 @@ def levels(p: Sparse, first: int, region: np.ndarray, token: int) -> list[np.nda
 
 
 def dissection(p: Sparse) -> tuple[list[np.ndarray], list[int]]:
-    """Parts and the part above each (-1: none); a part's entries lie in itself, in parts below it and in parts above it."""
+    """Parts and the part above each (-1: none); a part's entries lie in itself, in parts below it and in parts above it.
+
+    A level separates all levels before it from all behind it, so a region is cut along one set of levels again and again; levels are
+    found anew only where a region is down to two of them.
+    """
     parts: list[np.ndarray] = []
     above: list[int] = []
     region, token = np.zeros(p.n, np.int64), 0
-    todo = [(np.arange(p.n), -1)]
+    todo: list[tuple[list[np.ndarray], int]] = [([np.arange(p.n)], -1)]
+
+    def add(nodes: np.ndarray, top: int) -> int:
+        parts.append(nodes)
+        above.append(top)
+        return len(parts) - 1
+
     while todo:
-        nodes, top = todo.pop()
-        if len(nodes) <= LEAF:
-            if len(nodes):
-                parts.append(nodes)
-                above.append(top)
+        rings, top = todo.pop()
+        size = sum(map(len, rings))
+        if size <= LEAF:
+            if size:
+                add(np.concatenate(rings), top)
             continue
-        token += 1
-        region[nodes] = token
-        found = []
-        for first in nodes:
-            if region[first] == token:
-                found.append(levels(p, int(first), region, token))
-        if len(found) > 1:  # separate already; small pieces are put together
-            batch, size = [], 0
-            for piece in found:
-                piece = np.concatenate(piece)
-                batch.append(piece)
-                size += len(piece)
-                if size > LEAF:
-                    todo.append((np.concatenate(batch), top)) if len(batch) == 1 or size - len(piece) == 0 else todo.extend([(np.concatenate(batch[:-1]), top), (piece, top)])
-                    batch, size = [], 0
-            todo.append((np.concatenate(batch) if batch else nodes[:0], top))
-            continue
-        token += 1
-        region[nodes] = token
-        rings = levels(p, int(found[0][-1][0]), region, token)  # from the far end
+        if len(rings) < 3:
+            nodes = np.concatenate(rings)
+            token += 1
+            region[nodes] = token
+            found = [levels(p, int(first), region, token) for first in nodes if region[first] == token]
+            if len(found) > 1:  # separate already; small pieces are put together
+                batch: list[np.ndarray] = []
+                for piece in found:
+                    if sum(map(len, piece)) > LEAF:
+                        todo.append(([np.concatenate(piece)], top))
+                        continue
+                    batch.append(np.concatenate(piece))
+                    if sum(map(len, batch)) > LEAF // 2:
+                        add(np.concatenate(batch), top)
+                        batch = []
+                if batch:
+                    add(np.concatenate(batch), top)
+                continue
+            token += 1
+            region[nodes] = token
+            rings = levels(p, int(found[0][-1][0]), region, token)  # from the far end
+            if len(rings) < 3:  # every node is near every other
+                add(nodes, top)
+                continue
         upto = np.cumsum([len(r) for r in rings])
-        middle = [k for k in range(1, len(rings) - 1) if 0.25 * upto[-1] <= upto[k - 1] and upto[k] <= 0.75 * upto[-1]] or list(range(1, len(rings) - 1))
-        if not middle:  # every node is near every other
-            parts.append(nodes)
-            above.append(top)
-            continue
-        cut = min(middle, key=lambda k: len(rings[k]) * 1.0 + 0.1 * abs(upto[k] - upto[-1] / 2))
-        parts.append(np.sort(rings[cut]))
-        above.append(top)
-        here = len(parts) - 1
-        todo += [(np.concatenate(rings[:cut]), here), (np.concatenate(rings[cut + 1 :]), here)]
+        middle = [k for k in range(1, len(rings) - 1) if 0.25 * size <= upto[k - 1] and upto[k] <= 0.75 * size] or range(1, len(rings) - 1)
+        at = min(middle, key=lambda k: len(rings[k]) + 0.1 * abs(upto[k] - size / 2))
+        here = add(np.sort(rings[at]), top)
+        todo += [(rings[:at], here), (rings[at + 1 :], here)]
     return parts, above
 
 
