@@ -22,6 +22,8 @@ from blockweave.functions import kernels
 from blockweave.functions.sparse import Sparse
 
 Kernel = Callable[[Sparse, pd.DataFrame], pd.DataFrame]
+#: Rows of results that a task gathers before it hands them on.
+RESULT_ROWS = 20_000
 
 
 def sparse_precision(edges: DataFrame, symmetric: bool = True) -> DataFrame:
@@ -87,12 +89,24 @@ def map_blocks(blocks: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     """Run ``kernel(P, rows)`` on every row of a packed table."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def joined(found: list[pd.DataFrame]) -> pa.RecordBatch:
+        """Many small results as one batch."""
+        columns = [np.concatenate([f[n].to_numpy() for f in found]) for n in arrow.names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, n = [], 0
             for p, rows in blocks_of(batch):
                 out = kernel(p, rows)
                 if len(out):
-                    yield from pa.Table.from_pandas(out, schema=arrow, preserve_index=False).to_batches()
+                    found.append(out)
+                    n += len(out)
+                if n >= RESULT_ROWS:
+                    yield joined(found)
+                    found, n = [], 0
+            if found:
+                yield joined(found)
 
     return blocks.mapInArrow(run, schema)
 
@@ -188,12 +202,11 @@ def blup(matrix: DataFrame, rows: DataFrame, sigma2: float) -> DataFrame:
     """Weights of merged rows (block_id, i, z, n, is_representative); rows that represent no node have 0."""
 
     def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
-        out = v[["block_id", "row_nr"]].assign(weight=0.0)
-        rep = v["is_representative"].to_numpy(bool) & v["z"].notna().to_numpy()
+        z, weight = v["z"].to_numpy(float), np.zeros(len(v))
+        rep = v["is_representative"].to_numpy(bool) & ~np.isnan(z)
         if rep.any() and len(p):
-            nodes = v["i"].to_numpy()[rep]
-            out.loc[rep, "weight"] = kernels.blup(p, v["z"].to_numpy()[rep], float(v["n"].mean()), sigma2, nodes)
-        return out
+            weight[rep] = kernels.blup(p, z[rep], float(v["n"].to_numpy().mean()), sigma2, v["i"].to_numpy()[rep])
+        return pd.DataFrame({"block_id": v["block_id"].to_numpy(), "row_nr": v["row_nr"].to_numpy(), "weight": weight})
 
     return per_block(matrix, rows, kernel, "block_id string, row_nr long, weight double")
 
@@ -202,12 +215,12 @@ def clump(matrix: DataFrame, rows: DataFrame, rsq: float = 0.1, chi2: float = 30
     """Lead flags of merged rows; rows that represent no node are no leads."""
 
     def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values(["i", "row_nr"], ignore_index=True)  # ties in chi-square go to the smaller node
-        out = v[["block_id", "row_nr"]].assign(is_index=False)
-        rep = v["is_representative"].to_numpy(bool) & v["z"].notna().to_numpy()
+        order = np.lexsort([v["row_nr"].to_numpy(), v["i"].to_numpy()])  # ties in chi-square go to the smaller node
+        z, i, lead = v["z"].to_numpy(float)[order], v["i"].to_numpy()[order], np.zeros(len(v), bool)
+        rep = v["is_representative"].to_numpy(bool)[order] & ~np.isnan(z)
         if rep.any() and len(p):
-            out.loc[rep, "is_index"] = kernels.clump(p, v["z"].to_numpy()[rep], v["i"].to_numpy()[rep], rsq, chi2)
-        return out
+            lead[rep] = kernels.clump(p, z[rep], i[rep], rsq, chi2)
+        return pd.DataFrame({"block_id": v["block_id"].to_numpy(), "row_nr": v["row_nr"].to_numpy()[order], "is_index": lead})
 
     return per_block(matrix, rows, kernel, "block_id string, row_nr long, is_index boolean")
 
