@@ -57,13 +57,25 @@ def node_sums(values: DataFrame) -> DataFrame:
     return values.groupBy("block_id", "i").agg(F.sum("x").alias("x"))
 
 
-def packed(matrix: DataFrame, rows: DataFrame) -> DataFrame:
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows by block_id over twice the shuffle partitions, as blocks are unequal.
+
+    The number is stated, as Spark would merge partitions that are small in bytes, and a block's work grows faster than its bytes: a thousand
+    blocks of a megabyte would end in some twenty tasks. It differs from that of other shuffles, or a merged one by block_id would be taken for it.
+    """
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block_id")
+
+
+def packed(matrix: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row a block that has rows: block_id, ``entries`` of its matrix (null without any) and its ``rows``, as arrays of structs.
 
-    Both sides are grouped by block_id before they are joined, so a table that is kept packed is not shuffled again.
+    Without ``rows`` every block of the matrix has one, which holds its block_id. Both sides are dealt by block_id before they are grouped
+    and joined, so neither is shuffled again, and a table that is kept packed isn't either.
     """
-    entries = matrix.groupBy("block_id").agg(F.collect_list(F.struct("i", "j", "value")).alias("entries"))
-    own = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # both sides may stem from one table
+    entries = dealt(matrix.select("block_id", "i", "j", "value")).groupBy("block_id").agg(F.collect_list(F.struct("i", "j", "value")).alias("entries"))
+    if rows is None:
+        return entries.select("block_id", F.array(F.struct("block_id")).alias("rows"), "entries")
+    own = dealt(rows.select(*[F.col(c).alias(c) for c in rows.columns]))  # both sides may stem from one table
     return own.groupBy("block_id").agg(F.collect_list(F.struct(*own.columns)).alias("rows")).join(entries, "block_id", "left")
 
 
@@ -111,8 +123,8 @@ def map_blocks(blocks: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
-def per_block(matrix: DataFrame, rows: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
-    """Run ``kernel(P, rows)`` on every block that has rows; a block without entries has an empty P."""
+def per_block(matrix: DataFrame, rows: DataFrame | None, kernel: Kernel, schema: str) -> DataFrame:
+    """Run ``kernel(P, rows)`` on every block that has rows (see ``packed``); a block without entries has an empty P."""
     return map_blocks(packed(matrix, rows), kernel, schema)
 
 
@@ -188,14 +200,14 @@ def inverse_diagonal(matrix: DataFrame, method: str = "exact", n_samples: int =
         block = v["block_id"].iloc[0]
         return pd.DataFrame({"block_id": block, "i": np.arange(len(p)), "y": kernels.inverse_diagonal(p, method, n_samples=n_samples, seed=block_seed(seed, block))})
 
-    return per_block(matrix, matrix.select("block_id").distinct(), kernel, "block_id string, i int, y double")
+    return per_block(matrix, None, kernel, "block_id string, i int, y double")
 
 
 def log_determinant(matrix: DataFrame) -> DataFrame:
     def kernel(p: Sparse, v: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block_id": [v["block_id"].iloc[0]], "logdet": [kernels.logdet(p)]})
 
-    return per_block(matrix, matrix.select("block_id").distinct(), kernel, "block_id string, logdet double")
+    return per_block(matrix, None, kernel, "block_id string, logdet double")
 
 
 def blup(matrix: DataFrame, rows: DataFrame, sigma2: float) -> DataFrame:
@@ -342,7 +354,7 @@ def estimate_precision(correlations: DataFrame, penalty: float = 0.0, sweeps: in
         i, j = np.nonzero(p)
         return pd.DataFrame({"block_id": v["block_id"].iloc[0], "i": i, "j": j, "value": p[i, j]})
 
-    return per_block(correlations, correlations.select("block_id").distinct(), kernel, "block_id string, i int, j int, value double")
+    return per_block(correlations, None, kernel, "block_id string, i int, j int, value double")
 
 
 def fit_summary(precision: DataFrame, correlations: DataFrame) -> DataFrame:

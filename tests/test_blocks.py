@@ -395,3 +395,14 @@ def test_scores_of_genes_and_gene_sets(spark):
     sets = spark.createDataFrame([(0, "setA", "A"), (0, "setA", "C"), (1, "setB", "B")], "set_row long, set_name string, gene string")
     table = {r.row_id: (r.setA, r.setB) for r in stores.gene_set_values(rows, genes, sets, [0.7, 0.3]).collect()}
     assert {k: tuple(np.round(v, 9)) for k, v in table.items()} == {0: (0.7, 0.3), 1: (0.3, 0.7), 2: (0.7, 0.3)}
+
+
+def test_small_blocks_spread_over_tasks(spark):
+    """Blocks are few in bytes, but aren't merged into one task; not even where rows are by block_id already."""
+    m = precision.sparse_precision(spark.range(64).select(F.concat(F.lit("b"), "id").alias("block_id"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2.0).alias("value")))
+    ids = m.select("block_id").distinct()
+    for table in (precision.packed(m), precision.packed(m, ids), precision.packed(m, ids.withColumn("x", F.lit(1.0)))):
+        tasks = table.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) >= 6 and sum(t["count"] for t in tasks) == 64
+    assert {tuple(r.rows[0]) for r in precision.packed(m).collect()} == {(f"b{k}",) for k in range(64)}
+    assert precision.log_determinant(m.where("false")).count() == 0
