@@ -225,6 +225,26 @@ def test_dense_and_lonely_genes_and_a_hot_child(spark):
     assert placed.where("mutation = brick").count() == 20_000
 
 
+def test_first_edges_of_mutations_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    edges = [(k, int(rng.integers(0, 4)), float(a := rng.integers(0, 400) / 4), float(a + rng.choice([0.0, 0.25, 3.5, 60.0, 1e6]))) for k in rng.permutation(500).tolist()]
+    mutations = [(k, float(rng.integers(-8, 900) / 8), int(rng.integers(0, 5))) for k in range(800)]
+    got = {r.mutation: (r.position, r.brick) for r in joins.mutations_to_bricks(spark.createDataFrame(mutations, "mutation int, position double, node int"), spark.createDataFrame(edges, "brick int, child int, left double, right double")).collect()}
+    held = {m: [b for b, child, left, right in edges if child == node and left <= at < right] for m, at, node in mutations}
+    assert got == {m: (at, min(held[m])) for m, at, _ in mutations if held[m]}
+    assert joins.mutations_to_bricks(spark.createDataFrame(mutations, "mutation int, position double, node int"), spark.createDataFrame([], "brick int, child int, left double, right double")).count() == 0
+
+
+def _crowd(spark, n):
+    """n nested edges of one child that each cover all n mutations: n * n pairs, which no join may make."""
+    edges = spark.range(n).select(F.col("id").cast("int").alias("brick"), F.lit(5).alias("child"), (-F.col("id") - 1.0).alias("left"), (F.col("id") + 1e6).alias("right"))
+    return spark.range(n).select(F.col("id").cast("int").alias("mutation"), (F.col("id") / 2).alias("position"), F.lit(5).alias("node")), edges
+
+
+def test_many_edges_over_many_mutations_of_one_child(spark):
+    assert joins.mutations_to_bricks(*_crowd(spark, 40_000)).where("brick = 0").count() == 40_000
+
+
 def test_groups_of_a_million_mutations_are_numbered_in_parts(spark):
     edges = spark.range(100_000).select(F.col("id").cast("int").alias("brick"), F.col("id").cast("int").alias("child"), F.lit(0.0).alias("left"), F.lit(1e6).alias("right"))
     mutations = spark.range(200_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 31 % 200_000).cast("double").alias("position"), (F.col("id") % 100_000).cast("int").alias("node"))
