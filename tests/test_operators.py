@@ -245,6 +245,11 @@ def test_many_edges_over_many_mutations_of_one_child(spark):
     assert joins.mutations_to_bricks(*_crowd(spark, 40_000)).where("brick = 0").count() == 40_000
 
 
+def test_groups_of_many_edges_over_many_mutations(spark):
+    groups = graphs.mutation_groups(*_crowd(spark, 40_000)).select("group", "brick", "mutation", F.size("mutations").alias("n")).collect()
+    assert [tuple(r) for r in groups] == [(0, 0, 0, 40_000)]
+
+
 def test_groups_of_a_million_mutations_are_numbered_in_parts(spark):
     edges = spark.range(100_000).select(F.col("id").cast("int").alias("brick"), F.col("id").cast("int").alias("child"), F.lit(0.0).alias("left"), F.lit(1e6).alias("right"))
     mutations = spark.range(200_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 31 % 200_000).cast("double").alias("position"), (F.col("id") % 100_000).cast("int").alias("node"))
