@@ -250,6 +250,11 @@ def test_groups_of_many_edges_over_many_mutations(spark):
     assert [tuple(r) for r in groups] == [(0, 0, 0, 40_000)]
 
 
+def test_snplist_of_many_edges_over_many_mutations(spark):
+    mutations, edges = _crowd(spark, 40_000)
+    assert graphs.snplist(graphs.mutation_groups(mutations, edges), mutations.select("mutation")).where("index = 0").count() == 40_000
+
+
 def test_groups_of_a_million_mutations_are_numbered_in_parts(spark):
     edges = spark.range(100_000).select(F.col("id").cast("int").alias("brick"), F.col("id").cast("int").alias("child"), F.lit(0.0).alias("left"), F.lit(1e6).alias("right"))
     mutations = spark.range(200_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 31 % 200_000).cast("double").alias("position"), (F.col("id") % 100_000).cast("int").alias("node"))
