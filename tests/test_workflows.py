@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import kernels
 from blockweave.operators import graphs, precision, workflows
+from blockweave.sources import stores
 
 INFO = "block_id string, row_nr long, index int, site_ids string, position long, anc_alleles string, deriv_alleles string"
 STATS = "row_nr long, CHR int, POS long, SNP string, REF string, ALT string, Z double"
@@ -245,3 +246,17 @@ def test_stream_of_statistics_meets_blocks(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("placed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.SNP, r.block_id) for r in spark.table("placed").collect()) == [("rs0", "a"), ("rs1", "b")]
+
+
+def test_edge_lists_of_many_blocks_take_few_files(spark, tmp_path):
+    matrix = spark.range(60_000).select(F.concat(F.lit("b,"), (F.col("id") % 20_000).cast("string")).alias("block_id"), F.lit(0).alias("i"), (F.col("id") / 20_000).cast("int").alias("j"), (F.col("id") / 8).alias("value"))
+    stores.write_edgelist(matrix, f"{tmp_path}/many")
+    files = list((tmp_path / "many").glob("*.csv"))
+    assert len(files) <= 8 and not [f for f in (tmp_path / "many").iterdir() if f.is_dir()]
+    back = spark.read.csv(f"{tmp_path}/many", schema="i int, j int, value double, block_id string")
+    assert back.select(*matrix.columns).exceptAll(matrix).count() == 0 and back.count() == 60_000
+    assert back.withColumn("file", F.input_file_name()).groupBy("block_id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    few = matrix.where("block_id in ('b,1', 'b,2')").repartition(4, "j")
+    stores.write_edgelist(few, f"{tmp_path}/few", folders=True)
+    assert len(list((tmp_path / "few").glob("block_id=*/*.csv"))) == 2
+    assert spark.read.csv(f"{tmp_path}/few", schema="i int, j int, value double, block_id string").select(*matrix.columns).exceptAll(few).count() == 0
