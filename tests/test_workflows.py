@@ -260,3 +260,15 @@ def test_edge_lists_of_many_blocks_take_few_files(spark, tmp_path):
     stores.write_edgelist(few, f"{tmp_path}/few", folders=True)
     assert len(list((tmp_path / "few").glob("block_id=*/*.csv"))) == 2
     assert spark.read.csv(f"{tmp_path}/few", schema="i int, j int, value double, block_id string").select(*matrix.columns).exceptAll(few).count() == 0
+
+
+def test_reduced_graph_meets_only_bricks_that_may_be_met(spark):
+    bricks = spark.createDataFrame([(k, 5000 + k, 0.5) for k in (7, 1200, 1500)], "brick int, child int, frequency double")
+    events = spark.createDataFrame([(0, 7, None, [1200], []), (1, 1200, 7, [1500], []), (2, 1500, 1200, [], [])], "event int, focal_brick int, parent_brick int, child_bricks array<int>, sibling_bricks array<int>")
+    names = bricks.select("brick", F.col("brick").alias("mutation"))
+    graph = graphs.brick_haplotype_graph(bricks, events, names, 3.0, True)
+    pairs = lambda df: {(r["from"], r["to"]) for r in df.where("`to` >= 0").collect()}
+    assert pairs(graphs.reduce_graph(graph, names, 1.0)) == {(7, 1200), (1200, 7), (1200, 1500), (1500, 1200)}
+    some = graphs.reduce_graph(graph, names, 1.0, names.where("brick < 1000"))
+    assert pairs(some) == {(7, 1200), (1200, 7)}
+    assert {r["from"] for r in some.where("`to` < 0").collect()} == {7, 1200, 1500}
