@@ -255,6 +255,28 @@ def test_snplist_of_many_edges_over_many_mutations(spark):
     assert graphs.snplist(graphs.mutation_groups(mutations, edges), mutations.select("mutation")).where("index = 0").count() == 40_000
 
 
+def test_nearest_genes_behind_before_and_among_equal_positions(spark):
+    rng = np.random.default_rng(5)
+    at = [(k, int(c), int(p)) for k, (c, p) in enumerate(zip(rng.integers(1, 4, 60), rng.choice([50, 60, 61, 90], 60), strict=True))]
+    where = [(k, int(rng.integers(1, 5)), int(rng.choice([0, 40, 55, 60, 75, 10_000_000]))) for k in range(200)]
+    genes = spark.createDataFrame([(k, f"g{k}", c, p) for k, c, p in at], "gene_row long, gene_id string, CHR int, POS long")
+    near = joins.nearest_genes(spark.createDataFrame(where, "row_nr long, CHR int, POS long"), genes, [0.5, 0.25, 0.125])
+    line = lambda c, p: c * 10**9 + p
+    want = {(k, r): f"g{g}" for k, c, p in where for r, (_, g) in enumerate(sorted((abs(line(gc, gp) - line(c, p)), g) for g, gc, gp in at)[:3])}
+    assert {(r.row_nr, r["rank"]): r.gene_id for r in near.collect()} == want
+    # positions are ranked in their rows: however many lie behind one gene, they are not brought together
+    assert "windowspecdefinition(g#" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("prefix", ["ENSG", "other"])
+def test_gene_sets_of_many_genes_meet_by_equal_keys(spark, prefix):
+    genes = spark.range(50_000).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("gene_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("gene_name"))
+    key = "gene_id" if prefix == "ENSG" else "gene_name"
+    found = joins.gene_set_annotations(genes, genes.select(F.lit("all").alias("set_name"), F.col(key).alias("gene")))
+    assert "NestedLoopJoin BuildRight, Inner, (CASE" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "CASE WHEN _by_id" not in plan
+    assert found.select("gene_id").distinct().count() == 50_000
+
+
 def test_groups_of_a_million_mutations_are_numbered_in_parts(spark):
     edges = spark.range(100_000).select(F.col("id").cast("int").alias("brick"), F.col("id").cast("int").alias("child"), F.lit(0.0).alias("left"), F.lit(1e6).alias("right"))
     mutations = spark.range(200_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 31 % 200_000).cast("double").alias("position"), (F.col("id") % 100_000).cast("int").alias("node"))
