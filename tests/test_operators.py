@@ -277,6 +277,14 @@ def test_gene_sets_of_many_genes_meet_by_equal_keys(spark, prefix):
     assert found.select("gene_id").distinct().count() == 50_000
 
 
+def test_vcf_lines_are_split_once(spark):
+    line = F.concat_ws("\t", F.lit("1"), F.col("id").cast("string"), F.lit("rs"), F.lit("A"), F.lit("C"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("ES:SE:LP:NS"), F.concat_ws(":", F.col("id").cast("string"), F.lit("2"), F.lit("1"), F.lit("7")))
+    rows = readers.parse_vcf(spark.range(50).select(line.alias("value")), ["ES", "SE", "LP", "NS"])
+    assert sorted((r.POS, r.Z, r.N) for r in rows.collect()) == [(k, k / 2, 7.0) for k in range(50)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4  # line and sample, for the rows and for their largest N
+
+
 def test_groups_of_a_million_mutations_are_numbered_in_parts(spark):
     edges = spark.range(100_000).select(F.col("id").cast("int").alias("brick"), F.col("id").cast("int").alias("child"), F.lit(0.0).alias("left"), F.lit(1e6).alias("right"))
     mutations = spark.range(200_000).select(F.col("id").cast("int").alias("mutation"), (F.col("id") * 31 % 200_000).cast("double").alias("position"), (F.col("id") % 100_000).cast("int").alias("node"))
