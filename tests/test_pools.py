@@ -1,13 +1,12 @@
 """Pools of small blocks: what is worked out for all of them at once equals what each block gives alone."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 
 from blockweave.functions import kernels as K
 from blockweave.functions.sparse import LEAF, Factor, Sparse, Stacks
-from blockweave.operators import precision, workflows
+from blockweave.operators import precision
 
 
 def matrices(seed=1, sizes=(2, 5, 1, 2, 9, 5, 3)):
